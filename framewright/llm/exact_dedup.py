@@ -44,7 +44,7 @@ def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.column_stack([words, *(t[c].to_numpy() for c in ("run", "n_chars", "check"))])
         first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
         size = np.add.reduceat(t["size"].to_numpy(), first)
-        t = t.take(pa.array(first)).set_column(t.schema.get_field_index("size"), "size", pa.array(size))
+        t = t.take(pa.array(first)).set_column(t.schema.get_field_index("size"), t.schema.field("size"), pa.array(size))
         carry = t.slice(t.num_rows - 1)
         yield from t.slice(0, t.num_rows - 1).combine_chunks().to_batches()
     if carry is not None:

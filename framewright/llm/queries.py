@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm.exact_dedup import exact_duplicates
+from framewright.llm.near_dedup import near_duplicates
 from framewright.llm.tables import read
 
 
@@ -14,7 +15,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_near_dedup": op5_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
 }
 

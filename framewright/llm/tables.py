@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 #: Java's spelling of the white space between words.
 WHITE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: An Arrow batch of long texts must fit a Python worker.
-BATCH_BYTES = 16 << 20
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,13 +27,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Limits the bytes of an Arrow batch for this session, unless the session's owner has set a limit."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, str(1 << 62)).rstrip("b")) > 1 << 40:
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
