@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from framewright.llm.exact_dedup import exact_duplicates
 from framewright.llm.near_dedup import near_duplicates
+from framewright.llm.substring_dedup import remove_repeats
 from framewright.llm.tables import read
 
 
@@ -15,16 +16,49 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+        x AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS passage FROM s),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY passage) AS first FROM x),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM f WHERE first < doc_id),
+        r AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+        k AS (SELECT d.doc_id, w, CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, n: NOT list_contains(gone, n)) END AS kept
+              FROM d LEFT JOIN r USING (doc_id))
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed,
+               sha256(array_to_string(kept, ' ')) AS kept_sha256
+        FROM k
+    """,
+    "op5_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+              WHERE 100 * inter >= 75 * (x.n_shingles + y.n_shingles - inter)),
+        e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        reach AS (SELECT doc_id AS v, doc_id AS c FROM d UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.v)
+        SELECT d.doc_id, coalesce(n_shingles, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT v, min(c) AS component_id FROM reach GROUP BY v) c ON c.v = d.doc_id
+    """,
     "op7_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
