@@ -15,6 +15,9 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Spaces and everything else in ASCII that is no letter or digit.
+MARKS = np.zeros(256, bool)
+MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: Bytes of text that one numpy step works on; its temporaries are about 30 times as large.
@@ -45,9 +48,9 @@ _P_INV = _powers(pow(_BASE, -1, 1 << 64), SLICE_BYTES)
 _GRAM = 0xD1342543DE82EF95
 
 
-def _byte_values(seed: int, lower: bool) -> np.ndarray:
+def _byte_values(seed: int, lower: bool, between: np.ndarray) -> np.ndarray:
     t = mix64(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(seed))
-    t[SPACE] = 0
+    t[between] = 0
     return t[LOWER] if lower else t
 
 
@@ -60,6 +63,7 @@ class Words:
     ends: np.ndarray
     offsets: np.ndarray
     first_row: int
+    between: np.ndarray
 
     @property
     def n_rows(self) -> int:
@@ -71,7 +75,7 @@ class Words:
     def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
         out = np.empty(len(self.starts), np.uint64)
-        values = _byte_values(seed, lower)
+        values = _byte_values(seed, lower, self.between)
         i = 0
         while i < len(self.starts):
             at = self.starts[i]
@@ -108,8 +112,11 @@ def raw_text(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return buf, offsets
 
 
-def split_words(column: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
-    """Words of the rows, in slices of whole rows of about ``slice_bytes`` (one row may be longer)."""
+def split_words(column: pa.Array | pa.ChunkedArray, between: np.ndarray = SPACE, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
+    """Words of the rows, in slices of whole rows of about ``slice_bytes`` (one row may be longer).
+
+    ``between`` tells by byte what separates words.
+    """
     buf, offsets = raw_text(column)
     row, n = 0, len(offsets) - 1
     while row < n:
@@ -117,14 +124,14 @@ def split_words(column: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYT
         end = min(end, n)
         a, b = int(offsets[row]), int(offsets[end])
         part = buf[a:b]
-        inside = ~SPACE[part]
+        inside = ~between[part]
         edge = np.zeros(len(part) + 1, bool)  # a row begins here
         edge[offsets[row:end] - a] = True
         before = np.concatenate(([False], inside[:-1])) if len(part) else inside
         starts = np.flatnonzero(inside & (~before | edge[:-1]))
         after = np.concatenate((inside[1:], [False])) if len(part) else inside
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        yield Words(part, starts, ends, np.searchsorted(starts, offsets[row : end + 1] - a, "left"), row)
+        yield Words(part, starts, ends, np.searchsorted(starts, offsets[row : end + 1] - a, "left"), row, between)
         row = end
 
 
