@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from framewright.llm.chat import format_turns, read_back
 from framewright.llm.decontaminate import contaminated
 from framewright.llm.exact_dedup import exact_duplicates
 from framewright.llm.near_dedup import near_duplicates
+from framewright.llm.packing import pack_documents
 from framewright.llm.quality import fit_quality, quality, ratings
 from framewright.llm.substring_dedup import remove_repeats
 from framewright.llm.tables import read
@@ -19,6 +22,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+#: A vocabulary file and its size, for texts that must be read back from ids.
+CHAT_TOKENIZER, CHAT_RESERVED = "byte_bpe_50k.json", 50_257
+PACK_TOKENIZER = "word_bpe_49k.json"
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -41,13 +53,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, fit_quality(docs, ratings(read(spark, sf_dir, "labels")), 4), good=2)
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    path = public_tokenizers.path(CHAT_TOKENIZER)
+    return read_back(format_turns(rows, path, CHAT_RESERVED), path, CHAT_RESERVED)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
+    "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {
@@ -86,4 +108,24 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op10_chat": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        -- two characters more for each control string, one for each escape character
+        marked AS (
+            SELECT *, length(text) + length(text) - length(replace(text, chr(9243), ''))
+                + 2 * list_sum(list_transform(
+                    ['<|system|>', '<|user|>', '<|assistant|>', '<|role|>', '<|text|>', '<|end|>', '<|endoftext|>', '<|im_start|>',
+                     '<|im_end|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+                    lambda c: (length(text) - length(replace(text, c, ''))) // length(c)))
+                + length(role) + CASE WHEN role IN ('system', 'user', 'assistant') THEN 4 + 7 ELSE 8 + 8 + 7 END AS shown
+            FROM rows)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(shown)::BIGINT AS formatted_chars
+        FROM marked GROUP BY conv_id
+    """,
 }
