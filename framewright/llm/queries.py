@@ -13,6 +13,7 @@ from framewright.llm.exact_dedup import exact_duplicates
 from framewright.llm.near_dedup import near_duplicates
 from framewright.llm.packing import pack_documents
 from framewright.llm.quality import fit_quality, quality, ratings
+from framewright.llm.secrets import default_model, secrets
 from framewright.llm.substring_dedup import remove_repeats
 from framewright.llm.tables import read
 from framewright.llm.toxicity import fit_toxicity, toxicity
@@ -27,6 +28,11 @@ CHAT_TOKENIZER, CHAT_RESERVED = "byte_bpe_50k.json", 50_257
 PACK_TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return secrets(docs, default_model(docs))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER))
 
@@ -62,6 +68,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secrets": op2_secrets,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_dedup": op5_near_dedup,
