@@ -99,8 +99,8 @@ def estimate(buckets: int) -> Callable[..., Column]:
 def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Size of the intersection of two sorted sets of 64-bit hashes."""
 
-    def one(x: bytes, y: bytes) -> int:
-        p, q = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    def one(x: np.ndarray, y: np.ndarray) -> int:
+        p, q = sorted((x.view(np.uint64), y.view(np.uint64)), key=len)
         at = np.searchsorted(q, p)
         return int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(p) else 0
 
@@ -129,15 +129,15 @@ def _sketches(words: int, buckets: int, rows: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
 
     return run
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
-    buckets: int = 128, rows: int = 4, slack: float = 0.2, crowd: int = 32,
+    buckets: int = 128, rows: int = 4, slack: float = 0.2, leads: int = 3, crowd: int = 64,
 ) -> DataFrame:
     """Documents linked by shingle sets with ``100 * intersection >= percent * union``.
 
@@ -145,12 +145,16 @@ def near_duplicates(
     reachable over links) and ``kept`` (it is that smallest id).  Documents with
     equal sets form one class, of which the smallest id stands for all.  Classes
     that share a band of ``rows`` of the ``buckets`` registers meet in three
-    passes: each with one leader of its bands, then with the other leaders not
-    yet in its component, then with all members of another component in a band
-    still shared by several (bands with more than ``crowd`` components are first
-    split by two further registers).  Pairs whose corrected estimate is within
-    ``slack`` of the threshold or above are confirmed on the full sets.  At the
-    threshold two sets share no band with probability (1 - 0.75**4)**32, 5e-6.
+    passes: each with the first document of one band, then with ``leads + 1``
+    documents of each band that are not yet in its component, then with all
+    members of another component in a band still shared by several (bands with
+    more than ``crowd`` components are first split by two further registers).
+
+    A pair goes to verification if its sizes, and the numbers of shingles that
+    each shares with anyone (an intersection is no larger), allow the
+    threshold, and if its corrected estimate is within ``slack`` of it or above;
+    it is linked if the full sets say so.  At the threshold two sets share no
+    band with probability (1 - 0.75**4)**32, 5e-6.
 
     Null and empty texts and texts without words have no shingles: ``n_shingles``
     0, linked with nothing.  Rows without an id are counted with their class but
@@ -170,24 +174,34 @@ def near_duplicates(
     heads = table.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     keys = scratch.keep(heads.select("doc_id", F.explode("keys").alias("key")))
-    met = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    some = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(j))) for j in range(leads)]
+    met = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.array(*some).alias("leads"), F.count("*").alias("n")).filter("n > 1").drop("n")
     bands = scratch.keep(keys.join(met, "key"))
     wanted = bands.select("doc_id").distinct()
-    sketches = scratch.keep(heads.join(wanted, "doc_id", "left_semi").select("doc_id", "n_shingles", "sketch"))
     sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
-        _sets(words), f"doc_id {id_type}, shingles binary"))
+        _sets(words), f"doc_id {id_type}, shingles array<long>"))
     scratch.drop(keys)
+    # of each set, how many shingles any other set has as well
+    items = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    common = items.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
+    shared = items.join(common, "shingle").groupBy("doc_id").agg(F.count("*").alias("shared"))
+    sketches = scratch.keep(heads.select("doc_id", "n_shingles", "sketch").join(shared, "doc_id").filter(100 * F.col("shared") >= percent * F.col("n_shingles")))
+    bands = bands.join(sketches.select("doc_id"), "doc_id", "left_semi")
     jaccard = estimate(buckets)
 
+    def possible(n_a: str, n_b: str, shared_a: str, shared_b: str) -> Column:
+        least = F.least(n_a, n_b, shared_a, shared_b)
+        return (100 + percent) * least >= percent * (F.col(n_a) + F.col(n_b))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         def side(df: DataFrame, x: str, *cols: str) -> DataFrame:
             return df.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
 
         for x in ("a", "b"):
-            pairs = pairs.join(side(sketches, x, "n_shingles", "sketch"), x)
-        small, large = F.least("n_shingles_a", "n_shingles_b"), F.greatest("n_shingles_a", "n_shingles_b")
-        pairs = pairs.filter(100 * small >= percent * large)
-        pairs = pairs.filter(jaccard("sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b") >= percent / 100 - slack).drop("sketch_a", "sketch_b")
+            pairs = pairs.join(side(sketches, x, "n_shingles", "shared", "sketch"), x)
+        pairs = pairs.filter(possible("n_shingles_a", "n_shingles_b", "shared_a", "shared_b"))
+        pairs = pairs.filter(jaccard("sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b") >= percent / 100 - slack)
+        pairs = pairs.select("a", "b", "n_shingles_a", "n_shingles_b")
         for x in ("a", "b"):
             pairs = pairs.join(side(sets, x, "shingles"), x)
         pairs = pairs.withColumn("both", overlap("shingles_a", "shingles_b"))
@@ -201,25 +215,29 @@ def near_duplicates(
     tried = scratch.keep(bands.filter("doc_id != first").groupBy(F.col("doc_id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
     links = scratch.keep(confirmed(tried))
     parts = components(links, scratch)
-    # with the leaders of its other bands
-    far = labelled(labelled(bands, parts, "doc_id", "part"), parts, "first", "first_part").filter("part != first_part")
-    more = far.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = scratch.keep(links.unionByName(confirmed(scratch.keep(more))))
+    # with several documents of each of its bands
+    led = bands.select("doc_id", F.explode(F.array_distinct(F.concat(F.array("first"), "leads"))).alias("lead")).filter("doc_id != lead").distinct()
+    far = labelled(labelled(led, parts, "doc_id", "part"), parts, "lead", "lead_part").filter("part != lead_part")
+    more = far.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    links = scratch.keep(links.unionByName(confirmed(more)))
     parts = components(links, scratch)
     # with every member of another component
-    own = scratch.keep(labelled(bands.drop("first"), parts, "doc_id", "part"))
-    count = own.groupBy("key").agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
-    open_ = own.join(count, "key")
+    own = labelled(bands.select("doc_id", "key"), parts, "doc_id", "part").join(sketches.select("doc_id", "n_shingles", "shared"), "doc_id")
+    own = scratch.keep(own)
+    cell = own.groupBy("key").agg(F.count_distinct("part").alias("parts"), F.min("n_shingles").alias("least")).filter("parts > 1")
+    alive = (100 + percent) * F.col("shared") >= percent * (F.col("n_shingles") + F.col("least"))
+    open_ = own.join(cell, "key").filter(alive).drop("least")
     crowded = open_.filter(F.col("parts") > crowd).join(sketches.select("doc_id", "sketch"), "doc_id")
     pair_of = lambda i: F.xxhash64("key", F.lit(i), F.substring("sketch", 4 * i + 1, 4))
-    split = crowded.select("doc_id", "part", F.explode(F.array(*(pair_of(i) for i in range(buckets // 2)))).alias("key"))
-    cells = open_.filter(F.col("parts") <= crowd).select("doc_id", "part", "key").unionByName(split)
-    a = cells.select("key", F.col("doc_id").alias("a"), F.col("part").alias("part_a"))
-    b = cells.select("key", F.col("doc_id").alias("b"), F.col("part").alias("part_b"))
-    rest = scratch.keep(a.join(b, "key").filter("part_a < part_b").select("a", "b").distinct())
+    fields = ["doc_id", "part", "n_shingles", "shared"]
+    split = crowded.select(*fields, F.explode(F.array(*(pair_of(i) for i in range(buckets // 2)))).alias("key"))
+    cells = open_.filter(F.col("parts") <= crowd).select(*fields, "key").unionByName(split)
+    a, b = (cells.select("key", *(F.col(c).alias(f"{c}_{x}") for c in fields)) for x in ("a", "b"))
+    near = F.expr("part_a < part_b") & possible("n_shingles_a", "n_shingles_b", "shared_a", "shared_b")
+    rest = scratch.keep(a.join(b, "key").filter(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
     links = scratch.keep(links.unionByName(confirmed(rest)))
     parts = components(links, scratch)
-    scratch.drop(own, rest, sets, bands, sketches)
+    scratch.drop(own, rest, sets, sketches)
 
     parts = parts.select(F.col("node").alias("leader"), "component")
     classes = classes.join(parts, "leader", "left").select(*same, F.coalesce("component", "leader").alias("component"))
