@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewright.llm.chat import format_turns, read_back
 from framewright.llm.decontaminate import contaminated
 from framewright.llm.exact_dedup import exact_duplicates
 from framewright.llm.near_dedup import near_duplicates
 from framewright.llm.packing import pack_documents
+from framewright.llm.pitman_yor import score_texts
 from framewright.llm.quality import fit_quality, quality, ratings
 from framewright.llm.secrets import default_model, secrets
 from framewright.llm.substring_dedup import remove_repeats
@@ -28,6 +30,10 @@ CHAT_TOKENIZER, CHAT_RESERVED = "byte_bpe_50k.json", 50_257
 PACK_TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read(spark, sf_dir, "documents"), learn=F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return secrets(docs, default_model(docs))
@@ -68,6 +74,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_secrets": op2_secrets,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
