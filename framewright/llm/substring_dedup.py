@@ -62,7 +62,7 @@ def _scan(window: int, gram: int):
 
 
 def _windows(window: int, gram: int):
-    """The windows whose fingerprint several documents have: first word and two independent hashes."""
+    """The windows whose fingerprint several documents have: two independent hashes and the first words of all places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,11 +75,14 @@ def _windows(window: int, gram: int):
                 for i in range(w.n_rows):
                     s = slice(w.offsets[i], w.offsets[i + 1])
                     hit = np.flatnonzero(inside[s] & np.isin(f[s].view(np.int64), wanted[w.first_row + i].values.to_numpy()))
-                    starts.append(hit)
-                    one.append(full_a[s][hit].view(np.int64))
-                    two.append(full_b[s][hit].view(np.int64))
+                    a, b = full_a[s][hit], full_b[s][hit]
+                    order = np.lexsort((b, a))
+                    new = np.flatnonzero(np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))) if len(hit) else hit
+                    starts.append(np.split(hit[order], new[1:]) if len(hit) else [])
+                    one.append(a[order][new].view(np.int64))
+                    two.append(b[order][new].view(np.int64))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, longs) for x in (starts, one, two))], ["doc_id", "start", "a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(longs)), pa.array(one, longs), pa.array(two, longs)], ["doc_id", "starts", "a", "b"])
 
     return run
 
@@ -193,10 +196,10 @@ def remove_repeats(
     wanted = prints.join(shared.distinct(), "print").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
 
     longs = "array<long>"
-    found = docs.join(wanted, "doc_id").select("doc_id", "text", "prints").mapInArrow(_windows(window, gram), f"doc_id {id_type}, start {longs}, a {longs}, b {longs}")
-    windows = scratch.keep(found.select("doc_id", F.explode(F.arrays_zip("start", "a", "b")).alias("w")).select("doc_id", "w.*"))
+    found = docs.join(wanted, "doc_id").select("doc_id", "text", "prints").mapInArrow(_windows(window, gram), f"doc_id {id_type}, starts array<{longs}>, a {longs}, b {longs}")
+    windows = scratch.keep(found.select("doc_id", F.explode(F.arrays_zip("starts", "a", "b")).alias("w")).select("doc_id", "w.*"))
     first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
-    seen = windows.join(first, ["a", "b"]).filter("first < doc_id").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    seen = windows.join(first, ["a", "b"]).filter("first < doc_id").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
     judged = docs.join(seen, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     return judged.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").mapInArrow(
         _strip(window), f"doc_id {id_type}, n_words long, n_removed long, kept_text string, kept_sha256 string")
