@@ -137,7 +137,7 @@ def _sets(words: int):
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
-    buckets: int = 128, rows: int = 4, slack: float = 0.2, leads: int = 3, crowd: int = 64,
+    buckets: int = 128, rows: int = 4, slack: float = 0.2, leads: int = 2, crowd: int = 2000,
 ) -> DataFrame:
     """Documents linked by shingle sets with ``100 * intersection >= percent * union``.
 
@@ -145,16 +145,18 @@ def near_duplicates(
     reachable over links) and ``kept`` (it is that smallest id).  Documents with
     equal sets form one class, of which the smallest id stands for all.  Classes
     that share a band of ``rows`` of the ``buckets`` registers meet in three
-    passes: each with the first document of one band, then with ``leads + 1``
+    passes: each with one leader (the member of its bands that shares the largest
+    part of its set with others), then with the leader and ``leads + 1`` more
     documents of each band that are not yet in its component, then with all
-    members of another component in a band still shared by several (bands with
-    more than ``crowd`` components are first split by two further registers).
+    members of another component in a band still shared by several; of the bands
+    that such a pair shares, only the first brings it up.  Bands with more than
+    ``crowd`` components are split by two further registers before that.
 
     A pair goes to verification if its sizes, and the numbers of shingles that
-    each shares with anyone (an intersection is no larger), allow the
-    threshold, and if its corrected estimate is within ``slack`` of it or above;
-    it is linked if the full sets say so.  At the threshold two sets share no
-    band with probability (1 - 0.75**4)**32, 5e-6.
+    each shares with anyone (an intersection is no larger, and smaller than sets
+    of one size that differ), allow the threshold, and if its corrected estimate
+    is within ``slack`` of it or above; it is linked if the full sets say so.  At
+    the threshold two sets share no band with probability (1 - 0.75**4)**32, 5e-6.
 
     Null and empty texts and texts without words have no shingles: ``n_shingles``
     0, linked with nothing.  Rows without an id are counted with their class but
@@ -174,8 +176,7 @@ def near_duplicates(
     heads = table.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
     keys = scratch.keep(heads.select("doc_id", F.explode("keys").alias("key")))
-    some = [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(j))) for j in range(leads)]
-    met = keys.groupBy("key").agg(F.min("doc_id").alias("first"), F.array(*some).alias("leads"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     bands = scratch.keep(keys.join(met, "key"))
     wanted = bands.select("doc_id").distinct()
     sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
@@ -186,11 +187,15 @@ def near_duplicates(
     common = items.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
     shared = items.join(common, "shingle").groupBy("doc_id").agg(F.count("*").alias("shared"))
     sketches = scratch.keep(heads.select("doc_id", "n_shingles", "sketch").join(shared, "doc_id").filter(100 * F.col("shared") >= percent * F.col("n_shingles")))
-    bands = bands.join(sketches.select("doc_id"), "doc_id", "left_semi")
+    bands = bands.join(sketches.select("doc_id", (F.col("shared") / F.col("n_shingles")).alias("part_shared")), "doc_id")
+    some = [F.min("doc_id"), *(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(j))) for j in range(leads))]
+    central = F.max_by(F.struct("part_shared", "doc_id"), F.struct(F.col("part_shared"), -F.xxhash64("doc_id").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("central")
+    chosen = bands.groupBy("key").agg(central, F.array(*some).alias("leads"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    bands = scratch.keep(bands.select("doc_id", "key").join(chosen, "key"))
     jaccard = estimate(buckets)
 
     def possible(n_a: str, n_b: str, shared_a: str, shared_b: str) -> Column:
-        least = F.least(n_a, n_b, shared_a, shared_b)
+        least = F.least(F.when(F.col(n_a) == F.col(n_b), F.col(n_a) - 1).otherwise(F.col(n_a)), n_b, shared_a, shared_b)
         return (100 + percent) * least >= percent * (F.col(n_a) + F.col(n_b))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -212,32 +217,42 @@ def near_duplicates(
         return rows_.join(part, x, "left").withColumn(out, F.coalesce(out, x))
 
     # each document with one leader
-    tried = scratch.keep(bands.filter("doc_id != first").groupBy(F.col("doc_id").alias("b")).agg(F.min("first").alias("a")).select("a", "b"))
+    one = bands.groupBy("doc_id").agg(F.max("central").alias("central")).select(F.col("central.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    tried = scratch.keep(one.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = scratch.keep(confirmed(tried))
     parts = components(links, scratch)
     # with several documents of each of its bands
-    led = bands.select("doc_id", F.explode(F.array_distinct(F.concat(F.array("first"), "leads"))).alias("lead")).filter("doc_id != lead").distinct()
+    led = bands.select("doc_id", F.explode(F.array_distinct(F.concat(F.array("central.doc_id"), "leads"))).alias("lead")).filter("doc_id != lead").distinct()
     far = labelled(labelled(led, parts, "doc_id", "part"), parts, "lead", "lead_part").filter("part != lead_part")
     more = far.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     links = scratch.keep(links.unionByName(confirmed(more)))
     parts = components(links, scratch)
     # with every member of another component
     own = labelled(bands.select("doc_id", "key"), parts, "doc_id", "part").join(sketches.select("doc_id", "n_shingles", "shared"), "doc_id")
-    own = scratch.keep(own)
     cell = own.groupBy("key").agg(F.count_distinct("part").alias("parts"), F.min("n_shingles").alias("least")).filter("parts > 1")
     alive = (100 + percent) * F.col("shared") >= percent * (F.col("n_shingles") + F.col("least"))
-    open_ = own.join(cell, "key").filter(alive).drop("least")
+    own = scratch.keep(own.join(cell.drop("parts"), "key").filter(alive).drop("least"))
+    cell = own.groupBy("key").agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
+    open_ = scratch.keep(own.join(cell, "key"))
+    fields = ["doc_id", "part", "n_shingles", "shared"]
+    usual = open_.filter(F.col("parts") <= crowd)
+    listed = usual.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    usual = usual.join(listed, "doc_id").select(*fields, "key", "keys")
     crowded = open_.filter(F.col("parts") > crowd).join(sketches.select("doc_id", "sketch"), "doc_id")
     pair_of = lambda i: F.xxhash64("key", F.lit(i), F.substring("sketch", 4 * i + 1, 4))
-    fields = ["doc_id", "part", "n_shingles", "shared"]
     split = crowded.select(*fields, F.explode(F.array(*(pair_of(i) for i in range(buckets // 2)))).alias("key"))
-    cells = open_.filter(F.col("parts") <= crowd).select(*fields, "key").unionByName(split)
-    a, b = (cells.select("key", *(F.col(c).alias(f"{c}_{x}") for c in fields)) for x in ("a", "b"))
-    near = F.expr("part_a < part_b") & possible("n_shingles_a", "n_shingles_b", "shared_a", "shared_b")
-    rest = scratch.keep(a.join(b, "key").filter(near).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
+
+    def met_in(cells: DataFrame, more: list[str], once: Column) -> DataFrame:
+        a, b = (cells.select("key", *(F.col(c).alias(f"{c}_{x}") for c in fields + more)) for x in ("a", "b"))
+        near = F.expr("part_a < part_b") & possible("n_shingles_a", "n_shingles_b", "shared_a", "shared_b") & once
+        return a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & near).select(
+            F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
+
+    first_shared = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
+    rest = scratch.keep(met_in(usual, ["keys"], first_shared).unionByName(met_in(split, [], F.lit(True)).distinct()))
     links = scratch.keep(links.unionByName(confirmed(rest)))
     parts = components(links, scratch)
-    scratch.drop(own, rest, sets, sketches)
+    scratch.drop(own, open_, rest, sets, sketches)
 
     parts = parts.select(F.col("node").alias("leader"), "component")
     classes = classes.join(parts, "leader", "left").select(*same, F.coalesce("component", "leader").alias("component"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -14,17 +15,24 @@ from pyspark.sql import functions as F
 
 from framewright.llm.tables import Scratch, documents
 
-#: Words that a Python worker remembers the ids of; then it starts over.
-CACHE_WORDS = 300_000
+#: Word parts that a Python worker remembers the ids of; then it starts over.
+CACHE_WORDS = 700_000
+#: New parts that are encoded as one text.
+JOINED = 64
+#: ASCII letters (1) and ASCII marks without the apostrophe (2): where one meets the other, the tokenizer splits too.
+_SIDE = np.zeros(256, np.uint8)
+_SIDE[97:123] = 1
+_SIDE[[b for b in range(33, 127) if not chr(b).isalnum() and b != 0x27]] = 2
 #: Text bytes whose words are looked up at once.
 STEP_BYTES = 1 << 21
 
 
 class WordEncoder:
-    """Ids of a tokenizer that drops white space: a text's ids are its words' ids one after another.
+    """Ids of a tokenizer that drops white space and never joins letters to marks.
 
-    Each distinct word (ASCII letters lower-cased, as the tokenizer does) is
-    encoded once and remembered.
+    A text's ids are the ids of its parts one after another: words (ASCII letters
+    lower-cased, as the tokenizer does), cut where an ASCII letter meets an ASCII
+    mark.  Each distinct part is encoded once and remembered.
     """
 
     def __init__(self, path: str):
@@ -32,37 +40,56 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.reserved = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
         self.pool = np.zeros(1 << 20, np.uint32)
-        self.used, self.begin = 0, np.zeros(CACHE_WORDS * 2, np.int64)
+        self.used, self.begin = 0, np.zeros(CACHE_WORDS + 1, np.int64)
 
-    def learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        flat = np.fromiter((i for x in ids for i in x), np.uint32)
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+    def learn(self, parts: list[bytes]) -> None:
+        """Encodes parts joined by spaces; each token belongs to the part in which it starts."""
+        words = [p.decode() for p in parts]
         n = len(self.index)
         while n + len(words) + 1 > len(self.begin):
             self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.begin[n + 1 : n + 1 + len(words)] = self.used + np.cumsum([len(x) for x in ids])
-        self.used += len(flat)
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        for i in range(0, len(words), JOINED):
+            group = words[i : i + JOINED]
+            encoded = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
+            ids = encoded.ids
+            ends = np.cumsum([len(w) + 1 for w in group])
+            sizes = np.bincount(np.searchsorted(ends, [a for a, _ in encoded.offsets], "right"), minlength=len(group)) if ids else np.zeros(len(group), np.int64)
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.begin[n + i + 1 : n + i + 1 + len(group)] = self.used + np.cumsum(sizes)
+            self.used += len(ids)
+        self.index.update(zip(parts, range(n, n + len(parts)), strict=True))
+
+    @staticmethod
+    def parts(texts: list[str]) -> list[list[bytes]]:
+        raw = [t.encode().lower() for t in texts]
+        whole = np.frombuffer(b"\n".join(raw), np.uint8)
+        side = _SIDE[whole]
+        cut = np.flatnonzero((side[1:] + side[:-1] == 3) & (side[1:] > 0) & (side[:-1] > 0)) + 1
+        spaced = np.insert(whole, cut, 0x20).tobytes()
+        at = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
+        at += np.searchsorted(cut, at, "right")
+        return [spaced[a:b].split() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and by text offsets into them."""
-        words = [t.encode().lower().split() for t in texts]
+        # the strings of reserved ids in a text are those ids to this tokenizer; such a text is one part
+        words = [[t.encode()] if any(r in t for r in self.reserved) else w for t, w in zip(texts, self.parts(texts), strict=True)]
         new = set().union(*words).difference(self.index) if words else set()
         if len(self.index) + len(new) > CACHE_WORDS and self.index:
             self.clear()
             new = set().union(*words)
         if new:
             self.learn(list(new))
-        index = self.index
-        code = np.fromiter((index[w] for x in words for w in x), np.int64, sum(map(len, words)))
+        find = self.index.__getitem__
+        code = np.fromiter(itertools.chain.from_iterable(map(find, x) for x in words), np.int64, sum(map(len, words)))
         at, size = self.begin[code], self.begin[code + 1] - self.begin[code]
         by_text = np.repeat(np.arange(len(texts)), [len(x) for x in words])
         offsets = np.concatenate(([0], np.cumsum(np.bincount(by_text, size, len(texts)).astype(np.int64) + 1)))

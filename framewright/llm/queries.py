@@ -128,17 +128,17 @@ ORACLES: dict[str, str] = {
             UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
         -- two characters more for each control string, one for each escape character
         marked AS (
-            SELECT *, length(text) + length(text) - length(replace(text, chr(9243), ''))
+            SELECT *, length(text) + length(free) - length(replace(free, chr(9243), ''))
                 + 2 * list_sum(list_transform(
                     ['<|system|>', '<|user|>', '<|assistant|>', '<|role|>', '<|text|>', '<|end|>', '<|endoftext|>', '<|im_start|>',
                      '<|im_end|>', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
-                    lambda c: (length(text) - length(replace(text, c, ''))) // length(c)))
+                    lambda c: (length(free) - length(replace(free, c, ''))) // length(c)))
                 + length(role) + CASE WHEN role IN ('system', 'user', 'assistant') THEN 4 + 7 ELSE 8 + 8 + 7 END AS shown
-            FROM rows)
+            FROM (SELECT *, text || chr(10) || CASE WHEN role IN ('system', 'user', 'assistant') THEN '' ELSE role END AS free FROM rows))
         SELECT conv_id, count(*) AS n_turns,
-               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(shown)::BIGINT AS formatted_chars
         FROM marked GROUP BY conv_id
     """,
