@@ -104,3 +104,67 @@ SELECT session_id, k AS ordinal, code, unit, CASE WHEN reason IS NULL THEN 'meas
        pauses::BIGINT AS pauses, speech_runs::BIGINT AS speech_runs, nuclei::BIGINT AS nuclei
 FROM judged
 """
+
+#: Face frames from line items.
+FACE = r"""
+numbered_lines AS (
+  SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS i FROM lineitem),
+raw_face AS (SELECT *, i // 1500 AS session_id, i % 1500 AS seq, (40 * (i % 1500))::DOUBLE AS t_ms FROM numbered_lines),
+face AS (
+  SELECT session_id, seq, t_ms, CASE WHEN session_id % 9 = 4 AND seq % 100 = 50 THEN 2 ELSE 1 END AS faces, CASE WHEN session_id % 10 = 6 AND seq >= 1000 THEN 'face-2' ELSE 'face-1' END AS track,
+         384 + l_quantity % 3 AS wpx, 360 + l_quantity % 2 AS hpx, CASE WHEN session_id % 6 = 5 AND seq BETWEEN 300 AND 310 THEN 7.001 ELSE 2.0 END AS yaw, l_tax * 50 AS pitch, l_discount * 20 AS roll,
+         CASE WHEN t_ms % 10000 < 120 THEN 0.1 ELSE 0.3 + l_discount / 10 END AS el, CASE WHEN t_ms % 10000 < 120 THEN 0.1 ELSE 0.3 + l_tax / 10 END AS er,
+         -0.5 - l_tax / 10 AS lx, l_discount / 20 AS ly, 0.5 AS rx, 0.0 AS ry, l_quantity / 100 AS ap, CASE WHEN seq % 125 = 0 THEN 100.0 ELSE l_quantity / 1000 END AS speed,
+         CASE WHEN seq > 0 THEN 40.0 END AS rgap, CASE WHEN session_id % 8 = 3 AND seq >= 1200 THEN 0.0001 ELSE 0.01 END AS sharp, session_id % 15 = 2 AND seq = 700 AS nocam
+  FROM raw_face),
+fsessions AS (SELECT DISTINCT session_id, CASE WHEN session_id % 12 = 11 THEN 1499.0 ELSE 2000.0 END AS calibration FROM face),
+screened AS (
+  SELECT *, floor(t_ms / 5000)::BIGINT AS bin, faces = 1 AND NOT nocam AND sharp >= 0.0008 AND abs(yaw) <= 7 AND abs(pitch) <= 10 AND abs(roll) <= 5
+         AND wpx / 384 BETWEEN 0.8 AND 1.2 AND hpx / 360 BETWEEN 0.8 AND 1.2 AS usable, sqrt(wpx * hpx) AS size
+  FROM face WHERE t_ms < 300000),
+gapped AS (SELECT *, t_ms - lag(t_ms) OVER w AS gap, row_number() OVER w AS place FROM screened WINDOW w AS (PARTITION BY session_id, bin ORDER BY t_ms, seq)),
+allbins AS (
+  SELECT session_id, bin, count(*) AS n, bool_and(usable) AS ok, count(DISTINCT track) AS tracks, min(gap) AS g0, max(gap) AS g1, max(t_ms) - min(t_ms) AS span, min(track) AS track,
+         coalesce(median(gap) FILTER (gap > 0 AND gap <= 200), 1000 / 30) AS step, sum(gap) AS gaps, quantile_cont(size, 0.1) AS p10, quantile_cont(size, 0.9) AS p90 FROM gapped GROUP BY ALL),
+bins AS (
+  SELECT *, least(5000, floor((coalesce(gaps, 0) + step) * 1000 + 0.5) / 1000) AS dur FROM allbins
+  WHERE n >= 80 AND ok AND tracks = 1 AND g0 > 0 AND g1 <= 200 AND span >= 4800 AND least(5000, floor((coalesce(gaps, 0) + step) * 1000 + 0.5) / 1000) >= 4000 AND p90 / p10 <= 1.15)
+"""
+
+FACE_VALUES = FACE + r""",
+kept AS (SELECT g.*, b.step FROM gapped g JOIN bins b USING (session_id, bin)),
+series AS (
+  SELECT session_id, bin, t_ms, step, unnest(range(8)) AS k, unnest([0.9, 0.9, 0.5, 0.5, 0.5, 0.9, 0.5, 0.9]) AS p,
+         unnest([el, er, abs(el - er), sqrt((lx - rx) ** 2 + (ly - ry) ** 2), ap, ap, sqrt((lx + rx) ** 2 + (ly - ry) ** 2),
+                 CASE WHEN place > 1 AND rgap > 0 AND rgap <= 200 AND speed >= 0 THEN speed END]) AS v FROM kept),
+weighed AS (SELECT *, coalesce(greatest(lead(t_ms) OVER (PARTITION BY session_id, bin, k ORDER BY t_ms) - t_ms, 0), step) AS w FROM series WHERE v IS NOT NULL),
+summed AS (SELECT *, sum(w) OVER (PARTITION BY session_id, bin, k ORDER BY v ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY session_id, bin, k) AS total FROM weighed),
+bin_values AS (SELECT session_id, bin, k, coalesce(min(v) FILTER (c >= total * p), max(v)) AS v FROM summed GROUP BY ALL)
+"""
+
+FACE_METRICS = "WITH " + FACE_VALUES + r""",
+mid AS (SELECT session_id, k, median(v) AS mid, CASE WHEN count(*) >= 2 THEN mad(v) END AS dev, count(*) AS n FROM bin_values GROUP BY ALL),
+tot AS (
+  SELECT session_id, count(*) AS bins, sum(dur) AS exposure, sum(n)::BIGINT AS frames, count(DISTINCT track) AS tracks, (max(bin) - min(bin) + 1) * 5000 AS span,
+         median(n / (dur / 1000)) AS cadence, median(dur / 5000) AS coverage, median(least(1, greatest(0, 1 - (p90 / p10 - 1) / (1.15 - 1)))) AS steady FROM bins GROUP BY ALL),
+pose AS (SELECT session_id, median(least(1, greatest(0, 1 - greatest(abs(yaw) / 7, abs(pitch) / 10, abs(roll) / 5)))) AS pose FROM kept GROUP BY ALL),
+lost AS (SELECT session_id, count(*) FILTER (faces <> 1) AS unattributed FROM gapped GROUP BY ALL),
+metrics AS (
+  SELECT unnest(range(8)) AS k,
+         unnest(['ambient.face.eye_aperture.left', 'ambient.face.eye_aperture.right', 'ambient.face.eye_aperture.asymmetry', 'ambient.face.mouth_width', 'ambient.face.mouth_aperture.median',
+                 'ambient.face.mouth_aperture.p90', 'ambient.face.mouth_corner_position.asymmetry', 'ambient.face.landmark_speed.p90']) AS code,
+         unnest(['eye-width-ratio', 'eye-width-ratio', 'eye-width-ratio', 'inter-eye-normalized-distance', 'mouth-width-ratio', 'mouth-width-ratio', 'inter-eye-normalized-distance',
+                 'inter-eye-distances/second']) AS unit),
+judged AS (
+  SELECT s.session_id, m.k, m.code, m.unit, mid, dev, coalesce(bins, 0) AS bins, coalesce(exposure, 0) AS exposure, coalesce(frames, 0) AS frames,
+         0.3 * least(1, cadence / 30) + 0.3 * least(1, coverage) + 0.2 * steady + 0.2 * pose AS q,
+         CASE WHEN calibration < 1500 THEN 'quality-threshold-failed' WHEN coalesce(bins, 0) = 0 AND unattributed > 0 THEN 'multiple-faces' WHEN coalesce(bins, 0) = 0 THEN 'no-usable-signal'
+              WHEN tracks > 1 THEN 'quality-threshold-failed' WHEN bins < 3 THEN 'insufficient-bins' WHEN span < 30000 THEN 'insufficient-duration'
+              WHEN coalesce(n, 0) < 3 THEN 'insufficient-bins' END AS reason
+  FROM fsessions s CROSS JOIN metrics m LEFT JOIN tot USING (session_id) LEFT JOIN pose USING (session_id) LEFT JOIN lost USING (session_id)
+  LEFT JOIN mid ON mid.session_id = s.session_id AND mid.k = m.k)
+SELECT session_id, k AS ordinal, code, unit, CASE WHEN reason IS NULL THEN 'measured' ELSE 'withheld' END AS status, round(CASE WHEN reason IS NULL THEN mid END, 6) AS value,
+       round(CASE WHEN reason IS NULL THEN least(1, greatest(0, q)) END, 6) AS quality_score, round(CASE WHEN reason IS NULL THEN dev END, 6) AS dispersion, reason, bins,
+       round(exposure, 6) AS exposure_ms, frames
+FROM judged
+"""

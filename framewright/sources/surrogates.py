@@ -68,7 +68,8 @@ def face_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") / 100).alias("mouth_aperture"),
         F.when(F.expr("seq % 125 = 0"), 100.0).otherwise(F.col("l_quantity") / 1000).alias("movement_speed"),
         F.when(F.expr("seq > 0"), 40.0).alias("inter_result_gap_ms"), F.lit(0.5).alias("illumination_mean"), F.lit(0.01).alias("dark_clipping"), F.lit(0.01).alias("bright_clipping"),
-        pick("session_id % 8 = 3 and seq >= 1200", 0.0001, 0.01).alias("sharpness"), F.lit(25.0).alias("frame_rate"))
+        pick("session_id % 8 = 3 and seq >= 1200", 0.0001, 0.01).alias("sharpness"), F.lit(25.0).alias("frame_rate"), F.lit(0.3).alias("box_width"), F.lit(0.4).alias("box_height"), pick("seq % 400 = 399", 0.25, 0.1).alias("skipped_fraction"),
+        F.when(F.expr("session_id % 15 = 2 and seq = 700"), F.array(F.lit("camera-unavailable"))).otherwise(F.array().cast("array<string>")).alias("quality_reasons"))
 
 
 def face_sessions(frames: DataFrame) -> DataFrame:
