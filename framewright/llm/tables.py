@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,3 +59,9 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: its cleaner follows the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
