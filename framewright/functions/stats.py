@@ -62,7 +62,8 @@ def timed_percentile(df: DataFrame, keys: list[str], time: str, value: str, p: C
     by_time = Window.partitionBy(*keys).orderBy(time)
     by_value = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(*keys)
-    w = df.withColumn("_w", F.coalesce(F.greatest(F.lead(time).over(by_time) - F.col(time), F.lit(0.0)), step))
+    lasts = F.lead(time).over(by_time) - F.col(time)
+    w = df.withColumn("_w", F.when(lasts.isNull(), step).otherwise(F.greatest(lasts, F.lit(0.0))))
     w = w.withColumn("_c", F.sum("_w").over(by_value)).withColumn("_t", F.sum("_w").over(everything))
     hit = F.when(F.col("_c") >= F.col("_t") * p, F.col(value))
     # rounding may leave the last sum below the target: then it is the largest value

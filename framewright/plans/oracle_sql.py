@@ -137,7 +137,8 @@ series AS (
   SELECT session_id, bin, t_ms, step, unnest(range(8)) AS k, unnest([0.9, 0.9, 0.5, 0.5, 0.5, 0.9, 0.5, 0.9]) AS p,
          unnest([el, er, abs(el - er), sqrt((lx - rx) ** 2 + (ly - ry) ** 2), ap, ap, sqrt((lx + rx) ** 2 + (ly - ry) ** 2),
                  CASE WHEN place > 1 AND rgap > 0 AND rgap <= 200 AND speed >= 0 THEN speed END]) AS v FROM kept),
-weighed AS (SELECT *, coalesce(greatest(lead(t_ms) OVER (PARTITION BY session_id, bin, k ORDER BY t_ms) - t_ms, 0), step) AS w FROM series WHERE v IS NOT NULL),
+lasting AS (SELECT *, lead(t_ms) OVER (PARTITION BY session_id, bin, k ORDER BY t_ms) - t_ms AS lasts FROM series WHERE v IS NOT NULL),
+weighed AS (SELECT *, CASE WHEN lasts IS NULL THEN step ELSE greatest(lasts, 0) END AS w FROM lasting),
 summed AS (SELECT *, sum(w) OVER (PARTITION BY session_id, bin, k ORDER BY v ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY session_id, bin, k) AS total FROM weighed),
 bin_values AS (SELECT session_id, bin, k, coalesce(min(v) FILTER (c >= total * p), max(v)) AS v FROM summed GROUP BY ALL)
 """
