@@ -88,7 +88,7 @@ def estimate(buckets: int) -> Callable[..., Column]:
 
     @F.pandas_udf(T.DoubleType())
     def jaccard(a: pd.Series, b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(s), np.uint16).reshape(-1, buckets) for s in (a, b))
+        x, y = (np.concatenate(s.to_list()).reshape(-1, buckets) if len(s) else np.zeros((0, buckets)) for s in (a, b))
         p = collision_rate(n_a.to_numpy(float), n_b.to_numpy(float), buckets)
         return pd.Series(((x == y).mean(axis=1) - p) / (1 - p))
 
@@ -117,10 +117,10 @@ def _sketches(words: int, buckets: int, rows: int):
                 one.append(int(mix64(s ^ _SEEDS[8]).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 two.append(int(mix64(s ^ _SEEDS[9]).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 r = sketch(s, buckets) if len(s) else None
-                registers.append(None if r is None else r.tobytes())
+                registers.append(None if r is None else r.view(np.int16))
                 keys.append([] if r is None else band_keys(r, rows))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(registers, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(registers, pa.list_(pa.int16())), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "keys"])
 
     return run
@@ -137,7 +137,7 @@ def _sets(words: int):
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
-    buckets: int = 128, rows: int = 4, slack: float = 0.2, leads: int = 2, crowd: int = 2000,
+    buckets: int = 128, rows: int = 4, slack: float = 0.15, leads: int = 2, crowd: int = 2000,
 ) -> DataFrame:
     """Documents linked by shingle sets with ``100 * intersection >= percent * union``.
 
@@ -155,7 +155,8 @@ def near_duplicates(
     A pair goes to verification if its sizes, and the numbers of shingles that
     each shares with anyone (an intersection is no larger, and smaller than sets
     of one size that differ), allow the threshold, and if its corrected estimate
-    is within ``slack`` of it or above; it is linked if the full sets say so.  At
+    is within ``slack`` of it or above (at the threshold, four deviations); it is
+    linked if the full sets say so.  At
     the threshold two sets share no band with probability (1 - 0.75**4)**32, 5e-6.
 
     Null and empty texts and texts without words have no shingles: ``n_shingles``
@@ -169,7 +170,7 @@ def near_duplicates(
     docs = documents(docs, id_col, text_col)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     table = scratch.keep(docs.mapInArrow(
-        _sketches(words, buckets, rows), f"doc_id {id_type}, n_shingles long, set_a long, set_b long, sketch binary, keys array<long>"))
+        _sketches(words, buckets, rows), f"doc_id {id_type}, n_shingles long, set_a long, set_b long, sketch array<smallint>, keys array<long>"))
     same = ["n_shingles", "set_a", "set_b"]
     classes = scratch.keep(table.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("leader")))
     leaders = classes.filter("leader is not null").select(F.col("leader").alias("doc_id")).distinct()
@@ -235,21 +236,23 @@ def near_duplicates(
     cell = own.groupBy("key").agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
     open_ = scratch.keep(own.join(cell, "key"))
     fields = ["doc_id", "part", "n_shingles", "shared"]
-    usual = open_.filter(F.col("parts") <= crowd)
+    drawn = open_.join(sketches.select("doc_id", "sketch"), "doc_id")
+    usual = drawn.filter(F.col("parts") <= crowd)
     listed = usual.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    usual = usual.join(listed, "doc_id").select(*fields, "key", "keys")
-    crowded = open_.filter(F.col("parts") > crowd).join(sketches.select("doc_id", "sketch"), "doc_id")
-    pair_of = lambda i: F.xxhash64("key", F.lit(i), F.substring("sketch", 4 * i + 1, 4))
-    split = crowded.select(*fields, F.explode(F.array(*(pair_of(i) for i in range(buckets // 2)))).alias("key"))
+    usual = usual.join(listed, "doc_id").select(*fields, "key", "keys", "sketch")
+    crowded = drawn.filter(F.col("parts") > crowd)
+    pair_of = lambda i: F.xxhash64("key", F.lit(i), F.element_at("sketch", 2 * i + 1), F.element_at("sketch", 2 * i + 2))
+    split = crowded.select(*fields, "sketch", F.explode(F.array(*(pair_of(i) for i in range(buckets // 2)))).alias("key"))
 
     def met_in(cells: DataFrame, more: list[str], once: Column) -> DataFrame:
         a, b = (cells.select("key", *(F.col(c).alias(f"{c}_{x}") for c in fields + more)) for x in ("a", "b"))
-        near = F.expr("part_a < part_b") & possible("n_shingles_a", "n_shingles_b", "shared_a", "shared_b") & once
+        agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
+        near = F.expr("part_a < part_b") & possible("n_shingles_a", "n_shingles_b", "shared_a", "shared_b") & once & (agree >= buckets * (percent / 100 - slack))
         return a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & near).select(
             F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
 
     first_shared = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
-    rest = scratch.keep(met_in(usual, ["keys"], first_shared).unionByName(met_in(split, [], F.lit(True)).distinct()))
+    rest = scratch.keep(met_in(usual, ["keys", "sketch"], first_shared).unionByName(met_in(split, ["sketch"], F.lit(True)).distinct()))
     links = scratch.keep(links.unionByName(confirmed(rest)))
     parts = components(links, scratch)
     scratch.drop(own, open_, rest, sets, sketches)
