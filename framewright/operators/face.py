@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from framewright.functions.gates import visual_reasons
 from framewright.functions.stats import all_of, clamp01, finite, js_round, mad, timed_percentile
+from framewright.functions.tables import settle
 
 BIN_MS, MAX_GAP_MS = 5000.0, 200.0
 #: The registry of face metrics, in order, with units, the bin value and its percentile.
@@ -144,8 +145,8 @@ def quality_score(frames: DataFrame, kept: DataFrame) -> DataFrame:
 
 def face_outcomes(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     """Exactly one row per session and face metric, like ``voice_outcomes``; counts: ``bins, exposure_ms, frames, blinks``."""
-    framed = screened(frames, sessions)
-    kept = bins(framed)
+    framed = settle(screened(frames, sessions))
+    kept = settle(bins(framed))
     blink = blinks(framed, kept)
     rate = blink.select("session_id", F.lit(8).alias("ordinal"), (F.col("blinks") / (BIN_MS / 60_000)).alias("value"))
     values = bin_values(framed, kept).select("session_id", "ordinal", "value").unionByName(rate)

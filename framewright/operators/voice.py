@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewright.functions.stats import all_of, clamp01, finite, mad
+from framewright.functions.tables import settle
 
 CAPTURE_MS, SEGMENT_MS, MAX_GAP_MS = 300_000.0, 10_000.0, 40.0
 #: Reasons that make a voice frame unusable.
@@ -143,8 +144,8 @@ def voice_outcomes(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     without frames in range are withheld too.  All windows and groups share the
     session as their shuffle key.
     """
-    framed = segment_frames(frames, sessions)
-    kept = segments(framed)
+    framed = settle(segment_frames(frames, sessions))
+    kept = settle(segments(framed))
     run = runs(framed, kept)
     per_run = run.groupBy("session_id", "segment").agg(
         F.count_if("pause").alias("pauses"), F.count_if("active").alias("speech_runs"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.gates import visual_reasons
+from framewright.functions.tables import settle
 from framewright.operators import face
 from framewright.plans import oracle_sql as sql
 from framewright.plans.voice_queries import rounded
@@ -14,7 +15,7 @@ from framewright.sources.surrogates import face_frames, face_sessions
 
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = face_frames(spark, sf_dir)
-    return face.screened(frames, face_sessions(frames))
+    return settle(face.screened(frames, face_sessions(frames)))
 
 
 def r07_face_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.functions.tables import settle
 from framewright.operators import face, report, voice
 from framewright.plans import oracle_sql as sql
 from framewright.plans.voice_queries import rounded
@@ -18,7 +19,7 @@ def _voice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = face_frames(spark, sf_dir)
-    return report.finalize(_voice(spark, sf_dir), face.face_outcomes(frames, face_sessions(frames)))
+    return settle(report.finalize(_voice(spark, sf_dir), face.face_outcomes(frames, face_sessions(frames))))
 
 
 def r08_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:

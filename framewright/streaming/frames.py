@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,10 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one (``spark.checkpoint.dir``); a temporary one only where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/streams/{uuid.uuid4().hex}"
+from framewright.functions.tables import shared_folder
 
 
 def monotonic(stream: DataFrame) -> DataFrame:
@@ -66,7 +61,7 @@ def cadence(stream: DataFrame, late: str = "10 seconds", window: str = "5 second
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all that is there, into files, and reads them."""
-    root = shared_folder(stream.sparkSession)
+    root = shared_folder(stream.sparkSession, "streams")
     q = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/out")
