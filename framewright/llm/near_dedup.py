@@ -16,6 +16,7 @@ from framewright.llm.tables import Scratch, documents
 from framewright.llm.text import U, grams, mix64, split_words
 
 VALUE_BITS, MANTISSA_BITS, ROUNDS = 57, 7, 4
+CELLS, COUNTED = 256, 32_767
 _SEEDS = mix64(np.arange(1, 4097, dtype=np.uint64) * U(0xA0761D6478BD642F))
 
 
@@ -127,10 +128,14 @@ def _sketches(words: int, buckets: int, rows: int):
 
 
 def _sets(words: int):
+    """Whole sets, and of sets of at most ``COUNTED`` shingles how many fall into each of ``CELLS`` cells of the hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            sets = list(shingle_sets(batch.column(1), words))
+            cells = [np.bincount((s % U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int16) if len(s) <= COUNTED else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int16()))], ["doc_id", "shingles", "cells"])
 
     return run
 
@@ -156,7 +161,8 @@ def near_duplicates(
     each shares with anyone (an intersection is no larger, and smaller than sets
     of one size that differ), allow the threshold, and if its corrected estimate
     is within ``slack`` of it or above (at the threshold, four deviations); it is
-    linked if the full sets say so.  At
+    linked if the full sets say so.  In the last pass, the sums of the smaller of
+    two sets' counts by cell of the hash must allow the threshold too.  At
     the threshold two sets share no band with probability (1 - 0.75**4)**32, 5e-6.
 
     Null and empty texts and texts without words have no shingles: ``n_shingles``
@@ -181,7 +187,7 @@ def near_duplicates(
     bands = scratch.keep(keys.join(met, "key"))
     wanted = bands.select("doc_id").distinct()
     sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
-        _sets(words), f"doc_id {id_type}, shingles array<long>"))
+        _sets(words), f"doc_id {id_type}, shingles array<long>, cells array<smallint>"))
     scratch.drop(keys)
     # of each set, how many shingles any other set has as well
     items = sets.select("doc_id", F.explode("shingles").alias("shingle"))
@@ -236,23 +242,25 @@ def near_duplicates(
     cell = own.groupBy("key").agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
     open_ = scratch.keep(own.join(cell, "key"))
     fields = ["doc_id", "part", "n_shingles", "shared"]
-    drawn = open_.join(sketches.select("doc_id", "sketch"), "doc_id")
+    drawn = open_.join(sketches.select("doc_id", "sketch"), "doc_id").join(sets.select("doc_id", "cells"), "doc_id")
     usual = drawn.filter(F.col("parts") <= crowd)
     listed = usual.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    usual = usual.join(listed, "doc_id").select(*fields, "key", "keys", "sketch")
+    usual = usual.join(listed, "doc_id").select(*fields, "key", "keys", "sketch", "cells")
     crowded = drawn.filter(F.col("parts") > crowd)
     pair_of = lambda i: F.xxhash64("key", F.lit(i), F.element_at("sketch", 2 * i + 1), F.element_at("sketch", 2 * i + 2))
-    split = crowded.select(*fields, "sketch", F.explode(F.array(*(pair_of(i) for i in range(buckets // 2)))).alias("key"))
+    split = crowded.select(*fields, "sketch", "cells", F.explode(F.array(*(pair_of(i) for i in range(buckets // 2)))).alias("key"))
 
     def met_in(cells: DataFrame, more: list[str], once: Column) -> DataFrame:
         a, b = (cells.select("key", *(F.col(c).alias(f"{c}_{x}") for c in fields + more)) for x in ("a", "b"))
         agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
-        near = F.expr("part_a < part_b") & possible("n_shingles_a", "n_shingles_b", "shared_a", "shared_b") & once & (agree >= buckets * (percent / 100 - slack))
+        both = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, n: total + n)  # no intersection is larger
+        enough = F.coalesce((100 + percent) * both >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b")), F.lit(True))
+        near = F.expr("part_a < part_b") & possible("n_shingles_a", "n_shingles_b", "shared_a", "shared_b") & once & (agree >= buckets * (percent / 100 - slack)) & enough
         return a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & near).select(
             F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
 
     first_shared = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
-    rest = scratch.keep(met_in(usual, ["keys", "sketch"], first_shared).unionByName(met_in(split, ["sketch"], F.lit(True)).distinct()))
+    rest = scratch.keep(met_in(usual, ["keys", "sketch", "cells"], first_shared).unionByName(met_in(split, ["sketch", "cells"], F.lit(True)).distinct()))
     links = scratch.keep(links.unionByName(confirmed(rest)))
     parts = components(links, scratch)
     scratch.drop(own, open_, rest, sets, sketches)
