@@ -237,8 +237,8 @@ def test_probabilities_of_a_restaurant_sum_to_one():
     asked = pitman_yor.Asked(probe, np.zeros(32, bool), layout)
     both = pa.concat_tables([messages, pa.Table.from_pylist(list(asked.messages(1)), pitman_yor.MESSAGE)])
     replies = pitman_yor._answer(layout, seats, {}, unknown)(part(both, 0), known)
-    value = np.frombuffer(replies.filter(pa.compute.equal(replies["segment"], 1))["value"][0].as_py(), "<i2") / pitman_yor.PARTS
     order = asked.order[asked.bucket == 0]
+    value = pitman_yor._expand(replies.filter(pa.compute.equal(replies["segment"], 1))["value"][0].as_py(), "<i2", len(order)) / pitman_yor.PARTS
     of_w3 = asked.u[order] == pitman_yor.Tokens(pa.array(["w3"])).token[0] & pitman_yor.ROOM
     assert of_w3.sum() == 32 and abs((10 ** value[of_w3]).sum() - 1) < 2e-3
 
