@@ -227,20 +227,20 @@ def seat(count: np.ndarray, base: np.ndarray, room: np.ndarray, tables: np.ndarr
     A customer opens a table with probability proportional to
     ``(strength + discount * tables of the restaurant) * base`` and joins one with
     ``customers - discount * tables`` of the dish.  ``room`` holds the restaurant's
-    tables.  Large dishes are seated in up to ``parts`` parties, whose new tables
-    are drawn together.
+    tables.  Customers come one by one until ``2 * parts`` of a dish sit, then in
+    parties of one part in ``parts`` of those who sit, whose new tables are drawn
+    together at the probability half-way: steps grow with the logarithm of the count.
     """
     other = room - tables
-    t, n = np.minimum(count, 1).astype(float), np.minimum(count, 1).astype(float)
-    live = np.flatnonzero(count > 1)
-    party = np.maximum(-(-(count - 1) // parts), 1)
+    t = np.minimum(count, 1).astype(float)
+    live, n = np.flatnonzero(count > 1), 1  # all dishes still open have the same number of customers
     while len(live):
-        size = np.minimum(party[live], count[live] - n[live].astype(np.int64))
+        size = np.minimum(max(n // parts, 1), count[live] - n)
         fresh = (strength + discount * (other[live] + t[live])) * base[live]
-        p = fresh / (fresh + n[live] - discount * t[live])
+        p = fresh / (fresh + n + (size - 1) / 2 - discount * t[live])
         t[live] += rng.binomial(size, np.clip(p, 0, 1))
-        n[live] += size
-        live = live[n[live] < count[live]]
+        n += max(n // parts, 1)
+        live = live[count[live] > n]
     return t
 
 

@@ -248,3 +248,16 @@ def test_seating_keeps_tables_within_customers():
     count = rng.integers(0, 5000, 400)
     t = pitman_yor.seat(count, np.full(400, 0.01), np.full(400, 400.0), (count > 0).astype(float), 0.8, 2.0, 64, rng)
     assert ((t >= (count > 0)) & (t <= count)).all() and t.mean() > 1
+
+
+def test_large_dishes_have_the_tables_of_one_by_one_seating():
+    counts, n, t = (60, 640, 6_400, 64_000, 1_000_000), 400, np.ones(400)
+    rng, want = np.random.default_rng(1), {}
+    for k in range(1, counts[-1]):  # every customer by itself
+        fresh = (2 + 0.8 * (10_000 + t)) * 1e-4
+        t += rng.random(n) * (fresh + k - 0.8 * t) < fresh
+        if k + 1 in counts:
+            want[k + 1] = t.mean()
+    for c in counts:
+        got = pitman_yor.seat(np.full(n, c), np.full(n, 1e-4), np.full(n, 10_001.0), np.ones(n), 0.8, 2.0, 64, rng)
+        assert abs(got.mean() - want[c]) < 0.06 * want[c], (c, got.mean(), want[c])
