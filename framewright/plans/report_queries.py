@@ -31,22 +31,19 @@ def r18_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r15_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Voice outcomes against tightened evidence: half of the eligible time is taken away first."""
-    frames = face_frames(spark, sf_dir).limit(0)
-    o = report.finalize(_voice(spark, sf_dir), face.face_outcomes(frames, face_sessions(frames)))
+    """Outcomes of both modalities against tightened evidence: half of the eligible time is taken away first."""
+    o = _outcomes(spark, sf_dir)
     return rounded(report.evidence_errors(o.withColumn("eligible_ms", F.col("eligible_ms") / 2), spark))
 
 
 def a34_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = face_frames(spark, sf_dir).limit(0)
-    o = report.finalize(_voice(spark, sf_dir), face.face_outcomes(frames, face_sessions(frames)))
+    o = _outcomes(spark, sf_dir)
     return rounded(report.lanes(o).withColumn("reasons", F.array_join("reasons", ",")))
 
 
 def j03_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry violations after two metrics were taken out of some sessions; the face ones are missing anyway."""
-    frames = face_frames(spark, sf_dir).limit(0)
-    o = report.finalize(_voice(spark, sf_dir), face.face_outcomes(frames, face_sessions(frames)))
+    """Registry violations after two metrics were taken out of some sessions; sessions of one modality lack the other's."""
+    o = _outcomes(spark, sf_dir)
     return report.incomplete(o.filter("not (session_id % 3 = 1 and registry_order in (2, 4))"), spark)
 
 
