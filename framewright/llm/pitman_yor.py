@@ -187,7 +187,7 @@ def _learn(layout: Layout, batch_limit: int = 1 << 23):
 
 
 def _first_seating(layout: Layout, watched: np.ndarray):
-    """Every dish gets one table at first; words learn of their tables (of any asked for, so that all are answered), and large restaurants of their size."""
+    """Every dish gets one table at first; words learn of their tables (of any asked for, so that all are answered). Slices of large restaurants are put down whole: restaurant and dishes, customers."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -202,8 +202,8 @@ def _first_seating(layout: Layout, watched: np.ndarray):
         else:
             u, v, count, _ = _merge(*_pairs_of(rows))
             for x in watched[np.isin(watched, u)]:
-                at = u == x
-                out.append({"bucket": -1, "source": bucket, "word": x.tobytes(), "count": b"", "total": int(count[at].sum()), "kinds": int((count[at] > 0).sum())})
+                at = (u == x) & (count > 0)
+                out.append({"bucket": -1, "source": bucket, "word": x.tobytes() + _pack(v[at]), "count": count[at].astype("<u4").tobytes(), "total": int(count[at].sum()), "kinds": int(at.sum())})
             word, of = np.unique(v, return_inverse=True)
             tables = np.bincount(of, count > 0, len(word)).astype(np.int64)
             to = layout.of_parents(word)
@@ -244,21 +244,108 @@ def seat(count: np.ndarray, base: np.ndarray, room: np.ndarray, tables: np.ndarr
     return t
 
 
-def _parent(layout: Layout, seats: Seats, customers: int, vocabulary: int):
-    """Seats the tables of all restaurants in their parent; answers each bucket with what words have beyond the base's share."""
+def _sweep(seats: Seats, level: int, count: np.ndarray, base: np.ndarray, room: np.ndarray, tables: np.ndarray, *seed: int) -> np.ndarray:
+    """One sweep over dishes; ``room`` is their restaurant's tables before it. The same seed (bucket, restaurant, sweep) gives the same tables."""
+    t, busy = tables.copy(), count > 1
+    t[busy] = seat(count[busy], base[busy], room[busy], t[busy], seats.discount[level], seats.strength[level], seats.parts, np.random.default_rng(seed))
+    return t
+
+
+def _parent_dishes(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a parent bucket, their customers, and the place among them of each word of the rows."""
+    value, of = np.unique(np.concatenate([_unpack(r["word"]) for r in rows]), return_inverse=True)
+    return value, np.bincount(of, np.concatenate([np.frombuffer(r["count"], "<u4") for r in rows]).astype(float)).astype(np.int64), of
+
+
+#: Slices of restaurants between sweeps, each with its customers, base and tables by dish.
+SLICE = pa.schema([("bucket", pa.int64()), ("room", pa.int64()), ("count", pa.binary()), ("base", pa.binary()), ("tables", pa.binary()), ("seated", pa.int64())])
+SLICE_SQL = "bucket long, room long, count binary, base binary, tables binary, seated long"
+
+
+def _slice(bucket: int, room: int, count: np.ndarray, base: np.ndarray, t: np.ndarray) -> dict:
+    return {"bucket": bucket, "room": room, "count": count.astype("<u4").tobytes(), "base": base.astype("<f8").tobytes(), "tables": t.astype("<u4").tobytes(), "seated": int(t.sum())}
+
+
+def _parent_slices(vocabulary: int):
+    """A parent bucket as a slice of the parent (restaurant 0)."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        word = np.concatenate([_unpack(r["word"]) for r in rows])
-        value, of = np.unique(word, return_inverse=True)
-        c = np.bincount(of, np.concatenate([np.frombuffer(r["count"], "<u4") for r in rows]).astype(float)).astype(np.int64)
+        _, c, _ = _parent_dishes(rows)
+        return pa.Table.from_pylist([_slice(rows[0]["bucket"], 0, c, np.full(len(c), 1 / (vocabulary + 1)), np.minimum(c, 1))], SLICE)
+
+    return run
+
+
+def _large_slices(unknown: float):
+    """The slices of large restaurants in a bucket, with the base of their dishes."""
+
+    def run(slices: pa.Table, known: pa.Table) -> pa.Table:
+        rows, base = slices.to_pylist(), _bases(known.to_pylist(), unknown) if slices.num_rows else None
+        out = []
+        for r in rows:
+            count = np.frombuffer(r["count"], "<u4").astype(np.int64)
+            out.append(_slice(r["source"], int.from_bytes(r["word"][:8], "little"), count, base(_unpack(r["word"][8:])), np.ones(len(count))))
+        return pa.Table.from_pylist(out, SLICE)
+
+    return run
+
+
+def _bases(known: list[dict], unknown: float):
+    """A function that gives words their probability in the parent."""
+    words = np.concatenate([_unpack(r["word"]) for r in known]) if known else np.zeros(0, np.uint64)
+    value = np.concatenate([np.frombuffer(r["value"], "<f4") for r in known]) if known else np.zeros(0, np.float32)
+    order = np.argsort(words)
+    words, value = words[order], value[order].astype(float)
+
+    def of(v: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(words, v), max(len(words) - 1, 0))
+        return unknown + (np.where(words[at] == v, value[at], 0.0) if len(words) else np.zeros(len(v)))
+
+    return of
+
+
+def _reseat(seats: Seats, level: int, sweep: int, rooms: dict[int, list[int]]):
+    """One sweep over slices, given the tables of each whole restaurant before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                count, base, t = np.frombuffer(r["count"], "<u4").astype(np.int64), np.frombuffer(r["base"], "<f8"), np.frombuffer(r["tables"], "<u4").astype(float)
+                t = _sweep(seats, level, count, base, np.full(len(t), float(rooms[r["room"]][sweep])), t, r["bucket"], r["room"], sweep)
+                yield pa.RecordBatch.from_pylist([_slice(r["bucket"], r["room"], count, base, t)], SLICE)
+
+    return run
+
+
+def sampled_rooms(slices: DataFrame, seats: Seats, level: int, scratch: Scratch) -> dict[int, list[int]]:
+    """Tables of each sliced restaurant before the first sweep and after every sweep, added up over its slices between sweeps."""
+    slices, rooms = scratch.keep(slices), {}
+    for sweep in range(seats.sweeps + 1):
+        for r in slices.groupBy("room").agg(F.sum("seated").alias("t")).collect():  # one row a large restaurant
+            rooms.setdefault(r["room"], []).append(r["t"])
+        if sweep < seats.sweeps:
+            before, slices = slices, scratch.keep(slices.mapInArrow(_reseat(seats, level, sweep, rooms), SLICE_SQL))
+            scratch.drop(before)
+    scratch.drop(slices)
+    return rooms
+
+
+def _parent(layout: Layout, seats: Seats, customers: int, vocabulary: int, rooms: list[int] | None = None):
+    """Seats the tables of all restaurants in their parent; answers each bucket with what words have beyond the base's share.
+
+    ``rooms`` are the whole parent's tables before each sweep (default: this bucket is all of it).
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        _, c, of = _parent_dishes(rows)
         d, s = seats.discount[1], seats.strength[1]
         base = np.full(len(c), 1 / (vocabulary + 1))
-        rng = np.random.default_rng(int(rows[0]["bucket"]))
         t, mean = np.minimum(c, 1).astype(float), np.zeros(len(c))
-        elsewhere = max(vocabulary - t.sum(), 0)  # words of the other buckets, one table each at first
         for sweep in range(seats.sweeps):
-            t = seat(c, base, np.full(len(c), elsewhere + t.sum()), t, d, s, seats.parts, rng)
+            t = _sweep(seats, 1, c, base, np.full(len(c), float(rooms[sweep] if rooms else t.sum())), t, int(rows[0]["bucket"]), 0, sweep)
             mean += t * (sweep >= seats.burn_in)
         mean /= seats.sweeps - seats.burn_in
         p = ((c - d * mean) / (s + customers)).astype("<f4")
@@ -275,37 +362,42 @@ REPLY = pa.schema([("segment", pa.int64()), ("bucket", pa.int64()), ("value", pa
 REPLY_SQL = "segment long, bucket long, value binary"
 
 
-def _answer(layout: Layout, seats: Seats, large: dict[int, tuple[int, int]], unknown: float):
-    """Probabilities of the pairs asked for, from seatings of this bucket's restaurants; counts of the words asked for."""
+def _answer(layout: Layout, seats: Seats, large: dict[int, tuple[int, list[int]]], unknown: float):
+    """Probabilities of the pairs asked for, from seatings of this bucket's restaurants; counts of the words asked for.
+
+    ``large`` has the customers of each sliced restaurant and its sampled tables
+    before and after every sweep, all slices together; its slices are seated here
+    once more with the same draws, so those tables are theirs.
+    """
 
     def pairs(rows: list[dict], known: list[dict]) -> np.ndarray:
         u, v, count, place = _merge(*_pairs_of(rows))
-        words = np.concatenate([_unpack(r["word"]) for r in known]) if known else np.zeros(0, np.uint64)
-        value = np.concatenate([np.frombuffer(r["value"], "<f4") for r in known]) if known else np.zeros(0, np.float32)
-        order = np.argsort(words)
-        words, value = words[order], value[order].astype(float)
-        at = np.minimum(np.searchsorted(words, v), max(len(words) - 1, 0))
-        base = unknown + (np.where(words[at] == v, value[at], 0.0) if len(words) else np.zeros(len(v)))
+        base = _bases(known, unknown)(v)
         head = np.concatenate(([True], u[1:] != u[:-1])) if len(u) else np.zeros(0, bool)
         room_of = np.cumsum(head) - 1
         rooms = u[head]
         n = np.bincount(room_of, count, len(rooms))
-        own = np.bincount(room_of, count > 0, len(rooms))
-        elsewhere = np.zeros(len(rooms))
-        for x, (total, kinds) in large.items():  # the other slices of a large restaurant
+        held, whole = count > 0, {}  # places of sliced restaurants among the rooms, and their tables
+        for x, (total, tables) in large.items():
             k = np.searchsorted(rooms, U(x))
             if k < len(rooms) and rooms[k] == U(x):
-                n[k], elsewhere[k] = total, kinds - own[k]
+                n[k], whole[int(k)] = total, tables
         d, s = seats.discount[0], seats.strength[0]
-        rng = np.random.default_rng(int(rows[0]["bucket"]))
-        t, mean = (count > 0).astype(float), np.zeros(len(u))
-        busy = count > 1
+        bucket = int(rows[0]["bucket"])
+        own = np.flatnonzero(held & ~np.isin(room_of, list(whole)))
+        slices = [(int(rooms[k]), np.flatnonzero(held & (room_of == k))) for k in whole]
+        t, mean = held.astype(float), np.zeros(len(u))
         for sweep in range(seats.sweeps):
-            room = elsewhere + np.bincount(room_of, t, len(rooms))
-            t[busy] = seat(count[busy], base[busy], room[room_of[busy]], t[busy], d, s, seats.parts, rng)
+            room = np.bincount(room_of, t, len(rooms))
+            for k, tables in whole.items():
+                room[k] = tables[sweep]
+            for x, at in [(0, own), *slices]:
+                t[at] = _sweep(seats, 0, count[at], base[at], room[room_of[at]], t[at], bucket, x, sweep)
             mean += t * (sweep >= seats.burn_in)
         mean /= seats.sweeps - seats.burn_in
-        room = elsewhere + np.bincount(room_of, mean, len(rooms))
+        room = np.bincount(room_of, mean, len(rooms))
+        for k, tables in whole.items():
+            room[k] = np.mean(tables[seats.burn_in + 1:])
         p = np.where(n[room_of] > 0, (count - d * mean + (s + d * room[room_of]) * base) / (s + n[room_of]), base)
         return np.rint(np.maximum(np.log10(p), -16) * PARTS).astype("<i2")[place]
 
@@ -389,7 +481,9 @@ def score_texts(
 
     Restaurants of words with ``large_share`` of all tokens or more (so at most
     ``1 / large_share`` of them) are cut into slices by the next word; their
-    totals are known to every slice.  Buckets and segments grow in number, not
+    customers and, before every sweep, their sampled tables are known to every
+    slice, and so are the parent's to its buckets: a sliced restaurant is seated
+    as a whole one is.  Buckets and segments grow in number, not
     size.  Null and empty texts are one end token.  A null ``learn`` learns; null
     ids are segment-mates, repeated rows count each.  Without training rows all
     scores are 0.  An empty table gives an empty result.
@@ -415,10 +509,16 @@ def score_texts(
     total, vocabulary = sums["n"] or 0, sums["v"] or 0
     parents = state.filter(F.col("bucket") >= layout.pairs + layout.words)
     customers = parents.agg(F.sum("total").alias("c")).first()["c"] or 0
-    large = {int.from_bytes(r["word"], "little"): (r["t"], r["k"]) for r in state.filter("bucket = -1").groupBy("word").agg(F.sum("total").alias("t"), F.sum("kinds").alias("k")).collect()}
-    answers = scratch.keep(parents.groupBy("bucket").applyInArrow(_parent(layout, seats, customers, vocabulary), ANSWER_SQL))
+    whole = sampled_rooms(parents.groupBy("bucket").applyInArrow(_parent_slices(vocabulary), SLICE_SQL), seats, 1, scratch)[0] if layout.words > 1 and customers else None
+    answers = scratch.keep(parents.groupBy("bucket").applyInArrow(_parent(layout, seats, customers, vocabulary, whole), ANSWER_SQL))
     tables = answers.agg(F.sum("tables").alias("t")).first()["t"] or 0.0
     unknown = (seats.strength[1] + seats.discount[1] * tables) / (seats.strength[1] + customers) / (vocabulary + 1)
+    large = {}
+    if layout.slices:
+        slices = state.filter("bucket = -1")
+        guests = {int.from_bytes(r["x"], "little"): r["t"] for r in slices.groupBy(F.expr("substring(word, 1, 8)").alias("x")).agg(F.sum("total").alias("t")).collect()}
+        told = slices.groupBy("source").cogroup(answers.groupBy("bucket")).applyInArrow(_large_slices(unknown), SLICE_SQL)
+        large = {x: (guests[x], tables) for x, tables in sampled_rooms(told, seats, 0, scratch).items()}
     known = scratch.keep(answers.drop("tables").unionByName(words.select("bucket", "word", F.col("count").alias("value"))))
     scratch.drop(state, answers, often)
     free_shuffles(docs.sparkSession)

@@ -261,3 +261,40 @@ def test_large_dishes_have_the_tables_of_one_by_one_seating():
     for c in counts:
         got = pitman_yor.seat(np.full(n, c), np.full(n, 1e-4), np.full(n, 10_001.0), np.ones(n), 0.8, 2.0, 64, rng)
         assert abs(got.mean() - want[c]) < 0.06 * want[c], (c, got.mean(), want[c])
+
+
+def test_probabilities_of_a_sliced_restaurant_sum_to_one(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(200)]
+    texts = pa.array([" ".join(x for _ in range(rng.randrange(5, 30)) for x in ("hot", rng.choice(words))) for _ in range(400)])
+    hot = int(pitman_yor.Tokens(pa.array(["hot"])).token[0] & pitman_yor.ROOM)
+    layout, seats, scratch = pitman_yor.Layout(4, 3, {hot: 8}), pitman_yor.Seats(), pitman_yor.Scratch(spark)
+    part = lambda t, k: t.filter(pa.compute.equal(t["bucket"], k))
+    learned = pitman_yor.Asked(pitman_yor.Tokens(texts), np.ones(400, bool), layout)
+    messages = pa.Table.from_pylist(list(learned.messages(0)), pitman_yor.MESSAGE)
+    state = pa.concat_tables([pitman_yor._first_seating(layout, np.array([hot], np.uint64))(part(messages, k)) for k in range(7) if part(messages, k).num_rows])
+    slices = part(state, -1)
+    assert slices.num_rows > 1
+    vocabulary, parents = 202, [part(state, k) for k in (7, 8, 9)]
+    customers = sum(sum(x["total"].to_pylist()) for x in parents)
+    frame = lambda tables: spark.createDataFrame(pa.concat_tables(tables).to_pandas(), pitman_yor.SLICE_SQL)
+    rooms = pitman_yor.sampled_rooms(frame([pitman_yor._parent_slices(vocabulary)(x) for x in parents]), seats, 1, scratch)[0]
+    known = pa.concat_tables([pitman_yor._parent(layout, seats, customers, vocabulary, rooms)(x) for x in parents])
+    tables = sum(known["tables"].to_pylist())
+    assert math.isclose(tables, np.mean(rooms[seats.burn_in + 1:]))
+    unknown = (seats.strength[1] + seats.discount[1] * tables) / (seats.strength[1] + customers) / (vocabulary + 1)
+    told = [pitman_yor._large_slices(unknown)(slices.filter(pa.compute.equal(slices["source"], k)), part(known, k)) for k in range(4)]
+    sampled = pitman_yor.sampled_rooms(frame(told), seats, 0, scratch)[hot]
+    assert sampled[-1] > 1.2 * sampled[0]
+    large = {hot: (sum(slices["total"].to_pylist()), sampled)}
+    asked = pitman_yor.Asked(pitman_yor.Tokens(pa.array([f"hot {w}" for w in [*words, "hot", "unseen"]] + ["hot"])), np.zeros(203, bool), layout)
+    both = pa.concat_tables([messages, pa.Table.from_pylist(list(asked.messages(1)), pitman_yor.MESSAGE)])
+    total, n = 0.0, 0
+    for k in range(4):
+        replies = pitman_yor._answer(layout, seats, large, unknown)(part(both, k), part(known, k))
+        order = asked.order[asked.bucket == k]
+        if len(order):
+            raw = replies.filter(pa.compute.equal(replies["segment"], 1))["value"][0].as_py()
+            p = 10 ** (pitman_yor._expand(raw, "<i2", len(order)) / pitman_yor.PARTS)[asked.u[order] == hot]
+            total, n = total + p.sum(), n + len(p)
+    assert n == 203 and abs(total - 1) < 2e-3, total
