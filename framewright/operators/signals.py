@@ -43,8 +43,9 @@ def latency_p95(frames: DataFrame, latency: str, rows: int = 500) -> DataFrame:
 
 
 def monotonic(frames: DataFrame, time: str) -> DataFrame:
-    """Drops a frame whose sequence or time does not exceed all before it in order of arrival."""
-    before = Window.partitionBy("session_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    """Drops a frame whose sequence or time does not exceed all before it in its capture epoch, in order of arrival; without that column a session is one epoch."""
+    keys = ["session_id", *(c for c in ("capture_epoch",) if c in frames.columns)]
+    before = Window.partitionBy(*keys).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     ok = F.coalesce((F.col("seq") > F.max("seq").over(before)) & (F.col(time) > F.max(time).over(before)), F.lit(True))
     return frames.withColumn("_ok", ok).filter("_ok").drop("_ok")
 

@@ -90,3 +90,12 @@ def test_assets_and_event_lines(spark, tmp_path):
     (tmp_path / "e.jsonl").write_text('{"eventId": "e1", "sequence": 1}\nnot an event\n')
     e = files.event_lines(spark, f"{tmp_path}/e.jsonl").cache()
     assert e.count() == 2 and e.filter("_corrupt_record is not null").count() == 1
+
+
+def test_a_new_capture_epoch_starts_over_in_both_forms(spark, tmp_path):
+    rows = [(1, 1, a, s, float(s)) for a, s in enumerate((1, 2, 5, 3, 6))] + [(1, 2, 10 + a, s, float(s)) for a, s in enumerate((1, 3, 2, 4))]
+    f = spark.createDataFrame(rows, "session_id long, capture_epoch long, arrival long, seq long, t_ms double")
+    f.coalesce(1).write.parquet(f"{tmp_path}/in")
+    want = [(1, 1), (1, 2), (1, 5), (1, 6), (2, 1), (2, 3), (2, 4)]
+    assert sorted((r.capture_epoch, r.seq) for r in signals.monotonic(f, "t_ms").collect()) == want
+    assert sorted((r.capture_epoch, r.seq) for r in streams.drain(streams.monotonic(streams.from_files(spark, f"{tmp_path}/in", f.schema))).collect()) == want
