@@ -140,6 +140,14 @@ def _sets(words: int):
     return run
 
 
+def split_bands(crowded: DataFrame, fields: list[str], buckets: int, rows: int) -> DataFrame:
+    """Rows of crowded bands once for each two neighbouring registers outside their own band, which all of the band share."""
+    pair_of = lambda i: F.xxhash64("key", F.lit(i), F.element_at("sketch", 2 * i + 1), F.element_at("sketch", 2 * i + 2))
+    outside = lambda i: (F.lit(2 * i + 1) < rows * F.col("band")) | (F.lit(2 * i) >= rows * (F.col("band") + 1))
+    cells = F.array_compact(F.array(*(F.when(outside(i), pair_of(i)) for i in range(buckets // 2))))
+    return crowded.select(*fields, F.explode(cells).alias("key"))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
     buckets: int = 128, rows: int = 4, slack: float = 0.15, leads: int = 2, crowd: int = 2000,
@@ -155,7 +163,7 @@ def near_duplicates(
     documents of each band that are not yet in its component, then with all
     members of another component in a band still shared by several; of the bands
     that such a pair shares, only the first brings it up.  Bands with more than
-    ``crowd`` components are split by two further registers before that.
+    ``crowd`` components are split by two further registers, of other bands, before that.
 
     A pair goes to verification if its sizes, and the numbers of shingles that
     each shares with anyone (an intersection is no larger, and smaller than sets
@@ -182,7 +190,7 @@ def near_duplicates(
     leaders = classes.filter("leader is not null").select(F.col("leader").alias("doc_id")).distinct()
     heads = table.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
-    keys = scratch.keep(heads.select("doc_id", F.explode("keys").alias("key")))
+    keys = scratch.keep(heads.select("doc_id", F.posexplode("keys").alias("band", "key")))
     met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     bands = scratch.keep(keys.join(met, "key"))
     wanted = bands.select("doc_id").distinct()
@@ -198,7 +206,7 @@ def near_duplicates(
     some = [F.min("doc_id"), *(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(j))) for j in range(leads))]
     central = F.max_by(F.struct("part_shared", "doc_id"), F.struct(F.col("part_shared"), -F.xxhash64("doc_id").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("central")
     chosen = bands.groupBy("key").agg(central, F.array(*some).alias("leads"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    bands = scratch.keep(bands.select("doc_id", "key").join(chosen, "key"))
+    bands = scratch.keep(bands.select("doc_id", "band", "key").join(chosen, "key"))
     jaccard = estimate(buckets)
 
     def possible(n_a: str, n_b: str, shared_a: str, shared_b: str) -> Column:
@@ -235,7 +243,7 @@ def near_duplicates(
     links = scratch.keep(links.unionByName(confirmed(more)))
     parts = components(links, scratch)
     # with every member of another component
-    own = labelled(bands.select("doc_id", "key"), parts, "doc_id", "part").join(sketches.select("doc_id", "n_shingles", "shared"), "doc_id")
+    own = labelled(bands.select("doc_id", "band", "key"), parts, "doc_id", "part").join(sketches.select("doc_id", "n_shingles", "shared"), "doc_id")
     cell = own.groupBy("key").agg(F.count_distinct("part").alias("parts"), F.min("n_shingles").alias("least")).filter("parts > 1")
     alive = (100 + percent) * F.col("shared") >= percent * (F.col("n_shingles") + F.col("least"))
     own = scratch.keep(own.join(cell.drop("parts"), "key").filter(alive).drop("least"))
@@ -247,8 +255,7 @@ def near_duplicates(
     listed = usual.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
     usual = usual.join(listed, "doc_id").select(*fields, "key", "keys", "sketch", "cells")
     crowded = drawn.filter(F.col("parts") > crowd)
-    pair_of = lambda i: F.xxhash64("key", F.lit(i), F.element_at("sketch", 2 * i + 1), F.element_at("sketch", 2 * i + 2))
-    split = crowded.select(*fields, "sketch", "cells", F.explode(F.array(*(pair_of(i) for i in range(buckets // 2)))).alias("key"))
+    split = split_bands(crowded, [*fields, "sketch", "cells"], buckets, rows)
 
     def met_in(cells: DataFrame, more: list[str], once: Column) -> DataFrame:
         a, b = (cells.select("key", *(F.col(c).alias(f"{c}_{x}") for c in fields + more)) for x in ("a", "b"))

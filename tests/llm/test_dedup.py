@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm.components import components
 from framewright.llm.exact_dedup import exact_duplicates
-from framewright.llm.near_dedup import near_duplicates
+from framewright.llm.near_dedup import near_duplicates, split_bands
 from framewright.llm.queries import ORACLES, QUERIES
 from framewright.llm.substring_dedup import remove_repeats
 from framewright.llm.tables import Scratch
@@ -63,3 +63,17 @@ def test_repeats_in_many_batches(spark, tables, same_as_sql):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     for batches in (1, 5):
         same_as_sql(remove_repeats(docs, batches=batches).drop("kept_text"), ORACLES["op4_substring_dedup"], tables)
+
+
+def test_no_cell_of_a_split_band_is_as_large_as_the_band(spark):
+    rng = random.Random(4)
+    rows = []
+    for band in (0, 3, 31):
+        for i in range(40):
+            sketch = [rng.randrange(1000) for _ in range(128)]
+            sketch[4 * band:4 * band + 4] = [1, 2, 3, 4]
+            rows.append((band, 100 + band, 40 * band + i, sketch))
+    crowded = spark.createDataFrame(rows, "band int, key long, doc_id long, sketch array<smallint>")
+    cells = split_bands(crowded, ["doc_id"], 128, 4)
+    assert {r["count"] for r in cells.groupBy("doc_id").count().collect()} == {62}
+    assert cells.groupBy("key").count().agg(F.max("count")).first()[0] < 40
