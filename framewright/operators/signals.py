@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,18 +102,53 @@ def guidance(reasons: Column) -> Column:
     return out
 
 
+def _in_order(frames: DataFrame, order: list[str]) -> DataFrame:
+    """Frames of a session next to each other and in order, for a pass over Arrow batches in bounded memory."""
+    return frames.repartition("session_id").sortWithinPartitions("session_id", *order)
+
+
 def throttle(frames: DataFrame, fps: float) -> DataFrame:
-    """Frames accepted at most ``fps`` times a second, counted from the last accepted one: a fold over each session."""
+    """Frames accepted at most ``fps`` times a second, counted from the last accepted one, which is all that a pass remembers."""
     least = 1000.0 / fps
-    s = frames.groupBy("session_id").agg(F.array_sort(F.collect_list("t_ms")).alias("times"))
-    first = F.array().cast("array<double>")
-    return s.select("session_id", F.explode(F.aggregate("times", first, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= least), F.concat(acc, F.array(t))).otherwise(acc))).alias("t_ms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None  # nothing is accepted yet
+        for batch in batches:
+            kept = []
+            for i, (session, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if last is None or session != now or t - last >= least:
+                    now, last = session, t
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    f = frames.select("session_id", F.col("t_ms").cast("double").alias("t_ms")).filter("t_ms is not null")
+    return _in_order(f, ["t_ms"]).mapInArrow(run, f.schema)
 
 
 def average(frames: DataFrame, value: str, alpha: float, start: float) -> DataFrame:
-    """Exponential average of a series at its end: a fold over each session."""
-    s = frames.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col(value).alias("v")))).alias("rows"))
-    return s.select("session_id", F.aggregate("rows", F.lit(start), lambda acc, r: acc * (1 - alpha) + r.v * alpha).alias("average"))
+    """Exponential average of a series at its end; a pass remembers the running average."""
+    f = frames.select("session_id", "seq", F.col(value).cast("double").alias("average"))
+    out = f.drop("seq").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, now, acc = False, None, start
+        for batch in batches:
+            done = []
+            for session, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if some and session != now:
+                    done.append((now, acc))
+                if not some or session != now:
+                    some, now, acc = True, session, start
+                acc = None if acc is None or v is None else acc * (1 - alpha) + v * alpha
+            yield of(done, batch)
+            last = batch.slice(0, 0)
+        if some:
+            yield of([(now, acc)], last)
+
+    def of(done: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], like.schema.field(0).type), pa.array([a for _, a in done], pa.float64())], ["session_id", "average"])
+
+    return _in_order(f, ["seq", "average"]).mapInArrow(run, out)
 
 
 def decibels(rms: Column) -> Column:

@@ -120,3 +120,27 @@ def test_monotonic_filter_and_live_history(spark):
     assert [r.seq for r in signals.monotonic(rows, "t_ms").orderBy("seq").collect()] == [1, 2, 5, 6]
     back = spark.createDataFrame([(1, i, t) for i, t in enumerate((0.0, 100.0, 50.0, 60.0))], "session_id int, seq int, t_ms double")
     assert [r.t_ms for r in signals.latest(back).orderBy("seq").collect()] == [50.0, 60.0]
+
+
+def test_throttle_and_average_stream_over_sessions(spark):
+    rows = [(s, i, float((i * 37 + s * 11) % 1000), float(i % 7)) for s in (1, 2, 3) for i in range(500)]
+    f = spark.createDataFrame(rows, "session_id long, seq long, t_ms double, v double")
+    accepted, averages = [], {}
+    for s in (1, 2, 3):
+        last = float("-inf")
+        for t in sorted(r[2] for r in rows if r[0] == s):
+            if t - last >= 40:
+                accepted.append((s, t))
+                last = t
+        averages[s] = 0.5
+        for r in rows:
+            if r[0] == s:
+                averages[s] = averages[s] * 0.9 + r[3] * 0.1
+    fast, mean = signals.throttle(f, 25.0), signals.average(f, "v", 0.1, 0.5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        assert sorted((r.session_id, r.t_ms) for r in fast.collect()) == accepted
+        assert {r.session_id: r.average for r in mean.collect()} == pytest.approx(averages)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not any("collect_list" in x._jdf.queryExecution().toString() for x in (fast, mean))
