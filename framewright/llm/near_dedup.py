@@ -111,9 +111,8 @@ def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
 def _sketches(words: int, buckets: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
             n, one, two, registers, keys = [], [], [], [], []
-            for s in shingle_sets(batch.column(1), words):
+            for s in shingle_sets(batch.column(2), words):
                 n.append(len(s))
                 one.append(int(mix64(s ^ _SEEDS[8]).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 two.append(int(mix64(s ^ _SEEDS[9]).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
@@ -121,8 +120,8 @@ def _sketches(words: int, buckets: int, rows: int):
                 registers.append(None if r is None else r.view(np.int16))
                 keys.append([] if r is None else band_keys(r, rows))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(registers, pa.list_(pa.int16())), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "keys"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(registers, pa.list_(pa.int16())), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "row", "n_shingles", "set_a", "set_b", "sketch", "keys"])
 
     return run
 
@@ -135,35 +134,26 @@ def _sets(words: int):
             sets = list(shingle_sets(batch.column(1), words))
             cells = [np.bincount((s % U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.int16) if len(s) <= COUNTED else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int16()))], ["doc_id", "shingles", "cells"])
+                [batch.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(cells, pa.list_(pa.int16()))], ["node", "shingles", "cells"])
 
     return run
 
 
-def split_bands(crowded: DataFrame, fields: list[str], buckets: int, rows: int) -> DataFrame:
-    """Rows of crowded bands once for each two neighbouring registers outside their own band, which all of the band share."""
-    pair_of = lambda i: F.xxhash64("key", F.lit(i), F.element_at("sketch", 2 * i + 1), F.element_at("sketch", 2 * i + 2))
-    outside = lambda i: (F.lit(2 * i + 1) < rows * F.col("band")) | (F.lit(2 * i) >= rows * (F.col("band") + 1))
-    cells = F.array_compact(F.array(*(F.when(outside(i), pair_of(i)) for i in range(buckets // 2))))
-    return crowded.select(*fields, F.explode(cells).alias("key"))
-
-
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75,
-    buckets: int = 128, rows: int = 4, slack: float = 0.15, leads: int = 2, crowd: int = 2000,
+    buckets: int = 128, rows: int = 4, slack: float = 0.15, leads: int = 2,
 ) -> DataFrame:
     """Documents linked by shingle sets with ``100 * intersection >= percent * union``.
 
     One row per input row: ``doc_id, n_shingles, component_id`` (smallest id
     reachable over links) and ``kept`` (it is that smallest id).  Documents with
-    equal sets form one class, of which the smallest id stands for all.  Classes
-    that share a band of ``rows`` of the ``buckets`` registers meet in three
-    passes: each with one leader (the member of its bands that shares the largest
-    part of its set with others), then with the leader and ``leads + 1`` more
-    documents of each band that are not yet in its component, then with all
-    members of another component in a band still shared by several; of the bands
-    that such a pair shares, only the first brings it up.  Bands with more than
-    ``crowd`` components are split by two further registers, of other bands, before that.
+    equal sets form one class, a node of the graph.  Nodes that share a band of
+    ``rows`` of the ``buckets`` registers meet in three passes: each with one
+    leader (the member of its bands that shares the largest part of its set with
+    others), then with the leader and ``leads + 1`` more nodes of each band that
+    are not yet in its component, then, in a band still shared by several
+    components, every node outside the band's largest component with all of the
+    others; of the bands that such a pair shares, only the first brings it up.
 
     A pair goes to verification if its sizes, and the numbers of shingles that
     each shares with anyone (an intersection is no larger, and smaller than sets
@@ -176,37 +166,40 @@ def near_duplicates(
     Null and empty texts and texts without words have no shingles: ``n_shingles``
     0, linked with nothing.  Rows without an id are counted with their class but
     never lead it; a class of only such rows is linked with nothing and its
-    ``component_id`` is null.  Rows that repeat an id and text get equal results.
+    ``component_id`` is null.  Rows that repeat an id are documents of their own,
+    each linked by its own text; rows that repeat id and text get equal results.
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = documents(docs, id_col, text_col)
+    docs = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     table = scratch.keep(docs.mapInArrow(
-        _sketches(words, buckets, rows), f"doc_id {id_type}, n_shingles long, set_a long, set_b long, sketch array<smallint>, keys array<long>"))
-    same = ["n_shingles", "set_a", "set_b"]
-    classes = scratch.keep(table.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("leader")))
-    leaders = classes.filter("leader is not null").select(F.col("leader").alias("doc_id")).distinct()
-    heads = table.join(leaders, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    keys = scratch.keep(heads.select("doc_id", F.posexplode("keys").alias("band", "key")))
+        _sketches(words, buckets, rows), f"doc_id {id_type}, row long, n_shingles long, set_a long, set_b long, sketch array<smallint>, keys array<long>"))
+    same, key_row = ["n_shingles", "set_a", "set_b"], ["doc_id", "row"]
+    # one row a class; its number is stored with it, so it stays the same
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct(*key_row))).alias("first")
+    classes = scratch.keep(table.filter("n_shingles > 0").groupBy(*same).agg(first).withColumn("node", F.monotonically_increasing_id()))
+    firsts = classes.filter("first is not null").select("node", "first.*")
+    heads = table.join(firsts, key_row).dropDuplicates(key_row)
+
+    keys = scratch.keep(heads.select("node", F.posexplode("keys").alias("band", "key")).drop("band"))
     met = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     bands = scratch.keep(keys.join(met, "key"))
-    wanted = bands.select("doc_id").distinct()
-    sets = scratch.keep(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(
-        _sets(words), f"doc_id {id_type}, shingles array<long>, cells array<smallint>"))
+    wanted = firsts.join(bands.select("node").distinct(), "node", "left_semi")
+    sets = scratch.keep(docs.join(wanted, key_row).dropDuplicates(key_row).select("node", "text").mapInArrow(
+        _sets(words), "node long, shingles array<long>, cells array<smallint>"))
     scratch.drop(keys)
     # of each set, how many shingles any other set has as well
-    items = sets.select("doc_id", F.explode("shingles").alias("shingle"))
+    items = sets.select("node", F.explode("shingles").alias("shingle"))
     common = items.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1").select("shingle")
-    shared = items.join(common, "shingle").groupBy("doc_id").agg(F.count("*").alias("shared"))
-    sketches = scratch.keep(heads.select("doc_id", "n_shingles", "sketch").join(shared, "doc_id").filter(100 * F.col("shared") >= percent * F.col("n_shingles")))
-    bands = bands.join(sketches.select("doc_id", (F.col("shared") / F.col("n_shingles")).alias("part_shared")), "doc_id")
-    some = [F.min("doc_id"), *(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(j))) for j in range(leads))]
-    central = F.max_by(F.struct("part_shared", "doc_id"), F.struct(F.col("part_shared"), -F.xxhash64("doc_id").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("central")
+    shared = items.join(common, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
+    sketches = scratch.keep(heads.select("node", "n_shingles", "sketch").join(shared, "node").filter(100 * F.col("shared") >= percent * F.col("n_shingles")))
+    bands = bands.join(sketches.select("node", (F.col("shared") / F.col("n_shingles")).alias("part_shared")), "node")
+    some = [F.min("node"), *(F.min_by("node", F.xxhash64("node", F.lit(j))) for j in range(leads))]
+    central = F.max_by(F.struct("part_shared", "node"), F.struct(F.col("part_shared"), -F.xxhash64("node").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("central")
     chosen = bands.groupBy("key").agg(central, F.array(*some).alias("leads"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    bands = scratch.keep(bands.select("doc_id", "band", "key").join(chosen, "key"))
+    bands = scratch.keep(bands.select("node", "key").join(chosen, "key"))
     jaccard = estimate(buckets)
 
     def possible(n_a: str, n_b: str, shared_a: str, shared_b: str) -> Column:
@@ -215,7 +208,7 @@ def near_duplicates(
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         def side(df: DataFrame, x: str, *cols: str) -> DataFrame:
-            return df.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+            return df.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
 
         for x in ("a", "b"):
             pairs = pairs.join(side(sketches, x, "n_shingles", "shared", "sketch"), x)
@@ -231,49 +224,44 @@ def near_duplicates(
         part = parts.select(F.col("node").alias(x), F.col("component").alias(out))
         return rows_.join(part, x, "left").withColumn(out, F.coalesce(out, x))
 
-    # each document with one leader
-    one = bands.groupBy("doc_id").agg(F.max("central").alias("central")).select(F.col("central.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    # each node with one leader
+    one = bands.groupBy("node").agg(F.max("central").alias("central")).select(F.col("central.node").alias("a"), F.col("node").alias("b"))
     tried = scratch.keep(one.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = scratch.keep(confirmed(tried))
     parts = components(links, scratch)
-    # with several documents of each of its bands
-    led = bands.select("doc_id", F.explode(F.array_distinct(F.concat(F.array("central.doc_id"), "leads"))).alias("lead")).filter("doc_id != lead").distinct()
-    far = labelled(labelled(led, parts, "doc_id", "part"), parts, "lead", "lead_part").filter("part != lead_part")
-    more = far.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    # with several nodes of each of its bands
+    led = bands.select("node", F.explode(F.array_distinct(F.concat(F.array("central.node"), "leads"))).alias("lead")).filter("node != lead").distinct()
+    far = labelled(labelled(led, parts, "node", "part"), parts, "lead", "lead_part").filter("part != lead_part")
+    more = far.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     links = scratch.keep(links.unionByName(confirmed(more)))
     parts = components(links, scratch)
-    # with every member of another component
-    own = labelled(bands.select("doc_id", "band", "key"), parts, "doc_id", "part").join(sketches.select("doc_id", "n_shingles", "shared"), "doc_id")
+    # every node outside a band's largest component with all others
+    own = labelled(bands.select("node", "key"), parts, "node", "part").join(sketches.select("node", "n_shingles", "shared"), "node")
     cell = own.groupBy("key").agg(F.count_distinct("part").alias("parts"), F.min("n_shingles").alias("least")).filter("parts > 1")
     alive = (100 + percent) * F.col("shared") >= percent * (F.col("n_shingles") + F.col("least"))
     own = scratch.keep(own.join(cell.drop("parts"), "key").filter(alive).drop("least"))
-    cell = own.groupBy("key").agg(F.count_distinct("part").alias("parts")).filter("parts > 1")
+    counted = own.groupBy("key", "part").agg(F.count("*").alias("n"))
+    cell = counted.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     open_ = scratch.keep(own.join(cell, "key"))
-    fields = ["doc_id", "part", "n_shingles", "shared"]
-    drawn = open_.join(sketches.select("doc_id", "sketch"), "doc_id").join(sets.select("doc_id", "cells"), "doc_id")
-    usual = drawn.filter(F.col("parts") <= crowd)
-    listed = usual.groupBy("doc_id").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    usual = usual.join(listed, "doc_id").select(*fields, "key", "keys", "sketch", "cells")
-    crowded = drawn.filter(F.col("parts") > crowd)
-    split = split_bands(crowded, [*fields, "sketch", "cells"], buckets, rows)
-
-    def met_in(cells: DataFrame, more: list[str], once: Column) -> DataFrame:
-        a, b = (cells.select("key", *(F.col(c).alias(f"{c}_{x}") for c in fields + more)) for x in ("a", "b"))
-        agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
-        both = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, n: total + n)  # no intersection is larger
-        enough = F.coalesce((100 + percent) * both >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b")), F.lit(True))
-        near = F.expr("part_a < part_b") & possible("n_shingles_a", "n_shingles_b", "shared_a", "shared_b") & once & (agree >= buckets * (percent / 100 - slack)) & enough
-        return a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & near).select(
-            F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b"))
-
-    first_shared = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key")
-    rest = scratch.keep(met_in(usual, ["keys", "sketch", "cells"], first_shared).unionByName(met_in(split, ["sketch", "cells"], F.lit(True)).distinct()))
+    fields = ["node", "part", "n_shingles", "shared", "keys", "sketch", "cells"]
+    listed = open_.groupBy("node").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    about = listed.join(sketches.select("node", "sketch"), "node").join(sets.select("node", "cells"), "node")
+    drawn = open_.join(about, "node")
+    few = drawn.filter("part != largest").select("key", "largest", *(F.col(c).alias(f"{c}_a") for c in fields))
+    every = drawn.select(F.col("key").alias("key_b"), *(F.col(c).alias(f"{c}_b") for c in fields))
+    agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same_: same_))
+    both = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.least(x, y)), F.lit(0), lambda total, n: total + n)  # no intersection is larger
+    enough = F.coalesce((100 + percent) * both >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b")), F.lit(True))
+    once = F.expr("part_b = largest or part_a < part_b") & (F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == F.col("key"))
+    near = possible("n_shingles_a", "n_shingles_b", "shared_a", "shared_b") & once & (agree >= buckets * (percent / 100 - slack)) & enough
+    rest = scratch.keep(few.join(every, (F.col("key") == F.col("key_b")) & near).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")))
     links = scratch.keep(links.unionByName(confirmed(rest)))
     parts = components(links, scratch)
     scratch.drop(own, open_, rest, sets, sketches)
 
-    parts = parts.select(F.col("node").alias("leader"), "component")
-    classes = classes.join(parts, "leader", "left").select(*same, F.coalesce("component", "leader").alias("component"))
-    out = table.select("doc_id", *same).join(classes, same, "left")
+    led = classes.select("node", F.col("first.doc_id").alias("leader"))
+    low = parts.join(led, "node").groupBy("component").agg(F.min("leader").alias("low"))
+    named = led.join(parts.join(low, "component").select("node", "low"), "node", "left").select("node", F.coalesce("low", "leader").alias("component"))
+    out = table.select("doc_id", *same).join(classes.join(named, "node").select(*same, "component"), same, "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.tables import documents
@@ -81,11 +81,16 @@ def fit(offsets: np.ndarray, features: np.ndarray, values: np.ndarray, grades: n
     return Ordinal(weights, shape[0] + np.concatenate(([0.0], np.cumsum(np.exp(shape[1:])))))
 
 
-def labelled_sample(docs: DataFrame, grades: DataFrame, features: Features, max_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+SAMPLE = "grade long, features array<int>, value array<float>"
+MODEL = "numbers array<int>, weights array<float>, thresholds array<double>"
+
+
+def labelled_sample(docs: DataFrame, grades: DataFrame, features: Features, max_rows: int, grade: Column | None = None) -> DataFrame:
     """Features of at most ``max_rows`` labelled documents, chosen by a hash of their ids, and their grades.
 
     ``grades (doc_id, grade)`` may be null or repeated; the largest grade of a
-    document holds.  The chosen ids are so few that they are broadcast.
+    document holds, and ``grade`` may refine it by the text.  The chosen ids are
+    so few that they are broadcast.
     """
     grades = grades.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("long").alias("grade"))
     # labels may name documents that are not there, so the choice is made among those that are
@@ -105,13 +110,37 @@ def labelled_sample(docs: DataFrame, grades: DataFrame, features: Features, max_
                 first += n
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text").mapInArrow(
-        run, f"doc_id {id_type}, grade long, features array<int>, value array<float>")
-    rows = sample.toArrow().sort_by("doc_id")
-    lists, values = rows["features"].combine_chunks(), rows["value"].combine_chunks()
-    sizes = np.array([len(x) for x in lists], np.int64) if len(lists) else np.zeros(0, np.int64)
-    return (np.concatenate(([0], np.cumsum(sizes))), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
-            values.flatten().to_numpy(zero_copy_only=False).astype(float), rows["grade"].to_numpy().astype(np.int64))
+    rated = F.col("grade") if grade is None else grade.cast("long").alias("grade")
+    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", rated, "text").mapInArrow(run, f"doc_id {id_type}, {SAMPLE}")
+
+
+def fit_sample(sample: DataFrame, n_grades: int, dims: int, l1: float, regrade: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> Ordinal:
+    """Fits the sample's rows in one task; only the model, of a fixed size, comes to the driver.
+
+    ``regrade`` makes grades from offsets, features and the sample's grades.
+    """
+
+    def fitted(rows: pa.Table) -> Ordinal:
+        rows = rows.sort_by("doc_id").combine_chunks()
+        lists, values, grades = rows["features"].combine_chunks(), rows["value"].combine_chunks(), rows["grade"].to_numpy().astype(np.int64)
+        offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        numbers = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        return fit(offsets, numbers, values.flatten().to_numpy(zero_copy_only=False).astype(float), grades if regrade is None else regrade(offsets, numbers, grades), n_grades, dims, l1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if sum(b.num_rows for b in rows):
+            model = fitted(pa.Table.from_batches(rows))
+            used = np.flatnonzero(model.weights)
+            yield pa.RecordBatch.from_pydict({"numbers": [used.astype(np.int32)], "weights": [model.weights[used]], "thresholds": [model.thresholds]})
+
+    found = sample.repartition(1).mapInArrow(run, MODEL).toArrow()
+    if not found.num_rows:
+        none = np.zeros(0, np.int64)
+        return fit(np.zeros(1, np.int64), none, none.astype(float), none, n_grades, dims, l1)
+    weights = np.zeros(dims, np.float32)
+    weights[found["numbers"][0].values.to_numpy()] = found["weights"][0].values.to_numpy()
+    return Ordinal(weights, found["thresholds"][0].values.to_numpy().copy())
 
 
 def score(docs: DataFrame, model: Ordinal, features: Features, outputs: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, id_col: str, text_col: str) -> DataFrame:

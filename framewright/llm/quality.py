@@ -1,4 +1,4 @@
-"""Text quality by ordinal regression on hashed word shapes."""
+"""Text quality by ordinal regression on hashed words, pairs of words and word shapes."""
 
 from __future__ import annotations
 
@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.ordinal import Ordinal, fit, labelled_sample, score
+from framewright.llm.ordinal import Ordinal, fit_sample, labelled_sample, score
 from framewright.llm.tables import documents
-from framewright.llm.text import U, mix64, split_words
+from framewright.llm.text import U, grams, mix64, split_words
 
-BITS = 16
+BITS = 18
 #: Bytes by kind: upper case, lower case (and beyond ASCII), digit; marks stand for themselves.
 _KIND = np.arange(256, dtype=np.uint64)
 _KIND[[b for b in range(256) if b >= 128 or chr(b).islower()]] = 1
@@ -21,13 +21,15 @@ _KIND[[b for b in range(128) if chr(b).isupper()]] = 2
 _KIND[[b for b in range(128) if chr(b).isdigit()]] = 3
 
 
-def word_shapes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Features of each row: hashed word endings, whole shapes of the first and last letters, and repetition.
+def text_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features of each row: hashed words and pairs of words, word endings and shapes, and repetition.
 
-    An ending is the kinds of the last three bytes; a shape adds the first byte
-    and the length up to 8.  Their values are the shares of the row's words.
-    Shares of words equal to the word before and of distinct words, and the
-    number of words, each in steps, are features of value 1.
+    Lower-cased words and neighbouring pairs that occur are worth one over the
+    root of the row's number of words.  An ending is the kinds of the last three
+    bytes; a shape adds the first byte and the length up to 8; their values are
+    the shares of the row's words.  Shares of words equal to the word before and
+    of distinct words, and the number of words, each in steps, are features of
+    value 1.
     """
     for w in split_words(column):
         rows, counts = w.rows_of_words(), w.counts()
@@ -36,11 +38,12 @@ def word_shapes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         last = [np.where(size > k, kind[np.maximum(w.ends + 1 - k, 0)], U(0)) for k in range(3)]
         ending = last[0] | last[1] << U(8) | last[2] << U(16)
         shape = ending | _KIND[w.buf[w.starts]] << U(24) | np.minimum(size, 8).astype(np.uint64) << U(32) | U(1 << 40)
-        h = w.hashes()
+        h = w.hashes(lower=True)
         share = 1 / np.maximum(counts, 1)
         same = np.zeros(len(h))
         same[1:] = (h[1:] == h[:-1]) & (rows[1:] == rows[:-1])
-        distinct = np.bincount(rows[np.unique(h ^ mix64(rows.astype(np.uint64)), return_index=True)[1]], minlength=w.n_rows)
+        words, pairs = _occurring(rows, h ^ U(1 << 50)), _occurring(*_inside(rows, *grams(h, w.offsets, 2)))
+        distinct = np.diff(np.searchsorted(words >> BITS, np.arange(w.n_rows + 1)))
         steps = [
             np.minimum(np.bincount(rows, same, w.n_rows) * share * 20, 19).astype(np.uint64) | U(1 << 48),
             np.minimum(distinct * share * 20, 19).astype(np.uint64) | U(2 << 48),
@@ -48,19 +51,40 @@ def word_shapes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         ]
         who = np.concatenate((rows, rows, *[np.arange(w.n_rows)] * 3))
         what = (mix64(np.concatenate((ending, shape, *steps))) >> U(64 - BITS)).astype(np.int64)
-        much = np.concatenate((share[rows], share[rows], np.ones(3 * w.n_rows)))
-        pairs, at = np.unique((who << BITS) | what, return_inverse=True)
-        offsets = np.searchsorted(pairs, np.arange(w.n_rows + 1) << BITS)
-        yield offsets, pairs & ((1 << BITS) - 1), np.bincount(at, much, len(pairs))
+        occur = np.concatenate((words, pairs))
+        much = np.concatenate((share[rows], share[rows], np.ones(3 * w.n_rows), np.sqrt(share[occur >> BITS])))
+        codes, at = np.unique(np.concatenate(((who << BITS) | what, occur)), return_inverse=True)
+        offsets = np.searchsorted(codes, np.arange(w.n_rows + 1) << BITS)
+        yield offsets, codes & ((1 << BITS) - 1), np.bincount(at, much, len(codes))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, grades: int, max_rows: int = 8000, l1: float = 1e-5) -> Ordinal:
-    """A model of ratings ``0 .. grades - 1`` in ``labels (doc_id, grade)``, from at most ``max_rows`` of them."""
-    data = labelled_sample(documents(docs), labels, word_shapes, max_rows)
-    return fit(*data, grades, 1 << BITS, l1)
+def _inside(rows: np.ndarray, hashes: np.ndarray, within: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return rows[within], hashes[within]
 
 
-def quality(docs: DataFrame, model: Ordinal, good: int, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _occurring(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Row and feature number of what occurs in a row, once each, by row."""
+    return np.unique((rows << BITS) | (mix64(hashes) >> U(64 - BITS)).astype(np.int64))
+
+
+#: The rating that ``fit_quality`` calls good, and what follows it: good without repeated lines.
+GOOD, GRADES = 1, 3
+
+
+def rating() -> Column:
+    """Ratings from the yes/no label ``grade`` and the text: 0 poor, 1 good, 2 good and less than a tenth of its lines said before."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"\S"))
+    clean = 10 * (F.size(lines) - F.size(F.array_distinct(lines))) < F.greatest(F.size(lines), F.lit(1))
+    return F.when(F.col("grade") <= 0, 0).when(clean, 2).otherwise(1)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 8000, l1: float = 1e-5) -> Ordinal:
+    """A model of the ratings of ``rating``, from at most ``max_rows`` documents labelled yes or no."""
+    grades = labels.select("doc_id", F.col(label).alias("grade"))
+    return fit_sample(labelled_sample(documents(docs), grades, text_features, max_rows, rating()), GRADES, 1 << BITS, l1)
+
+
+def quality(docs: DataFrame, model: Ordinal, good: int = GOOD, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, expected_grade, p_good`` (grade ``good`` or above), ``selected``.
 
     ``selected`` is ``p_good >= cut``.  Null and empty texts have no words and are
@@ -72,9 +96,4 @@ def quality(docs: DataFrame, model: Ordinal, good: int, cut: float = 0.5, id_col
         p = model.tail(s, good)
         return {"expected_grade": model.expected(s), "p_good": p, "selected": p >= cut}
 
-    return score(docs, model, word_shapes, outputs, "expected_grade double, p_good double, selected boolean", id_col, text_col)
-
-
-def ratings(labels: DataFrame) -> DataFrame:
-    """Ratings 0 to 3 from yes/no labels: quality counts two, absence of toxic language one."""
-    return labels.select("doc_id", (2 * F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    return score(docs, model, text_features, outputs, "expected_grade double, p_good double, selected boolean", id_col, text_col)

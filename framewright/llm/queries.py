@@ -14,7 +14,7 @@ from framewright.llm.exact_dedup import exact_duplicates
 from framewright.llm.near_dedup import near_duplicates
 from framewright.llm.packing import pack_documents
 from framewright.llm.pitman_yor import score_texts
-from framewright.llm.quality import fit_quality, quality, ratings
+from framewright.llm.quality import fit_quality, quality
 from framewright.llm.secrets import default_model, secrets
 from framewright.llm.substring_dedup import remove_repeats
 from framewright.llm.tables import read
@@ -62,7 +62,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return quality(docs, fit_quality(docs, ratings(read(spark, sf_dir, "labels")), 4), good=2)
+    return quality(docs, fit_quality(docs, read(spark, sf_dir, "labels")))
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

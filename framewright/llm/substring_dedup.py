@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.tables import Scratch, documents
-from framewright.llm.text import U, Words, grams, mix64, split_words
+from framewright.llm.text import Words, grams, split_words
 
 #: Words in the runs from which a window's fingerprint is chosen.
 GRAM = 10
@@ -39,50 +39,58 @@ def window_fingerprints(w: Words, h: np.ndarray, window: int, gram: int) -> tupl
 
 
 def _scan(window: int, gram: int):
-    """Words, identity and distinct window fingerprints of each text."""
+    """Number of words, digest of all words and distinct window fingerprints of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, prints = [], [], [], []
-            for w in split_words(batch.column(1)):
-                h = w.hashes()
-                f, inside = window_fingerprints(w, h, window, gram)
+            n, digest, prints, texts = [], [], [], batch.column(2)
+            for w in split_words(texts):
+                f, inside = window_fingerprints(w, w.hashes(), window, gram)
                 for i, count in enumerate(w.counts().tolist()):
                     s = slice(w.offsets[i], w.offsets[i] + count)
-                    place = np.arange(1, count + 1, dtype=np.uint64)
                     n.append(count)
-                    a.append(int(mix64(h[s] + place * U(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64)))
-                    b.append(int(mix64(h[s] ^ (place * U(0xC2B2AE3D27D4EB4F))).sum(dtype=np.uint64).view(np.int64)))
+                    digest.append(hashlib.sha256(b" ".join(_words(texts[w.first_row + i]))).digest() if count >= window else None)
                     prints.append(np.unique(f[s][inside[s]]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prints, pa.list_(pa.int64()))],
-                ["doc_id", "n_words", "text_a", "text_b", "prints"])
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prints, pa.list_(pa.int64()))],
+                ["doc_id", "row", "n_words", "digest", "prints"])
 
     return run
 
 
+def _words(text: pa.Scalar) -> list[bytes]:
+    return text.as_buffer().to_pybytes().split() if text.is_valid else []
+
+
+def window_digests(words: list[bytes], at: np.ndarray, window: int) -> np.ndarray:
+    """The first 16 bytes, as two numbers, of the SHA-256 of the words of each window that begins at one of the places."""
+    text = b" ".join(words)
+    start = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
+    spans = zip(start[at].tolist(), (start[at + window] - 1).tolist(), strict=True)
+    return np.frombuffer(b"".join([hashlib.sha256(text[a:b]).digest()[:16] for a, b in spans]), "<i8").reshape(-1, 2)
+
+
 def _windows(window: int, gram: int):
-    """The windows whose fingerprint several documents have: two independent hashes and the first words of all places."""
+    """The windows whose fingerprint several documents have: digests of their words and the first words of all places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(2)
+            texts, wanted = batch.column(2), batch.column(3)
             starts, one, two = [], [], []
-            for w in split_words(batch.column(1)):
-                h = w.hashes()
-                f, inside = window_fingerprints(w, h, window, gram)
-                full_a, full_b = grams(h, w.offsets, window)[0], grams(w.hashes(seed=1), w.offsets, window)[0]
+            for w in split_words(texts):
+                f, inside = window_fingerprints(w, w.hashes(), window, gram)
                 for i in range(w.n_rows):
                     s = slice(w.offsets[i], w.offsets[i + 1])
                     hit = np.flatnonzero(inside[s] & np.isin(f[s].view(np.int64), wanted[w.first_row + i].values.to_numpy()))
-                    a, b = full_a[s][hit], full_b[s][hit]
+                    a, b = window_digests(_words(texts[w.first_row + i]), hit, window).T
                     order = np.lexsort((b, a))
                     new = np.flatnonzero(np.concatenate(([True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])))) if len(hit) else hit
                     starts.append(np.split(hit[order], new[1:]) if len(hit) else [])
-                    one.append(a[order][new].view(np.int64))
-                    two.append(b[order][new].view(np.int64))
+                    one.append(a[order][new])
+                    two.append(b[order][new])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(longs)), pa.array(one, longs), pa.array(two, longs)], ["doc_id", "starts", "a", "b"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(starts, pa.list_(longs)), pa.array(one, longs), pa.array(two, longs)], ["doc_id", "row", "starts", "a", "b"])
 
     return run
 
@@ -164,28 +172,28 @@ def remove_repeats(
 
     One row per input row: ``doc_id, n_words, n_removed, kept_text`` (kept words
     joined by one space) and ``kept_sha256``.  Windows are judged on the input,
-    not on what is left.  Documents enter the index in ``batches`` by ascending
-    id.  A fingerprint that several documents have leads to the exact step:
-    windows are compared by two independent 64-bit hashes of all their words.
-    Of texts with equal words only the smallest id is indexed; the others lose
-    every word if they have a window at all.
+    not on what is left.  Documents enter the index in ``batches``, dealt by a hash
+    of the id, which may be of any ordered type.  A fingerprint that several documents have leads to the exact step:
+    windows are compared by 128 bits of the SHA-256 of all their words.
+    Of texts with equal words (by SHA-256) only the smallest id is indexed; the
+    others lose every word if they have a window at all.
 
     Null and empty texts have no words and keep none.  Rows without an id keep
-    all words, and their windows count for nobody.  Rows that repeat an id and
-    text get equal results.  An empty table gives an empty result.
+    all words, and their windows count for nobody.  Rows that repeat an id are
+    documents of their own, each judged by its own text, and take nothing from
+    each other; rows that repeat id and text get equal results.  An empty table
+    gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    docs = documents(docs, id_col, text_col)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    table = scratch.keep(docs.mapInArrow(_scan(window, gram), f"doc_id {id_type}, n_words long, text_a long, text_b long, prints array<long>"))
-    same = ["n_words", "text_a", "text_b"]
+    docs = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), "text")
+    id_type, key, same = docs.schema["doc_id"].dataType.simpleString(), ["doc_id", "row"], ["n_words", "digest"]
+    table = scratch.keep(docs.mapInArrow(_scan(window, gram), f"doc_id {id_type}, row long, n_words long, digest binary, prints array<long>"))
     long_ = table.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
     firsts = long_.groupBy(*same).agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    copies = scratch.keep(long_.select("doc_id", *same).join(firsts.filter("rows > 1"), same).filter("doc_id != first").select("doc_id").distinct())
+    copies = scratch.keep(long_.select(*key, *same).join(firsts.filter("rows > 1"), same).filter("doc_id != first").select(*key).distinct())
 
-    edges = table.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [0.5], 1000).alias("e")).first()["e"] or []
-    number = sum(((F.col("doc_id") > e).cast("int") for e in edges[: batches - 1]), F.lit(0))
-    prints = long_.join(copies, "doc_id", "left_anti").select("doc_id", F.explode("prints").alias("print")).distinct()
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
+    prints = long_.join(copies, key, "left_anti").select(*key, F.explode("prints").alias("print"))
     prints = scratch.keep(prints.withColumn("batch", number))
     index, shared = FingerprintIndex(scratch, fan_in), None
     for k in range(batches):
@@ -193,13 +201,13 @@ def remove_repeats(
         hits = scratch.keep(index.probe(batch))
         shared = hits if shared is None else shared.unionByName(hits)
         index.add(batch)
-    wanted = prints.join(shared.distinct(), "print").groupBy("doc_id").agg(F.collect_set("print").alias("prints"))
+    wanted = prints.join(shared.distinct(), "print").groupBy(*key).agg(F.collect_set("print").alias("prints"))
 
     longs = "array<long>"
-    found = docs.join(wanted, "doc_id").select("doc_id", "text", "prints").mapInArrow(_windows(window, gram), f"doc_id {id_type}, starts array<{longs}>, a {longs}, b {longs}")
-    windows = scratch.keep(found.select("doc_id", F.explode(F.arrays_zip("starts", "a", "b")).alias("w")).select("doc_id", "w.*"))
+    found = docs.join(wanted, key).select(*key, "text", "prints").mapInArrow(_windows(window, gram), f"doc_id {id_type}, row long, starts array<{longs}>, a {longs}, b {longs}")
+    windows = scratch.keep(found.select(*key, F.explode(F.arrays_zip("starts", "a", "b")).alias("w")).select(*key, "w.*"))
     first = windows.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
-    seen = windows.join(first, ["a", "b"]).filter("first < doc_id").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    judged = docs.join(seen, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    seen = windows.join(first, ["a", "b"]).filter("first < doc_id").groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    judged = docs.join(seen, key, "left").join(copies.withColumn("copy", F.lit(True)), key, "left")
     return judged.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts").mapInArrow(
         _strip(window), f"doc_id {id_type}, n_words long, n_removed long, kept_text string, kept_sha256 string")

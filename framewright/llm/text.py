@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -36,22 +37,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_BASE = 0x9E3779B97F4A7C15
-_P = _powers(_BASE, SLICE_BYTES)
-_P_INV = _powers(pow(_BASE, -1, 1 << 64), SLICE_BYTES)
-_GRAM = 0xD1342543DE82EF95
-
-
-def _byte_values(seed: int, lower: bool, between: np.ndarray) -> np.ndarray:
-    t = mix64(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(seed))
-    t[between] = 0
-    return t[LOWER] if lower else t
+_GRAM, _SIZE, _SEED = U(0xD1342543DE82EF95), U(0x2545F4914F6CDD1D), U(0x9E3779B97F4A7C15)
+#: Bytes of a word that numpy hashes, eight at a time; longer words are hashed one by one.
+LONG_WORD = 64
+#: Words that one numpy step hashes.
+STEP_WORDS = 1 << 18
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 @dataclass
@@ -63,7 +54,6 @@ class Words:
     ends: np.ndarray
     offsets: np.ndarray
     first_row: int
-    between: np.ndarray
 
     @property
     def n_rows(self) -> int:
@@ -73,27 +63,23 @@ class Words:
         return np.diff(self.offsets)
 
     def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
-        out = np.empty(len(self.starts), np.uint64)
-        values = _byte_values(seed, lower, self.between)
-        i = 0
-        while i < len(self.starts):
-            at = self.starts[i]
-            j = max(i + 1, int(np.searchsorted(self.ends, at + SLICE_BYTES, "right")))
-            end = int(self.ends[j - 1])
-            if end - at > SLICE_BYTES:  # one word longer than a slice
-                h = 0
-                for k in range(int(at), end, SLICE_BYTES):
-                    part = values[self.buf[k : min(end, k + SLICE_BYTES)]]
-                    h = (h * 31 + int((part * _P[: len(part)]).sum(dtype=np.uint64))) % (1 << 64)
-                out[i] = h
-            else:
-                prod = values[self.buf[at:end]]
-                prod *= _P[: len(prod)]
-                local = self.starts[i:j] - at
-                out[i:j] = np.add.reduceat(prod, local) * _P_INV[local]
-            i = j
-        return mix64(out + (self.ends - self.starts).astype(np.uint64) * U(0x2545F4914F6CDD1D))
+        """A 64-bit hash of each word's bytes: every eight of them are mixed into the hash of those before."""
+        buf = np.concatenate((LOWER[self.buf] if lower else self.buf, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(buf) - 7, "<u8", buf, strides=(1,))
+        size = self.ends - self.starts
+        out = mix64(size.astype(np.uint64) * _SIZE + U(seed) * _SEED)
+        for a in range(0, len(out), STEP_WORDS):
+            part = slice(a, a + STEP_WORDS)
+            out[part] = mix64(out[part] * _GRAM ^ (eight[self.starts[part]] & _KEEP[np.minimum(size[part], 8)]))
+            done = 8
+            live = np.flatnonzero((size[part] > done) & (size[part] <= LONG_WORD)) + a
+            while len(live):
+                out[live] = mix64(out[live] * _GRAM ^ (eight[self.starts[live] + done] & _KEEP[np.minimum(size[live] - done, 8)]))
+                done += 8
+                live = live[size[live] > done]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(buf[self.starts[i] : self.ends[i]].data, seed)
+        return out
 
     def rows_of_words(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_rows), self.counts())
@@ -131,17 +117,24 @@ def split_words(column: pa.Array | pa.ChunkedArray, between: np.ndarray = SPACE,
         starts = np.flatnonzero(inside & (~before | edge[:-1]))
         after = np.concatenate((inside[1:], [False])) if len(part) else inside
         ends = np.flatnonzero(inside & (~after | edge[1:])) + 1
-        yield Words(part, starts, ends, np.searchsorted(starts, offsets[row : end + 1] - a, "left"), row, between)
+        yield Words(part, starts, ends, np.searchsorted(starts, offsets[row : end + 1] - a, "left"), row)
         row = end
 
 
 def grams(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each run of ``n`` words, and whether it lies within one row (else its hash means nothing)."""
+    """Hash of each run of ``n`` words, and whether it lies within one row (else its hash means nothing).
+
+    Runs are put together from two halves and, where ``n`` asks for it, one word
+    more; every step mixes, so that no arrangement of words cancels out.
+    """
     total = len(hashes)
     out = np.zeros(total, np.uint64)
     if total >= n:
-        p, inv = _powers(_GRAM, total + 1), _powers(pow(_GRAM, -1, 1 << 64), total + 1)
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * p[:total], dtype=np.uint64)))
-        out[: total - n + 1] = mix64((sums[n:] - sums[:-n]) * inv[: total - n + 1] + U(n))
+        run, width = hashes, 1
+        for bit in bin(n)[3:]:
+            run, width = mix64(run[: total - 2 * width + 1] * _GRAM + run[width:]), 2 * width
+            if bit == "1":
+                run, width = mix64(run[: total - width] * _GRAM + hashes[width:]), width + 1
+        out[: total - n + 1] = run
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(total)
     return out, left >= n

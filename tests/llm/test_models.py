@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, ordinal, pitman_yor, secrets
 from framewright.llm.packing import fill, pack
-from framewright.llm.quality import fit_quality, quality, ratings
+from framewright.llm.quality import fit_quality, quality
 from framewright.llm.queries import QUERIES
 from framewright.llm.toxicity import fit_toxicity, toxicity
 
@@ -139,7 +139,7 @@ def test_toxicity_on_held_out_labels(spark):
 def test_quality_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     train, test = labels.filter("doc_id % 3 > 0"), labels.filter("doc_id % 3 = 0")
-    rows = quality(docs, fit_quality(docs, ratings(train), 4), good=2).join(test, "doc_id").select("quality", "selected").collect()
+    rows = quality(docs, fit_quality(docs, train)).join(test, "doc_id").select("quality", "selected").collect()
     assert sum(r.selected == bool(r.quality) for r in rows) / len(rows) > 0.9
 
 
@@ -147,7 +147,7 @@ def test_models_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity(docs, fit_toxicity(docs, none)).count() == 2
-    assert quality(docs, fit_quality(docs, ratings(none), 4), good=2).count() == 2
+    assert quality(docs, fit_quality(docs, none)).count() == 2
 
 
 # --- packing
