@@ -81,6 +81,7 @@ def fit(offsets: np.ndarray, features: np.ndarray, values: np.ndarray, grades: n
     return Ordinal(weights, shape[0] + np.concatenate(([0.0], np.cumsum(np.exp(shape[1:])))))
 
 
+PENALTY_ROWS = 8000
 SAMPLE = "grade long, features array<int>, value array<float>"
 MODEL = "numbers array<int>, weights array<float>, thresholds array<double>"
 
@@ -118,6 +119,7 @@ def fit_sample(sample: DataFrame, n_grades: int, dims: int, l1: float, regrade:
     """Fits the sample's rows in one task; only the model, of a fixed size, comes to the driver.
 
     ``regrade`` makes grades from offsets, features and the sample's grades.
+    ``l1`` is the penalty for ``PENALTY_ROWS`` rows; it falls with the root of their number.
     """
 
     def fitted(rows: pa.Table) -> Ordinal:
@@ -125,7 +127,7 @@ def fit_sample(sample: DataFrame, n_grades: int, dims: int, l1: float, regrade:
         lists, values, grades = rows["features"].combine_chunks(), rows["value"].combine_chunks(), rows["grade"].to_numpy().astype(np.int64)
         offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
         numbers = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        return fit(offsets, numbers, values.flatten().to_numpy(zero_copy_only=False).astype(float), grades if regrade is None else regrade(offsets, numbers, grades), n_grades, dims, l1)
+        return fit(offsets, numbers, values.flatten().to_numpy(zero_copy_only=False).astype(float), grades if regrade is None else regrade(offsets, numbers, grades), n_grades, dims, l1 * (PENALTY_ROWS / len(grades)) ** 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)

@@ -26,24 +26,24 @@ def distinct_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, n
 
 
 def severity(offsets: np.ndarray, features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grades from yes/no labels: 0 clean, 1 toxic, 2 toxic and denser in marked words than half of the toxic ones.
+    """Grades from yes/no labels: 0 clean, 1 toxic, 2 toxic with more marked words than half of the toxic ones.
 
     Marked words are ten times as frequent among toxic documents as among clean
     ones, and in at least one toxic document of two hundred.  Each half of the
     sample is judged by the words that the other half marks, so that no document
-    has a part in its own grade; density is the share of its distinct words.
+    has a part in its own grade.
     """
     toxic, sizes = (toxic > 0).astype(np.int64), np.diff(offsets)
-    half, share = np.arange(len(toxic)) % 2, np.zeros(len(toxic))
+    half, many = np.arange(len(toxic)) % 2, np.zeros(len(toxic))
     for h in (0, 1):
         rows = np.repeat(np.where(half == h, 0, toxic), sizes)
         clean = np.repeat(np.where(half == h, 0, 1 - toxic), sizes)
         n_bad, n_good = max(int(toxic[half != h].sum()), 1), max(int((1 - toxic)[half != h].sum()), 1)
         bad, good = np.bincount(features, rows, 1 << BITS) / n_bad, np.bincount(features, clean, 1 << BITS) / n_good
         marked = row_sums(offsets, ((bad >= 0.005) & (bad >= 10 * (good + 0.5 / n_good)))[features].astype(float))
-        share = np.where(half == h, marked / np.maximum(sizes, 1), share)
-    middle = np.median(share[toxic == 1]) if toxic.any() else 0
-    return np.where(toxic == 1, 1 + (share > middle), 0)
+        many = np.where(half == h, marked, many)
+    middle = np.median(many[toxic == 1]) if toxic.any() else 0
+    return np.where(toxic == 1, 1 + (many > middle), 0)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 8000, l1: float = 3e-4) -> Ordinal:

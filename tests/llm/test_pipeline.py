@@ -84,3 +84,15 @@ def test_stages_against_a_plain_version(spark, corpus, tmp_path):
     pieces = packed.select("doc_id", "doc_tokens", "length").collect()
     assert {r.doc_id for r in pieces} == want
     assert {(r.doc_id, r.doc_tokens, r.length) for r in corpus_pipeline.run(spark, root).collect()} == {tuple(r) for r in pieces}
+
+
+def test_rows_without_an_id_and_repeated_ids_are_judged_each(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long_ = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, "one text"), (7, "one text"), (7, "other text"), (None, "other text"), (None, "alone"), (9, "other  text"), (1, long_), (None, long_ + " x"), (2, None), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    left = corpus_pipeline.drop_copies(spark, docs, "")
+    key = lambda d: {(r.doc_id, r.text) for r in d.collect()}
+    assert left.count() == 6
+    assert key(left) == {(7, "one text"), (7, "other text"), (None, "alone"), (1, long_), (None, long_ + " x"), (2, None)}
+    assert key(corpus_pipeline.drop_near_copies(spark, left, "")) == key(left) - {(None, long_ + " x")}
