@@ -1,12 +1,15 @@
 """The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input.
 
-Rows without an id take part in no comparison and pass every filter.
+A row is judged by its own text: rows that repeat an id stay or go each by
+itself, and so do rows without an id, which yield to rows with one.  Of rows
+equal in id and text one stays.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framewright.llm.decontaminate import contaminated
 from framewright.llm.exact_dedup import exact_duplicates
@@ -18,32 +21,44 @@ from framewright.llm.toxicity import fit_toxicity, toxicity
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).join(ids.select("doc_id").filter("doc_id is not null").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key by id (none last) and text, which operators take as the id."""
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row")).alias("_key"))
+
+
+def _flat(key: str) -> list[Column]:
+    return [F.col(f"{key}.missing").alias("_missing"), F.coalesce(f"{key}.doc_id", F.lit(0)).alias("_id"), F.col(f"{key}.row").alias("_row")]
+
+
+def _without(docs: DataFrame, flagged: DataFrame, once: bool = False) -> DataFrame:
+    """Rows of ``docs`` that are not ``flagged`` (by their key, as ``doc_id``); if ``once``, one of those with equal keys."""
+    key = ["_missing", "_id", "_row"]
+    left = docs.select(*COLUMNS, *_flat("_key")).join(flagged.select(*_flat("doc_id")).distinct(), key, "left_anti")
+    return (left.dropDuplicates(key) if once else left).select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not call toxic."""
-    model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
-    return _without(docs, toxicity(docs, model).filter("toxic"))
+    model, docs = fit_toxicity(docs, read(spark, sf_dir, "labels")), _keyed(docs)
+    return _without(docs, toxicity(docs, model, id_col="_key").filter("toxic"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; of repeated rows, one."""
-    flags = Scratch(spark).keep(exact_duplicates(docs).select("doc_id", "kept"))
-    kept = _without(docs, flags.filter("not kept"))
-    repeated = flags.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """One document of each group of equal texts."""
+    docs = _keyed(docs)
+    return _without(docs, exact_duplicates(docs, id_col="_key").filter("not kept"), once=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs).filter("not kept"))
+    docs = _keyed(docs)
+    return _without(docs, near_duplicates(docs, id_col="_key").filter("not kept"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return _without(docs, contaminated(docs, read(spark, sf_dir, "benchmark")))
+    docs = _keyed(docs)
+    return _without(docs, contaminated(docs, read(spark, sf_dir, "benchmark"), id_col="_key"))
 
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
