@@ -65,13 +65,12 @@ def _tokenizer(path: str):
     return t
 
 
-def _assemble(template: Template, loss_roles: tuple[str, ...]):
-    """Turns of one batch at once; what a conversation has had before is carried to the next batch."""
+def _encode(template: Template, loss_roles: tuple[str, ...]):
+    """Ids and loss mask of each turn by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, number, tokens = object(), 0, 0
         for batch in batches:
-            roles, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            roles, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             known = [r in template.role_id for r in roles]
             encode = lambda s: [e.ids for e in template.tokenizer.encode_batch([escape(x) for x in s], add_special_tokens=False)]
             bodies, names = encode(texts), iter(encode([r for r, k in zip(roles, known, strict=True) if not k]))
@@ -85,21 +84,28 @@ def _assemble(template: Template, loss_roles: tuple[str, ...]):
             np.add.at(marks, edge[1:-1:3], lossy)
             np.add.at(marks, edge[2::3], -lossy)
             mask = np.cumsum(marks)[:-1].astype(np.int8)
-            turn, start = [], []
-            for conv, n in zip(batch.column(0).to_pylist(), np.diff(edge[::3]).tolist(), strict=True):
-                if conv != last or not number:
-                    last, number, tokens = conv, 0, 0
-                turn.append(number)
-                start.append(tokens)
-                number, tokens = number + 1, tokens + n
             at = pa.array(edge[::3].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(turn, pa.int64()), pa.array(start, pa.int64()), pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(mask))],
-                ["conv_id", "turn_number", "token_start", "ids", "loss_mask"])
+                [*batch.columns, pa.ListArray.from_arrays(at, pa.array(ids)), pa.ListArray.from_arrays(at, pa.array(mask))], [*batch.schema.names, "ids", "loss_mask"])
 
     return run
 
 
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers turns and adds up their tokens; what a conversation has had before is carried to the next batch."""
+    last, number, tokens = object(), 0, 0
+    for batch in batches:
+        turn, start = [], []
+        for conv, n in zip(batch.column(0).to_pylist(), batch.column(1).value_lengths().to_pylist(), strict=True):
+            if conv != last or not number:
+                last, number, tokens = conv, 0, 0
+            turn.append(number)
+            start.append(tokens)
+            number, tokens = number + 1, tokens + n
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(turn, pa.int64()), pa.array(start, pa.int64()), batch.column(1), batch.column(2)], ["conv_id", "turn_number", "token_start", "ids", "loss_mask"])
+
+
 def format_turns(
     turns: DataFrame, tokenizer: str, first_reserved: int, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
     loss_roles: tuple[str, ...] = ("assistant",),
@@ -115,16 +121,17 @@ def format_turns(
 
     Rows of a conversation go by turn, ties by role and text; repeated rows are
     turns of their own; a null turn comes first.  Null roles and texts are empty,
-    null conversation ids are one conversation.  A conversation streams through
-    its task and is never held as a whole.  An empty table gives an empty result.
+    null conversation ids are one conversation.  Turns are encoded where they are
+    read; only numbering follows a conversation from first to last, in batches, so
+    it is never held as a whole.  An empty table gives an empty result.
     """
     rows = turns.select(
         turns[conv_col].alias("conv_id"), turns[turn_col].alias("turn"),
         F.coalesce(turns[role_col].cast("string"), F.lit("")).alias("role"), F.coalesce(turns[text_col].cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInArrow(
-        _assemble(Template(tokenizer, first_reserved), loss_roles),
-        f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, turn_number long, token_start long, ids array<int>, loss_mask array<tinyint>")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    rows = rows.mapInArrow(_encode(Template(tokenizer, first_reserved), loss_roles), f"{kinds}, ids array<int>, loss_mask array<tinyint>")
+    rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "ids", "loss_mask")
+    return rows.mapInArrow(_number, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, turn_number long, token_start long, ids array<int>, loss_mask array<tinyint>")
 
 
 def _digest(template: Template):

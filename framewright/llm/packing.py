@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from framewright.llm.tables import Scratch, documents
 
-#: Word parts that a Python worker remembers the ids of; then it starts over.
-CACHE_WORDS = 700_000
+#: Word parts, and their bytes, that a Python worker remembers the ids of; then it starts over.
+CACHE_WORDS, CACHE_BYTES = 700_000, 32 << 20
 #: New parts that are encoded as one text.
 JOINED = 64
 #: ASCII letters (1) and ASCII marks without the apostrophe (2): where one meets the other, the tokenizer splits too.
@@ -41,10 +41,14 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.reserved = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        first = [(self.tokenizer.id_to_token(i) or " ")[0] for i in range(self.tokenizer.get_vocab_size())]
+        #: Ids that bear loss: those of tokens that begin with a letter, not of marks, digits and reserved strings.
+        self.bears_loss = np.array([c.isalpha() for c in first])
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.bytes = 0
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used, self.begin = 0, np.zeros(CACHE_WORDS + 1, np.int64)
 
@@ -65,6 +69,7 @@ class WordEncoder:
             self.pool[self.used : self.used + len(ids)] = ids
             self.begin[n + i + 1 : n + i + 1 + len(group)] = self.used + np.cumsum(sizes)
             self.used += len(ids)
+        self.bytes += sum(map(len, parts))
         self.index.update(zip(parts, range(n, n + len(parts)), strict=True))
 
     @staticmethod
@@ -83,7 +88,7 @@ class WordEncoder:
         # the strings of reserved ids in a text are those ids to this tokenizer; such a text is one part
         words = [[t.encode()] if any(r in t for r in self.reserved) else w for t, w in zip(texts, self.parts(texts), strict=True)]
         new = set().union(*words).difference(self.index) if words else set()
-        if len(self.index) + len(new) > CACHE_WORDS and self.index:
+        if (len(self.index) + len(new) > CACHE_WORDS or self.bytes > CACHE_BYTES) and self.index:
             self.clear()
             new = set().union(*words)
         if new:
@@ -106,7 +111,7 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _cut(path: str, limit: int, end: int, with_ids: bool):
+def _cut(path: str, limit: int, end: int, max_loss: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(path)
         for batch in batches:
@@ -121,11 +126,18 @@ def _cut(path: str, limit: int, end: int, with_ids: bool):
                 doc = np.repeat(np.arange(stop - row), n)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * limit
                 length = np.minimum(total[doc] - start, limit)
-                begin = offsets[doc] + start
+                before = np.concatenate(([0], np.cumsum(words.bears_loss[ids])))
+                lossy = lambda: before[offsets[doc] + start + length] - before[offsets[doc] + start]
+                while (heavy := lossy() > max_loss).any():  # such pieces are halved
+                    half = np.where(heavy, length // 2, length)
+                    at = np.repeat(np.arange(len(doc)), 1 + heavy)
+                    second = np.concatenate(([False], at[1:] == at[:-1]))
+                    doc, start, length = doc[at], start[at] + np.where(second, half[at], 0), np.where(second, length[at] - half[at], half[at])
+                begin, loss = offsets[doc] + start, lossy()
                 raw = ids.astype("<u4").data
                 crc = [zlib.crc32(raw[a : a + k]) for a, k in zip(begin.tolist(), length.tolist(), strict=True)]
-                columns = [batch.column(0).take(pa.array(row + doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[doc]))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                columns = [batch.column(0).take(pa.array(row + doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[doc], loss))]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "loss_tokens"]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate((begin, offsets[-1:])).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
@@ -135,16 +147,19 @@ def _cut(path: str, limit: int, end: int, with_ids: bool):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, max_loss: int | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """Each document's ids and then ``end``, cut into pieces of ``limit`` ids and a shorter rest.
 
-    Columns: ``doc_id, start, length, ids_crc32, doc_tokens`` and, if wanted, the
-    ``ids``.  ``tokenizer`` is the path of a tokenizer file that drops white space
+    A piece with more than ``max_loss`` loss-bearing ids (those of tokens that
+    begin with a letter) is halved until none has.  Columns: ``doc_id, start,
+    length, ids_crc32, doc_tokens, loss_tokens`` and, if wanted, the ``ids``.  ``tokenizer`` is the path of a tokenizer file that drops white space
     and lower-cases; every executor must have it.
     """
     docs = documents(docs, id_col, text_col)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.mapInArrow(_cut(tokenizer, limit, end, with_ids), schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long" + ", ids array<int>" * with_ids
+    return docs.mapInArrow(_cut(tokenizer, limit, end, limit if max_loss is None else max_loss, with_ids), schema)
 
 
 def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -219,10 +234,15 @@ def pack(examples: DataFrame, tokens: str = "length", loss_tokens: str | None =
     return full.unionByName(rest.groupBy("_block").applyInArrow(place, schema))
 
 
+#: Share of a sequence that may bear loss, in sixteenths: documents have about fourteen.
+LOSS_SIXTEENTHS = 15
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents cut into token pieces and packed; every token is loss-bearing.
+    """Documents cut into token pieces and packed, with at most fifteen sixteenths of ``limit`` loss-bearing tokens in a sequence.
 
     One row per piece: the columns of ``token_pieces`` with ``sequence_id`` and
     ``offset``.  A null or empty text has the one id ``end``.
     """
-    return pack(token_pieces(docs, tokenizer, limit, end, with_ids, id_col, text_col), limit=limit)
+    max_loss = max(1, limit * LOSS_SIXTEENTHS // 16)
+    return pack(token_pieces(docs, tokenizer, limit, end, max_loss, with_ids, id_col, text_col), loss_tokens="loss_tokens", limit=limit, max_loss=max_loss)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewright.llm import decontaminate, ordinal, pitman_yor, secrets
-from framewright.llm.packing import fill, pack
+from framewright.llm.packing import fill, pack, pack_documents
 from framewright.llm.quality import fit_quality, quality
 from framewright.llm.queries import QUERIES
 from framewright.llm.toxicity import fit_toxicity, toxicity
@@ -177,13 +177,26 @@ def test_pieces_cover_documents_and_sequences_have_no_gaps(spark, tables):
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
     by = collections.defaultdict(list)
     for r in rows:
-        by[r.sequence_id].append((r.offset, r.length))
+        by[r.sequence_id].append((r.offset, r.length, r.loss_tokens))
+        assert r.loss_tokens < r.length or r.start + r.length < r.doc_tokens
     for parts in by.values():
         at = 0
-        for offset, length in sorted(parts):
+        for offset, length, _ in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 4096
+        assert at <= 4096 and sum(x[2] for x in parts) <= 3840 and len(parts) <= 128
+
+
+def test_loss_bearing_tokens_limit_sequences_of_plain_words(spark):
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(i, "alpha beta gamma " * (100 + 300 * i)) for i in range(12)], DOCS)
+    rows = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
+    loss = collections.Counter()
+    for r in rows:
+        loss[r.sequence_id] += r.loss_tokens
+    assert max(loss.values()) <= 3840 and sum(loss.values()) == sum(3 * (100 + 300 * i) for i in range(12))
+    assert max(loss.values()) > 3600
 
 
 def test_pack_refuses_what_cannot_fit(spark):
