@@ -122,18 +122,18 @@ def _cut(path: str, limit: int, end: int, max_loss: int, with_ids: bool):
                 stop = max(row + 1, int(np.searchsorted(size, (size[row - 1] if row else 0) + STEP_BYTES, "right")))
                 ids, offsets = words.encode(texts[row:stop], end)
                 total = np.diff(offsets)
-                n = -(-total // limit)
-                doc = np.repeat(np.arange(stop - row), n)
-                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * limit
-                length = np.minimum(total[doc] - start, limit)
                 before = np.concatenate(([0], np.cumsum(words.bears_loss[ids])))
-                lossy = lambda: before[offsets[doc] + start + length] - before[offsets[doc] + start]
-                while (heavy := lossy() > max_loss).any():  # such pieces are halved
-                    half = np.where(heavy, length // 2, length)
-                    at = np.repeat(np.arange(len(doc)), 1 + heavy)
-                    second = np.concatenate(([False], at[1:] == at[:-1]))
-                    doc, start, length = doc[at], start[at] + np.where(second, half[at], 0), np.where(second, length[at] - half[at], half[at])
-                begin, loss = offsets[doc] + start, lossy()
+                step = np.full(len(total), limit)
+                while True:
+                    n = -(-total // step)
+                    doc = np.repeat(np.arange(stop - row), n)
+                    start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * step[doc]
+                    length = np.minimum(total[doc] - start, step[doc])
+                    begin = offsets[doc] + start
+                    loss = before[begin + length] - before[begin]
+                    if not (loss > max_loss).any():
+                        break
+                    step[doc[loss > max_loss]] = max_loss  # such documents are cut shorter
                 raw = ids.astype("<u4").data
                 crc = [zlib.crc32(raw[a : a + k]) for a, k in zip(begin.tolist(), length.tolist(), strict=True)]
                 columns = [batch.column(0).take(pa.array(row + doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[doc], loss))]
@@ -152,8 +152,9 @@ def token_pieces(
 ) -> DataFrame:
     """Each document's ids and then ``end``, cut into pieces of ``limit`` ids and a shorter rest.
 
-    A piece with more than ``max_loss`` loss-bearing ids (those of tokens that
-    begin with a letter) is halved until none has.  Columns: ``doc_id, start,
+    Where a piece would have more than ``max_loss`` loss-bearing ids (those of
+    tokens that begin with a letter), the document is cut into pieces of
+    ``max_loss`` ids.  Columns: ``doc_id, start,
     length, ids_crc32, doc_tokens, loss_tokens`` and, if wanted, the ``ids``.  ``tokenizer`` is the path of a tokenizer file that drops white space
     and lower-cases; every executor must have it.
     """

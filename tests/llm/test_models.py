@@ -196,7 +196,7 @@ def test_loss_bearing_tokens_limit_sequences_of_plain_words(spark):
     for r in rows:
         loss[r.sequence_id] += r.loss_tokens
     assert max(loss.values()) <= 3840 and sum(loss.values()) == sum(3 * (100 + 300 * i) for i in range(12))
-    assert max(loss.values()) > 3600
+    assert sum(loss.values()) > 0.9 * 3840 * (len(loss) - 1)
 
 
 def test_pack_refuses_what_cannot_fit(spark):
