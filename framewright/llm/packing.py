@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.tables import Scratch, documents
+from framewright.llm.text import Words, split_words
 
 #: Word parts, and their bytes, that a Python worker remembers the ids of; then it starts over.
 CACHE_WORDS, CACHE_BYTES = 700_000, 32 << 20
@@ -47,15 +47,15 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.bytes = 0
+        self.known, self.code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.n, self.bytes = 0, 0
         self.pool = np.zeros(1 << 20, np.uint32)
         self.used, self.begin = 0, np.zeros(CACHE_WORDS + 1, np.int64)
 
     def learn(self, parts: list[bytes]) -> None:
         """Encodes parts joined by spaces; each token belongs to the part in which it starts."""
         words = [p.decode() for p in parts]
-        n = len(self.index)
+        n = self.n
         while n + len(words) + 1 > len(self.begin):
             self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
         for i in range(0, len(words), JOINED):
@@ -70,38 +70,52 @@ class WordEncoder:
             self.begin[n + i + 1 : n + i + 1 + len(group)] = self.used + np.cumsum(sizes)
             self.used += len(ids)
         self.bytes += sum(map(len, parts))
-        self.index.update(zip(parts, range(n, n + len(parts)), strict=True))
+        self.n += len(parts)
 
     @staticmethod
-    def parts(texts: list[str]) -> list[list[bytes]]:
+    def parts(texts: list[str]) -> Words:
         raw = [t.encode().lower() for t in texts]
         whole = np.frombuffer(b"\n".join(raw), np.uint8)
         side = _SIDE[whole]
         cut = np.flatnonzero((side[1:] + side[:-1] == 3) & (side[1:] > 0) & (side[:-1] > 0)) + 1
-        spaced = np.insert(whole, cut, 0x20).tobytes()
         at = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
-        at += np.searchsorted(cut, at, "right")
-        return [spaced[a:b].split() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
+        spaced = pa.array([np.insert(whole, cut, 0x20).tobytes()], pa.large_binary())
+        (words,) = split_words(spaced)
+        words.offsets = np.searchsorted(words.starts, at + np.searchsorted(cut, at, "right"))
+        return words
+
+    def codes(self, words: Words) -> np.ndarray:
+        """Numbers of parts, by 64-bit hashes; parts not met before are encoded."""
+        value, first, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        if (self.n + len(value) > CACHE_WORDS or self.bytes > CACHE_BYTES) and self.n:
+            self.clear()
+        at = np.searchsorted(self.known, value)
+        new = np.ones(len(value), bool) if not self.n else self.known[np.minimum(at, self.n - 1)] != value
+        if new.any():
+            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)
+            self.code = np.insert(self.code, at[new], np.arange(self.n, self.n + new.sum()))
+            self.known = np.insert(self.known, at[new], value[new])
+            self.learn([words.buf[a:b].tobytes() for a, b in spans])
+        return self.code[np.searchsorted(self.known, value)][of]
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and by text offsets into them."""
-        # the strings of reserved ids in a text are those ids to this tokenizer; such a text is one part
-        words = [[t.encode()] if any(r in t for r in self.reserved) else w for t, w in zip(texts, self.parts(texts), strict=True)]
-        new = set().union(*words).difference(self.index) if words else set()
-        if (len(self.index) + len(new) > CACHE_WORDS or self.bytes > CACHE_BYTES) and self.index:
-            self.clear()
-            new = set().union(*words)
-        if new:
-            self.learn(list(new))
-        find = self.index.__getitem__
-        code = np.fromiter(itertools.chain.from_iterable(map(find, x) for x in words), np.int64, sum(map(len, words)))
+        # the strings of reserved ids in a text are those ids to this tokenizer; such a text is encoded as it is
+        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(r in t for r in self.reserved)}
+        words = self.parts(["" if i in whole else t for i, t in enumerate(texts)])
+        code = self.codes(words)
         at, size = self.begin[code], self.begin[code + 1] - self.begin[code]
-        by_text = np.repeat(np.arange(len(texts)), [len(x) for x in words])
-        offsets = np.concatenate(([0], np.cumsum(np.bincount(by_text, size, len(texts)).astype(np.int64) + 1)))
+        sizes = np.bincount(words.rows_of_words(), size, len(texts)).astype(np.int64)
+        for i, ids in whole.items():
+            sizes[i] = len(ids)
+        offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
         out = np.empty(offsets[-1], np.uint32)
         out[offsets[1:] - 1] = end
         body = np.ones(len(out), bool)
         body[offsets[1:] - 1] = False
+        for i, ids in whole.items():
+            body[offsets[i] : offsets[i + 1]] = False
+            out[offsets[i] : offsets[i + 1] - 1] = ids
         out[body] = self.pool[np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())]
         return out, offsets
 
