@@ -1,14 +1,25 @@
-"""A hierarchical Pitman-Yor language model over words, seated by Gibbs sampling and scored in one exchange.
+"""A hierarchical Pitman-Yor language model over words, seated by Gibbs sampling.
 
 Every previous word is a restaurant; all of them share one parent, whose base is
 uniform over the vocabulary and one unknown word.  Work is dealt in two ways:
 documents into segments, and words or pairs of words into buckets by their
 hashes.  Segments send each bucket their distinct words or pairs, packed in
 arrays, and get numbers back in the same order.
+
+The sampler makes every step a set of independent exact draws, so that it may be
+dealt over tasks in any way.  A restaurant with ``T`` tables gets a variable
+``g ~ Gamma(strength / discount + T)``; the parent's distribution is drawn from
+its seating (Dirichlet).  Given both, the numbers of tables of its dishes are
+independent: ``P(t) ~ S(c, t) (discount * g * H)**t`` for ``c`` customers, where
+``S`` is the generalized Stirling number and ``H`` the dish's share in the parent.
+All restaurants are drawn so, their tables become the parent's customers, the
+parent is drawn the same way from its uniform base, and the next sweep begins.
 """
 
 from __future__ import annotations
 
+import functools
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,9 +33,10 @@ from framewright.llm.text import U, mix64, split_words
 
 BEGIN, END = (int(x) for x in mix64(np.array([0xB0, 0xE0], np.uint64)))
 #: Bytes of the hashes that travel with a pair: of the word (which must differ within one restaurant) and of its restaurant.
-PAIR_BYTES, ROOM_BYTES = 5, 6
-#: Log10 probabilities travel as whole numbers of this many parts of one (16 bits, so down to 10**-16).
-PARTS = 2000
+PAIR_BYTES, ROOM_BYTES = 6, 6
+#: Log10 probabilities travel as whole numbers of this many parts of one.
+PARTS = 1 << 16
+ALL = (1 << 64) - 1
 LOW, ROOM = U((1 << 8 * PAIR_BYTES) - 1), U((1 << 8 * ROOM_BYTES) - 1)
 
 
@@ -55,13 +67,12 @@ class Layout:
 
 @dataclass
 class Seats:
-    """Discounts and strengths of the restaurants (index 0) and their parent (1), and the Gibbs sweeps."""
+    """Discounts and strengths of the restaurants (index 0) and their parent (1); sweeps, and how many of the last are averaged."""
 
     discount: tuple[float, float] = (0.8, 0.6)
     strength: tuple[float, float] = (2.0, 1.0)
-    sweeps: int = 6
-    burn_in: int = 2
-    parts: int = 64
+    sweeps: int = 5
+    kept: int = 3
 
 
 def _pack(x: np.ndarray, width: int = PAIR_BYTES) -> bytes:
@@ -162,7 +173,7 @@ def _pairs_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _merge(u: np.ndarray, v: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct pairs with their counts, by context, and each row's place among them."""
     rank = _distinct(u)[1].astype(np.uint64)
-    small = len(rank) < 1 << (64 - 8 * PAIR_BYTES)
+    small = not len(rank) or int(rank.max()) < 1 << (64 - 8 * PAIR_BYTES)
     order = np.argsort((rank << U(8 * PAIR_BYTES)) | v) if small else np.lexsort((v, u))
     a, b = u[order], v[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
@@ -186,8 +197,116 @@ def _learn(layout: Layout, batch_limit: int = 1 << 23):
     return run
 
 
-def _first_seating(layout: Layout, watched: np.ndarray):
-    """Every dish gets one table at first; words learn of their tables (of any asked for, so that all are answered). Slices of large restaurants are put down whole: restaurant and dishes, customers."""
+#: Counts with a row of their own and numbers of tables with a column in ``stirling``; rows to an octave beyond, and octaves.
+OWN_ROWS, COLUMNS, PER_OCTAVE, OCTAVES = 1024, 512, 64, 32
+
+
+@functools.cache
+def stirling(d: float) -> np.ndarray:
+    """``S(c, t - 1) / S(c, t)`` by row of ``c`` (see ``_row``) and column ``t``; infinite where ``t`` exceeds ``c``.
+
+    ``S`` are the generalized Stirling numbers of discount ``d``.  Up to
+    ``OWN_ROWS`` their recurrence gives every row; beyond, the recurrence as a
+    differential equation in ``c``, each column relaxing towards its neighbour.
+    """
+    out = np.full((OWN_ROWS + 1 + PER_OCTAVE * OCTAVES, COLUMNS + 1), np.inf)
+    out[:, 1] = 0
+    for n in range(1, OWN_ROWS):
+        t = np.arange(2, min(n, COLUMNS) + 1)
+        out[n + 1, t] = out[n, t] * (n - d * (t - 1) + out[n, t - 1]) / (n - d * t + out[n, t])
+        if n < COLUMNS:
+            out[n + 1, n + 1] = out[n, n] + n * (1 - d)
+    t, y, n, parts = np.arange(2, COLUMNS + 1), out[OWN_ROWS, 2:].copy(), float(OWN_ROWS), 4
+
+    def moved(left: np.ndarray, own: np.ndarray, a: float, b: float) -> np.ndarray:
+        time, goal = (b - a) / ((a + b) / 2 - 0.5 - d * t + own), left + d
+        return goal / (1 + (goal / y - 1) * np.exp(-goal * time))
+
+    for k in range(PER_OCTAVE * OCTAVES):
+        for _ in range(parts):
+            m = n * 2 ** (1 / PER_OCTAVE / parts)
+            left = np.concatenate(([0.0], y[:-1]))
+            guess = moved(left, y, n, m)
+            y, n = moved((left + np.concatenate(([0.0], guess[:-1]))) / 2, (y + guess) / 2, n, m), m
+        out[OWN_ROWS + 1 + k, 2:] = y
+    return out.astype(np.float32)
+
+
+def _row(count: np.ndarray) -> np.ndarray:
+    beyond = OWN_ROWS + np.rint(np.log2(np.maximum(count, OWN_ROWS) / OWN_ROWS) * PER_OCTAVE)
+    return np.where(count <= OWN_ROWS, count, np.minimum(beyond, OWN_ROWS + PER_OCTAVE * OCTAVES)).astype(np.int64)
+
+
+def _typical(count: np.ndarray, weight: np.ndarray, d: float) -> np.ndarray:
+    """The most likely number of tables where it is large: the saddle point of the Stirling numbers' generating function."""
+    low, high = np.full(len(count), -700.0), np.full(len(count), -1e-12)
+    for _ in range(64):
+        e = (low + high) / 2
+        more = np.log(count) + (1 - d) * e - np.log(-np.expm1(e)) < np.log(weight)
+        low, high = np.where(more, e, low), np.where(more, high, e)
+    return weight * -np.expm1(d * low) / d
+
+
+def draw_tables(count: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Numbers of tables, each with ``P(t) ~ S(count, t) weight**t``.
+
+    All numbers are tried from one upward; each replaces the one chosen before
+    with its share of the weights so far, until what is left is beyond double
+    precision.  Where hundreds of tables are typical, the distribution is normal
+    to that precision; its variance is the derivative of its mean.
+    """
+    out = np.minimum(count, 1).astype(float)
+    busy = np.flatnonzero(count > 1)
+    c, x, y = count[busy], weight[busy], stirling(d)
+    row, choice = _row(c), np.ones(len(busy))
+    far = (c > COLUMNS) & (x > y[row, COLUMNS // 2])
+    if far.any():
+        mean = _typical(c[far], x[far], d)
+        spread = np.sqrt(np.maximum(_typical(c[far], x[far] * 1.01, d) - _typical(c[far], x[far] / 1.01, d), 0) / (2 * np.log(1.01)))
+        choice[far] = np.clip(np.rint(mean + spread * rng.standard_normal(len(mean))), 1, c[far])
+    live = np.flatnonzero(~far)
+    own, total, last = np.ones(len(live)), np.ones(len(live)), np.minimum(c[live], COLUMNS)
+    for t in range(2, COLUMNS + 1):
+        if not len(live):
+            break
+        ratio = x[live] / y[row[live], t]
+        own *= ratio
+        total += own
+        choice[live[rng.random(len(live)) * total < own]] = t
+        large = total > 1e200
+        own[large], total[large] = own[large] * 1e-200, total[large] * 1e-200
+        on = (t < last) & ((ratio > 1) | (own > 1e-15 * total))
+        live, own, total, last = live[on], own[on], total[on], last[on]
+    out[busy] = choice
+    return out
+
+
+STATE = pa.schema([("bucket", pa.int64()), ("source", pa.int64()), ("word", pa.binary()), ("count", pa.binary()), ("blob", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64())])
+STATE_SQL = "bucket long, source long, word binary, count binary, blob binary, total long, kinds long"
+#: Sources that are no buckets: words' counts, a bucket's own dishes, customers of sliced restaurants.
+WORDS, OWN, GUESTS = -1, -2, -3
+
+
+def _by_parent(layout: Layout, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words in the order in which parents are asked, their parents, and each item's place among them."""
+    word, of = np.unique(v, return_inverse=True)
+    to = layout.of_parents(word)
+    order = np.lexsort((word, to))
+    place = np.empty(len(word), np.int64)
+    place[order] = np.arange(len(word))
+    return word[order], to[order], place[of]
+
+
+def _rooms(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    head = np.concatenate(([True], u[1:] != u[:-1])) if len(u) else np.zeros(0, bool)
+    return u[head], np.cumsum(head) - 1
+
+
+def _count_up(layout: Layout, large: np.ndarray):
+    """Counts of words; of pairs, the dishes of several customers, and what each parent bucket is told of the single ones.
+
+    Words that nobody trained on are told too, so that they will be answered.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -198,208 +317,171 @@ def _first_seating(layout: Layout, watched: np.ndarray):
             value, of = np.unique(w, return_inverse=True)
             c = np.bincount(of, np.concatenate([_expand(r["count"], "<u4", len(r["word"]) // 8) for r in rows]).astype(float)).astype(np.int64)
             value, c = value[c > 0], c[c > 0]
-            out.append({"bucket": bucket, "source": -1, "word": value.tobytes(), "count": c.astype("<u8").tobytes(), "total": int(c.sum()), "kinds": len(value)})
+            out.append({"bucket": bucket, "source": WORDS, "word": value.tobytes(), "count": c.astype("<u8").tobytes(), "total": int(c.sum()), "kinds": len(value)})
         else:
             u, v, count, _ = _merge(*_pairs_of(rows))
-            for x in watched[np.isin(watched, u)]:
-                at = (u == x) & (count > 0)
-                out.append({"bucket": -1, "source": bucket, "word": x.tobytes() + _pack(v[at]), "count": count[at].astype("<u4").tobytes(), "total": int(count[at].sum()), "kinds": int(at.sum())})
-            word, of = np.unique(v, return_inverse=True)
-            tables = np.bincount(of, count > 0, len(word)).astype(np.int64)
-            to = layout.of_parents(word)
-            order = np.lexsort((word, to))
-            word, tables, to = word[order], tables[order], to[order]
+            word, to, place = _by_parent(layout, v)
+            single, dishes = np.bincount(place, count == 1, len(word)).astype("<u4"), np.bincount(place, count > 0, len(word)).astype("<u4")
             cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                out.append({"bucket": int(to[a]), "source": bucket, "word": _pack(word[a:b]), "count": tables[a:b].astype("<u4").tobytes(), "total": int(tables[a:b].sum()), "kinds": 0})
+                out.append({"bucket": int(to[a]), "source": bucket, "word": _pack(word[a:b]), "blob": pickle.dumps((single[a:b], dishes[a:b])), "total": 0, "kinds": 0})
+            rooms, of = _rooms(u)
+            at = np.flatnonzero(count > 1)
+            used, room = np.unique(of[at], return_inverse=True)
+            ones = np.bincount(of, count == 1, len(rooms))[used].astype("<u4")
+            out.append({"bucket": bucket, "source": OWN, "blob": pickle.dumps((rooms[used], ones, room.astype("<u4"), place[at].astype("<u4"), count[at].astype("<u4"))), "total": 0, "kinds": 0})
+            for k in np.flatnonzero(np.isin(rooms, large)):
+                own = of == k
+                out.append({"bucket": GUESTS, "source": int(rooms[k]), "total": int(count[own].sum()), "kinds": int((count[own] > 0).sum())})
         return pa.Table.from_pylist(out, STATE)
 
     return run
 
 
-STATE = pa.schema([("bucket", pa.int64()), ("source", pa.int64()), ("word", pa.binary()), ("count", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64())])
-STATE_SQL = "bucket long, source long, word binary, count binary, total long, kinds long"
-
-
-def seat(count: np.ndarray, base: np.ndarray, room: np.ndarray, tables: np.ndarray, discount: float, strength: float, parts: int, rng: np.random.Generator) -> np.ndarray:
-    """Gibbs step by dish: all customers of a dish leave and are seated again, given the other dishes' tables.
-
-    A customer opens a table with probability proportional to
-    ``(strength + discount * tables of the restaurant) * base`` and joins one with
-    ``customers - discount * tables`` of the dish.  ``room`` holds the restaurant's
-    tables.  Customers come one by one until ``2 * parts`` of a dish sit, then in
-    parties of one part in ``parts`` of those who sit, whose new tables are drawn
-    together at the probability half-way: steps grow with the logarithm of the count.
-    """
-    other = room - tables
-    t = np.minimum(count, 1).astype(float)
-    live, n = np.flatnonzero(count > 1), 1  # all dishes still open have the same number of customers
-    while len(live):
-        size = np.minimum(max(n // parts, 1), count[live] - n)
-        fresh = (strength + discount * (other[live] + t[live])) * base[live]
-        p = fresh / (fresh + n + (size - 1) / 2 - discount * t[live])
-        t[live] += rng.binomial(size, np.clip(p, 0, 1))
-        n += max(n // parts, 1)
-        live = live[count[live] > n]
-    return t
-
-
-def _sweep(seats: Seats, level: int, count: np.ndarray, base: np.ndarray, room: np.ndarray, tables: np.ndarray, *seed: int) -> np.ndarray:
-    """One sweep over dishes; ``room`` is their restaurant's tables before it. The same seed (bucket, restaurant, sweep) gives the same tables."""
-    t, busy = tables.copy(), count > 1
-    t[busy] = seat(count[busy], base[busy], room[busy], t[busy], seats.discount[level], seats.strength[level], seats.parts, np.random.default_rng(seed))
-    return t
+#: What parents and restaurants tell each other in a sweep.
+SWEEP = pa.schema([("bucket", pa.int64()), ("source", pa.int64()), ("sweep", pa.int64()), ("blob", pa.binary()), ("tables", pa.float64()), ("customers", pa.float64()), ("mass", pa.float64())])
+SWEEP_SQL = "bucket long, source long, sweep long, blob binary, tables double, customers double, mass double"
 
 
-def _parent_dishes(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a parent bucket, their customers, and the place among them of each word of the rows."""
-    value, of = np.unique(np.concatenate([_unpack(r["word"]) for r in rows]), return_inverse=True)
-    return value, np.bincount(of, np.concatenate([np.frombuffer(r["count"], "<u4") for r in rows]).astype(float)).astype(np.int64), of
-
-
-#: Slices of restaurants between sweeps, each with its customers, base and tables by dish.
-SLICE = pa.schema([("bucket", pa.int64()), ("room", pa.int64()), ("count", pa.binary()), ("base", pa.binary()), ("tables", pa.binary()), ("seated", pa.int64())])
-SLICE_SQL = "bucket long, room long, count binary, base binary, tables binary, seated long"
-
-
-def _slice(bucket: int, room: int, count: np.ndarray, base: np.ndarray, t: np.ndarray) -> dict:
-    return {"bucket": bucket, "room": room, "count": count.astype("<u4").tobytes(), "base": base.astype("<f8").tobytes(), "tables": t.astype("<u4").tobytes(), "seated": int(t.sum())}
-
-
-def _parent_slices(vocabulary: int):
-    """A parent bucket as a slice of the parent (restaurant 0)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        _, c, _ = _parent_dishes(rows)
-        return pa.Table.from_pylist([_slice(rows[0]["bucket"], 0, c, np.full(len(c), 1 / (vocabulary + 1)), np.minimum(c, 1))], SLICE)
+@dataclass
+class Parent:
+    """The whole parent after a draw: tables, customers, and the drawn masses of its words and of all that is new."""
 
-    return run
+    tables: float
+    customers: float
+    mass: float = 0.0
+    rest: float = 0.0
 
 
-def _large_slices(unknown: float):
-    """The slices of large restaurants in a bucket, with the base of their dishes."""
+def _draw_parent(seats: Seats, sweep: int, vocabulary: int, before: float):
+    """Seats restaurants' tables in a bucket of their parent, whose tables were ``before``; tells customers less discounted tables, and drawn masses."""
+    d, s = seats.discount[1], seats.strength[1]
+    g = np.random.default_rng((sweep, 0xA)).gamma(s / d + before)  # the same in all buckets
 
-    def run(slices: pa.Table, known: pa.Table) -> pa.Table:
-        rows, base = slices.to_pylist(), _bases(known.to_pylist(), unknown) if slices.num_rows else None
-        out = []
+    def run(links: pa.Table, told: pa.Table) -> pa.Table:
+        rows = sorted(links.to_pylist(), key=lambda r: r["source"])
+        if not rows:
+            return pa.Table.from_pylist([], SWEEP)
+        tables = {r["source"]: np.frombuffer(r["blob"], "<u4") for r in told.to_pylist()}
+        _, of = np.unique(np.concatenate([_unpack(r["word"]) for r in rows]), return_inverse=True)
+        more = []
         for r in rows:
-            count = np.frombuffer(r["count"], "<u4").astype(np.int64)
-            out.append(_slice(r["source"], int.from_bytes(r["word"][:8], "little"), count, base(_unpack(r["word"][8:])), np.ones(len(count))))
-        return pa.Table.from_pylist(out, SLICE)
+            single, dishes = pickle.loads(r["blob"])
+            more.append(single + tables[r["source"]] if r["source"] in tables else dishes)
+        c = np.bincount(of, np.concatenate(more).astype(float)).astype(np.int64)
+        bucket = int(rows[0]["bucket"])
+        rng = np.random.default_rng((bucket, sweep, 0xB))
+        t = draw_tables(c, np.full(len(c), d * g / (vocabulary + 1)), d, rng)
+        left = c - d * t
+        mass = rng.gamma(left)
+        at = np.concatenate(([0], np.cumsum([len(r["word"]) // PAIR_BYTES for r in rows])))
+        total = {"tables": float(t.sum()), "customers": float(c.sum()), "mass": float(mass.sum())}
+        return pa.Table.from_pylist([
+            {"bucket": r["source"], "source": bucket, "sweep": sweep, "blob": np.stack((left[of[a:b]], mass[of[a:b]])).astype("<f4").tobytes()} | (total if a == 0 else dict.fromkeys(total, 0.0))
+            for r, a, b in zip(rows, at, at[1:], strict=False)], SWEEP)
 
     return run
 
 
-def _bases(known: list[dict], unknown: float):
-    """A function that gives words their probability in the parent."""
-    words = np.concatenate([_unpack(r["word"]) for r in known]) if known else np.zeros(0, np.uint64)
-    value = np.concatenate([np.frombuffer(r["value"], "<f4") for r in known]) if known else np.zeros(0, np.float32)
-    order = np.argsort(words)
-    words, value = words[order], value[order].astype(float)
-
-    def of(v: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(words, v), max(len(words) - 1, 0))
-        return unknown + (np.where(words[at] == v, value[at], 0.0) if len(words) else np.zeros(len(v)))
+def _heard(known: list[dict], sweep: int) -> np.ndarray:
+    """What the parents told a bucket: by word, customers less discounted tables, and masses."""
+    rows = sorted((r for r in known if r["source"] >= 0 and r["sweep"] == sweep), key=lambda r: r["source"])
+    return np.concatenate([np.frombuffer(r["blob"], "<f4").reshape(2, -1) for r in rows], axis=1).astype(float) if rows else np.zeros((2, 0))
 
-    return of
 
+def _draw_rooms(seats: Seats, sweep: int, vocabulary: int, parent: Parent, large: dict[int, float]):
+    """Seats the dishes of a bucket, given the parent; tells the parents how many tables each word has. ``large`` has the tables of whole sliced restaurants."""
+    d, s = seats.discount[0], seats.strength[0]
 
-def _reseat(seats: Seats, level: int, sweep: int, rooms: dict[int, list[int]]):
-    """One sweep over slices, given the tables of each whole restaurant before it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = batch.slice(i, 1).to_pylist()[0]
-                count, base, t = np.frombuffer(r["count"], "<u4").astype(np.int64), np.frombuffer(r["base"], "<f8"), np.frombuffer(r["tables"], "<u4").astype(float)
-                t = _sweep(seats, level, count, base, np.full(len(t), float(rooms[r["room"]][sweep])), t, r["bucket"], r["room"], sweep)
-                yield pa.RecordBatch.from_pylist([_slice(r["bucket"], r["room"], count, base, t)], SLICE)
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+        rows, known = own.to_pylist(), known.to_pylist()
+        if not rows:
+            return pa.Table.from_pylist([], SWEEP)
+        bucket = int(rows[0]["bucket"])
+        rooms, ones, room, place, count = pickle.loads(rows[0]["blob"])
+        mass = _heard(known, sweep)[1]
+        before = [np.frombuffer(r["blob"], "<u4") for r in known if r["source"] == OWN]
+        t = before[0] if before else np.ones(len(count))
+        tables = ones + np.bincount(room, t, len(rooms))
+        rng = np.random.default_rng((bucket, sweep, 0xC))
+        g = rng.gamma(s / d + tables)
+        whole = [(k, int(x)) for k, x in enumerate(rooms.tolist()) if x in large]
+        for k, x in whole:  # the same in all slices
+            g[k] = np.random.default_rng((x, sweep, 0xD)).gamma(s / d + large[x])
+        share = (mass[place] + parent.rest / (vocabulary + 1)) / (parent.mass + parent.rest)
+        t = draw_tables(count.astype(np.int64), d * g[room] * share, d, rng)
+        out = [{"bucket": bucket, "source": OWN, "sweep": sweep, "blob": t.astype("<u4").tobytes()}]
+        by_word, at = np.bincount(place, t, len(mass)), 0
+        for r in sorted((r for r in known if r["source"] >= 0), key=lambda r: r["source"]):
+            n = len(r["blob"]) // 8
+            out.append({"bucket": r["source"], "source": bucket, "sweep": sweep, "blob": by_word[at : at + n].astype("<u4").tobytes()})
+            at += n
+        seated = ones + np.bincount(room, t, len(rooms))
+        out += [{"bucket": GUESTS, "source": x, "sweep": sweep, "tables": float(seated[k] - tables[k])} for k, x in whole]
+        return pa.Table.from_pylist(out, SWEEP)
 
     return run
 
 
-def sampled_rooms(slices: DataFrame, seats: Seats, level: int, scratch: Scratch) -> dict[int, list[int]]:
-    """Tables of each sliced restaurant before the first sweep and after every sweep, added up over its slices between sweeps."""
-    slices, rooms = scratch.keep(slices), {}
-    for sweep in range(seats.sweeps + 1):
-        for r in slices.groupBy("room").agg(F.sum("seated").alias("t")).collect():  # one row a large restaurant
-            rooms.setdefault(r["room"], []).append(r["t"])
-        if sweep < seats.sweeps:
-            before, slices = slices, scratch.keep(slices.mapInArrow(_reseat(seats, level, sweep, rooms), SLICE_SQL))
-            scratch.drop(before)
-    scratch.drop(slices)
-    return rooms
-
-
-def _parent(layout: Layout, seats: Seats, customers: int, vocabulary: int, rooms: list[int] | None = None):
-    """Seats the tables of all restaurants in their parent; answers each bucket with what words have beyond the base's share.
+@dataclass
+class Sample:
+    """A state of the sampler: the parent, and the tables of whole sliced restaurants; the rest is in ``rows`` by bucket."""
 
-    ``rooms`` are the whole parent's tables before each sweep (default: this bucket is all of it).
-    """
+    parent: Parent
+    large: dict[int, float]
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        _, c, of = _parent_dishes(rows)
-        d, s = seats.discount[1], seats.strength[1]
-        base = np.full(len(c), 1 / (vocabulary + 1))
-        t, mean = np.minimum(c, 1).astype(float), np.zeros(len(c))
-        for sweep in range(seats.sweeps):
-            t = _sweep(seats, 1, c, base, np.full(len(c), float(rooms[sweep] if rooms else t.sum())), t, int(rows[0]["bucket"]), 0, sweep)
-            mean += t * (sweep >= seats.burn_in)
-        mean /= seats.sweeps - seats.burn_in
-        p = ((c - d * mean) / (s + customers)).astype("<f4")
-        at = np.concatenate(([0], np.cumsum([len(r["word"]) // PAIR_BYTES for r in rows])))
-        return pa.Table.from_pylist(
-            [{"bucket": r["source"], "word": r["word"], "value": p[of[a:b]].tobytes(), "tables": float(mean.sum()) if a == 0 else 0.0} for r, a, b in zip(rows, at, at[1:], strict=False)], ANSWER)
 
-    return run
+def sample(state: DataFrame, layout: Layout, seats: Seats, vocabulary: int, scratch: Scratch) -> tuple[dict[int, Sample], DataFrame]:
+    """The last ``seats.kept`` states of the sampler by sweep, and what buckets must know of them."""
+    links, own = state.filter("source >= 0 and bucket >= 0"), state.filter(F.col("source") == OWN)
+    large = {r["source"]: float(r["t"]) for r in state.filter(F.col("bucket") == GUESTS).groupBy("source").agg(F.sum("kinds").alias("t")).collect()}  # one table a dish at first
+    told, tables, samples, rows, empty = None, float(vocabulary), {}, [], state.sparkSession.createDataFrame([], SWEEP_SQL)
+    for sweep in range(seats.sweeps + 1):
+        to_parents = empty if told is None else told.filter(F.col("bucket") >= 0).filter("source >= 0")
+        heard = scratch.keep(links.groupBy("bucket").cogroup(to_parents.groupBy("bucket")).applyInArrow(_draw_parent(seats, sweep, vocabulary, tables), SWEEP_SQL))
+        sums = heard.agg(F.sum("tables").alias("t"), F.sum("customers").alias("c"), F.sum("mass").alias("m")).first()
+        tables = sums["t"] or 0.0
+        rest = np.random.default_rng((sweep, 0xE)).gamma(seats.strength[1] + seats.discount[1] * tables)
+        parent = Parent(tables, sums["c"] or 0.0, sums["m"] or 0.0, float(rest))
+        mine = empty if told is None else told.filter(F.col("source") == OWN)
+        if sweep > seats.sweeps - seats.kept:  # the restaurants' tables that are now the parent's customers
+            samples[sweep] = Sample(parent, dict(large))
+            rows += [heard, mine.withColumn("sweep", F.lit(sweep).cast("long"))]
+        if sweep < seats.sweeps:
+            known = heard.unionByName(mine)
+            told = scratch.keep(own.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_draw_rooms(seats, sweep, vocabulary, parent, large), SWEEP_SQL))
+            for r in told.filter(F.col("bucket") == GUESTS).groupBy("source").agg(F.sum("tables").alias("t")).collect():
+                large[r["source"]] += r["t"]
+    return samples, functools.reduce(DataFrame.unionByName, rows)
 
 
-ANSWER = pa.schema([("bucket", pa.int64()), ("word", pa.binary()), ("value", pa.binary()), ("tables", pa.float64())])
-ANSWER_SQL = "bucket long, word binary, value binary, tables double"
 REPLY = pa.schema([("segment", pa.int64()), ("bucket", pa.int64()), ("value", pa.binary())])
 REPLY_SQL = "segment long, bucket long, value binary"
 
 
-def _answer(layout: Layout, seats: Seats, large: dict[int, tuple[int, list[int]]], unknown: float):
-    """Probabilities of the pairs asked for, from seatings of this bucket's restaurants; counts of the words asked for.
-
-    ``large`` has the customers of each sliced restaurant and its sampled tables
-    before and after every sweep, all slices together; its slices are seated here
-    once more with the same draws, so those tables are theirs.
-    """
+def _answer(layout: Layout, seats: Seats, vocabulary: int, samples: dict[int, Sample], guests: dict[int, int]):
+    """Mean probabilities, over the samples, of the pairs asked for; counts of the words asked for. ``guests`` are the customers of whole sliced restaurants."""
+    (d, d0), (s, s0) = seats.discount, seats.strength
 
     def pairs(rows: list[dict], known: list[dict]) -> np.ndarray:
-        u, v, count, place = _merge(*_pairs_of(rows))
-        base = _bases(known, unknown)(v)
-        head = np.concatenate(([True], u[1:] != u[:-1])) if len(u) else np.zeros(0, bool)
-        room_of = np.cumsum(head) - 1
-        rooms = u[head]
-        n = np.bincount(room_of, count, len(rooms))
-        held, whole = count > 0, {}  # places of sliced restaurants among the rooms, and their tables
-        for x, (total, tables) in large.items():
-            k = np.searchsorted(rooms, U(x))
-            if k < len(rooms) and rooms[k] == U(x):
-                n[k], whole[int(k)] = total, tables
-        d, s = seats.discount[0], seats.strength[0]
-        bucket = int(rows[0]["bucket"])
-        own = np.flatnonzero(held & ~np.isin(room_of, list(whole)))
-        slices = [(int(rooms[k]), np.flatnonzero(held & (room_of == k))) for k in whole]
-        t, mean = held.astype(float), np.zeros(len(u))
-        for sweep in range(seats.sweeps):
-            room = np.bincount(room_of, t, len(rooms))
-            for k, tables in whole.items():
-                room[k] = tables[sweep]
-            for x, at in [(0, own), *slices]:
-                t[at] = _sweep(seats, 0, count[at], base[at], room[room_of[at]], t[at], bucket, x, sweep)
-            mean += t * (sweep >= seats.burn_in)
-        mean /= seats.sweeps - seats.burn_in
-        room = np.bincount(room_of, mean, len(rooms))
-        for k, tables in whole.items():
-            room[k] = np.mean(tables[seats.burn_in + 1:])
-        p = np.where(n[room_of] > 0, (count - d * mean + (s + d * room[room_of]) * base) / (s + n[room_of]), base)
-        return np.rint(np.maximum(np.log10(p), -16) * PARTS).astype("<i2")[place]
+        u, v, count, back = _merge(*_pairs_of(rows))
+        place = _by_parent(layout, v)[2]
+        rooms, room = _rooms(u)
+        n = np.bincount(room, count, len(rooms))
+        whole = [(k, x) for k, x in enumerate(rooms.tolist()) if x in guests]
+        for k, x in whole:
+            n[k] = guests[x]
+        mean = np.zeros(len(u))
+        for sweep, one in samples.items():
+            left = _heard(known, sweep)[0]
+            base = (left[place] + (s0 + d0 * one.parent.tables) / (vocabulary + 1)) / (s0 + one.parent.customers)
+            t = np.minimum(count, 1).astype(float)
+            t[count > 1] = next(np.frombuffer(r["blob"], "<u4") for r in known if r["source"] == OWN and r["sweep"] == sweep)
+            tables = np.bincount(room, t, len(rooms))
+            for k, x in whole:
+                tables[k] = one.large[x]
+            mean += np.where(n[room] > 0, (count - d * t + (s + d * tables[room]) * base) / (s + n[room]), base)
+        return np.rint(-np.log10(mean / len(samples)) * PARTS).astype("<u4")[back]
 
     def run(asked: pa.Table, known: pa.Table) -> pa.Table:
         rows, known = asked.to_pylist(), known.to_pylist()
@@ -409,7 +491,7 @@ def _answer(layout: Layout, seats: Seats, large: dict[int, tuple[int, list[int]]
             values, width = pairs(rows, known), PAIR_BYTES
         else:
             words = np.concatenate([np.frombuffer(r["word"], "<u8") for r in known]) if known else np.zeros(0, np.uint64)
-            counts = np.concatenate([np.frombuffer(r["value"], "<u8") for r in known]) if known else np.zeros(0, np.uint64)
+            counts = np.concatenate([np.frombuffer(r["blob"], "<u8") for r in known]) if known else np.zeros(0, np.uint64)
             order = np.argsort(words)
             words, counts = words[order], counts[order]
             v = np.concatenate([np.frombuffer(r["word"], "<u8") for r in rows])
@@ -435,12 +517,12 @@ def _sum_up(layout: Layout, total: int, vocabulary: int):
         tokens = Tokens(docs["text"])
         asked = Asked(tokens, docs["learn"].to_numpy(), layout)
         by_bucket = dict(zip(replies["bucket"].to_pylist(), replies["value"].to_pylist(), strict=True))
-        pair, word = np.zeros(asked.n_pairs, np.float32), np.zeros(len(asked.w), np.int64)
+        pair, word = np.zeros(asked.n_pairs), np.zeros(len(asked.w), np.int64)
         cut = np.flatnonzero(np.concatenate(([True], asked.bucket[1:] != asked.bucket[:-1], [True]))) if len(asked.bucket) else []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             at, raw = asked.order[a:b], by_bucket[int(asked.bucket[a])]
             if at[0] < asked.n_pairs:
-                pair[at] = _expand(raw, "<i2", b - a).astype(np.float32) / PARTS
+                pair[at] = _expand(raw, "<u4", b - a) / -PARTS
             else:
                 word[at - asked.n_pairs] = _expand(raw, "<u8", b - a)
         c = word[asked.word_of]
@@ -448,7 +530,7 @@ def _sum_up(layout: Layout, total: int, vocabulary: int):
         return pa.table({
             "doc_id": docs["doc_id"], "held_out": pa.array(~docs["learn"].to_numpy()), "n_tokens": pa.array(tokens.counts),
             "n_known": pa.array(by_doc((c > 0).astype(np.int64))), "train_tokens": pa.array(np.full(docs.num_rows, total)),
-            "base_score": pa.array(by_doc(np.log10((c + 1) / (total + vocabulary + 1)))), "score": pa.array(by_doc(pair[asked.pair_of].astype(float)))})
+            "base_score": pa.array(by_doc(np.log10((c + 1) / (total + vocabulary + 1)))), "score": pa.array(by_doc(pair[asked.pair_of]))})
 
     return run
 
@@ -475,17 +557,14 @@ def score_texts(
     One row per input row: ``doc_id, held_out, n_tokens`` (words and one end),
     ``n_known`` (of them, seen in training), ``train_tokens``, ``base_score``
     (add-one unigram) and ``score`` (the hierarchical Pitman-Yor model: bigram
-    restaurants with one parent).  Seatings: each dish starts at one table; the
-    parent's seating of those tables is sampled, then that of every restaurant,
-    and probabilities are means over the sweeps after burn-in.
+    restaurants with one parent; probabilities are means over the last samples).
 
     Restaurants of words with ``large_share`` of all tokens or more (so at most
-    ``1 / large_share`` of them) are cut into slices by the next word; their
-    customers and, before every sweep, their sampled tables are known to every
-    slice, and so are the parent's to its buckets: a sliced restaurant is seated
-    as a whole one is.  Buckets and segments grow in number, not
-    size.  Null and empty texts are one end token.  A null ``learn`` learns; null
-    ids are segment-mates, repeated rows count each.  Without training rows all
+    ``1 / large_share`` of them), and the one of text beginnings, are cut into
+    slices by the next word; their customers and tables are added up over the
+    slices, which is all that their dishes need to know of each other.  Buckets and
+    segments grow in number, not size.  Null and empty texts are one end token.  A
+    null ``learn`` learns; repeated rows count each.  Without training rows all
     scores are 0.  An empty table gives an empty result.
     """
     seats = seats or Seats()
@@ -498,34 +577,25 @@ def score_texts(
     layout = Layout(max(1, -(-n // bucket_tokens)), max(1, -(-n // (4 * bucket_tokens))))
     for row in often.filter(F.col("word").isNotNull() & (F.col("n") >= large_share * n)).collect():
         cut = -(-2 * row["n"] * layout.pairs // n)
+        word = BEGIN if row["word"] & ALL == END else row["word"]  # there are as many beginnings as ends
         if cut > 1:
-            layout.slices[row["word"] & int(ROOM)] = cut
-    watched = np.array(sorted(layout.slices), np.uint64)
+            layout.slices[word & int(ROOM)] = cut
+    large = np.array(sorted(layout.slices), np.uint64)
 
-    state = scratch.keep(docs.select("text", "learn").mapInArrow(_learn(layout), MESSAGE_SQL).groupBy("bucket").applyInArrow(_first_seating(layout, watched), STATE_SQL))
+    state = scratch.keep(docs.select("text", "learn").mapInArrow(_learn(layout), MESSAGE_SQL).groupBy("bucket").applyInArrow(_count_up(layout, large), STATE_SQL))
     free_shuffles(docs.sparkSession)
-    words = state.filter("source = -1")
+    words = state.filter(F.col("source") == WORDS)
     sums = words.agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
     total, vocabulary = sums["n"] or 0, sums["v"] or 0
-    parents = state.filter(F.col("bucket") >= layout.pairs + layout.words)
-    customers = parents.agg(F.sum("total").alias("c")).first()["c"] or 0
-    whole = sampled_rooms(parents.groupBy("bucket").applyInArrow(_parent_slices(vocabulary), SLICE_SQL), seats, 1, scratch)[0] if layout.words > 1 and customers else None
-    answers = scratch.keep(parents.groupBy("bucket").applyInArrow(_parent(layout, seats, customers, vocabulary, whole), ANSWER_SQL))
-    tables = answers.agg(F.sum("tables").alias("t")).first()["t"] or 0.0
-    unknown = (seats.strength[1] + seats.discount[1] * tables) / (seats.strength[1] + customers) / (vocabulary + 1)
-    large = {}
-    if layout.slices:
-        slices = state.filter("bucket = -1")
-        guests = {int.from_bytes(r["x"], "little"): r["t"] for r in slices.groupBy(F.expr("substring(word, 1, 8)").alias("x")).agg(F.sum("total").alias("t")).collect()}
-        told = slices.groupBy("source").cogroup(answers.groupBy("bucket")).applyInArrow(_large_slices(unknown), SLICE_SQL)
-        large = {x: (guests[x], tables) for x, tables in sampled_rooms(told, seats, 0, scratch).items()}
-    known = scratch.keep(answers.drop("tables").unionByName(words.select("bucket", "word", F.col("count").alias("value"))))
-    scratch.drop(state, answers, often)
+    guests = {r["source"]: r["t"] for r in state.filter(F.col("bucket") == GUESTS).groupBy("source").agg(F.sum("total").alias("t")).collect()}
+    samples, rows = sample(state, layout, seats, vocabulary, scratch)
+    counts = words.select("bucket", "source", F.lit(0).cast("long").alias("sweep"), "word", F.col("count").alias("blob"))
+    known = scratch.keep(rows.select("bucket", "source", "sweep", F.lit(None).cast("binary").alias("word"), "blob").unionByName(counts))
     free_shuffles(docs.sparkSession)
 
-    dealt = docs.withColumn("segment", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-size // segment_bytes)))))
+    dealt = docs.withColumn("segment", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // segment_bytes)))))
     asked = dealt.groupBy("segment").applyInArrow(_ask(layout), MESSAGE_SQL)
-    replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answer(layout, seats, large, unknown), REPLY_SQL)
+    replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answer(layout, seats, vocabulary, samples, guests), REPLY_SQL)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("segment").cogroup(replies.groupBy("segment")).applyInArrow(
         _sum_up(layout, total, vocabulary),

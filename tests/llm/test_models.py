@@ -233,81 +233,147 @@ def test_model_beats_its_base_on_held_out_texts_however_it_is_dealt(spark):
     assert abs(sums[0] - sums[1]) < 0.01, sums
 
 
-def test_probabilities_of_a_restaurant_sum_to_one():
-    rng = random.Random(0)
-    words = [f"w{i}" for i in range(30)]
-    texts = pa.array([" ".join(rng.choices(words, k=rng.randrange(2, 30))) for _ in range(200)])
-    layout, seats = pitman_yor.Layout(1, 1), pitman_yor.Seats()
-    learned = pitman_yor.Asked(pitman_yor.Tokens(texts), np.ones(200, bool), layout)
-    messages = pa.Table.from_pylist(list(learned.messages(0)), pitman_yor.MESSAGE)
-    part = lambda t, k: t.filter(pa.compute.equal(t["bucket"], k))
-    state = pa.concat_tables([pitman_yor._first_seating(layout, np.zeros(0, np.uint64))(part(messages, k)) for k in (0, 1)])
-    vocabulary = 31
-    customers = sum(part(state, 2)["total"].to_pylist())
-    known = pitman_yor._parent(layout, seats, customers, vocabulary)(part(state, 2))
-    unknown = (seats.strength[1] + seats.discount[1] * sum(known["tables"].to_pylist())) / (seats.strength[1] + customers) / (vocabulary + 1)
-    probe = pitman_yor.Tokens(pa.array([f"w3 {w}" for w in [*words, "unseen"]] + ["w3"]))
-    asked = pitman_yor.Asked(probe, np.zeros(32, bool), layout)
-    both = pa.concat_tables([messages, pa.Table.from_pylist(list(asked.messages(1)), pitman_yor.MESSAGE)])
-    replies = pitman_yor._answer(layout, seats, {}, unknown)(part(both, 0), known)
-    order = asked.order[asked.bucket == 0]
-    value = pitman_yor._expand(replies.filter(pa.compute.equal(replies["segment"], 1))["value"][0].as_py(), "<i2", len(order)) / pitman_yor.PARTS
-    of_w3 = asked.u[order] == pitman_yor.Tokens(pa.array(["w3"])).token[0] & pitman_yor.ROOM
-    assert of_w3.sum() == 32 and abs((10 ** value[of_w3]).sum() - 1) < 2e-3
-
-
-def test_seating_keeps_tables_within_customers():
+def test_tables_are_drawn_as_enumerated():
     rng = np.random.default_rng(0)
-    count = rng.integers(0, 5000, 400)
-    t = pitman_yor.seat(count, np.full(400, 0.01), np.full(400, 400.0), (count > 0).astype(float), 0.8, 2.0, 64, rng)
-    assert ((t >= (count > 0)) & (t <= count)).all() and t.mean() > 1
-
-
-def test_large_dishes_have_the_tables_of_one_by_one_seating():
-    counts, n, t = (60, 640, 6_400, 64_000, 1_000_000), 400, np.ones(400)
-    rng, want = np.random.default_rng(1), {}
-    for k in range(1, counts[-1]):  # every customer by itself
-        fresh = (2 + 0.8 * (10_000 + t)) * 1e-4
-        t += rng.random(n) * (fresh + k - 0.8 * t) < fresh
-        if k + 1 in counts:
-            want[k + 1] = t.mean()
-    for c in counts:
-        got = pitman_yor.seat(np.full(n, c), np.full(n, 1e-4), np.full(n, 10_001.0), np.ones(n), 0.8, 2.0, 64, rng)
-        assert abs(got.mean() - want[c]) < 0.06 * want[c], (c, got.mean(), want[c])
-
-
-def test_probabilities_of_a_sliced_restaurant_sum_to_one(spark):
-    rng = random.Random(2)
-    words = [f"w{i}" for i in range(200)]
-    texts = pa.array([" ".join(x for _ in range(rng.randrange(5, 30)) for x in ("hot", rng.choice(words))) for _ in range(400)])
-    hot = int(pitman_yor.Tokens(pa.array(["hot"])).token[0] & pitman_yor.ROOM)
-    layout, seats, scratch = pitman_yor.Layout(4, 3, {hot: 8}), pitman_yor.Seats(), pitman_yor.Scratch(spark)
-    part = lambda t, k: t.filter(pa.compute.equal(t["bucket"], k))
-    learned = pitman_yor.Asked(pitman_yor.Tokens(texts), np.ones(400, bool), layout)
-    messages = pa.Table.from_pylist(list(learned.messages(0)), pitman_yor.MESSAGE)
-    state = pa.concat_tables([pitman_yor._first_seating(layout, np.array([hot], np.uint64))(part(messages, k)) for k in range(7) if part(messages, k).num_rows])
-    slices = part(state, -1)
-    assert slices.num_rows > 1
-    vocabulary, parents = 202, [part(state, k) for k in (7, 8, 9)]
-    customers = sum(sum(x["total"].to_pylist()) for x in parents)
-    frame = lambda tables: spark.createDataFrame(pa.concat_tables(tables).to_pandas(), pitman_yor.SLICE_SQL)
-    rooms = pitman_yor.sampled_rooms(frame([pitman_yor._parent_slices(vocabulary)(x) for x in parents]), seats, 1, scratch)[0]
-    known = pa.concat_tables([pitman_yor._parent(layout, seats, customers, vocabulary, rooms)(x) for x in parents])
-    tables = sum(known["tables"].to_pylist())
-    assert math.isclose(tables, np.mean(rooms[seats.burn_in + 1:]))
-    unknown = (seats.strength[1] + seats.discount[1] * tables) / (seats.strength[1] + customers) / (vocabulary + 1)
-    told = [pitman_yor._large_slices(unknown)(slices.filter(pa.compute.equal(slices["source"], k)), part(known, k)) for k in range(4)]
-    sampled = pitman_yor.sampled_rooms(frame(told), seats, 0, scratch)[hot]
-    assert sampled[-1] > 1.2 * sampled[0]
-    large = {hot: (sum(slices["total"].to_pylist()), sampled)}
-    asked = pitman_yor.Asked(pitman_yor.Tokens(pa.array([f"hot {w}" for w in [*words, "hot", "unseen"]] + ["hot"])), np.zeros(203, bool), layout)
-    both = pa.concat_tables([messages, pa.Table.from_pylist(list(asked.messages(1)), pitman_yor.MESSAGE)])
-    total, n = 0.0, 0
-    for k in range(4):
-        replies = pitman_yor._answer(layout, seats, large, unknown)(part(both, k), part(known, k))
-        order = asked.order[asked.bucket == k]
-        if len(order):
+    for count, weight, d in ((3, 0.016, 0.8), (3, 2.0, 0.8), (12, 5.0, 0.6), (2, 1.0, 0.6)):
+        ways = np.zeros((count + 1, count + 1))
+        ways[0, 0] = 1
+        for n in range(count):
+            for k in range(1, n + 2):
+                ways[n + 1, k] = ways[n, k - 1] + (n - d * k) * ways[n, k]
+        want = ways[count, 1:] * weight ** np.arange(1, count + 1)
+        got = pitman_yor.draw_tables(np.full(100_000, count), np.full(100_000, weight), d, rng)
+        assert np.abs(np.bincount(got.astype(int), minlength=count + 1)[1:] / 100_000 - want / want.sum()).max() < 0.006
+
+
+def test_stirling_rows_beyond_the_recurrence_and_many_tables():
+    d, t = 0.8, np.arange(2, pitman_yor.COLUMNS + 1)
+    y = pitman_yor.stirling(d)[pitman_yor.OWN_ROWS, 2:].astype(float)
+    for n in range(pitman_yor.OWN_ROWS, 1 << 14):
+        y = y * (n - d * (t - 1) + np.concatenate(([0.0], y[:-1]))) / (n - d * t + y)
+    row = pitman_yor.stirling(d)[pitman_yor._row(np.array([1 << 14]))[0], 2:]
+    assert np.abs(row / y - 1).max() < 1e-3
+    x = y[255] * 1.02  # just where the normal form begins
+    w = np.cumsum(np.log(x / y))
+    w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+    mean = (w * t).sum()
+    got = pitman_yor.draw_tables(np.full(20_000, 1 << 14), np.full(20_000, x), d, np.random.default_rng(1))
+    assert abs(got.mean() - mean) < 0.01 * mean and abs(got.std() - ((w * t * t).sum() - mean**2) ** 0.5) < 0.5
+
+
+def sampled(texts, layout, seats, probe):
+    """Probabilities of the pairs of ``probe`` (its own contexts and words), by the operator's steps in one process."""
+    py = pitman_yor
+    large = np.array(sorted(layout.slices), np.uint64)
+    tables = []
+    for k, (t, learn) in enumerate(((texts, True), (probe, False))):
+        asked = py.Asked(py.Tokens(t), np.full(len(t), learn), layout)
+        tables.append(pa.Table.from_pylist(list(asked.messages(k)), py.MESSAGE))
+    messages = pa.concat_tables(tables)
+    of = lambda t, c, k: t.filter(pa.compute.equal(t[c], k))
+    state = pa.concat_tables([py._count_up(layout, large)(of(messages, "bucket", k)) for k in sorted(set(messages["bucket"].to_pylist()))])
+    vocabulary = sum(of(state, "source", py.WORDS)["kinds"].to_pylist())
+    rows = state.filter(pa.compute.equal(state["bucket"], py.GUESTS)).to_pylist()
+    guests, whole = collections.Counter(), collections.Counter()
+    for r in rows:
+        guests[r["source"]] += r["total"]
+        whole[r["source"]] += r["kinds"]
+    down_from = lambda t: t.filter(pa.compute.and_(pa.compute.greater_equal(t["source"], 0), pa.compute.greater_equal(t["bucket"], 0)))
+    links, own = down_from(state), of(state, "source", py.OWN)
+    parents, buckets = sorted(set(links["bucket"].to_pylist())), own["bucket"].to_pylist()
+    told, seated, samples, known = py.SWEEP.empty_table(), float(vocabulary), {}, []
+    for sweep in range(seats.sweeps + 1):
+        up = down_from(told)
+        heard = pa.concat_tables([py._draw_parent(seats, sweep, vocabulary, seated)(of(links, "bucket", b), of(up, "bucket", b)) for b in parents])
+        seated, customers, mass = (sum(heard[c].to_pylist()) for c in ("tables", "customers", "mass"))
+        parent = py.Parent(seated, customers, mass, np.random.default_rng(sweep).gamma(seats.strength[1] + seats.discount[1] * seated))
+        mine = of(told, "source", py.OWN)
+        if sweep > seats.sweeps - seats.kept:
+            samples[sweep] = py.Sample(parent, dict(whole))
+            known += [heard, mine.set_column(2, "sweep", pa.array([sweep] * mine.num_rows, pa.int64()))]
+        down = pa.concat_tables([heard, mine])
+        told = pa.concat_tables([py._draw_rooms(seats, sweep, vocabulary, parent, whole)(of(own, "bucket", b), of(down, "bucket", b)) for b in buckets])
+        for r in of(told, "bucket", py.GUESTS).to_pylist():
+            whole[r["source"]] += r["tables"]
+    known = pa.concat_tables(known).append_column("word", pa.nulls(sum(t.num_rows for t in known), pa.binary()))
+    asked, out = py.Asked(py.Tokens(probe), np.zeros(len(probe), bool), layout), {}
+    for b in buckets:
+        replies = py._answer(layout, seats, vocabulary, samples, guests)(of(messages, "bucket", b), of(known, "bucket", b))
+        at = asked.order[asked.bucket == b]
+        if len(at):
             raw = replies.filter(pa.compute.equal(replies["segment"], 1))["value"][0].as_py()
-            p = 10 ** (pitman_yor._expand(raw, "<i2", len(order)) / pitman_yor.PARTS)[asked.u[order] == hot]
-            total, n = total + p.sum(), n + len(p)
-    assert n == 203 and abs(total - 1) < 2e-3, total
+            out |= {(int(asked.u[k]), int(asked.v[k])): 10 ** -(x / py.PARTS) for k, x in zip(at, py._expand(raw, "<u4", len(at)), strict=True)}
+    return out
+
+
+@pytest.mark.parametrize("slices", [0, 6])
+def test_probabilities_of_a_restaurant_sum_to_one(slices):
+    rng = random.Random(0)
+    words = [f"w{i}" for i in range(60)]
+    texts = pa.array([" ".join(x for _ in range(rng.randrange(2, 20)) for x in ("hot", rng.choice(words))) for _ in range(150)])
+    hot = int(pitman_yor.Tokens(pa.array(["hot"])).token[0] & pitman_yor.ROOM)
+    layout = pitman_yor.Layout(4, 3, {hot: slices}) if slices else pitman_yor.Layout(1, 1)
+    p = sampled(texts, layout, pitman_yor.Seats(), pa.array([f"hot {w}" for w in [*words, "hot", "unseen"]] + ["hot"]))
+    of_hot = [x for (u, _), x in p.items() if u == hot]
+    assert len(of_hot) == 63 and abs(sum(of_hot) - 1) < 1e-3
+
+
+def test_probabilities_equal_those_of_a_plain_sampler():
+    """Customers of all restaurants leave and are seated again one by one, tables and all, as in the usual Chinese-restaurant sampler."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choices(words, [2.0**-i for i in range(12)], k=rng.randrange(3, 12))) for _ in range(25)]
+    (d, d0), (s, s0) = pitman_yor.Seats().discount, pitman_yor.Seats().strength
+    tokens = [(u, w) for t in texts for u, w in zip(["<", *t.split()], [*t.split(), ">"], strict=True)]
+    u0 = 1 / (len({w for _, w in tokens}) + 1)
+    seats, parent = collections.defaultdict(list), collections.defaultdict(list)  # table sizes by dish
+    tables, guests, total = collections.Counter(), collections.Counter(), [0, 0]
+
+    def base(w):
+        return (sum(parent[w]) - d0 * len(parent[w]) + (s0 + d0 * total[1]) * u0) / (s0 + total[0])
+
+    def sit(sizes, disc, fresh):
+        x = rng.random() * (fresh + sum(sizes) - disc * len(sizes))
+        for i, n in enumerate(sizes):
+            x -= n - disc
+            if x < 0:
+                sizes[i] += 1
+                return False
+        sizes.append(1)
+        return True
+
+    def leave(sizes):
+        i = rng.choices(range(len(sizes)), sizes)[0]
+        sizes[i] -= 1
+        if not sizes[i]:
+            sizes.pop(i)
+            return True
+        return False
+
+    def enter(u, w):
+        guests[u] += 1
+        if sit(seats[u, w], d, (s + d * tables[u]) * base(w)):
+            tables[u] += 1
+            total[1] += sit(parent[w], d0, (s0 + d0 * total[1]) * u0)
+            total[0] += 1
+
+    for u, w in tokens:
+        enter(u, w)
+    probes = [(u, w) for u in ("w0", "w1", "w5", "<") for w in ("w0", "w1", "w4", "w9", ">")]
+    want = np.zeros(len(probes))
+    for sweep in range(1600):
+        for u, w in tokens:
+            guests[u] -= 1
+            if leave(seats[u, w]):
+                tables[u] -= 1
+                total[0] -= 1
+                total[1] -= leave(parent[w])
+            enter(u, w)
+        if sweep >= 100:
+            want += [(sum(seats[u, w]) - d * len(seats[u, w]) + (s + d * tables[u]) * base(w)) / (s + guests[u]) for u, w in probes]
+    want /= 1500
+    p = sampled(pa.array(texts), pitman_yor.Layout(1, 1), pitman_yor.Seats(sweeps=1550, kept=1500), pa.array([" ".join((*(f"{u} {w}" for u in words for w in words), f"{u}")) for u in words] + words))
+    key = lambda w: {"<": pitman_yor.BEGIN, ">": pitman_yor.END}.get(w) or int(pitman_yor.Tokens(pa.array([w])).token[0])
+    got = np.array([p[key(u) & int(pitman_yor.ROOM), key(w) & int(pitman_yor.LOW)] for u, w in probes if (u, w) != ("<", ">")])
+    want = want[[i for i, x in enumerate(probes) if x != ("<", ">")]]
+    assert np.abs(got / want - 1).max() < 0.05, np.round(got / want, 3)
