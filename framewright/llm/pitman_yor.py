@@ -35,7 +35,7 @@ BEGIN, END = (int(x) for x in mix64(np.array([0xB0, 0xE0], np.uint64)))
 #: Bytes of the hashes that travel with a pair: of the word (which must differ within one restaurant) and of its restaurant.
 PAIR_BYTES, ROOM_BYTES = 6, 6
 #: Log10 probabilities travel as whole numbers of this many parts of one.
-PARTS = 1 << 16
+PARTS = 1 << 13
 ALL = (1 << 64) - 1
 LOW, ROOM = U((1 << 8 * PAIR_BYTES) - 1), U((1 << 8 * ROOM_BYTES) - 1)
 
@@ -87,10 +87,12 @@ def _unpack(raw: bytes, width: int = PAIR_BYTES) -> np.ndarray:
 
 def _squeeze(x: np.ndarray) -> bytes:
     """Numbers, their first bytes first, compressed: what is small or alike takes little room in a shuffle."""
-    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def _expand(raw: bytes, kind: str, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
     width = np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(raw, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
@@ -149,25 +151,26 @@ class Asked:
         cut = np.flatnonzero(np.concatenate(([True], self.bucket[1:] != self.bucket[:-1], [True]))) if len(self.bucket) else []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             at = self.order[a:b]
-            out = {"bucket": int(self.bucket[a]), "segment": segment, "count": _squeeze(self.count[at].astype("<u4")), "context": b"", "size": b""}
+            out = {"bucket": int(self.bucket[a]), "segment": segment, "count": _squeeze(self.count[at].astype("<u4")), "context": b"", "size": b"", "n": len(at)}
             if at[0] < self.n_pairs:
                 u = self.u[at]
                 head = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1])))
-                out |= {"context": _pack(u[head], ROOM_BYTES), "size": _squeeze(np.diff(np.append(head, len(u))).astype("<u4")), "word": _pack(self.v[at])}
+                word, of = np.unique(self.v[at], return_inverse=True)
+                out |= {"context": _pack(u[head], ROOM_BYTES), "size": _squeeze(np.diff(np.append(head, len(u))).astype("<u4")), "word": _pack(word), "place": _squeeze(of.astype("<u4")), "n": len(u)}
             else:
                 out |= {"word": self.w[at - self.n_pairs].astype("<u8").tobytes()}
             yield out
 
 
-MESSAGE = pa.schema([("bucket", pa.int64()), ("segment", pa.int64()), ("context", pa.binary()), ("size", pa.binary()), ("word", pa.binary()), ("count", pa.binary())])
-MESSAGE_SQL = "bucket long, segment long, context binary, size binary, word binary, count binary"
+MESSAGE = pa.schema([("bucket", pa.int64()), ("segment", pa.int64()), ("context", pa.binary()), ("size", pa.binary()), ("word", pa.binary()), ("place", pa.binary()), ("count", pa.binary()), ("n", pa.int64())])
+MESSAGE_SQL = "bucket long, segment long, context binary, size binary, word binary, place binary, count binary, n long"
 
 
 def _pairs_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not rows:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return (np.concatenate([np.repeat(_unpack(r["context"], ROOM_BYTES), _expand(r["size"], "<u4", len(r["context"]) // ROOM_BYTES)) for r in rows]),
-            np.concatenate([_unpack(r["word"]) for r in rows]), np.concatenate([_expand(r["count"], "<u4", len(r["word"]) // PAIR_BYTES) for r in rows]).astype(np.int64))
+            np.concatenate([_unpack(r["word"])[_expand(r["place"], "<u4", r["n"])] for r in rows]), np.concatenate([_expand(r["count"], "<u4", r["n"]) for r in rows]).astype(np.int64))
 
 
 def _merge(u: np.ndarray, v: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -315,7 +318,7 @@ def _count_up(layout: Layout, large: np.ndarray):
         if bucket >= layout.pairs:
             w = np.concatenate([np.frombuffer(r["word"], "<u8") for r in rows])
             value, of = np.unique(w, return_inverse=True)
-            c = np.bincount(of, np.concatenate([_expand(r["count"], "<u4", len(r["word"]) // 8) for r in rows]).astype(float)).astype(np.int64)
+            c = np.bincount(of, np.concatenate([_expand(r["count"], "<u4", r["n"]) for r in rows]).astype(float)).astype(np.int64)
             value, c = value[c > 0], c[c > 0]
             out.append({"bucket": bucket, "source": WORDS, "word": value.tobytes(), "count": c.astype("<u8").tobytes(), "total": int(c.sum()), "kinds": len(value)})
         else:
@@ -324,7 +327,7 @@ def _count_up(layout: Layout, large: np.ndarray):
             single, dishes = np.bincount(place, count == 1, len(word)).astype("<u4"), np.bincount(place, count > 0, len(word)).astype("<u4")
             cut = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else []
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                out.append({"bucket": int(to[a]), "source": bucket, "word": _pack(word[a:b]), "blob": pickle.dumps((single[a:b], dishes[a:b])), "total": 0, "kinds": 0})
+                out.append({"bucket": int(to[a]), "source": bucket, "word": _pack(word[a:b]), "blob": pickle.dumps((_squeeze(single[a:b]), _squeeze(dishes[a:b]))), "total": 0, "kinds": 0})
             rooms, of = _rooms(u)
             at = np.flatnonzero(count > 1)
             used, room = np.unique(of[at], return_inverse=True)
@@ -339,8 +342,8 @@ def _count_up(layout: Layout, large: np.ndarray):
 
 
 #: What parents and restaurants tell each other in a sweep.
-SWEEP = pa.schema([("bucket", pa.int64()), ("source", pa.int64()), ("sweep", pa.int64()), ("blob", pa.binary()), ("tables", pa.float64()), ("customers", pa.float64()), ("mass", pa.float64())])
-SWEEP_SQL = "bucket long, source long, sweep long, blob binary, tables double, customers double, mass double"
+SWEEP = pa.schema([("bucket", pa.int64()), ("source", pa.int64()), ("sweep", pa.int64()), ("blob", pa.binary()), ("masses", pa.binary()), ("n", pa.int64()), ("tables", pa.float64()), ("customers", pa.float64()), ("mass", pa.float64())])
+SWEEP_SQL = "bucket long, source long, sweep long, blob binary, masses binary, n long, tables double, customers double, mass double"
 
 
 @dataclass
@@ -362,11 +365,11 @@ def _draw_parent(seats: Seats, sweep: int, vocabulary: int, before: float):
         rows = sorted(links.to_pylist(), key=lambda r: r["source"])
         if not rows:
             return pa.Table.from_pylist([], SWEEP)
-        tables = {r["source"]: np.frombuffer(r["blob"], "<u4") for r in told.to_pylist()}
+        tables = {r["source"]: _expand(r["blob"], "<u4", r["n"]) for r in told.to_pylist()}
         _, of = np.unique(np.concatenate([_unpack(r["word"]) for r in rows]), return_inverse=True)
         more = []
         for r in rows:
-            single, dishes = pickle.loads(r["blob"])
+            single, dishes = (_expand(x, "<u4", len(r["word"]) // PAIR_BYTES) for x in pickle.loads(r["blob"]))
             more.append(single + tables[r["source"]] if r["source"] in tables else dishes)
         c = np.bincount(of, np.concatenate(more).astype(float)).astype(np.int64)
         bucket = int(rows[0]["bucket"])
@@ -377,16 +380,16 @@ def _draw_parent(seats: Seats, sweep: int, vocabulary: int, before: float):
         at = np.concatenate(([0], np.cumsum([len(r["word"]) // PAIR_BYTES for r in rows])))
         total = {"tables": float(t.sum()), "customers": float(c.sum()), "mass": float(mass.sum())}
         return pa.Table.from_pylist([
-            {"bucket": r["source"], "source": bucket, "sweep": sweep, "blob": np.stack((left[of[a:b]], mass[of[a:b]])).astype("<f4").tobytes()} | (total if a == 0 else dict.fromkeys(total, 0.0))
+            {"bucket": r["source"], "source": bucket, "sweep": sweep, "blob": left[of[a:b]].astype("<f4").tobytes(), "masses": mass[of[a:b]].astype("<f4").tobytes(), "n": int(b - a)} | (total if a == 0 else dict.fromkeys(total, 0.0))
             for r, a, b in zip(rows, at, at[1:], strict=False)], SWEEP)
 
     return run
 
 
-def _heard(known: list[dict], sweep: int) -> np.ndarray:
-    """What the parents told a bucket: by word, customers less discounted tables, and masses."""
+def _heard(known: list[dict], sweep: int, what: str) -> np.ndarray:
+    """What the parents told a bucket by word: customers less discounted tables (``blob``) or ``masses``."""
     rows = sorted((r for r in known if r["source"] >= 0 and r["sweep"] == sweep), key=lambda r: r["source"])
-    return np.concatenate([np.frombuffer(r["blob"], "<f4").reshape(2, -1) for r in rows], axis=1).astype(float) if rows else np.zeros((2, 0))
+    return np.concatenate([np.frombuffer(r[what], "<f4") for r in rows]).astype(float) if rows else np.zeros(0)
 
 
 def _draw_rooms(seats: Seats, sweep: int, vocabulary: int, parent: Parent, large: dict[int, float]):
@@ -399,8 +402,8 @@ def _draw_rooms(seats: Seats, sweep: int, vocabulary: int, parent: Parent, large
             return pa.Table.from_pylist([], SWEEP)
         bucket = int(rows[0]["bucket"])
         rooms, ones, room, place, count = pickle.loads(rows[0]["blob"])
-        mass = _heard(known, sweep)[1]
-        before = [np.frombuffer(r["blob"], "<u4") for r in known if r["source"] == OWN]
+        mass = _heard(known, sweep, "masses")
+        before = [_expand(r["blob"], "<u4", r["n"]) for r in known if r["source"] == OWN]
         t = before[0] if before else np.ones(len(count))
         tables = ones + np.bincount(room, t, len(rooms))
         rng = np.random.default_rng((bucket, sweep, 0xC))
@@ -410,12 +413,11 @@ def _draw_rooms(seats: Seats, sweep: int, vocabulary: int, parent: Parent, large
             g[k] = np.random.default_rng((x, sweep, 0xD)).gamma(s / d + large[x])
         share = (mass[place] + parent.rest / (vocabulary + 1)) / (parent.mass + parent.rest)
         t = draw_tables(count.astype(np.int64), d * g[room] * share, d, rng)
-        out = [{"bucket": bucket, "source": OWN, "sweep": sweep, "blob": t.astype("<u4").tobytes()}]
+        out = [{"bucket": bucket, "source": OWN, "sweep": sweep, "blob": _squeeze(t.astype("<u4")), "n": len(t)}]
         by_word, at = np.bincount(place, t, len(mass)), 0
         for r in sorted((r for r in known if r["source"] >= 0), key=lambda r: r["source"]):
-            n = len(r["blob"]) // 8
-            out.append({"bucket": r["source"], "source": bucket, "sweep": sweep, "blob": by_word[at : at + n].astype("<u4").tobytes()})
-            at += n
+            out.append({"bucket": r["source"], "source": bucket, "sweep": sweep, "blob": _squeeze(by_word[at : at + r["n"]].astype("<u4")), "n": r["n"]})
+            at += r["n"]
         seated = ones + np.bincount(room, t, len(rooms))
         out += [{"bucket": GUESTS, "source": x, "sweep": sweep, "tables": float(seated[k] - tables[k])} for k, x in whole]
         return pa.Table.from_pylist(out, SWEEP)
@@ -431,7 +433,7 @@ class Sample:
     large: dict[int, float]
 
 
-def sample(state: DataFrame, layout: Layout, seats: Seats, vocabulary: int, scratch: Scratch) -> tuple[dict[int, Sample], DataFrame]:
+def sample(state: DataFrame, layout: Layout, seats: Seats, vocabulary: int, scratch: Scratch) -> tuple[dict[int, Sample], list[DataFrame]]:
     """The last ``seats.kept`` states of the sampler by sweep, and what buckets must know of them."""
     links, own = state.filter("source >= 0 and bucket >= 0"), state.filter(F.col("source") == OWN)
     large = {r["source"]: float(r["t"]) for r in state.filter(F.col("bucket") == GUESTS).groupBy("source").agg(F.sum("kinds").alias("t")).collect()}  # one table a dish at first
@@ -446,13 +448,15 @@ def sample(state: DataFrame, layout: Layout, seats: Seats, vocabulary: int, scra
         mine = empty if told is None else told.filter(F.col("source") == OWN)
         if sweep > seats.sweeps - seats.kept:  # the restaurants' tables that are now the parent's customers
             samples[sweep] = Sample(parent, dict(large))
-            rows += [heard, mine.withColumn("sweep", F.lit(sweep).cast("long"))]
+            rows.append(scratch.keep(heard.unionByName(mine.withColumn("sweep", F.lit(sweep).cast("long"))).select("bucket", "source", "sweep", "blob", "n")))
         if sweep < seats.sweeps:
-            known = heard.unionByName(mine)
+            known, last = heard.withColumn("blob", F.lit(None).cast("binary")).unionByName(mine), told
             told = scratch.keep(own.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_draw_rooms(seats, sweep, vocabulary, parent, large), SWEEP_SQL))
             for r in told.filter(F.col("bucket") == GUESTS).groupBy("source").agg(F.sum("tables").alias("t")).collect():
                 large[r["source"]] += r["t"]
-    return samples, functools.reduce(DataFrame.unionByName, rows)
+            scratch.drop(heard, *([] if last is None else [last]))
+    scratch.drop(heard, *([] if told is None else [told]))
+    return samples, rows
 
 
 REPLY = pa.schema([("segment", pa.int64()), ("bucket", pa.int64()), ("value", pa.binary())])
@@ -473,10 +477,10 @@ def _answer(layout: Layout, seats: Seats, vocabulary: int, samples: dict[int, Sa
             n[k] = guests[x]
         mean = np.zeros(len(u))
         for sweep, one in samples.items():
-            left = _heard(known, sweep)[0]
+            left = _heard(known, sweep, "blob")
             base = (left[place] + (s0 + d0 * one.parent.tables) / (vocabulary + 1)) / (s0 + one.parent.customers)
             t = np.minimum(count, 1).astype(float)
-            t[count > 1] = next(np.frombuffer(r["blob"], "<u4") for r in known if r["source"] == OWN and r["sweep"] == sweep)
+            t[count > 1] = next(_expand(r["blob"], "<u4", r["n"]) for r in known if r["source"] == OWN and r["sweep"] == sweep)
             tables = np.bincount(room, t, len(rooms))
             for k, x in whole:
                 tables[k] = one.large[x]
@@ -488,7 +492,7 @@ def _answer(layout: Layout, seats: Seats, vocabulary: int, samples: dict[int, Sa
         if not rows:
             return pa.Table.from_pylist([], REPLY)
         if rows[0]["bucket"] < layout.pairs:
-            values, width = pairs(rows, known), PAIR_BYTES
+            values = pairs(rows, known)
         else:
             words = np.concatenate([np.frombuffer(r["word"], "<u8") for r in known]) if known else np.zeros(0, np.uint64)
             counts = np.concatenate([np.frombuffer(r["blob"], "<u8") for r in known]) if known else np.zeros(0, np.uint64)
@@ -496,8 +500,8 @@ def _answer(layout: Layout, seats: Seats, vocabulary: int, samples: dict[int, Sa
             words, counts = words[order], counts[order]
             v = np.concatenate([np.frombuffer(r["word"], "<u8") for r in rows])
             at = np.minimum(np.searchsorted(words, v), max(len(words) - 1, 0))
-            values, width = (np.where(words[at] == v, counts[at], 0) if len(words) else np.zeros(len(v))).astype("<u8"), 8
-        at = np.concatenate(([0], np.cumsum([len(r["word"]) // width for r in rows])))
+            values = (np.where(words[at] == v, counts[at], 0) if len(words) else np.zeros(len(v))).astype("<u8")
+        at = np.concatenate(([0], np.cumsum([r["n"] for r in rows])))
         return pa.Table.from_pylist(
             [{"segment": r["segment"], "bucket": r["bucket"], "value": _squeeze(values[a:b])} for r, a, b in zip(rows, at, at[1:], strict=False)], REPLY)
 
@@ -589,8 +593,9 @@ def score_texts(
     total, vocabulary = sums["n"] or 0, sums["v"] or 0
     guests = {r["source"]: r["t"] for r in state.filter(F.col("bucket") == GUESTS).groupBy("source").agg(F.sum("total").alias("t")).collect()}
     samples, rows = sample(state, layout, seats, vocabulary, scratch)
-    counts = words.select("bucket", "source", F.lit(0).cast("long").alias("sweep"), "word", F.col("count").alias("blob"))
-    known = scratch.keep(rows.select("bucket", "source", "sweep", F.lit(None).cast("binary").alias("word"), "blob").unionByName(counts))
+    counts = words.select("bucket", "source", F.lit(0).cast("long").alias("sweep"), "word", F.col("count").alias("blob"), F.lit(0).cast("long").alias("n"))
+    known = scratch.keep(functools.reduce(DataFrame.unionByName, rows).withColumn("word", F.lit(None).cast("binary")).unionByName(counts))
+    scratch.drop(state, often, *rows)
     free_shuffles(docs.sparkSession)
 
     dealt = docs.withColumn("segment", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // segment_bytes)))))

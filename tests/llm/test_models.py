@@ -291,7 +291,7 @@ def sampled(texts, layout, seats, probe):
         if sweep > seats.sweeps - seats.kept:
             samples[sweep] = py.Sample(parent, dict(whole))
             known += [heard, mine.set_column(2, "sweep", pa.array([sweep] * mine.num_rows, pa.int64()))]
-        down = pa.concat_tables([heard, mine])
+        down = pa.concat_tables([heard.set_column(3, "blob", pa.nulls(heard.num_rows, pa.binary())), mine])
         told = pa.concat_tables([py._draw_rooms(seats, sweep, vocabulary, parent, whole)(of(own, "bucket", b), of(down, "bucket", b)) for b in buckets])
         for r in of(told, "bucket", py.GUESTS).to_pylist():
             whole[r["source"]] += r["tables"]
