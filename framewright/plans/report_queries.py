@@ -58,26 +58,34 @@ def f18_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"r08_finalize": r08_finalize, "r18_report": r18_report, "r15_evidence_errors": r15_evidence, "a34_lanes": a34_lanes, "j03_registry_violations": j03_incomplete, "f18_window_refs": f18_windows}
 
-_O = "WITH o AS (" + sql.VOICE_METRICS + ")"
+#: Both modalities; blinks without their count, which no check looks at (their frames' gaps are all 40 ms).
+_O = "WITH v AS (" + sql.VOICE_METRICS + "), g AS (" + sql.FACE_METRICS + """),
+    k AS (SELECT session_id, coalesce(reason, CASE WHEN exposure_ms < 60000 THEN 'insufficient-exposure' WHEN frames / (exposure_ms / 1000) < 24 THEN 'insufficient-frame-cadence' END) AS reason,
+                 bins, exposure_ms, frames, quality_score FROM g WHERE ordinal = 0),
+    f AS (SELECT session_id, 7 + ordinal AS r, code, status, quality_score, reason, bins, exposure_ms, frames FROM g
+          UNION ALL SELECT session_id, 15, 'ambient.face.blink_rate.bilateral', CASE WHEN reason IS NULL THEN 'measured' ELSE 'withheld' END, CASE WHEN reason IS NULL THEN quality_score END, reason, bins, exposure_ms, frames FROM k)"""
 ORACLES = {
     "r15_evidence_errors": _O + """,
         r AS (SELECT * FROM (VALUES (0, 'minimumSegments', 3), (0, 'minimumPitchedDurationMs', 10000), (0, 'minimumPitchCoverage', 0.6), (0, 'minimumF0Hz', 50), (0, 'maximumF0Hz', 700), (1, 'minimumSegments', 3),
           (1, 'minimumPitchedDurationMs', 10000), (1, 'minimumPitchCoverage', 0.6), (2, 'minimumSegments', 3), (2, 'minimumEligibleSpanMs', 30000), (2, 'minimumActiveSpeechMs', 15000), (3, 'minimumSegments', 3),
           (3, 'minimumEligibleSpanMs', 30000), (3, 'minimumActiveSpeechMs', 15000), (4, 'minimumSegments', 3), (4, 'minimumEligibleSpanMs', 30000), (4, 'minimumActiveSpeechMs', 15000), (4, 'minimumEventsForMedian', 5),
           (5, 'minimumSegments', 3), (5, 'minimumEligibleSpanMs', 30000), (5, 'minimumActiveSpeechMs', 15000), (5, 'minimumEventsForMedian', 5), (6, 'minimumSegments', 3), (6, 'minimumEligibleSpanMs', 30000),
-          (6, 'minimumActiveSpeechMs', 15000), (6, 'minimumNuclei', 30)) t(k, requirement, threshold)),
+          (6, 'minimumActiveSpeechMs', 15000), (6, 'minimumNuclei', 30), (15, 'minimumExposureMs', 60000), (15, 'minimumCadenceHz', 24)) t(k, requirement, threshold)
+          UNION ALL SELECT unnest(range(7, 15)), 'minimumBins', 3 UNION ALL SELECT unnest(range(7, 15)), 'minimumObservationSpanMs', 30000),
         a AS (SELECT session_id, code, requirement, threshold::DOUBLE AS threshold, CASE requirement WHEN 'minimumSegments' THEN segments WHEN 'minimumPitchedDurationMs' THEN pitched_ms WHEN 'minimumPitchCoverage' THEN pitched_ms / active_ms
           WHEN 'minimumEligibleSpanMs' THEN eligible_ms / 2 WHEN 'minimumActiveSpeechMs' THEN active_ms WHEN 'minimumEventsForMedian' THEN greatest(pauses, speech_runs, nuclei) WHEN 'minimumNuclei' THEN greatest(pauses, speech_runs, nuclei)
-          ELSE value END AS actual FROM o JOIN r ON k = ordinal WHERE status = 'measured')
+          ELSE value END AS actual FROM v JOIN r ON k = ordinal WHERE status = 'measured'
+          UNION ALL SELECT session_id, code, requirement, threshold::DOUBLE, CASE requirement WHEN 'minimumBins' THEN bins WHEN 'minimumCadenceHz' THEN frames / (exposure_ms / 2 / 1000) ELSE exposure_ms / 2 END
+          FROM f JOIN r ON k = f.r WHERE status = 'measured')
         SELECT session_id, code, requirement, threshold, round(actual, 6) AS actual FROM a WHERE CASE WHEN requirement LIKE 'maximum%' THEN actual > threshold ELSE actual < threshold END""",
-    "a34_lanes": _O + """
-        SELECT session_id, 'voice' AS modality, CASE WHEN count(*) FILTER (status = 'measured') > 0 THEN 'ready' ELSE 'withheld' END AS state, max(eligible_ms)::DOUBLE AS eligible_ms,
+    "a34_lanes": _O + """,
+        o AS (SELECT session_id, 'voice' AS modality, status, eligible_ms, quality_score, reason FROM v UNION ALL SELECT session_id, 'face', status, coalesce(exposure_ms, 0), quality_score, reason FROM f)
+        SELECT session_id, modality, CASE WHEN count(*) FILTER (status = 'measured') > 0 THEN 'ready' ELSE 'withheld' END AS state, max(eligible_ms)::DOUBLE AS eligible_ms,
                round(avg(quality_score) FILTER (status = 'measured'), 6) AS quality_score, coalesce(array_to_string(list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)), ','), '') AS reasons FROM o GROUP BY ALL""",
     "j03_registry_violations": _O + """,
-        m AS (SELECT unnest(['ambient.face.eye_aperture.left', 'ambient.face.eye_aperture.right', 'ambient.face.eye_aperture.asymmetry', 'ambient.face.mouth_width', 'ambient.face.mouth_aperture.median',
-          'ambient.face.mouth_aperture.p90', 'ambient.face.mouth_corner_position.asymmetry', 'ambient.face.landmark_speed.p90', 'ambient.face.blink_rate.bilateral']) AS code)
-        SELECT s.session_id, m.code, 'missing' AS violation FROM (SELECT DISTINCT session_id FROM o) s CROSS JOIN m
-        UNION ALL SELECT session_id, code, 'missing' FROM o WHERE session_id % 3 = 1 AND ordinal IN (2, 4)""",
+        o AS (SELECT session_id, ordinal AS r, code FROM v UNION ALL SELECT session_id, r, code FROM f)
+        SELECT s.session_id, m.code, 'missing' AS violation FROM (SELECT DISTINCT session_id FROM o WHERE NOT (session_id % 3 = 1 AND r IN (2, 4))) s CROSS JOIN (SELECT DISTINCT code FROM o) m
+        WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.session_id = s.session_id AND o.code = m.code AND NOT (o.session_id % 3 = 1 AND o.r IN (2, 4)))""",
     "f18_window_refs": """
         WITH x AS (SELECT event_id, event_id % 5 <> 0 AS voice, event_id % 3 - CASE WHEN event_id % 11 = 0 THEN 5 ELSE 0 END AS epoch, CASE WHEN event_id % 7 = 0 THEN 'a:b' WHEN event_id % 13 = 0 THEN '' ELSE 'mic' END AS track,
                           (event_id % 100)::DOUBLE AS s, (event_id % 90 + 20)::DOUBLE AS e FROM events),
