@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from framewright.llm.tables import Scratch, free_shuffles
@@ -48,6 +48,10 @@ class Layout:
     words: int
     slices: dict[int, int] = field(default_factory=dict)
 
+    def deal(self, df: DataFrame) -> GroupedData:
+        """Rows by bucket; tasks grow in number with the buckets, whatever the session's number of shuffle partitions."""
+        return df.repartition(self.pairs + 2 * self.words, "bucket").groupBy("bucket")
+
     def of_words(self, w: np.ndarray) -> np.ndarray:
         return (self.pairs + (mix64(w ^ U(0x77)) % U(self.words)).astype(np.int64)).astype(np.int64)
 
@@ -440,7 +444,7 @@ def sample(state: DataFrame, layout: Layout, seats: Seats, vocabulary: int, scra
     told, tables, samples, rows, empty = None, float(vocabulary), {}, [], state.sparkSession.createDataFrame([], SWEEP_SQL)
     for sweep in range(seats.sweeps + 1):
         to_parents = empty if told is None else told.filter(F.col("bucket") >= 0).filter("source >= 0")
-        heard = scratch.keep(links.groupBy("bucket").cogroup(to_parents.groupBy("bucket")).applyInArrow(_draw_parent(seats, sweep, vocabulary, tables), SWEEP_SQL))
+        heard = scratch.keep(layout.deal(links).cogroup(layout.deal(to_parents)).applyInArrow(_draw_parent(seats, sweep, vocabulary, tables), SWEEP_SQL))
         sums = heard.agg(F.sum("tables").alias("t"), F.sum("customers").alias("c"), F.sum("mass").alias("m")).first()
         tables = sums["t"] or 0.0
         rest = np.random.default_rng((sweep, 0xE)).gamma(seats.strength[1] + seats.discount[1] * tables)
@@ -451,7 +455,7 @@ def sample(state: DataFrame, layout: Layout, seats: Seats, vocabulary: int, scra
             rows.append(scratch.keep(heard.unionByName(mine.withColumn("sweep", F.lit(sweep).cast("long"))).select("bucket", "source", "sweep", "blob", "n")))
         if sweep < seats.sweeps:
             known, last = heard.withColumn("blob", F.lit(None).cast("binary")).unionByName(mine), told
-            told = scratch.keep(own.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_draw_rooms(seats, sweep, vocabulary, parent, large), SWEEP_SQL))
+            told = scratch.keep(layout.deal(own).cogroup(layout.deal(known)).applyInArrow(_draw_rooms(seats, sweep, vocabulary, parent, large), SWEEP_SQL))
             for r in told.filter(F.col("bucket") == GUESTS).groupBy("source").agg(F.sum("tables").alias("t")).collect():
                 large[r["source"]] += r["t"]
             scratch.drop(heard, *([] if last is None else [last]))
@@ -540,7 +544,7 @@ def _sum_up(layout: Layout, total: int, vocabulary: int):
 
 
 def _frequent(share: float):
-    """Token count of each batch, and its words with at least ``share`` of it."""
+    """Token count of each batch, and its words with at least ``share`` of it: of a word with twice that share of all tokens, half or more is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -552,6 +556,26 @@ def _frequent(share: float):
     return run
 
 
+def lay_out(docs: DataFrame, size: int, scratch: Scratch, bucket_tokens: int, large_share: float) -> Layout:
+    """Buckets of about ``bucket_tokens``, and slices of at most a quarter of a bucket for each restaurant that has more.
+
+    A word is watched from ``large_share`` of all tokens on, and from a quarter of
+    a bucket on where that is less, so what lies in one bucket does not grow with
+    the corpus.  Watched words are at most eight a bucket.
+    """
+    share = min(large_share, bucket_tokens / max(size, 1))  # a token has four bytes or more as a rule
+    often = scratch.keep(docs.filter("learn").select("text").mapInArrow(_frequent(share / 2), "word long, count long").groupBy("word").agg(F.sum("count").alias("n")))
+    n = (often.filter("word is null").first() or {"n": 0})["n"]
+    layout = Layout(max(1, -(-n // bucket_tokens)), max(1, -(-n // (4 * bucket_tokens))))
+    for row in often.filter(F.col("word").isNotNull() & (F.col("n") >= share / 2 * n)).toLocalIterator():
+        cut = -(-4 * row["n"] * layout.pairs // n)
+        word = BEGIN if row["word"] & ALL == END else row["word"]  # there are as many beginnings as ends
+        if cut > 1:
+            layout.slices[word & int(ROOM)] = cut
+    scratch.drop(often)
+    return layout
+
+
 def score_texts(
     docs: DataFrame, learn=None, seats: Seats | None = None, bucket_tokens: int = 2_000_000, segment_bytes: int = 8 << 20, large_share: float = 0.001,
     id_col: str = "doc_id", text_col: str = "text",
@@ -563,11 +587,11 @@ def score_texts(
     (add-one unigram) and ``score`` (the hierarchical Pitman-Yor model: bigram
     restaurants with one parent; probabilities are means over the last samples).
 
-    Restaurants of words with ``large_share`` of all tokens or more (so at most
-    ``1 / large_share`` of them), and the one of text beginnings, are cut into
-    slices by the next word; their customers and tables are added up over the
-    slices, which is all that their dishes need to know of each other.  Buckets and
-    segments grow in number, not size.  Null and empty texts are one end token.  A
+    Restaurants with more than a quarter of a bucket's tokens, and the one of text
+    beginnings, are cut into slices by the next word (see ``lay_out``); their
+    customers and tables are added up over the slices, which is all that their
+    dishes need to know of each other.  Buckets and segments grow in number, not
+    size, and tasks with them.  Null and empty texts are one end token.  A
     null ``learn`` learns; repeated rows count each.  Without training rows all
     scores are 0.  An empty table gives an empty result.
     """
@@ -575,18 +599,10 @@ def score_texts(
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), F.coalesce(F.lit(True) if learn is None else learn, F.lit(True)).alias("learn"))
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    often = docs.filter("learn").select("text").mapInArrow(_frequent(large_share), "word long, count long").groupBy("word").agg(F.sum("count").alias("n"))
-    often = scratch.keep(often)
-    n = (often.filter("word is null").first() or {"n": 0})["n"]
-    layout = Layout(max(1, -(-n // bucket_tokens)), max(1, -(-n // (4 * bucket_tokens))))
-    for row in often.filter(F.col("word").isNotNull() & (F.col("n") >= large_share * n)).collect():
-        cut = -(-2 * row["n"] * layout.pairs // n)
-        word = BEGIN if row["word"] & ALL == END else row["word"]  # there are as many beginnings as ends
-        if cut > 1:
-            layout.slices[word & int(ROOM)] = cut
+    layout = lay_out(docs, size, scratch, bucket_tokens, large_share)
     large = np.array(sorted(layout.slices), np.uint64)
 
-    state = scratch.keep(docs.select("text", "learn").mapInArrow(_learn(layout), MESSAGE_SQL).groupBy("bucket").applyInArrow(_count_up(layout, large), STATE_SQL))
+    state = scratch.keep(layout.deal(docs.select("text", "learn").mapInArrow(_learn(layout), MESSAGE_SQL)).applyInArrow(_count_up(layout, large), STATE_SQL))
     free_shuffles(docs.sparkSession)
     words = state.filter(F.col("source") == WORDS)
     sums = words.agg(F.sum("total").alias("n"), F.sum("kinds").alias("v")).first()
@@ -595,13 +611,14 @@ def score_texts(
     samples, rows = sample(state, layout, seats, vocabulary, scratch)
     counts = words.select("bucket", "source", F.lit(0).cast("long").alias("sweep"), "word", F.col("count").alias("blob"), F.lit(0).cast("long").alias("n"))
     known = scratch.keep(functools.reduce(DataFrame.unionByName, rows).withColumn("word", F.lit(None).cast("binary")).unionByName(counts))
-    scratch.drop(state, often, *rows)
+    scratch.drop(state, *rows)
     free_shuffles(docs.sparkSession)
 
-    dealt = docs.withColumn("segment", F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // segment_bytes)))))
+    segments = max(1, -(-size // segment_bytes))
+    dealt = docs.withColumn("segment", F.pmod(F.xxhash64("doc_id", "text"), F.lit(segments))).repartition(segments, "segment")
     asked = dealt.groupBy("segment").applyInArrow(_ask(layout), MESSAGE_SQL)
-    replies = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answer(layout, seats, vocabulary, samples, guests), REPLY_SQL)
+    replies = layout.deal(asked).cogroup(layout.deal(known)).applyInArrow(_answer(layout, seats, vocabulary, samples, guests), REPLY_SQL)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("segment").cogroup(replies.groupBy("segment")).applyInArrow(
+    return dealt.groupBy("segment").cogroup(replies.repartition(segments, "segment").groupBy("segment")).applyInArrow(
         _sum_up(layout, total, vocabulary),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -15,6 +15,7 @@ from framewright.llm import decontaminate, ordinal, pitman_yor, secrets
 from framewright.llm.packing import fill, pack, pack_documents
 from framewright.llm.quality import fit_quality, quality
 from framewright.llm.queries import QUERIES
+from framewright.llm.tables import Scratch
 from framewright.llm.toxicity import fit_toxicity, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -306,6 +307,20 @@ def sampled(texts, layout, seats, probe):
     return out
 
 
+def test_no_bucket_grows_with_the_share_of_its_restaurants(spark):
+    """A third of all words are one, a sixth are fifty others; all whose followers exceed a quarter of a bucket are cut."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(x for _ in range(150) for x in (rng.choice(("hot", "hot", f"often{rng.randrange(50)}")), rng.choice(words))) for _ in range(300)]
+    docs = spark.createDataFrame([(t, True) for t in texts], "text string, learn boolean")
+    layout = pitman_yor.lay_out(docs, sum(map(len, texts)), Scratch(spark), 500, 0.01)
+    tokens = pitman_yor.Tokens(pa.array(texts))
+    low = lambda x: x & pitman_yor.ROOM
+    of = {w: int(low(pitman_yor.Tokens(pa.array([w])).token[:1])[0]) for w in ("hot", "often0", "often49")}
+    assert layout.pairs == 181 and of["hot"] in layout.slices and of["often0"] in layout.slices and of["often49"] in layout.slices
+    assert np.bincount(layout.of_pairs(low(tokens.before), tokens.token & pitman_yor.LOW)).max() < 4 * 500
+
+
 @pytest.mark.parametrize("slices", [0, 6])
 def test_probabilities_of_a_restaurant_sum_to_one(slices):
     rng = random.Random(0)
