@@ -49,8 +49,8 @@ class Layout:
     slices: dict[int, int] = field(default_factory=dict)
 
     def deal(self, df: DataFrame) -> GroupedData:
-        """Rows by bucket; tasks grow in number with the buckets, whatever the session's number of shuffle partitions."""
-        return df.repartition(self.pairs + 2 * self.words, "bucket").groupBy("bucket")
+        """Rows by bucket, one task a bucket, whatever the session's number of shuffle partitions."""
+        return df.repartitionById(self.pairs + 2 * self.words, "bucket").groupBy("bucket")
 
     def of_words(self, w: np.ndarray) -> np.ndarray:
         return (self.pairs + (mix64(w ^ U(0x77)) % U(self.words)).astype(np.int64)).astype(np.int64)
@@ -166,8 +166,8 @@ class Asked:
             yield out
 
 
-MESSAGE = pa.schema([("bucket", pa.int64()), ("segment", pa.int64()), ("context", pa.binary()), ("size", pa.binary()), ("word", pa.binary()), ("place", pa.binary()), ("count", pa.binary()), ("n", pa.int64())])
-MESSAGE_SQL = "bucket long, segment long, context binary, size binary, word binary, place binary, count binary, n long"
+MESSAGE = pa.schema([("bucket", pa.int32()), ("segment", pa.int64()), ("context", pa.binary()), ("size", pa.binary()), ("word", pa.binary()), ("place", pa.binary()), ("count", pa.binary()), ("n", pa.int64())])
+MESSAGE_SQL = "bucket int, segment long, context binary, size binary, word binary, place binary, count binary, n long"
 
 
 def _pairs_of(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,8 +288,8 @@ def draw_tables(count: np.ndarray, weight: np.ndarray, d: float, rng: np.random.
     return out
 
 
-STATE = pa.schema([("bucket", pa.int64()), ("source", pa.int64()), ("word", pa.binary()), ("count", pa.binary()), ("blob", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64())])
-STATE_SQL = "bucket long, source long, word binary, count binary, blob binary, total long, kinds long"
+STATE = pa.schema([("bucket", pa.int32()), ("source", pa.int64()), ("word", pa.binary()), ("count", pa.binary()), ("blob", pa.binary()), ("total", pa.int64()), ("kinds", pa.int64())])
+STATE_SQL = "bucket int, source long, word binary, count binary, blob binary, total long, kinds long"
 #: Sources that are no buckets: words' counts, a bucket's own dishes, customers of sliced restaurants.
 WORDS, OWN, GUESTS = -1, -2, -3
 
@@ -346,8 +346,8 @@ def _count_up(layout: Layout, large: np.ndarray):
 
 
 #: What parents and restaurants tell each other in a sweep.
-SWEEP = pa.schema([("bucket", pa.int64()), ("source", pa.int64()), ("sweep", pa.int64()), ("blob", pa.binary()), ("masses", pa.binary()), ("n", pa.int64()), ("tables", pa.float64()), ("customers", pa.float64()), ("mass", pa.float64())])
-SWEEP_SQL = "bucket long, source long, sweep long, blob binary, masses binary, n long, tables double, customers double, mass double"
+SWEEP = pa.schema([("bucket", pa.int32()), ("source", pa.int64()), ("sweep", pa.int64()), ("blob", pa.binary()), ("masses", pa.binary()), ("n", pa.int64()), ("tables", pa.float64()), ("customers", pa.float64()), ("mass", pa.float64())])
+SWEEP_SQL = "bucket int, source long, sweep long, blob binary, masses binary, n long, tables double, customers double, mass double"
 
 
 @dataclass
@@ -463,8 +463,8 @@ def sample(state: DataFrame, layout: Layout, seats: Seats, vocabulary: int, scra
     return samples, rows
 
 
-REPLY = pa.schema([("segment", pa.int64()), ("bucket", pa.int64()), ("value", pa.binary())])
-REPLY_SQL = "segment long, bucket long, value binary"
+REPLY = pa.schema([("segment", pa.int32()), ("bucket", pa.int64()), ("value", pa.binary())])
+REPLY_SQL = "segment int, bucket long, value binary"
 
 
 def _answer(layout: Layout, seats: Seats, vocabulary: int, samples: dict[int, Sample], guests: dict[int, int]):
@@ -615,10 +615,10 @@ def score_texts(
     free_shuffles(docs.sparkSession)
 
     segments = max(1, -(-size // segment_bytes))
-    dealt = docs.withColumn("segment", F.pmod(F.xxhash64("doc_id", "text"), F.lit(segments))).repartition(segments, "segment")
+    dealt = docs.withColumn("segment", F.pmod(F.xxhash64("doc_id", "text"), F.lit(segments)).cast("int")).repartitionById(segments, "segment")
     asked = dealt.groupBy("segment").applyInArrow(_ask(layout), MESSAGE_SQL)
     replies = layout.deal(asked).cogroup(layout.deal(known)).applyInArrow(_answer(layout, seats, vocabulary, samples, guests), REPLY_SQL)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("segment").cogroup(replies.repartition(segments, "segment").groupBy("segment")).applyInArrow(
+    return dealt.groupBy("segment").cogroup(replies.repartitionById(segments, "segment").groupBy("segment")).applyInArrow(
         _sum_up(layout, total, vocabulary),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
