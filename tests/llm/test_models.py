@@ -16,7 +16,7 @@ from framewright.llm.packing import fill, pack, pack_documents
 from framewright.llm.quality import fit_quality, quality
 from framewright.llm.queries import QUERIES
 from framewright.llm.tables import Scratch
-from framewright.llm.toxicity import fit_toxicity, toxicity
+from framewright.llm.toxicity import distinct_words, fit_toxicity, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string"
@@ -392,3 +392,57 @@ def test_probabilities_equal_those_of_a_plain_sampler():
     got = np.array([p[key(u) & int(pitman_yor.ROOM), key(w) & int(pitman_yor.LOW)] for u, w in probes if (u, w) != ("<", ">")])
     want = want[[i for i, x in enumerate(probes) if x != ("<", ">")]]
     assert np.abs(got / want - 1).max() < 0.05, np.round(got / want, 3)
+
+
+# --- ordinal regression against plain versions
+
+
+def test_fit_is_the_least_of_a_plain_likelihood():
+    """No weight or threshold can move and lower the mean negative log-likelihood, computed row by row."""
+    rng = random.Random(5)
+    rows = [{k: rng.choice((0.5, 1.0, 2.0)) for k in range(4) if rng.random() < 0.6} for _ in range(240)]
+    grades = [int(sum(x * (1, -1, 0.5, 0)[k] for k, x in r.items()) + rng.gauss(0, 1.5) > c) + int(rng.random() < 0.3) for r, c in zip(rows, [0.5] * 240, strict=True)]
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            s = sum(weights[k] * x for k, x in r.items())
+            edges = [0.0, *(sigmoid(t - s) for t in thresholds), 1.0]
+            total -= math.log(edges[g + 1] - edges[g])
+        return total / len(rows)
+
+    offsets = np.cumsum([0, *map(len, rows)])
+    features, values = np.array([k for r in rows for k in r]), np.array([x for r in rows for x in r.values()])
+    m = ordinal.fit(offsets, features, values, np.array(grades), 3, 8, 0.0, steps=1500)
+    w, t = m.weights.astype(float).tolist(), m.thresholds.tolist()
+    assert t[0] < t[1] and w[4:] == [0] * 4
+    for v in (w[:4], t):
+        for k in range(len(v)):
+            old, ends = v[k], []
+            for step in (1e-4, -1e-4):
+                trial_w, trial_t = (w[:], t[:])
+                (trial_w if v is not t else trial_t)[k] = old + step
+                ends.append(loss(trial_w, trial_t))
+            assert abs(ends[0] - ends[1]) / 2e-4 < 2e-3, (k, ends)
+
+
+def test_severity_against_a_plain_sum(spark):
+    """Scores of distinct words added up one by one, and the grades' probabilities from them."""
+    words = ["idiot", "garden", "hate", "tea", "x1"]
+    number = {w: int(distinct_words_of(w)[0]) for w in words}
+    weight = dict(zip(words, (2.5, -1.0, 1.25, 0.0, 0.5), strict=True))
+    weights = np.zeros(1 << 18, np.float32)
+    for w, k in number.items():
+        weights[k] = weight[w]
+    m = ordinal.Ordinal(weights, np.array([1.0, 2.5]))
+    texts = ["", None, "tea garden", "IDIOT idiot Idiot tea", "hate x1 hate\tidiot\n", " ".join(words * 4000), "hate"]
+    got = {r.doc_id: r for r in toxicity(spark.createDataFrame(list(enumerate(texts)), DOCS), m).collect()}
+    for k, text in enumerate(texts):
+        s = sum(weight[w] for w in set((text or "").lower().split()))
+        above = [1 - 1 / (1 + math.exp(-(t - s))) for t in (1.0, 2.5)]
+        assert got[k].p_toxic == pytest.approx(above[0]) and got[k].severity == pytest.approx(sum(above)) and got[k].toxic == (above[0] >= 0.35)
+
+
+def distinct_words_of(text):
+    return next(distinct_words(pa.array([text])))[1]
