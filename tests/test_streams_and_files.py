@@ -2,6 +2,7 @@ import hashlib
 import json
 import sys
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,16 @@ def test_a_new_capture_epoch_starts_over_in_both_forms(spark, tmp_path):
     want = [(1, 1), (1, 2), (1, 5), (1, 6), (2, 1), (2, 3), (2, 4)]
     assert sorted((r.capture_epoch, r.seq) for r in signals.monotonic(f, "t_ms").collect()) == want
     assert sorted((r.capture_epoch, r.seq) for r in streams.drain(streams.monotonic(streams.from_files(spark, f"{tmp_path}/in", f.schema))).collect()) == want
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from framewright.functions.tables import shared_folder
+
+    def session(master, root=None):
+        conf = SimpleNamespace(get=lambda key, default: root or default)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("spark://host:7077", "/shared"), "settled").startswith("/shared/settled/")
+    assert "framewright-" in shared_folder(session("local[8]"), "settled")
+    with pytest.raises(ValueError, match="share"):
+        shared_folder(session("local-cluster[2,1,1024]"), "settled")
