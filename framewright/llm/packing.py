@@ -193,20 +193,26 @@ def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     weight = (share * left[:, None]).sum(axis=0) / max(left.sum(), 1)
     weighted = share * weight
     out = np.empty(len(demand), np.int64)
-    room, number, rest = limits.astype(float), 0, len(demand)
-    live = np.arange(len(classes))
+    room, number, rest, gone = limits.astype(float), 0, len(demand), 0
+    live, first, others = np.arange(len(classes)), classes[:, 0].copy(), [c.copy() for c in classes.T[1:]]
     while rest:
-        live = live[left[live] > 0] if (left[live] == 0).sum() * 4 > len(live) else live
-        fits = (classes[live] <= room).all(axis=1) & (left[live] > 0)
+        if gone * 4 > len(live):
+            keep = left > 0
+            live, left, weighted, first, others, gone = live[keep], left[keep], weighted[keep], first[keep], [c[keep] for c in others], 0
+        stop = np.searchsorted(first, room[0], "right")  # classes are sorted by their first demand
+        fits = left[:stop] > 0
+        for c, free in zip(others, room[1:], strict=True):
+            fits &= c[:stop] <= free
         if not fits.any():
             room, number = limits.astype(float), number + 1
             continue
-        k = live[np.argmax(np.where(fits, weighted[live] @ (room / limits), -1.0))]
-        out[order[taken[k]]] = number
-        taken[k] += 1
+        k = np.argmax(np.where(fits, weighted[:stop] @ (room / limits), -1.0))
+        out[order[taken[live[k]]]] = number
+        taken[live[k]] += 1
         left[k] -= 1
+        gone += left[k] == 0
         rest -= 1
-        room = room - classes[k]
+        room = room - classes[live[k]]
     return out
 
 
