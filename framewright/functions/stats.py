@@ -59,12 +59,19 @@ def timed_percentile(df: DataFrame, keys: list[str], time: str, value: str, p: C
     ``step``.  The result is the first value, in ascending order, at which the
     weights add up to ``p`` of the total.
     """
-    by_time = Window.partitionBy(*keys).orderBy(time)
+    lasts = F.lead(time).over(Window.partitionBy(*keys).orderBy(time)) - F.col(time)
+    return weighted_percentile(df.withColumn("_w", lasting(lasts, step)), keys, value, "_w", p, out)
+
+
+def lasting(until_next: Column, step: Column) -> Column:
+    """How long a sample lasts: up to the next one, the last one ``step``."""
+    return F.when(until_next.isNull(), step).otherwise(F.greatest(until_next, F.lit(0.0)))
+
+
+def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str, p: Column, out: str) -> DataFrame:
+    """The first value of each group, in ascending order, at which the weights add up to ``p`` of the total."""
     by_value = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*keys)
-    lasts = F.lead(time).over(by_time) - F.col(time)
-    w = df.withColumn("_w", F.when(lasts.isNull(), step).otherwise(F.greatest(lasts, F.lit(0.0))))
-    w = w.withColumn("_c", F.sum("_w").over(by_value)).withColumn("_t", F.sum("_w").over(everything))
+    w = df.withColumn("_c", F.sum(weight).over(by_value)).withColumn("_t", F.sum(weight).over(Window.partitionBy(*keys)))
     hit = F.when(F.col("_c") >= F.col("_t") * p, F.col(value))
     # rounding may leave the last sum below the target: then it is the largest value
     return w.groupBy(*keys).agg(F.coalesce(F.min(hit), F.max(value)).alias(out))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewright.functions.gates import visual_reasons
-from framewright.functions.stats import all_of, clamp01, finite, js_round, mad, timed_percentile
+from framewright.functions.stats import all_of, clamp01, finite, js_round, lasting, mad, weighted_percentile
 from framewright.functions.tables import settle
 
 BIN_MS, MAX_GAP_MS = 5000.0, 200.0
@@ -88,14 +88,21 @@ def bins(frames: DataFrame) -> DataFrame:
 
 
 def bin_values(frames: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row per qualifying bin and metric: its time-weighted percentile, all eight from one pass."""
+    """One row per qualifying bin and metric: its time-weighted percentile, all eight from one pass.
+
+    How long a sample lasts, up to the next frame that has the series, is found
+    once a frame; the rows of the series then stay where the frames are.
+    """
     f = frames.join(kept.select("session_id", "bin", "step"), ["session_id", "bin"])
     gap, speed = F.col("inter_result_gap_ms"), F.col("movement_speed")
     moving = F.when((F.col("place") > 1) & (gap > 0) & (gap <= MAX_GAP_MS) & finite(speed) & (speed >= 0), speed)
     series = [F.col("eye_left"), F.col("eye_right"), eye_asymmetry(), mouth_width(), F.col("mouth_aperture"), F.col("mouth_aperture"), corner_asymmetry(), moving]
-    rows = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(p).alias("p"), x.alias("v")) for i, (x, p) in enumerate(zip(series, PERCENTILES, strict=True))))
-    long_ = f.select("session_id", "bin", "t_ms", "step", F.explode(rows).alias("x")).select("session_id", "bin", "t_ms", "step", "x.*").filter(finite("v"))
-    return timed_percentile(long_, ["session_id", "bin", "ordinal", "p"], "t_ms", "v", F.col("p"), F.col("step"), "value").drop("p")
+    f = f.select("session_id", "bin", "t_ms", "step", *(F.when(finite(x), x).alias(f"v{i}") for i, x in enumerate(series)))
+    following = "lead(CASE WHEN v{} IS NOT NULL THEN t_ms END) IGNORE NULLS OVER (PARTITION BY session_id, bin ORDER BY t_ms) - t_ms"
+    f = f.withColumns({f"w{i}": lasting(F.expr(following.format(i)), F.col("step")) for i in range(len(series))})
+    rows = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(p).alias("p"), F.col(f"v{i}").alias("v"), F.col(f"w{i}").alias("w")) for i, p in enumerate(PERCENTILES)))
+    long_ = f.select("session_id", "bin", F.explode(rows).alias("x")).select("session_id", "bin", "x.*").filter("v is not null")
+    return weighted_percentile(long_, ["session_id", "bin", "ordinal", "p"], "v", "w", F.col("p"), "value").drop("p")
 
 
 def blinks(frames: DataFrame, kept: DataFrame) -> DataFrame:

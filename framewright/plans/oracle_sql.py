@@ -108,8 +108,8 @@ FROM judged
 #: Face frames from line items.
 FACE = r"""
 numbered_lines AS (
-  SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS i FROM lineitem),
-raw_face AS (SELECT *, i // 1500 AS session_id, i % 1500 AS seq, (40 * (i % 1500))::DOUBLE AS t_ms FROM numbered_lines),
+  SELECT *, l_orderkey // 375 AS session_id, row_number() OVER (PARTITION BY l_orderkey // 375 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS seq FROM lineitem),
+raw_face AS (SELECT *, (40 * seq)::DOUBLE AS t_ms FROM numbered_lines),
 face AS (
   SELECT session_id, seq, t_ms, CASE WHEN session_id % 9 = 4 AND seq % 100 = 50 THEN 2 ELSE 1 END AS faces, CASE WHEN session_id % 10 = 6 AND seq >= 1000 THEN 'face-2' ELSE 'face-1' END AS track,
          384 + l_quantity % 3 AS wpx, 360 + l_quantity % 2 AS hpx, CASE WHEN session_id % 6 = 5 AND seq BETWEEN 300 AND 310 THEN 7.001 ELSE 2.0 END AS yaw, l_tax * 50 AS pitch, l_discount * 20 AS roll,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-VOICE_PER_SESSION, FACE_PER_SESSION, STEP_MS = 1000, 1500, 40
+VOICE_PER_SESSION, ORDERS_PER_SESSION, STEP_MS = 1000, 375, 40
 
 
 def voice_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,15 +43,15 @@ def voice_sessions(frames: DataFrame) -> DataFrame:
 
 
 def face_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One face frame per line item: 60 s sessions of 1500 frames, with blinks, turns of the head and lost faces."""
+    """One face frame per line item: sessions of 375 orders, about 60 s and 1500 frames, with blinks, turns of the head and lost faces.
+
+    A frame's number is its line's place among the lines of its session, so one
+    exchange by session numbers all rows and serves the session windows that follow.
+    """
     line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    # numbering all rows without one global task: places within ranges of the key, and the ranges' sizes before
-    cut = line.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    sizes = cut.groupBy("p").agg(F.count("*").alias("n"), F.min("m").alias("first"))
-    before = sizes.select("p", "first", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
-    rows = cut.join(F.broadcast(before), "p").withColumn("i", F.col("before") + F.col("m") - F.col("first"))
-    rows = rows.select("l_quantity", "l_discount", "l_tax", F.expr("i div 1500").alias("session_id"), (F.col("i") % FACE_PER_SESSION).alias("seq"))
+    rows = line.select(*keys, F.expr(f"l_orderkey div {ORDERS_PER_SESSION}").alias("session_id"))
+    rows = rows.select("session_id", "l_quantity", "l_discount", "l_tax", (F.row_number().over(Window.partitionBy("session_id").orderBy(*keys)) - 1).cast("long").alias("seq"))
     t = F.col("seq") * STEP_MS
     closed = t % 10000 < 120
     eye = lambda extra: F.when(closed, 0.1).otherwise(0.3 + extra)
