@@ -11,29 +11,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from framewright.llm.parts import PartEncoder, steps
 from framewright.llm.tables import Scratch, documents
-from framewright.llm.text import Words, split_words
 
-#: Word parts, and their bytes, that a Python worker remembers the ids of; then it starts over.
-CACHE_WORDS, CACHE_BYTES = 700_000, 32 << 20
 #: New parts that are encoded as one text.
 JOINED = 64
-#: ASCII letters (1) and ASCII marks without the apostrophe (2): where one meets the other, the tokenizer splits too.
-_SIDE = np.zeros(256, np.uint8)
-_SIDE[97:123] = 1
-_SIDE[[b for b in range(33, 127) if not chr(b).isalnum() and b != 0x27]] = 2
-#: Text bytes whose words are looked up at once.
-STEP_BYTES = 1 << 21
 
 
-class WordEncoder:
-    """Ids of a tokenizer that drops white space and never joins letters to marks.
-
-    A text's ids are the ids of its parts one after another: words (ASCII letters
-    lower-cased, as the tokenizer does), cut where an ASCII letter meets an ASCII
-    mark.  Each distinct part is encoded once and remembered.
-    """
+class WordEncoder(PartEncoder):
+    """Ids by the tokenizers library, for a tokenizer that drops white space and never joins letters to marks."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -46,78 +34,19 @@ class WordEncoder:
         self.bears_loss = np.array([c.isalpha() for c in first])
         self.clear()
 
-    def clear(self) -> None:
-        self.known, self.code = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.n, self.bytes = 0, 0
-        self.pool = np.zeros(1 << 20, np.uint32)
-        self.used, self.begin = 0, np.zeros(CACHE_WORDS + 1, np.int64)
-
-    def learn(self, parts: list[bytes]) -> None:
-        """Encodes parts joined by spaces; each token belongs to the part in which it starts."""
-        words = [p.decode() for p in parts]
-        n = self.n
-        while n + len(words) + 1 > len(self.begin):
-            self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
-        for i in range(0, len(words), JOINED):
-            group = words[i : i + JOINED]
+    def encode_parts(self, parts: list[str]) -> tuple[list[int], list[int]]:
+        """Parts are joined by spaces; each token belongs to the part in which it starts."""
+        ids, sizes = [], []
+        for i in range(0, len(parts), JOINED):
+            group = parts[i : i + JOINED]
             encoded = self.tokenizer.encode(" ".join(group), add_special_tokens=False)
-            ids = encoded.ids
             ends = np.cumsum([len(w) + 1 for w in group])
-            sizes = np.bincount(np.searchsorted(ends, [a for a, _ in encoded.offsets], "right"), minlength=len(group)) if ids else np.zeros(len(group), np.int64)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.begin[n + i + 1 : n + i + 1 + len(group)] = self.used + np.cumsum(sizes)
-            self.used += len(ids)
-        self.bytes += sum(map(len, parts))
-        self.n += len(parts)
-
-    @staticmethod
-    def parts(texts: list[str]) -> Words:
-        raw = [t.encode().lower() for t in texts]
-        whole = np.frombuffer(b"\n".join(raw), np.uint8)
-        side = _SIDE[whole]
-        cut = np.flatnonzero((side[1:] + side[:-1] == 3) & (side[1:] > 0) & (side[:-1] > 0)) + 1
-        at = np.concatenate(([0], np.cumsum([len(r) + 1 for r in raw])))
-        spaced = pa.array([np.insert(whole, cut, 0x20).tobytes()], pa.large_binary())
-        (words,) = split_words(spaced)
-        words.offsets = np.searchsorted(words.starts, at + np.searchsorted(cut, at, "right"))
-        return words
-
-    def codes(self, words: Words) -> np.ndarray:
-        """Numbers of parts, by 64-bit hashes; parts not met before are encoded."""
-        value, first, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if (self.n + len(value) > CACHE_WORDS or self.bytes > CACHE_BYTES) and self.n:
-            self.clear()
-        at = np.searchsorted(self.known, value)
-        new = np.ones(len(value), bool) if not self.n else self.known[np.minimum(at, self.n - 1)] != value
-        if new.any():
-            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)
-            self.code = np.insert(self.code, at[new], np.arange(self.n, self.n + new.sum()))
-            self.known = np.insert(self.known, at[new], value[new])
-            self.learn([words.buf[a:b].tobytes() for a, b in spans])
-        return self.code[np.searchsorted(self.known, value)][of]
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by ``end``, and by text offsets into them."""
-        # the strings of reserved ids in a text are those ids to this tokenizer; such a text is encoded as it is
-        whole = {i: self.tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if any(r in t for r in self.reserved)}
-        words = self.parts(["" if i in whole else t for i, t in enumerate(texts)])
-        code = self.codes(words)
-        at, size = self.begin[code], self.begin[code + 1] - self.begin[code]
-        sizes = np.bincount(words.rows_of_words(), size, len(texts)).astype(np.int64)
-        for i, ids in whole.items():
-            sizes[i] = len(ids)
-        offsets = np.concatenate(([0], np.cumsum(sizes + 1)))
-        out = np.empty(offsets[-1], np.uint32)
-        out[offsets[1:] - 1] = end
-        body = np.ones(len(out), bool)
-        body[offsets[1:] - 1] = False
-        for i, ids in whole.items():
-            body[offsets[i] : offsets[i + 1]] = False
-            out[offsets[i] : offsets[i + 1] - 1] = ids
-        out[body] = self.pool[np.repeat(at - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        return out, offsets
+            ids += encoded.ids
+            sizes += np.bincount(np.searchsorted(ends, np.array([a for a, _ in encoded.offsets], np.int64), "right"), minlength=len(group)).tolist()
+        return ids, sizes
+
+    def encode_whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @functools.cache
@@ -130,10 +59,7 @@ def _cut(path: str, limit: int, end: int, max_loss: int, with_ids: bool):
         words = encoder(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            size = np.cumsum([len(t) for t in texts])
-            row = 0
-            while row < len(texts):
-                stop = max(row + 1, int(np.searchsorted(size, (size[row - 1] if row else 0) + STEP_BYTES, "right")))
+            for row, stop in steps([len(t) for t in texts]):
                 ids, offsets = words.encode(texts[row:stop], end)
                 total = np.diff(offsets)
                 before = np.concatenate(([0], np.cumsum(words.bears_loss[ids])))
@@ -156,7 +82,6 @@ def _cut(path: str, limit: int, end: int, max_loss: int, with_ids: bool):
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate((begin, offsets[-1:])).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
-                row = stop
 
     return run
 
@@ -249,7 +174,7 @@ def pack(examples: DataFrame, tokens: str = "length", loss_tokens: str | None =
         number = (group["_block"][0].as_py() << 32 | bins) << 1
         return group.select(fields).append_column("sequence_id", pa.array(number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    schema = examples.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*examples.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     full = table.filter(F.col("_tokens") == limit).select(*fields, (F.col("_row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = table.filter(F.col("_tokens") < limit).withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
     return full.unionByName(rest.groupBy("_block").applyInArrow(place, schema))

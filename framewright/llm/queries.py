@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.llm.bpe import decode, encode
 from framewright.llm.chat import format_turns, read_back
 from framewright.llm.decontaminate import contaminated
 from framewright.llm.exact_dedup import exact_duplicates
@@ -19,6 +20,8 @@ from framewright.llm.secrets import default_model, secrets
 from framewright.llm.substring_dedup import remove_repeats
 from framewright.llm.tables import read
 from framewright.llm.toxicity import fit_toxicity, toxicity
+from framewright.llm.variants import count_words, group_variants
+from framewright.llm.whitening import whiten
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +30,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A vocabulary file and its size, for texts that must be read back from ids.
 CHAT_TOKENIZER, CHAT_RESERVED = "byte_bpe_50k.json", 50_257
-PACK_TOKENIZER = "word_bpe_49k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(PACK_TOKENIZER))
+    return pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +76,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_turns(rows, path, CHAT_RESERVED), path, CHAT_RESERVED)
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(WORD_TOKENIZER)
+    said = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decode(encode(read(spark, sf_dir, "documents"), path), path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings"), components=4)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(read(spark, sf_dir, "documents"), damaged_every=31))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_secrets": op2_secrets,
@@ -84,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_chat": op10_chat,
+    "op11_bpe": op11_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {

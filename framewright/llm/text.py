@@ -7,7 +7,7 @@ numpy: no Python loop runs per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +19,9 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Spaces and everything else in ASCII that is no letter or digit.
 MARKS = np.zeros(256, bool)
 MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
+#: ASCII letters and the byte that leads U+00C0 to U+00FF.
+LETTERS = np.zeros(256, bool)
+LETTERS[[b for b in range(128) if chr(b).isalpha()] + [0xC3]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 #: Bytes of text that one numpy step works on; its temporaries are about 30 times as large.
@@ -98,10 +101,18 @@ def raw_text(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return buf, offsets
 
 
-def split_words(column: pa.Array | pa.ChunkedArray, between: np.ndarray = SPACE, slice_bytes: int = SLICE_BYTES) -> Iterator[Words]:
+def latin_letters(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to ASCII letters or to U+00C0 to U+00FF (C3 and the byte after it, in UTF-8)."""
+    inside = LETTERS[buf]
+    inside[1:] |= buf[:-1] == 0xC3
+    return inside
+
+
+def split_words(column: pa.Array | pa.ChunkedArray, between: np.ndarray = SPACE, slice_bytes: int = SLICE_BYTES, inside_of: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Words]:
     """Words of the rows, in slices of whole rows of about ``slice_bytes`` (one row may be longer).
 
-    ``between`` tells by byte what separates words.
+    ``between`` tells by byte what separates words; ``inside_of``, if given, tells
+    instead which bytes of a slice are inside words.
     """
     buf, offsets = raw_text(column)
     row, n = 0, len(offsets) - 1
@@ -110,7 +121,7 @@ def split_words(column: pa.Array | pa.ChunkedArray, between: np.ndarray = SPACE,
         end = min(end, n)
         a, b = int(offsets[row]), int(offsets[end])
         part = buf[a:b]
-        inside = ~between[part]
+        inside = ~between[part] if inside_of is None else inside_of(part)
         edge = np.zeros(len(part) + 1, bool)  # a row begins here
         edge[offsets[row:end] - a] = True
         before = np.concatenate(([False], inside[:-1])) if len(part) else inside

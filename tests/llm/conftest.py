@@ -26,6 +26,9 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame(conv, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{root}/conversations.parquet")
     spark.createDataFrame([(0, " ".join(f"passage{i}" for i in range(10, 30))), (1, None), (2, "one"), (3, "")], "item_id long, text string").coalesce(1).write.parquet(f"{root}/benchmark.parquet")
     spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(0, len(TEXTS) + 5)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{root}/labels.parquet")
+    half = [0.25, -0.5, 0.125]
+    vectors = [(0, half, 1), (1, half, 1), (2, [0.5, 0.25, 1.0], 2), (2, [1.0, 0.75, -0.25], None), (None, [-1.0, 0.0, 0.5], 0), (4, None, 0), (5, [1.0, None, 0.0], 0), (6, [1.0, float("nan"), 0.0], 0), (7, [float("-inf"), 0.0, 0.0], 0), (8, [], 0), (9, [0.5], 0)]
+    spark.createDataFrame([(*v, 3, 4) for v in vectors], "vec_id long, embedding array<float>, label int, n long, x long").coalesce(2).write.parquet(f"{root}/embeddings.parquet")
     return str(root)
 
 
