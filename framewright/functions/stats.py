@@ -80,3 +80,9 @@ def weighted_percentile(df: DataFrame, keys: list[str], value: str, weight: str,
 def all_of(*conditions: Column) -> Column:
     """Conjunction in which null is false."""
     return reduce(lambda a, b: a & b, (F.coalesce(c, F.lit(False)) for c in conditions))
+
+
+def plain_number(x: Column) -> Column:
+    """A number as text, whole ones without a point or an exponent."""
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    return F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from framewright.functions.gates import visual_reasons
 from framewright.functions.stats import all_of, clamp01, finite, js_round, lasting, mad, weighted_percentile
 from framewright.functions.tables import settle
+from framewright.operators import voice
 
 BIN_MS, MAX_GAP_MS = 5000.0, 200.0
 #: The registry of face metrics, in order, with units, the bin value and its percentile.
@@ -140,6 +141,13 @@ def blinks(frames: DataFrame, kept: DataFrame) -> DataFrame:
     return kept.select("session_id", "bin").join(found, ["session_id", "bin"], "left").withColumn("blinks", F.coalesce("blinks", F.lit(0).cast("long")))
 
 
+def evidence(frames: DataFrame, sessions: DataFrame) -> DataFrame:
+    """What the face outcomes of each session rest on; each qualifying bin is one window."""
+    framed = settle(screened(frames, sessions))
+    kept = bins(framed).withColumn("bin_end_ms", F.col("start_ms") + BIN_MS).withColumn("ref", voice.window_ref("start_ms", "bin_end_ms", "face"))
+    return voice.gathered(sessions, framed, kept, ["t_ms", "seq"]).withColumnRenamed("_tracks", "segment_count").drop("_pieces")
+
+
 def quality_score(frames: DataFrame, kept: DataFrame) -> DataFrame:
     f = frames.join(kept.select("session_id", "bin"), ["session_id", "bin"], "left_semi")
     pose = clamp01(1 - F.greatest(F.abs("yaw_deg") / 7, F.abs("pitch_deg") / 10, F.abs("roll_deg") / 5))

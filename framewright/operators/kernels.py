@@ -136,23 +136,43 @@ def sliding(samples: Column, size: int, hop: int) -> Column:
     return F.transform(starts, lambda i: F.slice(samples, i, F.lit(size)))
 
 
+def _fnv(texts: list[str | None], utf16: bool) -> list[str | None]:
+    """Hashes of many texts at once: all first units, then all second ones, and so on."""
+    code, kind = ("utf-16-le", "<u2") if utf16 else ("utf-8", np.uint8)
+    units = [np.frombuffer((t or "").encode(code), kind) for t in texts]
+    size = np.array([len(u) for u in units], np.int64)
+    order = np.argsort(-size, kind="stable")
+    whole, begin = np.concatenate([*units, np.zeros(0, kind)]), (np.cumsum(size) - size)[order]
+    live = np.searchsorted(-size[order], -np.arange(size.max(initial=0)))  # texts that have a unit at each place
+    h = np.full(len(texts), 0xCBF29CE484222325, np.uint64)
+    for k, n in enumerate(live.tolist()):
+        h[:n] = (h[:n] ^ whole[begin[:n] + k]) * np.uint64(0x100000001B3)
+    out = np.empty(len(texts), np.uint64)
+    out[order] = h
+    return [None if t is None else f"{x:016x}" for t, x in zip(texts, out.tolist(), strict=True)]
+
+
 def fnv1a(text: Column, utf16: bool = False) -> Column:
-    """FNV-1a of 64 bits in hex, over UTF-8 bytes or UTF-16 units."""
+    """FNV-1a of 64 bits in hex, over UTF-8 bytes or UTF-16 units; null stays null."""
 
     @F.pandas_udf(T.StringType())
     def kernel(s: pd.Series) -> pd.Series:
-        def one(v: str) -> str:
-            units = np.frombuffer(v.encode("utf-16-le"), "<u2").tolist() if utf16 else v.encode()
-            h = 0xCBF29CE484222325
-            for u in units:
-                h = (h ^ u) * 0x100000001B3 % (1 << 64)
-            return f"{h:016x}"
-
-        return s.map(one)
+        return pd.Series(_fnv([None if v is None else v for v in s], utf16), dtype=object)
 
     return kernel(text)
 
 
+def fnv1a_each(texts: Column) -> Column:
+    """The hash of each string of an array; null arrays and entries stay null."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def kernel(s: pd.Series) -> pd.Series:
+        flat = iter(_fnv([v for row in s if row is not None for v in row], False))
+        return pd.Series([None if row is None else [next(flat) for _ in row] for row in s], dtype=object)
+
+    return kernel(texts)
+
+
 def identity(*parts: Column) -> Column:
     """Length-prefixed parts joined by bars, so that no two lists of parts read alike."""
     return F.concat_ws("|", *(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts))

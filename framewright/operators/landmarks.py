@@ -15,11 +15,9 @@ MOVING = (33, 133, 362, 263, 61, 291, 13, 14, 70, 300)
 
 
 def pixel(points: Column, number: int, width: Column | float, height: Column | float) -> Column:
-    """A landmark in pixels; null if the array is too short or the point not finite."""
+    """A landmark in pixels; null if the array is too short or the point is not finite or lies outside the image (0 to 1)."""
     p = F.get(points, F.lit(number))
-    x, y = p.x * width, p.y * height
-    good = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
-    return F.when(good, F.struct(x.alias("x"), y.alias("y")))
+    return F.when(p.x.between(0, 1) & p.y.between(0, 1), F.struct((p.x * width).alias("x"), (p.y * height).alias("y")))
 
 
 def _gap(a: Column, b: Column) -> Column:

@@ -26,8 +26,29 @@ def _all_same(columns: tuple[str, ...], a: str, b: str) -> Column:
     return all_of(*(F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns))
 
 
-def _keyed(df: DataFrame, key: str, name: str) -> DataFrame:
-    return df.select("session_id", F.col(key).alias("target_id"), F.struct(*df.columns).alias(name))
+def first(df: DataFrame, keys: list[str], position: str = "position") -> DataFrame:
+    """One row a key, as a lookup in a list finds it: the first by ``position``, or by all columns where there is none."""
+    rest = [c for c in df.columns if c not in keys]
+    order = [position] if position in rest else rest
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")).select(*keys, "_first.*") if rest else df.distinct()
+
+
+#: What a reference's target may say; a kind's table has some of it.
+FOUND = ("session_id", "subject_ref", "protocol", "type", "metric_code", "modality", "context", "unit", "track_segment_id", "aggregate_id")
+
+
+def _targets(tables: dict[str, DataFrame], events: DataFrame) -> DataFrame:
+    """First targets of every kind by ``kind, scope, target_id``; the scope of an event is every session."""
+    kinds = {f.name: f.dataType for t in (*tables.values(), events) for f in t.schema.fields}
+    rows = []
+    for kind, table in {**tables, "event": events}.items():
+        say = (F.col(c) if c in table.columns else F.lit(None).cast(kinds[c]) for c in FOUND if c in kinds)
+        order = F.struct("position") if "position" in table.columns else F.struct(*table.columns)
+        found = F.struct(*(c.alias(n) for c, n in zip(say, [c for c in FOUND if c in kinds], strict=True)))
+        scope = F.lit("") if kind == "event" else F.col("session_id").cast("string")
+        one = table.select(F.lit(kind).alias("kind"), scope.alias("scope"), F.col(f"{kind}_id").alias("target_id"), found.alias("found"), order.alias("order"))
+        rows.append(one.groupBy("kind", "scope", "target_id").agg(F.min_by("found", "order").alias("found")))
+    return reduce(DataFrame.unionByName, rows)
 
 
 def foreign() -> Column:
@@ -42,26 +63,26 @@ def reference_errors(refs: DataFrame, outcomes: DataFrame, observations: DataFra
     with ``kind``, ``target_id`` and what the reference says.  An error is
     ``foreign-context`` (nothing else is then looked at), ``unresolved``,
     ``mismatch``, or ``other-metric`` of a measurement's event.  ``targets`` are
-    windows, measurements and aggregates by kind, with their ids.
+    windows, measurements and aggregates by kind, with their ids.  Of rows with
+    one id the first counts (by a column ``position``, where there is one).  All
+    kinds are looked up in one join by kind, session and id.
     """
-    o = outcomes.select("session_id", "metric_code", F.struct(*outcomes.columns).alias("outcome"))
+    o = first(outcomes, ["session_id", "metric_code"])
+    o = o.select("session_id", "metric_code", F.struct(*o.columns).alias("outcome"))
     seen = observations.select("session_id", F.struct(*observations.columns).alias("seen"))
     r = refs.select("session_id", "metric_code", "ref").join(o, ["session_id", "metric_code"]).join(seen, "session_id")
-    r = r.select("*", F.col("ref.kind").alias("kind"), F.col("ref.target_id").alias("target_id"), foreign().alias("foreign"))
-    keep = ("session_id", "metric_code", "kind", "target_id")
-    out = [r.filter("foreign").select(*keep, F.lit("foreign-context").alias("error"))]
-    near = r.filter("not foreign")
-    for kind, (key, table) in {k: (f"{k}_id", t) for k, t in targets.items()}.items():
-        to_ref, to_outcome = SHARED[kind]
-        j = near.filter(F.col("kind") == kind).join(_keyed(table, key, "found"), ["session_id", "target_id"], "left")
-        error = F.when(F.col("found").isNull(), "unresolved").when(~(_all_same(to_ref, "found", "ref") & _all_same(to_outcome, "found", "outcome")), "mismatch")
-        out.append(j.select(*keep, error.alias("error")).filter("error is not null"))
-    j = near.filter("kind = 'event'").join(events.select(F.col("event_id").alias("target_id"), F.struct(*events.columns).alias("found")), "target_id", "left")
+    scope = F.when(F.col("ref.kind") == "event", "").otherwise(F.col("session_id").cast("string"))
+    r = r.select("*", F.col("ref.kind").alias("kind"), scope.alias("scope"), F.col("ref.target_id").alias("target_id")).join(_targets(targets, events), ["kind", "scope", "target_id"], "left")
+    fits = F.lit(True)
+    for kind, (to_ref, to_outcome) in SHARED.items():
+        fits = F.when(F.col("kind") == kind, _all_same(to_ref, "found", "ref") & _all_same(to_outcome, "found", "outcome")).otherwise(fits)
     bound = F.col("found.session_id").eqNullSafe(F.col("seen.session_id")) & F.col("found.subject_ref").eqNullSafe(F.col("seen.subject_ref")) & same_protocol("found.protocol", "seen.protocol")
-    other = F.col("found.type").isin("measurement.recorded", "measurement.withheld") & ~F.col("found.metric_code").eqNullSafe(F.col("outcome.metric_code"))
-    errors = F.when(F.col("found").isNull(), F.array(F.lit("unresolved"))).otherwise(F.array_compact(F.array(F.when(~bound, "mismatch"), F.when(other, "other-metric"))))
-    out.append(j.select(*keep, F.explode(errors).alias("error")))
-    return reduce(DataFrame.unionByName, out)
+    event = F.col("kind") == "event"
+    other = event & F.col("found.type").isin("measurement.recorded", "measurement.withheld") & ~F.col("found.metric_code").eqNullSafe(F.col("outcome.metric_code"))
+    errors = (
+        F.when(foreign(), F.array(F.lit("foreign-context"))).when(F.col("found").isNull(), F.array(F.lit("unresolved")))
+        .otherwise(F.array_compact(F.array(F.when(~F.when(event, bound).otherwise(fits), "mismatch"), F.when(other, "other-metric")))))
+    return r.select("session_id", "metric_code", "kind", "target_id", F.explode(errors).alias("error"))
 
 
 def outcome_errors(outcomes: DataFrame, processors: DataFrame, refs: DataFrame) -> DataFrame:
@@ -75,10 +96,13 @@ def outcome_errors(outcomes: DataFrame, processors: DataFrame, refs: DataFrame)
 def measurement_errors(measurements: DataFrame, outcomes: DataFrame, windows: DataFrame) -> DataFrame:
     """Measurements without their exact measured outcome, and source windows that are missing or of another kind."""
     m = measurements.select("session_id", "measurement_id", "aggregate_id", F.struct(*measurements.columns).alias("own"))
-    o = outcomes.select("session_id", "aggregate_id", F.struct(*outcomes.columns).alias("outcome"))
-    held = F.coalesce((F.col("outcome.status") == "measured") & _all_same(TERMINAL, "own", "outcome"), F.lit(False))
+    o = first(outcomes, ["session_id", "aggregate_id"])
+    o = o.select("session_id", "aggregate_id", F.struct(*o.columns).alias("outcome"))
+    windows = first(windows, ["session_id", "window_id"])
+    windows = windows.select("session_id", F.col("window_id").alias("target_id"), F.struct(*windows.columns).alias("found"))
+    held = all_of(F.col("outcome.status") == "measured", _all_same(TERMINAL, "own", "outcome"), F.col("own.own_session_id").eqNullSafe(F.col("session_id")) if "own_session_id" in measurements.columns else F.lit(True))
     ends = m.join(o, ["session_id", "aggregate_id"], "left").filter(~held).select("session_id", "measurement_id", F.lit("no-terminal-aggregate").alias("error"))
-    w = m.select("session_id", "measurement_id", "own", F.explode("own.source_window_refs").alias("target_id")).join(_keyed(windows, "window_id", "found"), ["session_id", "target_id"], "left")
+    w = m.select("session_id", "measurement_id", "own", F.explode("own.source_window_refs").alias("target_id")).join(windows, ["session_id", "target_id"], "left")
     fits = F.coalesce(F.col("found").isNotNull() & _all_same(SOURCE, "own", "found"), F.lit(False))
     return ends.unionByName(w.filter(~fits).select("session_id", "measurement_id", F.lit("incompatible-source-window").alias("error")))
 
@@ -90,17 +114,27 @@ def verdicts(observations: DataFrame, *errors: DataFrame) -> DataFrame:
     return observations.select("session_id").join(listed, "session_id", "left").select("session_id", F.when(F.col("errors").isNull(), "pass").otherwise("fail").alias("status"), F.coalesce("errors", F.lit("")).alias("errors"))
 
 
-def windows_for(outcomes: DataFrame, duration_ms: float) -> DataFrame:
-    """Evidence windows of each outcome: one per source reference, or one over what was observed."""
+def window_spans(duration_ms: Column) -> Column:
+    """Windows of an outcome, as an array of ``index, ref, start_ms, end_ms``: one per source reference, or one over what was observed."""
     start = F.greatest(F.lit(0.0), F.coalesce("observed_start_ms", F.lit(0.0)))
     end = F.greatest(start + 1, F.coalesce("observed_end_ms", start + 1))
-    none = F.array(F.struct(F.concat(F.col("modality"), F.lit("-unavailable")).alias("ref"), F.struct(start.alias("start_ms"), F.least(F.lit(duration_ms), end).alias("end_ms")).alias("span")))
-    parsed = lambda r: parse_window(r, F.col("modality"), F.lit(duration_ms))
-    named = F.transform("source_window_refs", lambda r: F.struct(r.alias("ref"), F.struct(parsed(r).start_ms.alias("start_ms"), parsed(r).end_ms.alias("end_ms")).alias("span")))
+    one = lambda i, ref, a, b: F.struct(i.alias("index"), ref.alias("ref"), a.alias("start_ms"), b.alias("end_ms"))
+    none = F.array(one(F.lit(0), F.concat(F.col("modality"), F.lit("-unavailable")), start, F.least(duration_ms, end)))
+    parsed = lambda r: parse_window(r, F.col("modality"), duration_ms)
+    named = F.transform("source_window_refs", lambda r, i: one(i, r, parsed(r).start_ms, parsed(r).end_ms))
+    return F.when(F.size("source_window_refs") > 0, named).otherwise(none)
+
+
+def window_id(code: Column, window: Column) -> Column:
+    return safe_id(F.concat_ws(":", F.lit("window"), code, window.index.cast("string"), window.ref))
+
+
+def windows_for(outcomes: DataFrame, duration_ms: float) -> DataFrame:
+    """Evidence windows of each outcome."""
     measured = F.col("status") == "measured"
-    w = outcomes.select("*", F.posexplode(F.when(F.size("source_window_refs") > 0, named).otherwise(none)).alias("index", "w"))
+    w = outcomes.select("*", F.explode(window_spans(F.lit(duration_ms))).alias("w"))
     return w.select(
-        "session_id", "metric_code", safe_id(F.concat_ws(":", F.lit("window"), "metric_code", F.col("index").cast("string"), "w.ref")).alias("window_id"), F.col("w.span.start_ms").alias("start_ms"), F.col("w.span.end_ms").alias("end_ms"),
+        "session_id", "metric_code", window_id(F.col("metric_code"), F.col("w")).alias("window_id"), F.col("w.start_ms").alias("start_ms"), F.col("w.end_ms").alias("end_ms"),
         F.when(measured, F.col("quality_score")).otherwise(0.0).alias("quality_score"), F.when(measured, "eligible").otherwise("withheld").alias("status"),
         F.when(~measured, F.coalesce("reason", F.lit("quality-threshold-failed"))).alias("reason"))
 

@@ -32,6 +32,14 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "registry_order int, code string, unit string, modality string, section string, place int, requirements map<string,double>")
 
 
+def definitions(spark: SparkSession, reasons: tuple[str, ...]) -> DataFrame:
+    """The registry with what outcomes must agree with: label, context, versions, and the reasons for which they may be withheld."""
+    voice_ = F.col("modality") == "voice"
+    return registry(spark).select(
+        "*", F.col("code").alias("label"), F.when(voice_, "ambient").otherwise("ambient-frontal").alias("context"), F.lit("1.0.0").alias("algorithm_version"), F.lit("automated-test").alias("technical_verification"),
+        F.lit("none").alias("clinical_validation"), F.array(*map(F.lit, reasons)).alias("reasons"))
+
+
 def finalize(voice_outcomes: DataFrame, face_outcomes: DataFrame) -> DataFrame:
     """Outcomes of both modalities in one table, in registry order, with what evidence each counts."""
     n = F.lit(None)

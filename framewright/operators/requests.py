@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from framewright.functions.stats import all_of
 
 #: The literals that a request must carry.
-SCHEMA_VERSION, RATE_HZ, LAYERS, PEAK, LONGEST_TEXT = "phenometric.voice-representation-request.v1", 16000, (6, 12, 18, 24), 1.5, 2_560_000
+RATE_HZ, LAYERS, PEAK, LONGEST_TEXT = 16000, (6, 12, 18, 24), 1.5, 2_560_000
 TASKS = ("sustained-vowel-1", "sustained-vowel-2", "standardized-reading", "rapid-syllables", "spontaneous-response")
 
 
@@ -32,19 +32,25 @@ def sound(payload: Column) -> Column:
     return F.when(payload.isNotNull(), kernel(payload))
 
 
-def request_errors(df: DataFrame, least: int = 24_000, most: int = 480_000) -> DataFrame:
+def request_errors(df: DataFrame, version: str, least: int = 24_000, most: int = 480_000, extra: str = "extra") -> DataFrame:
     """Adds ``errors``: names of the fields that break the schema, in its order, or else the first fault of the sound.
 
+    ``version`` is the schema version that a request must name.  A column
+    ``extra``, if there is one, lists the fields that a request has beyond the
+    schema; each is an error, by its name, after the others.
+
     Sound is judged only where all fields are right: its text must be strict
     base64, its bytes four a sample, its samples finite and within 1.5.
     """
     short = lambda c: F.length(c).between(1, 120)
     c = F.col
     fields = {
-        "schemaVersion": c("schema_version") == SCHEMA_VERSION, "requestRef": short("request_ref"), "captureEpoch": c("capture_epoch") >= 0, "windowRef": short("window_ref"), "taskContext": c("task_context").isin(*TASKS),
+        "schemaVersion": c("schema_version") == version, "requestRef": short("request_ref"), "captureEpoch": c("capture_epoch") >= 0, "windowRef": short("window_ref"), "taskContext": c("task_context").isin(*TASKS),
         "sampleRateHz": c("sample_rate_hz") == RATE_HZ, "channelCount": c("channel_count") == 1, "durationSamples": c("duration_samples").between(least, most), "requestedLayers": c("requested_layers") == F.array(*map(F.lit, LAYERS)),
         "pcmFloat32Base64": F.length("pcm_base64").between(1, LONGEST_TEXT)}
     wrong = F.array_compact(F.array(*(F.when(~all_of(ok), F.lit(name)) for name, ok in fields.items())))
+    if extra in df.columns:
+        wrong = F.concat(wrong, F.coalesce(F.array_sort(extra), F.array().cast("array<string>")))
     strict = c("pcm_base64").rlike("^[A-Za-z0-9+/]*={0,2}$") & (F.length("pcm_base64") % 4 == 0)
     d = df.withColumn("_wrong", wrong).withColumn("_raw", F.when((F.size("_wrong") == 0) & strict, F.try_to_binary("pcm_base64", F.lit("base64"))))
     d = d.withColumn("_sound", sound(F.col("_raw")))

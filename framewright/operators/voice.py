@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewright.functions.stats import all_of, clamp01, finite, mad
+from framewright.functions.stats import all_of, clamp01, finite, mad, plain_number
 from framewright.functions.tables import settle
 
 CAPTURE_MS, SEGMENT_MS, MAX_GAP_MS = 300_000.0, 10_000.0, 40.0
@@ -92,9 +92,36 @@ def segments(frames: DataFrame) -> DataFrame:
     return s.filter("frames >= 2 and duration_ms >= 2000 and active_ms >= 1000 and coverage >= 0.9")
 
 
-def window_ref(s: DataFrame) -> Column:
-    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
-    return F.concat_ws(":", F.lit("voice"), F.col("capture_epoch").cast("string"), "track_segment_id", number("start_ms"), number("end_ms"))
+def window_ref(start: str = "start_ms", end: str = "end_ms", modality: str = "voice") -> Column:
+    """``modality:epoch:track:start:end`` of a stretch of frames."""
+    return F.concat_ws(":", F.lit(modality), F.col("capture_epoch").cast("string"), "track_segment_id", plain_number(F.col(start)), plain_number(F.col(end)))
+
+
+def gathered(sessions: DataFrame, observed: DataFrame, pieces: DataFrame, place: list[str]) -> DataFrame:
+    """Evidence of each session's outcomes: ``observed_start_ms, observed_end_ms, sample_count, segment_count, processor_refs, track_segment_ids, source_window_refs``.
+
+    ``observed`` are the frames in range, ordered by ``place``; ``pieces`` the
+    segments or bins kept, with their ``frames, start_ms`` and ``ref``.  Processors
+    and tracks are those of the pieces, or of all frames where none was kept;
+    references are in order of time.
+    """
+    unique = lambda c: F.array_sort(F.collect_set(c))
+    track = F.when(F.length("track_segment_id") > 0, F.col("track_segment_id"))
+    seen = observed.groupBy("session_id").agg(
+        F.min_by("t_ms", F.struct(*place)).alias("observed_start_ms"), F.max_by("t_ms", F.struct(*place)).alias("observed_end_ms"), unique("processor_ref").alias("_p"), unique(track).alias("_t"))
+    kept = pieces.groupBy("session_id").agg(
+        F.sum("frames").alias("sample_count"), F.count_distinct("capture_epoch", "track_segment_id").alias("_tracks"), F.count(F.lit(1)).alias("_pieces"), unique("processor_ref").alias("processor_refs"),
+        unique("track_segment_id").alias("track_segment_ids"), F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "ref"))), lambda x: x.ref).alias("source_window_refs"))
+    e, none = sessions.select("session_id").join(seen, "session_id", "left").join(kept, "session_id", "left"), F.array().cast("array<string>")
+    return e.select(
+        "session_id", "observed_start_ms", "observed_end_ms", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sample_count", "_tracks", "_pieces")),
+        F.coalesce("processor_refs", "_p", none).alias("processor_refs"), F.coalesce("track_segment_ids", "_t", none).alias("track_segment_ids"), F.coalesce("source_window_refs", none).alias("source_window_refs"))
+
+
+def evidence(frames: DataFrame, sessions: DataFrame) -> DataFrame:
+    """What the voice outcomes of each session rest on; each segment is one window."""
+    kept = segments(segment_frames(frames, sessions)).withColumn("ref", window_ref())
+    return gathered(sessions, in_range(frames, sessions), kept, ["seq"]).withColumnRenamed("_pieces", "segment_count").drop("_tracks")
 
 
 def runs(frames: DataFrame, kept: DataFrame) -> DataFrame:

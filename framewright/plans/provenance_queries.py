@@ -31,6 +31,10 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     events = x.filter("n % 4 = 0 and p % 29 <> 0").select(
         key("e").alias("event_id"), (F.col("session_id") + F.when(F.col("p") % 31 == 0, 1).otherwise(0)).alias("session_id"), F.lit("s").alias("subject_ref"), protocol.alias("protocol"), F.lit("measurement.recorded").alias("type"),
         F.when(F.col("p") % 41 == 0, "mX").otherwise(F.col("metric_code")).alias("metric_code"))
+    # lookups take the first of equal ids: some windows and events come again, otherwise
+    once = lambda t: t.withColumn("position", F.lit(1))
+    windows = once(windows).unionByName(windows.filter("session_id % 3 = 1").withColumns({"position": F.lit(2), "track_segment_id": F.lit("t9"), "processor_ref": F.lit("other")}))
+    events = once(events).unionByName(events.filter("session_id % 2 = 0").withColumns({"position": F.lit(2), "subject_ref": F.lit("later"), "metric_code": F.lit("m0")}))
     said = lambda kind, target: F.struct(
         F.lit(kind).alias("kind"), target.alias("target_id"), "session_id", F.concat(F.lit("o:"), F.when(F.col("p") % 37 == 0, "other").otherwise(F.col("session_id").cast("string"))).alias("observation_id"), protocol.alias("protocol"), "modality", "context", "unit",
         "track_segment_id", F.when((F.lit(kind) == "aggregate") & (F.col("p") % 23 == 0), "mX").otherwise(F.col("metric_code")).alias("metric_code"))

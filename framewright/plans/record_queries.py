@@ -12,14 +12,24 @@ from framewright.plans.voice_queries import rounded
 from framewright.sources.surrogates import face_frames, face_sessions, voice_frames, voice_sessions
 
 WIDTH, HEIGHT = 640.0, 480.0
+#: Landmarks that lie outside the image in some faces: of an eye's corners and lids, the mouth, and the brows.
+ODD = (263, 385, 291, 13, 70, 33, 158)
 
 
 def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """478 landmarks from each vector, a little apart even where values repeat; every seventeenth face has only 300."""
+    """478 landmarks from each vector, a little apart even where values repeat.
+
+    Every seventeenth face has only 300.  Some have one landmark right of the
+    image, above it, or at no finite place; some have one on its very edge.
+    """
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     last = F.when(F.col("vec_id") % 17 == 0, 299).otherwise(477)
     at = lambda i, k: F.get("v", (2 * i + k) % 64) * 0.3 + 0.5 + i / 2000
-    return e.select("vec_id", "label", (F.col("vec_id") * 40).cast("double").alias("acquired_at_ms"), F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(at(i, 0).alias("x"), at(i, 1).alias("y"))).alias("points"))
+    k = F.col("vec_id")
+    odd = lambda i: i == F.element_at(F.array(*map(F.lit, ODD)), (k % len(ODD) + 1).cast("int"))
+    x = lambda i: F.when(odd(i) & (k % 13 == 5), 1.01).when(odd(i) & (k % 23 == 7), float("inf")).when(odd(i) & (k % 29 == 3), float("nan")).when(odd(i) & (k % 31 == 9), 1.0).otherwise(at(i, 0))
+    y = lambda i: F.when(odd(i) & (k % 19 == 4), -0.001).when(odd(i) & (k % 37 == 2), 0.0).otherwise(at(i, 1))
+    return e.select("vec_id", "label", (k * 40).cast("double").alias("acquired_at_ms"), F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(x(i).alias("x"), y(i).alias("y"))).alias("points"))
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,8 +142,11 @@ QUERIES = {
 
 _P = """
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-p AS (SELECT vec_id, label, i, (v[(2 * i) % 64 + 1] * 0.3 + 0.5 + i / 2000.0::DOUBLE) * 640 AS x, (v[(2 * i + 1) % 64 + 1] * 0.3 + 0.5 + i / 2000.0::DOUBLE) * 480 AS y
+o AS (SELECT *, i = [263, 385, 291, 13, 70, 33, 158][vec_id % 7 + 1] AS odd
       FROM e, (SELECT unnest([362, 263, 385, 380, 387, 373, 33, 133, 160, 144, 158, 153, 291, 61, 13, 14, 70, 300]) AS i) k WHERE vec_id % 17 <> 0 OR i < 300),
+u AS (SELECT vec_id, label, i, CASE WHEN odd AND (vec_id % 13 = 5 OR vec_id % 23 = 7 OR vec_id % 29 = 3) THEN NULL WHEN odd AND vec_id % 31 = 9 THEN 1 ELSE v[(2 * i) % 64 + 1] * 0.3 + 0.5 + i / 2000.0::DOUBLE END AS x,
+             CASE WHEN odd AND vec_id % 19 = 4 THEN NULL WHEN odd AND vec_id % 37 = 2 THEN 0 ELSE v[(2 * i + 1) % 64 + 1] * 0.3 + 0.5 + i / 2000.0::DOUBLE END AS y FROM o),
+p AS (SELECT vec_id, label, i, x * 640 AS x, y * 480 AS y FROM u WHERE x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1),
 w AS (SELECT vec_id, label, map_from_entries(list(struct_pack(k := i, v := struct_pack(x := x, y := y)))) AS m FROM p GROUP BY ALL),
 g AS (SELECT *, m[362] AS la, m[263] AS lb, m[33] AS ra, m[133] AS rb FROM w),
 c AS (SELECT *, (la.x + lb.x) / 2 AS lx, (la.y + lb.y) / 2 AS ly, (ra.x + rb.x) / 2 AS rx, (ra.y + rb.y) / 2 AS ry FROM g),

@@ -51,10 +51,10 @@ def f17_request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("vec_id")
     pick = lambda cond, yes, no: F.when(cond, F.lit(yes)).otherwise(F.lit(no))
     r = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
-        "vec_id", F.lit(requests.SCHEMA_VERSION).alias("schema_version"), pick(i % 29 == 7, "", "request").alias("request_ref"), pick(i % 31 == 8, -1, 1).alias("capture_epoch"),
+        "vec_id", pick(i % 41 == 11, "request.v0", "request.v1").alias("schema_version"), F.when(i % 43 == 12, F.array(F.lit("sampleCount"), F.lit("note"))).alias("extra"), pick(i % 29 == 7, "", "request").alias("request_ref"), pick(i % 31 == 8, -1, 1).alias("capture_epoch"),
         F.when(i % 37 != 9, F.lit("window")).alias("window_ref"), pick(i % 5 == 0, "rapid-syllables", "standardized-reading").alias("task_context"), pick(i % 23 == 6, 8000, 16000).alias("sample_rate_hz"), F.lit(1).alias("channel_count"),
         pick(i % 13 == 3, 65, 64).alias("duration_samples"), F.when(i % 17 == 4, F.array(F.lit(6), F.lit(12))).otherwise(F.array(*map(F.lit, requests.LAYERS))).alias("requested_layers"), packed("embedding", "vec_id").alias("pcm_base64"))
-    return requests.request_errors(r, 64, 480_000).select("vec_id", F.array_join("errors", ",").alias("errors"))
+    return requests.request_errors(r, "request.v1", 64, 480_000).select("vec_id", F.array_join("errors", ",").alias("errors"))
 
 
 def r21_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +88,8 @@ ORACLES = {
         SELECT session_id, t_ms AS resolved_ms, duration_ms, frames, round(share, 6) AS usable_fraction, round((frames - 1) * 1000 / duration_ms, 6) AS rate
         FROM c WHERE duration_ms >= 1500 AND share >= 0.8 AND (frames - 1) * 1000 / duration_ms >= 20 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY t_ms) = 1""",
     "f17_request_errors": """
-        WITH r AS (SELECT vec_id, concat_ws(',', CASE WHEN vec_id % 29 = 7 THEN 'requestRef' END, CASE WHEN vec_id % 31 = 8 THEN 'captureEpoch' END, CASE WHEN vec_id % 37 = 9 THEN 'windowRef' END,
-                     CASE WHEN vec_id % 23 = 6 THEN 'sampleRateHz' END, CASE WHEN vec_id % 17 = 4 THEN 'requestedLayers' END) AS f,
+        WITH r AS (SELECT vec_id, concat_ws(',', CASE WHEN vec_id % 41 = 11 THEN 'schemaVersion' END, CASE WHEN vec_id % 29 = 7 THEN 'requestRef' END, CASE WHEN vec_id % 31 = 8 THEN 'captureEpoch' END, CASE WHEN vec_id % 37 = 9 THEN 'windowRef' END,
+                     CASE WHEN vec_id % 23 = 6 THEN 'sampleRateHz' END, CASE WHEN vec_id % 17 = 4 THEN 'requestedLayers' END, CASE WHEN vec_id % 43 = 12 THEN 'note,sampleCount' END) AS f,
                    vec_id % 11 = 2 OR list_max(list_transform(embedding, lambda x: abs(x))) > 1.5 AS loud FROM embeddings)
         SELECT vec_id, CASE WHEN f <> '' THEN f WHEN vec_id % 19 = 5 THEN 'pcm-invalid' WHEN vec_id % 13 = 3 THEN 'pcm-length' WHEN vec_id % 7 = 1 THEN 'pcm-nonfinite' WHEN loud THEN 'pcm-out-of-range' ELSE '' END AS errors FROM r""",
     "r21_digests": """

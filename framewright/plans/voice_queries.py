@@ -28,7 +28,7 @@ def voice_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w01_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = voice.segments(_framed(spark, sf_dir))
-    return rounded(s.select("session_id", F.col("segment").alias("segment"), "frames", "duration_ms", "active_ms", "pitched_ms", "coverage", voice.window_ref(s).alias("window_ref")))
+    return rounded(s.select("session_id", F.col("segment").alias("segment"), "frames", "duration_ms", "active_ms", "pitched_ms", "coverage", voice.window_ref().alias("window_ref")))
 
 
 def w04_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_first_window_reference(spark):
     framed = voice_ops.segment_frames(voice(spark, duration=4000, active=lambda t: t < 2000, change=lambda t: {"dc_offset": 0.0 if t < 2000 else 1.0}),
                                       spark.createDataFrame([(1, 0.0, 2500.0)], "session_id long, session_started_at_ms double, noise_calibration_duration_ms double"))
     kept = voice_ops.segments(framed)
-    assert [r[0] for r in kept.select(voice_ops.window_ref(kept)).collect()] == ["voice:1:mic-1:0:2000"]
+    assert [r[0] for r in kept.select(voice_ops.window_ref()).collect()] == ["voice:1:mic-1:0:2000"]
 
 
 def test_sixty_seconds_of_face_measure_all_nine(spark):

@@ -29,7 +29,7 @@ def test_digest_leaves_the_claim_out(spark):
 def test_request_errors(spark):
     def request(samples, **changes):
         good = {
-            "schema_version": requests.SCHEMA_VERSION, "request_ref": "r", "capture_epoch": 0, "window_ref": "w", "task_context": "rapid-syllables", "sample_rate_hz": 16000, "channel_count": 1,
+            "schema_version": "v1", "request_ref": "r", "capture_epoch": 0, "window_ref": "w", "task_context": "rapid-syllables", "sample_rate_hz": 16000, "channel_count": 1,
             "duration_samples": 4, "requested_layers": list(requests.LAYERS), "pcm_base64": base64.b64encode(np.array(samples, "<f4").tobytes()).decode()}
         return tuple((good | changes).values())
 
@@ -38,9 +38,11 @@ def test_request_errors(spark):
         "": request(fine), "pcm-nonfinite": request([0, np.inf, 9, 0]), "pcm-out-of-range": request([0, 0, -1.6, 0]), "pcm-length": request([0.0] * 5), "pcm-invalid": request(fine, pcm_base64="AAA"),
         "requestRef,requestedLayers": request([np.nan] * 4, request_ref="x" * 121, requested_layers=[6]), "durationSamples": request(fine, duration_samples=3), "windowRef,pcmFloat32Base64": request(fine, window_ref=None, pcm_base64="")}
     schema = ("schema_version string, request_ref string, capture_epoch int, window_ref string, task_context string, sample_rate_hz int, channel_count int, duration_samples int, requested_layers array<int>, pcm_base64 string")
-    got = requests.request_errors(spark.createDataFrame(list(cases.values()), schema), 4, 8).select("errors").collect()
+    got = requests.request_errors(spark.createDataFrame(list(cases.values()), schema), "v1", 4, 8).select("errors").collect()
     assert [",".join(r.errors) for r in got] == list(cases)
-    assert requests.request_errors(spark.createDataFrame([], schema)).count() == 0
+    assert requests.request_errors(spark.createDataFrame([], schema), "v1").count() == 0
+    more = spark.createDataFrame([(*request(fine), ["z", "b"]), (*request(fine, schema_version="v2"), None), (*request(fine), [])], f"{schema}, extra array<string>")
+    assert sorted(",".join(r.errors) for r in requests.request_errors(more, "v1", 4, 8).collect()) == ["", "b,z", "schemaVersion"]
 
 
 def test_diagnostics(spark):
