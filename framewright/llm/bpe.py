@@ -114,8 +114,9 @@ def encoder(path: str) -> BpeEncoder:
 @functools.cache
 def strings(path: str) -> pa.Array:
     """Vocabulary strings by id."""
-    own = encoder(path)
-    names = {i: s for s, i in (own.vocabulary | own.added).items()}
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    names = {i: s for s, i in whole["model"]["vocab"].items()} | {t["id"]: t["content"] for t in whole["added_tokens"]}
     return pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
 
 
