@@ -141,6 +141,10 @@ def fill(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Columns that packing adds or uses.
+ADDED = ("sequence_id", "offset", "_tokens", "_loss", "_row", "_block")
+
+
 def pack(examples: DataFrame, tokens: str = "length", loss_tokens: str | None = None, limit: int = 4096, max_segments: int = 128, max_loss: int | None = None, block_rows: int = 20_000) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` (gapless from 0) to each example.
 
@@ -150,13 +154,14 @@ def pack(examples: DataFrame, tokens: str = "length", loss_tokens: str | None =
     ``block_rows``, each packed by itself, so a sequence never spans blocks and no
     task holds more.  Null counts are 0.  An example beyond a limit by itself is
     an error.  Repeated rows are packed each; an empty table gives an empty result.
+    Columns of the names that are added, and ``_tokens, _loss, _row, _block``, are replaced.
     """
     max_loss = limit if max_loss is None else max_loss
     limits = np.array([limit, 1 * max_segments, max_loss], np.int64)
     one = F.coalesce(F.col(tokens), F.lit(0)).cast("long")
     loss = one if loss_tokens is None else F.coalesce(F.col(loss_tokens), F.lit(0)).cast("long")
-    fields = examples.columns
-    table = Scratch(examples.sparkSession).keep(examples.select("*", one.alias("_tokens"), loss.alias("_loss"), F.monotonically_increasing_id().alias("_row")))
+    fields = [c for c in examples.columns if c not in ADDED]
+    table = Scratch(examples.sparkSession).keep(examples.select(*fields, one.alias("_tokens"), loss.alias("_loss"), F.monotonically_increasing_id().alias("_row")))
     most = table.agg(F.max("_tokens").alias("t"), F.max("_loss").alias("l"), F.count_if(F.col("_tokens") < limit).alias("n")).first()
     if (most["t"] or 0) > limit or (most["l"] or 0) > max_loss:
         raise ValueError(f"an example has {most['t']} tokens and one {most['l']} loss-bearing tokens; the limits are {limit} and {max_loss}")
@@ -174,21 +179,22 @@ def pack(examples: DataFrame, tokens: str = "length", loss_tokens: str | None =
         number = (group["_block"][0].as_py() << 32 | bins) << 1
         return group.select(fields).append_column("sequence_id", pa.array(number, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    schema = StructType([*examples.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    schema = StructType([*(f for f in examples.schema.fields if f.name in fields), StructField("sequence_id", LongType()), StructField("offset", LongType())])
     full = table.filter(F.col("_tokens") == limit).select(*fields, (F.col("_row") * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = table.filter(F.col("_tokens") < limit).withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
     return full.unionByName(rest.groupBy("_block").applyInArrow(place, schema))
 
 
-#: Share of a sequence that may bear loss, in sixteenths: documents have about fourteen.
-LOSS_SIXTEENTHS = 15
-
-
-def pack_documents(docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents cut into token pieces and packed, with at most fifteen sixteenths of ``limit`` loss-bearing tokens in a sequence.
+def pack_documents(
+    docs: DataFrame, tokenizer: str, limit: int = 4096, end: int = 2, max_loss: int | None = None, max_segments: int = 128, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Documents cut into token pieces and packed, with at most ``max_loss`` loss-bearing tokens (default: ``limit``) and ``max_segments`` pieces in a sequence.
 
     One row per piece: the columns of ``token_pieces`` with ``sequence_id`` and
-    ``offset``.  A null or empty text has the one id ``end``.
+    ``offset``.  A null or empty text has the one id ``end``; a text is encoded
+    whole, however long.  Every token of a document may bear loss, so the default
+    never cuts one short; for instruction data, set what the loss may cover.
+    Repeated rows are packed each, and an empty table gives an empty result.
     """
-    max_loss = max(1, limit * LOSS_SIXTEENTHS // 16)
-    return pack(token_pieces(docs, tokenizer, limit, end, max_loss, with_ids, id_col, text_col), loss_tokens="loss_tokens", limit=limit, max_loss=max_loss)
+    max_loss = limit if max_loss is None else max_loss
+    return pack(token_pieces(docs, tokenizer, limit, end, max_loss, with_ids, id_col, text_col), loss_tokens="loss_tokens", limit=limit, max_segments=max_segments, max_loss=max_loss)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,27 +20,67 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Strings that the Markov models judge.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 _CODES = 128
+#: Values that a running total folds at a time, and a place beyond every text.
+STRETCH, FAR = 64, 1 << 62
 SPAN = "array<struct<start:bigint,end:bigint,kind:int,text:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], zero: int) -> Column:
+    """Running totals of an array under an associative operation, such as a sum or a maximum.
+
+    Totals are folded within stretches of ``STRETCH`` values and over the
+    stretches, so that arrays which grow by appending stay short.
+    """
+    none, first = F.array().cast("array<bigint>"), F.lit(zero).cast("long")
+    state = F.struct(first.alias("at"), none.alias("out"))
+    fold = lambda array: F.aggregate(array, state, lambda acc, x: let(op(acc.at, x), lambda t: F.struct(t.alias("at"), F.concat(acc.out, F.array(t)).alias("out"))), lambda acc: acc.out)
+
+    def within(v: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / STRETCH).cast("int"))
+        return F.transform(numbers, lambda k: fold(F.slice(v, k * STRETCH + 1, F.lit(STRETCH))))
+
+    def joined(w: Column) -> Column:
+        before = F.concat(F.array(first), fold(F.transform(w, lambda x: F.element_at(x, -1))))
+        return F.flatten(F.zip_with(w, F.slice(before, F.lit(1), F.size(w)), lambda x, b: F.transform(x, lambda y: op(b, y))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(within(v), joined)).otherwise(none))
+
+
 def matches(text: Column, pattern: str, kind: int) -> Column:
     """Leftmost, non-overlapping matches with their places in code points (end exclusive).
 
-    The text splits at the matches into gaps; a running sum over gaps and matches
-    gives the places.  Gaps are only made where something matches.
+    The text splits at the matches into gaps; running sums over gaps and matches
+    give the places.  Gaps are only made where something matches.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), m.alias("text")))
-    spans = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, p: F.struct(
-            (acc.at + p.gap + F.length(p.text)).alias("at"),
-            F.concat(acc.out, F.array(F.struct(
-                (acc.at + p.gap).alias("start"), (acc.at + p.gap + F.length(p.text)).alias("end"), F.lit(kind).alias("kind"), p.text.alias("text")))).alias("out")),
-        lambda acc: acc.out)
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(SPAN))
+
+    def placed(found: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+        ends = running(sizes, lambda a, b: a + b, 0)
+        return F.zip_with(ends, found, lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), F.lit(kind).alias("kind"), m.alias("text")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(F.array().cast(SPAN)))
+
+
+def apart(spans: Column, others: Column) -> Column:
+    """The ``spans`` that overlap none of the ``others``: no other one that starts before ends within, and none starts within.
+
+    Both are swept once in order of their starts, forwards for ends and backwards
+    for starts.
+    """
+    mark = lambda own: lambda x: F.struct(x.start.alias("start"), F.lit(own).alias("own"), x.end.alias("end"), x.alias("span"))
+
+    def swept(line: Column) -> Column:
+        ended = running(F.transform(line, lambda x: F.when(x.own, F.lit(-1).cast("long")).otherwise(x.end)), F.greatest, -1)
+        later = F.reverse(running(F.reverse(F.transform(line, lambda x: F.when(x.own, F.lit(FAR)).otherwise(x.start))), F.least, FAR))
+        near = F.zip_with(line, F.zip_with(ended, later, lambda e, n: F.struct(e.alias("ended"), n.alias("later"))), lambda x, y: F.struct(x.alias("x"), y.ended.alias("ended"), y.later.alias("later")))
+        return F.transform(F.filter(near, lambda z: z.x.own & (z.ended <= z.x.start) & (z.later >= z.x.end)), lambda z: z.x.span)
+
+    return let(F.array_sort(F.concat(F.transform(others, mark(False)), F.transform(spans, mark(True)))), swept)
 
 
 def base_spans(text: Column) -> list[Column]:
@@ -129,11 +170,10 @@ def secrets(docs: DataFrame, model: MarkovRatio, least: float = 20.0, id_col: st
     text = F.col("text")
     found = documents(docs, id_col, text_col).select(
         "doc_id", *(c.alias(k) for c, k in zip(base_spans(text), KINDS, strict=False)), matches(text, CANDIDATE, 3).alias("candidates"))
-    base = F.array_sort(F.concat(*KINDS[:3]), lambda a, b: F.when(a.start != b.start, F.signum(a.start - b.start)).otherwise(a.kind - b.kind).cast("int"))
-    found = found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), base.alias("base"), "candidates")
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b.start < c.end) & (c.start < b.end)))
-    found = found.withColumn("markov", F.filter(free, lambda c: model.score(c.text) >= least))
-    every = F.array_sort(F.concat("base", "markov"), lambda a, b: F.when(a.start != b.start, F.signum(a.start - b.start)).otherwise(a.kind - b.kind).cast("int"))
+    in_order = lambda *spans: F.transform(F.array_sort(F.transform(F.concat(*spans), lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.alias("span")))), lambda x: x.span)
+    found = found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), in_order(*KINDS[:3]).alias("base"), "candidates")
+    found = found.withColumn("markov", F.filter(apart(F.col("candidates"), F.col("base")), lambda c: model.score(c.text) >= least))
+    every = in_order("base", "markov")
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.size("markov").cast("long").alias("n_markov"),
         F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"))

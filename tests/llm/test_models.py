@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -49,6 +50,54 @@ def test_base_spans_against_plain_patterns(spark, tables):
     assert got[28].n_markov == 1
 
 
+def plain_spans(text, ratio, least):
+    """All spans of a text by plain patterns and sums."""
+    assign = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[1]) >= 8]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{12,}", text)] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{32,}", text)]
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        if not any(a < m.end() and m.start() < b for a, _, b in spans if _ < 3):
+            codes = [ord(c) for c in m[0]]
+            if sum(float(f"{ratio[a * 128 + b]:.4f}") for a, b in zip(codes, codes[1:])) >= least:
+                spans.append((m.start(), 3, m.end()))
+    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def test_all_spans_against_plain_patterns_and_sums(spark, tables):
+    model = secrets.default_model(spark.read.parquet(f"{SF}/documents.parquet"), 200)
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_="
+    parts = [lambda: "".join(rng.choices(letters, k=rng.randrange(15, 45))), lambda: rng.choice(("token=", 'password: "', "API_KEY = ", "secret=x", "\U0001f600 é ", "\n", " ", "-", "configuration_window_manager_")), lambda: "AKIA" + "".join(rng.choices("AB01", k=rng.randrange(8, 16))), lambda: "".join(rng.choices("0123456789abcdef", k=rng.randrange(25, 40)))]
+    texts = ["".join(rng.choice(parts)() for _ in range(rng.randrange(1, 220))) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:3], None, ""])]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, spans string, kind int")
+    got = {r.doc_id: r.spans for r in secrets.secrets(docs, model).collect()}
+    assert got == {i: plain_spans(t or "", model.ratio, 20.0) for i, t in rows}
+    awkward = spark.read.parquet(f"{tables}/documents.parquet")
+    assert {r.doc_id: r.spans for r in secrets.secrets(awkward, model).collect()} == {r.doc_id: plain_spans(r.text or "", model.ratio, 20.0) for r in awkward.collect()}
+    assert secrets.secrets(docs.limit(0), model).collect() == []
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(spark):
+    model = secrets.MarkovRatio([0.5] * (128 * 128))
+    took = {}
+    for n in (500, 16_000, 32_000):
+        text = " ".join(f'token="abcdefgh{i}"' + f" hJ8kQ2mZ7xW4vB9nT3pL{i}" * (i % 3 == 0) for i in range(n))
+        docs = spark.createDataFrame([(1, text)], DOCS).coalesce(1)
+        began = time.time()
+        r = secrets.secrets(docs, model).first()
+        took[n] = time.time() - began
+        assert (r.n_assign, r.n_markov) == (n, 0) and r.spans.count(",") == n - 1
+    assert took[32_000] < 2 * took[16_000] + 3
+
+
+def test_running_totals(spark):
+    for n in (0, 1, 63, 64, 65, 200):
+        values = [(7 * i) % 13 - 3 for i in range(n)]
+        r = spark.createDataFrame([(values,)], "v array<long>").select(secrets.running(F.col("v"), lambda a, b: a + b, 0).alias("s"), secrets.running(F.col("v"), F.greatest, -9).alias("m")).first()
+        assert r.s == np.cumsum(values).tolist() and r.m == np.maximum.accumulate(np.array(values, int)).tolist()
+
+
 def test_markov_ratio_tells_random_from_ordinary(spark):
     words = spark.createDataFrame([(w,) for w in ("configuration_manager", "document-identifier", "getUserAccountById", "measurement_window", "parse_request_headers", "configuration_window")], "w string")
     samples = words.select(F.explode(F.array_repeat("w", 400)).alias("token"), F.lit(False).alias("random")).unionByName(secrets.random_samples(spark, 500))
@@ -109,6 +158,22 @@ def test_edited_items_are_found_within_the_budget(spark):
     assert {(r.doc_id, r.item_id, r.distance) for r in found.collect()} == want
 
 
+def test_items_of_any_id_and_length(spark):
+    """Ids keep their types, items of few words are met exactly, and rows without a match stay whole."""
+    items = [("short", "Quiet river"), ("four", "one two three four"), ("nine", " ".join(f"n{i}" for i in range(9))), ("none", None), ("blank", " ,; "), (None, "lonely")]
+    docs = [("a", "the quiet, river runs"), ("b", "quiet and river"), ("c", "one two three four"), ("d", "one two x three four"), ("e", "z " + " ".join(f"n{i}" for i in range(9))), ("f", " ".join(f"n{i}" for i in range(8))), ("g", None), ("g", ""), (None, "so lonely"), ("a", "the quiet, river runs"), ("h", "word " * 50_000 + "quiet river")]
+    table = spark.createDataFrame([(*d, 1, "row") for d in docs], "doc_id string, text string, distance int, item_id string").coalesce(2)
+    bench = spark.createDataFrame([(*i, 5) for i in items], "item_id string, text string, doc_id int")
+    for block_bytes in (1, 4 << 20):
+        found = decontaminate.contaminated(table, bench, block_bytes=block_bytes)
+        assert sorted(map(str, ((r.doc_id, r.item_id, r.distance) for r in found.collect()))) == sorted(map(str, [("a", "short", 0), ("a", "short", 0), ("c", "four", 0), ("e", "nine", 0), (None, None, 0), ("h", "short", 0)]))
+        left = decontaminate.decontaminated(table, bench, block_bytes=block_bytes)
+        assert left.columns == table.columns and sorted(str(r.doc_id) for r in left.collect()) == ["b", "d", "f", "g", "g"]
+    none = bench.limit(0)
+    assert decontaminate.contaminated(table, none).collect() == [] and decontaminate.decontaminated(table, none).count() == len(docs)
+    assert decontaminate.contaminated(table.limit(0), bench).collect() == [] and decontaminate.decontaminated(table.limit(0), bench).collect() == []
+
+
 # --- ordinal models
 
 
@@ -185,19 +250,62 @@ def test_pieces_cover_documents_and_sequences_have_no_gaps(spark, tables):
         for offset, length, _ in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 4096 and sum(x[2] for x in parts) <= 3840 and len(parts) <= 128
+        assert at <= 4096 and sum(x[2] for x in parts) <= 4096 and len(parts) <= 128
 
 
-def test_loss_bearing_tokens_limit_sequences_of_plain_words(spark):
+def test_loss_limit_of_plain_words(spark):
     import public_tokenizers
 
+    path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.createDataFrame([(i, "alpha beta gamma " * (100 + 300 * i)) for i in range(12)], DOCS)
-    rows = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).collect()
-    loss = collections.Counter()
-    for r in rows:
-        loss[r.sequence_id] += r.loss_tokens
-    assert max(loss.values()) <= 3840 and sum(loss.values()) == sum(3 * (100 + 300 * i) for i in range(12))
-    assert sum(loss.values()) > 0.9 * 3840 * (len(loss) - 1)
+    for limit in (None, 3840):
+        loss = collections.Counter()
+        for r in pack_documents(docs, path, max_loss=limit).collect():
+            loss[r.sequence_id] += r.loss_tokens
+        assert max(loss.values()) <= (limit or 4096) and sum(loss.values()) == sum(3 * (100 + 300 * i) for i in range(12))
+        assert sum(loss.values()) > 0.9 * (limit or 4095) * (len(loss) - 1)
+
+
+def plain_fill(demand, limits):
+    """Bins by the same heuristic, one example at a time."""
+    limits = np.array(limits, float)
+    weight = (np.array(demand) / limits).mean(axis=0)
+    left, out, number, room = list(range(len(demand))), {}, 0, limits.copy()
+    while left:
+        fits = [i for i in left if all(np.array(demand[i]) <= room)]
+        if not fits:
+            number, room = number + 1, limits.copy()
+            continue
+        best = max(fits, key=lambda i: (round(float(np.array(demand[i]) / limits * weight @ (room / limits)), 12), [-x for x in demand[i]], -i))
+        out[best] = number
+        room -= demand[best]
+        left.remove(best)
+    return [out[i] for i in range(len(demand))]
+
+
+def test_placement_against_one_example_at_a_time():
+    rng = random.Random(8)
+    for trial in range(30):
+        demand = [(n := rng.randrange(1, 60), 1, rng.randrange(0, n + 1)) for _ in range(rng.randrange(1, 80))]
+        limits = (100, rng.choice((3, 10)), rng.choice((100, 40 if all(d[2] <= 40 for d in demand) else 100)))
+        got, want = fill(np.array(demand), np.array(limits)).tolist(), plain_fill(demand, limits)
+        sums = lambda bins: sorted(tuple(np.sum([d for d, b in zip(demand, bins) if b == k], axis=0)) for k in set(bins))
+        assert all(all(x <= y for x, y in zip(s, limits)) for s in sums(got)) and abs(len(set(got)) - len(set(want))) <= 1
+
+
+def test_instruction_data_is_packed_under_all_three_limits(spark):
+    """Examples whose answers alone bear loss: long questions fill tokens, long answers the loss limit, short ones the segments."""
+    rng = random.Random(9)
+    rows = [(i, n := rng.choice((5, 40, 300)), min(n, rng.choice((2, 30, 120))), "x", 1) for i in range(600)]
+    examples = spark.createDataFrame(rows, "id long, length long, loss long, sequence_id string, _tokens long")
+    packed = pack(examples, loss_tokens="loss", limit=512, max_segments=16, max_loss=160, block_rows=250)
+    assert packed.columns == ["id", "length", "loss", "sequence_id", "offset"]
+    by = collections.defaultdict(list)
+    for r in packed.collect():
+        by[r.sequence_id].append(r)
+    sums = [(sum(r.length for r in s), len(s), sum(r.loss for r in s)) for s in by.values()]
+    assert sum(len(s) for s in by.values()) == 600 and all(t <= 512 and n <= 16 and loss <= 160 for t, n, loss in sums)
+    assert all(any(s[k] > 0.9 * limit for s in sums) for k, limit in enumerate((512, 15, 160)))
 
 
 def test_pack_refuses_what_cannot_fit(spark):
