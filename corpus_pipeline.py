@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm.decontaminate import contaminated
+from framewright.llm.decontaminate import decontaminated
 from framewright.llm.exact_dedup import exact_duplicates
 from framewright.llm.near_dedup import near_duplicates
 from framewright.llm.packing import pack_documents
@@ -38,9 +38,10 @@ def _without(docs: DataFrame, flagged: DataFrame, once: bool = False) -> DataFra
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the severity model does not call toxic."""
-    model, docs = fit_toxicity(docs, read(spark, sf_dir, "labels")), _keyed(docs)
-    return _without(docs, toxicity(docs, model, id_col="_key").filter("toxic"))
+    """Documents that the severity model does not call toxic; each is judged, whole, where it is read."""
+    model = fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct(*COLUMNS).alias("row"), "text")
+    return toxicity(rows, model, id_col="row").filter("not toxic").select("doc_id.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +57,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
-    docs = _keyed(docs)
-    return _without(docs, contaminated(docs, read(spark, sf_dir, "benchmark"), id_col="_key"))
+    """Documents without a benchmark item; each is judged, whole, where it is read."""
+    return decontaminated(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
 
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
