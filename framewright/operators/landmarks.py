@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framewright.functions.gates import visual_reasons
 from framewright.functions.stats import finite
+from framewright.operators import kernels
 
 #: Landmark numbers of the subject's left and right eye (corners, lid pairs), of the mouth, and of the points whose movement counts.
 LEFT_EYE, RIGHT_EYE = ((362, 263), ((385, 380), (387, 373))), ((33, 133), ((160, 144), (158, 153)))
@@ -98,3 +100,27 @@ def continuity_eligible(calibrated: Column) -> Column:
         & (f("inter_result_gap_ms").isNull() | (f("inter_result_gap_ms") <= 200)))
     sized = near("box_width_px", "baseline_width_px") & near("box_height_px", "baseline_height_px")
     return F.coalesce(held & (~calibrated | sized), F.lit(False))
+
+
+def composed(frames: DataFrame, points: str, matrix: str, width: Column | float, height: Column | float) -> DataFrame:
+    """The whole frame of each landmark result: box, pose, apertures, corners, motion, quality reasons and ``usable``.
+
+    ``frames`` carry what the image and the pace say (``illumination_mean,
+    dark_clipping, bright_clipping, sharpness, frame_rate, inter_result_gap_ms,
+    skipped_fraction``).  No landmarks, or one outside the image, mean no face:
+    all of its geometry is then null.  Eyes are given both or not at all, and so
+    are the corners of the mouth.
+    """
+    f = F.col
+    box = kernels.bounding_box(f(points), F.lit(width) if isinstance(width, float) else width, F.lit(height) if isinstance(height, float) else height)
+    d = features(frames.withColumn("_box", box), points, width, height).withColumn("_pose", kernels.pose(f(matrix)))
+    face = f("_box").isNotNull()
+    both = lambda a, b, value: F.when(face & a.isNotNull() & b.isNotNull(), value)
+    eyes, mouth = (f("eye_left"), f("eye_right")), (f("mouth_left"), f("mouth_right"))
+    d = d.withColumns({
+        "face_visible": face, **{c: f(f"_box.{b}") for c, b in {"box_width_px": "width_px", "box_height_px": "height_px", "box_width": "width", "box_height": "height", "edge_margin": "edge_margin"}.items()},
+        **{c: F.when(face, f(f"_pose.{c}")) for c in ("yaw_deg", "pitch_deg", "roll_deg")}, "eye_left": both(*eyes, eyes[0]), "eye_right": both(*eyes, eyes[1]),
+        **{f"mouth_{side}_{k}": both(*mouth, p[k]) for side, p in zip(("left", "right"), mouth, strict=True) for k in ("x", "y")},
+        "mouth_aperture": F.when(face, f("mouth_aperture")), "motion": F.when(face, f("motion")), "quality_reasons": F.array().cast("array<string>")})
+    d = d.withColumn("quality_reasons", visual_reasons())
+    return d.withColumn("usable", F.size("quality_reasons") == 0).drop("_box", "_pose", "system", "mouth_left", "mouth_right")

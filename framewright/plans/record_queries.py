@@ -16,7 +16,7 @@ WIDTH, HEIGHT = 640.0, 480.0
 ODD = (263, 385, 291, 13, 70, 33, 158)
 
 
-def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """478 landmarks from each vector, a little apart even where values repeat.
 
     Every seventeenth face has only 300.  Some have one landmark right of the
@@ -33,17 +33,17 @@ def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(landmarks.features(_faces(spark, sf_dir), "points", WIDTH, HEIGHT).drop("points"))
+    return settle(landmarks.features(faces(spark, sf_dir), "points", WIDTH, HEIGHT).drop("points"))
 
 
 def p13_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(landmarks.features(_faces(spark, sf_dir), "points", WIDTH, HEIGHT).select(
+    return rounded(landmarks.features(faces(spark, sf_dir), "points", WIDTH, HEIGHT).select(
         "vec_id", F.col("system.x").alias("centre_x"), F.col("system.y").alias("centre_y"), F.col("system.scale").alias("scale"), F.col("system.angle").alias("angle"), F.col("mouth_left.x").alias("left_x"),
         F.col("mouth_left.y").alias("left_y"), F.col("mouth_right.x").alias("right_x"), F.col("mouth_right.y").alias("right_y")))
 
 
 def p15_apertures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(landmarks.features(_faces(spark, sf_dir), "points", WIDTH, HEIGHT).select("vec_id", "eye_left", "eye_right", "mouth_aperture"))
+    return rounded(landmarks.features(faces(spark, sf_dir), "points", WIDTH, HEIGHT).select("vec_id", "eye_left", "eye_right", "mouth_aperture"))
 
 
 def p18_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +140,8 @@ QUERIES = {
     "r20_stage_errors": r20_stages, "a35_window_counts": a35_windows, "x11_same_protocol": x11_protocols,
 }
 
-_P = """
+#: The points that are looked at, and with them the coordinates of the face.
+POINTS = """
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 o AS (SELECT *, i = [263, 385, 291, 13, 70, 33, 158][vec_id % 7 + 1] AS odd
       FROM e, (SELECT unnest([362, 263, 385, 380, 387, 373, 33, 133, 160, 144, 158, 153, 291, 61, 13, 14, 70, 300]) AS i) k WHERE vec_id % 17 <> 0 OR i < 300),
@@ -151,20 +152,25 @@ w AS (SELECT vec_id, label, map_from_entries(list(struct_pack(k := i, v := struc
 g AS (SELECT *, m[362] AS la, m[263] AS lb, m[33] AS ra, m[133] AS rb FROM w),
 c AS (SELECT *, (la.x + lb.x) / 2 AS lx, (la.y + lb.y) / 2 AS ly, (ra.x + rb.x) / 2 AS rx, (ra.y + rb.y) / 2 AS ry FROM g),
 s AS (SELECT *, (lx + rx) / 2 AS cx, (ly + ry) / 2 AS cy, sqrt((lx - rx) ** 2 + (ly - ry) ** 2) AS scale, atan2(ly - ry, lx - rx) AS angle FROM c)"""
-_N = "(cos(angle) * ({p}.x - cx) + sin(angle) * ({p}.y - cy)) / scale", "(cos(angle) * ({p}.y - cy) - sin(angle) * ({p}.x - cx)) / scale"
+NORMAL = "(cos(angle) * ({p}.x - cx) + sin(angle) * ({p}.y - cy)) / scale", "(cos(angle) * ({p}.y - cy) - sin(angle) * ({p}.x - cx)) / scale"
 _D = "sqrt((m[{a}].x - m[{b}].x) ** 2 + (m[{a}].y - m[{b}].y) ** 2)"
 _d = lambda a, b: _D.format(a=a, b=b)
-_n = lambda i, k: f"round({_N[k].format(p=f'm[{i}]')}, 6)"
+_n = lambda i, k: f"round({NORMAL[k].format(p=f'm[{i}]')}, 6)"
+#: Apertures and corners of a face.
+SHAPES = {
+    "eye_l": f"({_d(385, 380)} + {_d(387, 373)}) / 2 / {_d(362, 263)}", "eye_r": f"({_d(160, 144)} + {_d(158, 153)}) / 2 / {_d(33, 133)}", "mouth_gap": f"{_d(13, 14)} / {_d(291, 61)}",
+    "left_x": NORMAL[0].format(p="m[291]"), "right_x": NORMAL[0].format(p="m[61]"),
+}
 
 ORACLES = {
-    "p13_coordinates": _P + f"""
+    "p13_coordinates": POINTS + f"""
         SELECT vec_id, round(cx, 6) AS centre_x, round(cy, 6) AS centre_y, round(scale, 6) AS scale, round(angle, 6) AS angle, {_n(291, 0)} AS left_x, {_n(291, 1)} AS left_y, {_n(61, 0)} AS right_x, {_n(61, 1)} AS right_y FROM s""",
-    "p15_apertures": _P + f"""
+    "p15_apertures": POINTS + f"""
         SELECT vec_id, round(({_d(385, 380)} + {_d(387, 373)}) / 2 / {_d(362, 263)}, 6) AS eye_left, round(({_d(160, 144)} + {_d(158, 153)}) / 2 / {_d(33, 133)}, 6) AS eye_right,
                round({_d(13, 14)} / {_d(291, 61)}, 6) AS mouth_aperture FROM s""",
-    "p18_movement_speed": _P + f""",
+    "p18_movement_speed": POINTS + f""",
         q AS (SELECT vec_id, label, unnest([33, 133, 362, 263, 61, 291, 13, 14, 70, 300]) AS i, m, cx, cy, scale, angle FROM s),
-        z AS (SELECT vec_id, label, i, {_N[0].format(p='m[i]')} AS x, {_N[1].format(p='m[i]')} AS y FROM q),
+        z AS (SELECT vec_id, label, i, {NORMAL[0].format(p='m[i]')} AS x, {NORMAL[1].format(p='m[i]')} AS y FROM q),
         b AS (SELECT vec_id, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM e),
         r AS (SELECT vec_id, count(x) AS n FROM z GROUP BY ALL),
         d AS (SELECT z.vec_id, avg(sqrt((z.x - o.x) ** 2 + (z.y - o.y) ** 2)) / ((z.vec_id - before) * 40 / 1000.0::DOUBLE) AS speed, count(*) FILTER (z.x IS NOT NULL AND o.x IS NOT NULL) AS n

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.plans import array_queries, face_queries, history_queries, observation_queries, provenance_queries, record_queries, report_queries, request_queries, signal_queries, voice_queries
+from framewright.plans import array_queries, face_queries, history_queries, loop_queries, observation_queries, provenance_queries, record_queries, report_queries, request_queries, signal_queries, voice_queries
 
-_MODULES = (voice_queries, face_queries, history_queries, signal_queries, array_queries, report_queries, record_queries, provenance_queries, request_queries, observation_queries)
+_MODULES = (voice_queries, face_queries, history_queries, signal_queries, array_queries, report_queries, record_queries, provenance_queries, request_queries, observation_queries, loop_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,33 +17,33 @@ def _voice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voice.voice_outcomes(frames, voice_sessions(frames))
 
 
-def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = face_frames(spark, sf_dir)
     return settle(report.finalize(_voice(spark, sf_dir), face.face_outcomes(frames, face_sessions(frames))))
 
 
 def r08_finalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_outcomes(spark, sf_dir))
+    return rounded(outcomes(spark, sf_dir))
 
 
 def r18_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.report(_outcomes(spark, sf_dir), spark)
+    return report.report(outcomes(spark, sf_dir), spark)
 
 
 def r15_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes of both modalities against tightened evidence: half of the eligible time is taken away first."""
-    o = _outcomes(spark, sf_dir)
+    o = outcomes(spark, sf_dir)
     return rounded(report.evidence_errors(o.withColumn("eligible_ms", F.col("eligible_ms") / 2), spark))
 
 
 def a34_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _outcomes(spark, sf_dir)
+    o = outcomes(spark, sf_dir)
     return rounded(report.lanes(o).withColumn("reasons", F.array_join("reasons", ",")))
 
 
 def j03_incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry violations after two metrics were taken out of some sessions; sessions of one modality lack the other's."""
-    o = _outcomes(spark, sf_dir)
+    o = outcomes(spark, sf_dir)
     return report.incomplete(o.filter("not (session_id % 3 = 1 and registry_order in (2, 4))"), spark)
 
 
@@ -59,13 +59,13 @@ def f18_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"r08_finalize": r08_finalize, "r18_report": r18_report, "r15_evidence_errors": r15_evidence, "a34_lanes": a34_lanes, "j03_registry_violations": j03_incomplete, "f18_window_refs": f18_windows}
 
 #: Both modalities; blinks without their count, which no check looks at (their frames' gaps are all 40 ms).
-_O = "WITH v AS (" + sql.VOICE_METRICS + "), g AS (" + sql.FACE_METRICS + """),
+BOTH = "WITH v AS (" + sql.VOICE_METRICS + "), g AS (" + sql.FACE_METRICS + """),
     k AS (SELECT session_id, coalesce(reason, CASE WHEN exposure_ms < 60000 THEN 'insufficient-exposure' WHEN frames / (exposure_ms / 1000) < 24 THEN 'insufficient-frame-cadence' END) AS reason,
                  bins, exposure_ms, frames, quality_score FROM g WHERE ordinal = 0),
     f AS (SELECT session_id, 7 + ordinal AS r, code, status, quality_score, reason, bins, exposure_ms, frames FROM g
           UNION ALL SELECT session_id, 15, 'ambient.face.blink_rate.bilateral', CASE WHEN reason IS NULL THEN 'measured' ELSE 'withheld' END, CASE WHEN reason IS NULL THEN quality_score END, reason, bins, exposure_ms, frames FROM k)"""
 ORACLES = {
-    "r15_evidence_errors": _O + """,
+    "r15_evidence_errors": BOTH + """,
         r AS (SELECT * FROM (VALUES (0, 'minimumSegments', 3), (0, 'minimumPitchedDurationMs', 10000), (0, 'minimumPitchCoverage', 0.6), (0, 'minimumF0Hz', 50), (0, 'maximumF0Hz', 700), (1, 'minimumSegments', 3),
           (1, 'minimumPitchedDurationMs', 10000), (1, 'minimumPitchCoverage', 0.6), (2, 'minimumSegments', 3), (2, 'minimumEligibleSpanMs', 30000), (2, 'minimumActiveSpeechMs', 15000), (3, 'minimumSegments', 3),
           (3, 'minimumEligibleSpanMs', 30000), (3, 'minimumActiveSpeechMs', 15000), (4, 'minimumSegments', 3), (4, 'minimumEligibleSpanMs', 30000), (4, 'minimumActiveSpeechMs', 15000), (4, 'minimumEventsForMedian', 5),
@@ -78,11 +78,11 @@ ORACLES = {
           UNION ALL SELECT session_id, code, requirement, threshold::DOUBLE, CASE requirement WHEN 'minimumBins' THEN bins WHEN 'minimumCadenceHz' THEN frames / (exposure_ms / 2 / 1000) ELSE exposure_ms / 2 END
           FROM f JOIN r ON k = f.r WHERE status = 'measured')
         SELECT session_id, code, requirement, threshold, round(actual, 6) AS actual FROM a WHERE CASE WHEN requirement LIKE 'maximum%' THEN actual > threshold ELSE actual < threshold END""",
-    "a34_lanes": _O + """,
+    "a34_lanes": BOTH + """,
         o AS (SELECT session_id, 'voice' AS modality, status, eligible_ms, quality_score, reason FROM v UNION ALL SELECT session_id, 'face', status, coalesce(exposure_ms, 0), quality_score, reason FROM f)
         SELECT session_id, modality, CASE WHEN count(*) FILTER (status = 'measured') > 0 THEN 'ready' ELSE 'withheld' END AS state, max(eligible_ms)::DOUBLE AS eligible_ms,
                round(avg(quality_score) FILTER (status = 'measured'), 6) AS quality_score, coalesce(array_to_string(list_sort(list(DISTINCT reason) FILTER (reason IS NOT NULL)), ','), '') AS reasons FROM o GROUP BY ALL""",
-    "j03_registry_violations": _O + """,
+    "j03_registry_violations": BOTH + """,
         o AS (SELECT session_id, ordinal AS r, code FROM v UNION ALL SELECT session_id, r, code FROM f)
         SELECT s.session_id, m.code, 'missing' AS violation FROM (SELECT DISTINCT session_id FROM o WHERE NOT (session_id % 3 = 1 AND r IN (2, 4))) s CROSS JOIN (SELECT DISTINCT code FROM o) m
         WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.session_id = s.session_id AND o.code = m.code AND NOT (o.session_id % 3 = 1 AND o.r IN (2, 4)))""",
