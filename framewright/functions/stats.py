@@ -86,3 +86,8 @@ def plain_number(x: Column) -> Column:
     """A number as text, whole ones without a point or an exponent."""
     whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
     return F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+
+
+def by_locale(text: Column | str) -> Column:
+    """Text to be sorted as readers expect: letters before case, lower case first, whatever their bytes."""
+    return F.collate(F.col(text) if isinstance(text, str) else text, "UNICODE")

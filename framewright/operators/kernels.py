@@ -178,17 +178,59 @@ def identity(*parts: Column) -> Column:
     return F.concat_ws("|", *(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts))
 
 
+QUALITY = "illumination_mean double, dark_clipping double, bright_clipping double, sharpness double"
+#: Side of the square to which a region is drawn before it is judged.
+REGION_SIDE = 64
+
+
+def _quality(rgb: np.ndarray) -> tuple[float, float, float, float]:
+    y = rgb @ np.array([0.2126, 0.7152, 0.0722]) / 255
+    edge = 4 * y[1:-1, 1:-1] - y[:-2, 1:-1] - y[2:, 1:-1] - y[1:-1, :-2] - y[1:-1, 2:]
+    return y.mean(), (y <= 0.02).mean(), (y >= 0.98).mean(), edge.var() if edge.size else 0.0
+
+
+def drawn(rgb: np.ndarray, x: float, y: float, width: float, height: float, side: int = REGION_SIDE) -> np.ndarray:
+    """A region of an image, in pixels, drawn to a square: between the centres of its pixels in proportion, rounded to whole numbers."""
+    def places(start: float, size: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip(start + (np.arange(side) + 0.5) * size / side - 0.5, max(0.0, start), min(most - 1.0, start + size - 1))
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, most - 1), at - low
+
+    (top, below, down), (left, right, across) = places(y, height, rgb.shape[0]), places(x, width, rgb.shape[1])
+    rows = rgb[top].astype(float) * (1 - down)[:, None, None] + rgb[below] * down[:, None, None]
+    return np.floor(rows[:, left] * (1 - across)[None, :, None] + rows[:, right] * across[None, :, None] + 0.5)
+
+
+def region_quality(pixels: Column, width: Column, height: Column, box: Column) -> Column:
+    """Quality of the part of an RGBA image in ``box`` (``x, y, width, height`` as shares of the image), or of all of it without one, drawn to 64 by 64.
+
+    Without pixels (null or empty) everything is dark: 0, 1, 0, 0.
+    """
+
+    @F.pandas_udf(T.StructType([T.StructField(f.split()[0], T.DoubleType()) for f in QUALITY.split(", ")]))
+    def kernel(p: pd.Series, w: pd.Series, h: pd.Series, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for raw, cols, rows, *part in zip(p, w, h, b["x"], b["y"], b["width"], b["height"], strict=True):
+            if not raw:
+                out.append((0.0, 1.0, 0.0, 0.0))
+                continue
+            x, y, dx, dy = (0.0, 0.0, 1.0, 1.0) if np.isnan(np.array(part, float)).any() else part
+            x, y = max(0.0, x * cols), max(0.0, y * rows)
+            region = x, y, max(1.0, min(cols - x, dx * cols)), max(1.0, min(rows - y, dy * rows))
+            out.append(_quality(drawn(np.frombuffer(raw, np.uint8).reshape(rows, cols, 4)[:, :, :3], *region)))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in QUALITY.split(", ")], dtype=float)
+
+    whole = F.struct(*(F.coalesce(box[c], F.lit(float("nan"))).alias(c) for c in ("x", "y", "width", "height")))
+    return kernel(pixels, width, height, whole)
+
+
 def image_quality(pixels: Column, width: Column, height: Column) -> Column:
     """Mean luma, dark and bright shares and sharpness (variance of the interior Laplacian) of RGBA bytes."""
 
-    @F.pandas_udf(T.StructType.fromDDL("illumination_mean double, dark_clipping double, bright_clipping double, sharpness double"))
+    @F.pandas_udf(T.StructType([T.StructField(f.split()[0], T.DoubleType()) for f in QUALITY.split(", ")]))
     def kernel(p: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
-        out = []
-        for raw, cols, rows in zip(p, w, h, strict=True):
-            y = np.frombuffer(raw, np.uint8).reshape(rows, cols, 4)[:, :, :3] @ np.array([0.2126, 0.7152, 0.0722]) / 255
-            edge = 4 * y[1:-1, 1:-1] - y[:-2, 1:-1] - y[2:, 1:-1] - y[1:-1, :-2] - y[1:-1, 2:]
-            out.append((y.mean(), (y <= 0.02).mean(), (y >= 0.98).mean(), edge.var() if edge.size else 0.0))
-        return pd.DataFrame(out, columns=["illumination_mean", "dark_clipping", "bright_clipping", "sharpness"], dtype=float)
+        out = [_quality(np.frombuffer(raw, np.uint8).reshape(rows, cols, 4)[:, :, :3]) for raw, cols, rows in zip(p, w, h, strict=True)]
+        return pd.DataFrame(out, columns=[f.split()[0] for f in QUALITY.split(", ")], dtype=float)
 
     return kernel(pixels, width, height)
 

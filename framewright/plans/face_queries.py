@@ -75,6 +75,8 @@ ORACLES = {
     "a26_bin_values": "WITH " + sql.FACE_VALUES + " SELECT session_id, bin, k AS ordinal, round(v, 6) AS value FROM bin_values",
     "a27_bins": "WITH " + sql.FACE + """
         SELECT session_id, bin, n AS frames, round(dur, 6) AS duration_ms, span AS span_ms, round(p90 / p10, 6) AS size_ratio, round(n / (dur / 1000), 6) AS cadence_hz FROM bins""",
+    "t01_blinks": sql.BLINKS,
+    "t01_blink_rate": sql.BLINK_RATE,
     "f06_visual_reasons": "WITH " + sql.FACE + """,
         r AS (SELECT session_id, unnest(list_filter([CASE WHEN nocam THEN 'camera-unavailable' END, CASE WHEN sharp < 0.0008 THEN 'blur' END,
                      CASE WHEN seq % 400 = 399 AND 0.25 > 0.25 THEN 'too-many-skipped-frames' END], lambda x: x IS NOT NULL)) AS reason FROM face)

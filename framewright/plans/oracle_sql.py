@@ -169,3 +169,30 @@ SELECT session_id, k AS ordinal, code, unit, CASE WHEN reason IS NULL THEN 'meas
        round(exposure, 6) AS exposure_ms, frames
 FROM judged
 """
+
+#: Blinks of each qualifying bin, by recursion over a session's frames in order.
+BLINKS = "WITH RECURSIVE " + FACE + r""",
+inbins AS (SELECT g.session_id, g.bin, g.t_ms, g.seq, el, er FROM gapped g JOIN bins b USING (session_id, bin)),
+wide AS (SELECT session_id, quantile_cont(el, 0.9) AS l, quantile_cont(er, 0.9) AS r FROM inbins GROUP BY ALL),
+ordered AS (SELECT k.*, l, r, row_number() OVER (PARTITION BY session_id ORDER BY t_ms, seq) AS i FROM inbins k JOIN wide USING (session_id)),
+fold AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS i, NULL::DOUBLE AS open, false AS wait, -1e300::DOUBLE AS accepted, NULL::DOUBLE AS t, NULL::BIGINT AS bin, false AS hit FROM ordered
+  UNION ALL
+  SELECT session_id, i, CASE WHEN begins THEN t WHEN w OR late OR done THEN NULL ELSE o END, late OR (w AND NOT back), CASE WHEN found THEN t ELSE accepted END, t, bin, found
+  FROM (
+    SELECT *, coalesce(NOT w AND o IS NOT NULL AND t - o > 800, false) AS late, coalesce(NOT w AND o IS NOT NULL AND t - o <= 800 AND back, false) AS done,
+           coalesce(NOT w AND o IS NOT NULL AND t - o <= 800 AND back AND t - o >= 50, false) AS found, NOT w AND o IS NULL AND closed AND t - accepted >= 150 AS begins
+    FROM (
+      SELECT n.session_id, n.i, n.t_ms AS t, n.bin, f.accepted, CASE WHEN coalesce(n.bin <> f.bin AND n.bin <> f.bin + 1, false) OR coalesce(n.t_ms - f.t > 75, false) THEN NULL ELSE f.open END AS o,
+             f.wait AND NOT (coalesce(n.bin <> f.bin AND n.bin <> f.bin + 1, false) OR coalesce(n.t_ms - f.t > 75, false)) AS w, n.el <= n.l * 0.6 AND n.er <= n.r * 0.6 AS closed, n.el >= n.l * 0.8 AND n.er >= n.r * 0.8 AS back
+      FROM fold f JOIN ordered n ON n.session_id = f.session_id AND n.i = f.i + 1) a) b)
+SELECT b.session_id, b.bin, count(*) FILTER (hit) AS blinks FROM bins b LEFT JOIN fold f ON f.session_id = b.session_id AND f.bin = b.bin GROUP BY ALL
+"""
+
+#: The blink metric's outcomes, beside the other face metrics (``g``).
+BLINK_RATE = "WITH g AS (" + FACE_METRICS + "), n AS (" + BLINKS + r"""),
+c AS (SELECT session_id, sum(blinks)::BIGINT AS blinks, CASE WHEN count(*) >= 2 THEN mad(blinks / (5000 / 60000)) END AS dev FROM n GROUP BY ALL),
+k AS (SELECT g.*, coalesce(reason, CASE WHEN exposure_ms < 60000 THEN 'insufficient-exposure' WHEN frames / (exposure_ms / 1000) < 24 THEN 'insufficient-frame-cadence' END) AS why, coalesce(c.blinks, 0) AS blinks, dev FROM g LEFT JOIN c USING (session_id) WHERE ordinal = 0)
+SELECT session_id, 8 AS ordinal, 'ambient.face.blink_rate.bilateral' AS code, 'events/minute' AS unit, CASE WHEN why IS NULL THEN 'measured' ELSE 'withheld' END AS status, round(CASE WHEN why IS NULL THEN blinks / (exposure_ms / 60000) END, 6) AS value,
+       CASE WHEN why IS NULL THEN quality_score END AS quality_score, round(CASE WHEN why IS NULL THEN dev END, 6) AS dispersion, why AS reason, bins, exposure_ms, frames, blinks FROM k
+"""

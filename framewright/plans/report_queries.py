@@ -92,3 +92,14 @@ ORACLES = {
         y AS (SELECT *, voice AND epoch >= 0 AND track <> '' AND e > s AND e <= 100 AS ok FROM x)
         SELECT event_id, CASE WHEN ok THEN epoch END AS capture_epoch, CASE WHEN ok THEN track END AS track_segment_id, CASE WHEN ok THEN s END AS start_ms, CASE WHEN ok THEN e END AS end_ms FROM y""",
 }
+ORACLES["r08_finalize"] = "WITH v AS (" + sql.VOICE_METRICS + "), x AS (" + sql.FACE_METRICS + "), y AS (" + sql.BLINK_RATE + """)
+    SELECT session_id, ordinal::INT AS registry_order, code, 'voice' AS modality, status, value, quality_score, dispersion, reason, segments::DOUBLE AS segments, NULL::DOUBLE AS bins, eligible_ms::DOUBLE AS eligible_ms, active_ms::DOUBLE AS active_ms,
+           pitched_ms::DOUBLE AS pitched_ms, greatest(pauses, speech_runs, nuclei)::DOUBLE AS events, NULL::DOUBLE AS frames FROM v
+    UNION ALL SELECT session_id, (7 + ordinal)::INT, code, 'face', status, value, quality_score, dispersion, reason, NULL, bins::DOUBLE, exposure_ms::DOUBLE, NULL, NULL, NULL, frames::DOUBLE FROM (SELECT * FROM x UNION ALL BY NAME SELECT * EXCLUDE (blinks) FROM y)"""
+ORACLES["r18_report"] = BOTH + ", bad AS (" + ORACLES["r15_evidence_errors"].replace("eligible_ms / 2", "eligible_ms").replace("exposure_ms / 2", "exposure_ms") + """),
+    o AS (SELECT session_id, ordinal AS r, code, status, reason FROM v UNION ALL SELECT session_id, r, code, status, reason FROM f),
+    p AS (SELECT *, ['pitch', 'pitch', 'speech-timing', 'speech-timing', 'speech-timing', 'speech-timing', 'speech-timing', 'eye-geometry', 'eye-geometry', 'symmetry', 'mouth-geometry', 'mouth-geometry', 'mouth-geometry', 'symmetry', 'movement',
+                  'blink-behavior'][r + 1] AS section FROM o WHERE session_id NOT IN (SELECT session_id FROM bad)),
+    s AS (SELECT DISTINCT session_id FROM p), n AS (SELECT unnest(range(8))::INT AS position, unnest(['capture-quality', 'pitch', 'speech-timing', 'eye-geometry', 'mouth-geometry', 'symmetry', 'movement', 'blink-behavior']) AS section),
+    l AS (SELECT session_id, section, string_agg(code || '=' || coalesce(reason, status), ';' ORDER BY r) AS entries FROM p GROUP BY ALL)
+    SELECT s.session_id, n.position, n.section, coalesce(entries, '') AS entries FROM s CROSS JOIN n LEFT JOIN l ON l.session_id = s.session_id AND l.section = n.section"""

@@ -113,3 +113,24 @@ def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
     assert "framewright-" in shared_folder(session("local[8]"), "settled")
     with pytest.raises(ValueError, match="share"):
         shared_folder(session("local-cluster[2,1,1024]"), "settled")
+
+
+def test_region_of_an_image(spark):
+    """A square that is white on the left and black on the right, whole and by its halves."""
+    row = lambda *shades: b"".join(bytes([g, g, g, 255]) for g in shades)
+    half = row(*[255] * 8, *[0] * 8) * 16
+    boxes = [None, (0.0, 0.0, 0.5, 1.0), (0.5, 0.0, 0.5, 1.0), (0.25, 0.25, 0.5, 0.5), (0.9, 0.9, 5.0, 5.0), (0.99, 0.0, 0.0, 0.0)]
+    rows = [(i, half, 16, b) for i, b in enumerate(boxes)] + [(6, None, 16, None), (7, b"", 0, None), (8, row(51, 51, 51, 51), 2, None)]
+    d = spark.createDataFrame(rows, "i int, p binary, n int, b struct<x:double,y:double,width:double,height:double>")
+    q = {r.i: (r.q.illumination_mean, r.q.dark_clipping, r.q.bright_clipping, r.q.sharpness) for r in d.select("i", kernels.region_quality(F.col("p"), F.col("n"), F.col("n"), F.col("b")).alias("q")).collect()}
+    assert q[0][0] == pytest.approx(0.5, abs=0.002) and 0.4 < q[0][1] < 0.5 and q[0][3] > 0
+    assert q[1] == pytest.approx((1.0, 0.0, 1.0, 0.0)) and q[2] == (0.0, 1.0, 0.0, 0.0) and q[3][0] == pytest.approx(0.5, abs=0.002)
+    assert q[4] == q[5] == (0.0, 1.0, 0.0, 0.0) and q[6] == q[7] == (0.0, 1.0, 0.0, 0.0)
+    assert q[8] == pytest.approx((0.2, 0.0, 0.0, 0.0))
+
+
+def test_readers_order(spark):
+    from framewright.functions.stats import by_locale
+
+    d = spark.createDataFrame([(x,) for x in ("b", "B", "a", "A", "á", "Z", "ab", None, "")], "t string")
+    assert [r.t for r in d.orderBy(by_locale("t")).collect()] == [None, "", "a", "A", "á", "ab", "b", "B", "Z"]
