@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewright.functions.stats import finite
+from framewright.functions.stats import by_locale, finite
+from framewright.functions.tables import settle
 
 
 @dataclass(frozen=True)
@@ -20,6 +22,18 @@ class Policy:
     framing: float = 0.15
     frame_rate: float = 0.25
     illumination: float = 0.2
+    id: str = "default"
+
+    def __post_init__(self) -> None:
+        """A policy has a name, wants one earlier record at least, and its tolerances are finite and not negative."""
+        if not self.id.strip():
+            raise ValueError("a policy needs an id")
+        if isinstance(self.minimum_prior, bool) or not isinstance(self.minimum_prior, int) or self.minimum_prior < 1:
+            raise ValueError("minimum_prior must be a positive whole number")
+        for f in fields(self):
+            value = getattr(self, f.name)
+            if f.name != "id" and not (math.isfinite(value) and value >= 0):
+                raise ValueError(f"{f.name} must be finite and not negative")
 
 
 NUMBERS = ("value", "spread", "confidence")
@@ -78,9 +92,9 @@ def confound_reasons(policy: Policy) -> Column:
     return F.when(voice, F.when(is_kind("speech"), speech).otherwise(kind)).when(face, F.when(is_kind("visual"), visual).otherwise(kind)).otherwise(F.array().cast("array<string>"))
 
 
-def matches(visits: DataFrame, aggregates: DataFrame, current: DataFrame, policy: Policy) -> DataFrame:
-    """Each current aggregate with the first aggregate of the same code and context of each admissible record, and what stands against it."""
-    ok = screened(visits, aggregates, current).filter(F.size("record_reasons") == 0).select("participant_id", "visit_id", "current_visit", "occurred_at")
+def matches(records: DataFrame, aggregates: DataFrame, policy: Policy) -> DataFrame:
+    """Each current aggregate with the first aggregate of the same code and context of each admissible record (``screened``), and what stands against it."""
+    ok = records.filter(F.size("record_reasons") == 0).select("participant_id", "visit_id", "current_visit", "occurred_at")
     first = F.row_number().over(Window.partitionBy("visit_id", "code", "context_kind").orderBy("position"))
     side = lambda p, visit: aggregates.select(
         F.col("visit_id").alias(visit), "code", "context_kind", *(F.col(x).alias(f"{p}_{x}") for x in aggregates.columns if x not in ("visit_id", "code", "context_kind")))
@@ -96,12 +110,10 @@ def matches(visits: DataFrame, aggregates: DataFrame, current: DataFrame, policy
     return m.withColumn("reasons", reasons).withColumn("compatible", F.col("h_value").isNotNull() & (F.size("reasons") == 0))
 
 
-def decisions(visits: DataFrame, aggregates: DataFrame, current: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """``participant_id, visit_id, status, reason_codes``: included with one compatible aggregate, else excluded with sorted reasons."""
-    policy = policy or Policy()
-    m = matches(visits, aggregates, current, policy).groupBy("participant_id", "visit_id").agg(
-        F.bool_or("compatible").alias("included"), F.array_distinct(F.flatten(F.collect_list("reasons"))).alias("reasons"))
-    r = screened(visits, aggregates, current).select("participant_id", "visit_id", "record_reasons").join(m, ["participant_id", "visit_id"], "left")
+def decided(records: DataFrame, matched: DataFrame) -> DataFrame:
+    """Each record ``included`` with one compatible aggregate, else ``excluded`` with sorted reasons."""
+    m = matched.groupBy("participant_id", "visit_id").agg(F.bool_or("compatible").alias("included"), F.array_distinct(F.flatten(F.collect_list("reasons"))).alias("reasons"))
+    r = records.select("participant_id", "visit_id", "record_reasons").join(m, ["participant_id", "visit_id"], "left")
     against = F.array_union("record_reasons", F.coalesce("reasons", F.array().cast("array<string>")))
     against = F.when(F.size(against) == 0, F.array(F.lit("no-compatible-biomarkers"))).otherwise(against)
     included = F.coalesce("included", F.lit(False))
@@ -109,12 +121,16 @@ def decisions(visits: DataFrame, aggregates: DataFrame, current: DataFrame, poli
                     F.when(included, F.array().cast("array<string>")).otherwise(F.array_sort(against)).alias("reason_codes"))
 
 
-def baselines(visits: DataFrame, aggregates: DataFrame, current: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """Prior median, range and deviation of each current aggregate with enough compatible records, and where it lies."""
-    policy = policy or Policy()
+def decisions(visits: DataFrame, aggregates: DataFrame, current: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """``participant_id, visit_id, status, reason_codes`` of every earlier record."""
+    records = settle(screened(visits, aggregates, current))
+    return decided(records, matches(records, aggregates, policy or Policy()))
+
+
+def placed(matched: DataFrame, policy: Policy) -> DataFrame:
+    """Where each current aggregate lies among its compatible earlier ones, if there are enough."""
     keys = ["participant_id", "current_visit", "code", "context_kind"]
-    m = matches(visits, aggregates, current, policy).filter("compatible")
-    m = m.withColumn("centre", F.median("h_value").over(Window.partitionBy(*keys)))
+    m = matched.filter("compatible").withColumn("centre", F.median("h_value").over(Window.partitionBy(*keys)))
     b = m.groupBy(*keys).agg(
         F.count("*").alias("priors"), F.first("c_value").alias("current_value"), F.first("centre").alias("prior_median"), F.min("h_value").alias("prior_min"), F.max("h_value").alias("prior_max"),
         F.median(F.abs(F.col("h_value") - F.col("centre"))).alias("prior_mad")).filter(F.col("priors") >= policy.minimum_prior)
@@ -123,6 +139,51 @@ def baselines(visits: DataFrame, aggregates: DataFrame, current: DataFrame, poli
     return b.withColumn("delta", v - F.col("prior_median")).withColumn("direction", where)
 
 
+def baselines(visits: DataFrame, aggregates: DataFrame, current: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """Prior median, range and deviation of each current aggregate with enough compatible records, and where it lies."""
+    policy = policy or Policy()
+    return placed(matches(screened(visits, aggregates, current), aggregates, policy), policy)
+
+
+def current_errors(visits: DataFrame, aggregates: DataFrame, current: DataFrame) -> DataFrame:
+    """``participant_id, errors``: why a current encounter cannot be compared at all; only those with an error."""
+    own = aggregates.withColumn("wrong", aggregate_reasons()).withColumn("same", F.count("*").over(Window.partitionBy("visit_id", "code", "context_kind")))
+    own = own.groupBy("visit_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("wrong")))).alias("wrong"), (F.max("same") > 1).alias("repeated")).withColumnRenamed("visit_id", "current_visit")
+    seen = visits.groupBy(F.col("visit_id").alias("current_visit"), "participant_id").agg(F.max(F.coalesce("contains_phi", F.lit(True))).alias("phi"))
+    c = current.join(seen, ["participant_id", "current_visit"], "left").join(own, "current_visit", "left")
+    none = F.array().cast("array<string>")
+    errors = F.concat(_names(
+        (F.coalesce("phi", F.lit(True)), "current-not-explicitly-non-phi"), (F.col("current_time").isNull(), "invalid-occurred-at"), (F.col("wrong").isNull(), "no-aggregates"), (F.col("repeated"), "duplicate-aggregate-identity")), F.coalesce("wrong", none))
+    return c.select("participant_id", errors.alias("errors")).filter(F.size("errors") > 0)
+
+
+def compare(visits: DataFrame, aggregates: DataFrame, current: DataFrame, policy: Policy | None = None) -> DataFrame:
+    """One comparison per current encounter: its decisions, its biomarkers and what it amounts to.
+
+    ``comparison_id, participant_id, current_visit, policy_id, status,
+    reason_codes, included`` (ids), ``excluded`` (ids with reasons) and
+    ``biomarkers`` in readers' order of code and context.  The status is
+    ``provisional`` with one biomarker, else ``not-comparable``; a current
+    encounter that is wrong in itself is ``refused`` with its errors, and nothing
+    else is said of it.  Earlier records are screened once.
+    """
+    policy = policy or Policy()
+    records = settle(screened(visits, aggregates, current))
+    matched = settle(matches(records, aggregates, policy))
+    of = lambda status, x: F.array_sort(F.collect_list(F.when(F.col("status") == status, x)))
+    d = decided(records, matched).groupBy("participant_id").agg(of("included", F.col("visit_id")).alias("included"), of("excluded", F.struct("visit_id", "reason_codes")).alias("excluded"))
+    told = ("code", "context_kind", "priors", "current_value", "prior_median", "prior_min", "prior_max", "prior_mad", "delta", "direction")
+    entry = F.struct(by_locale("code").alias("_c"), by_locale("context_kind").alias("_k"), F.struct(*told).alias("b"))
+    b = placed(matched, policy).groupBy("participant_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.b).alias("biomarkers"))
+    c = current.select("participant_id", "current_visit").join(d, "participant_id", "left").join(b, "participant_id", "left").join(current_errors(visits, aggregates, current), "participant_id", "left")
+    refused, some = F.col("errors").isNotNull(), F.col("biomarkers").isNotNull()
+    empty = lambda name: F.when(refused | F.col(name).isNull(), F.slice(F.coalesce(name, F.array().cast(c.schema[name].dataType)), 1, 0)).otherwise(F.col(name)).alias(name)
+    return c.select(
+        F.concat(F.lit("comparison-"), F.col("current_visit").cast("string")).alias("comparison_id"), "participant_id", "current_visit", F.lit(policy.id).alias("policy_id"),
+        F.when(refused, "refused").when(some, "provisional").otherwise("not-comparable").alias("status"),
+        F.when(refused, F.col("errors")).when(some, F.array().cast("array<string>")).otherwise(F.array(F.lit("insufficient-prior-observations"))).alias("reason_codes"), *map(empty, ("included", "excluded", "biomarkers")))
+
+
 def events(decided: DataFrame, compared: DataFrame) -> DataFrame:
     """The two summary events of each comparison."""
     a = decided.groupBy("participant_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "included").alias("included"))

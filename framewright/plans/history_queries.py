@@ -46,7 +46,14 @@ def h05_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.events(history.decisions(*tables), history.baselines(*tables))
 
 
-QUERIES = {"h03_history_decisions": h03_decisions, "a39_history_baselines": a39_baselines, "h05_history_events": h05_events}
+def h04_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole comparisons; current encounters without an explicit mark of no protected data are refused."""
+    c = history.compare(*encounters(spark, sf_dir))
+    said = F.transform("biomarkers", lambda b: F.concat(b.code, F.lit("/"), b.context_kind, F.lit("="), b.direction))
+    return c.select("comparison_id", "participant_id", "current_visit", "policy_id", "status", F.array_join("reason_codes", ",").alias("reason_codes"), F.array_join(F.col("included").cast("array<string>"), ",").alias("included"), F.size("excluded").alias("excluded"), F.array_join(said, ";").alias("biomarkers"))
+
+
+QUERIES = {"h04_comparisons": h04_comparisons, "h03_history_decisions": h03_decisions, "a39_history_baselines": a39_baselines, "h05_history_events": h05_events}
 
 _BASE = r"""
 visits AS (
@@ -94,6 +101,14 @@ ORACLES = {
         SELECT participant_id, current_visit, code, context_kind, priors, round(current_value, 6) AS current_value, round(prior_median, 6) AS prior_median, round(prior_min, 6) AS prior_min,
                round(prior_max, 6) AS prior_max, round(prior_mad, 6) AS prior_mad, round(current_value - prior_median, 6) AS delta,
                CASE WHEN current_value < prior_min - 2 * prior_mad THEN 'below-reference' WHEN current_value > prior_max + 2 * prior_mad THEN 'above-reference' ELSE 'within-reference' END AS direction FROM b""",
+    "h04_comparisons": "WITH " + _DECISIONS + ", " + _BASELINES.split(_BASE + ",")[1] + """,
+        i AS (SELECT participant_id, coalesce(string_agg(visit_id::VARCHAR, ',' ORDER BY visit_id) FILTER (inc), '') AS included, count(*) FILTER (NOT inc)::INT AS excluded FROM d GROUP BY ALL),
+        k AS (SELECT participant_id, string_agg(code || '/' || context_kind || '=' || CASE WHEN current_value < prior_min - 2 * prior_mad THEN 'below-reference' WHEN current_value > prior_max + 2 * prior_mad THEN 'above-reference' ELSE 'within-reference' END, ';' ORDER BY code, context_kind) AS biomarkers FROM b GROUP BY ALL),
+        e AS (SELECT *, concat_ws(',', CASE WHEN cvid % 97 = 5 THEN 'current-not-explicitly-non-phi' END, CASE WHEN cvid NOT IN (SELECT vid FROM agg) THEN 'no-aggregates' END) AS err FROM cur)
+        SELECT 'comparison-' || cvid AS comparison_id, pid AS participant_id, cvid AS current_visit, 'default' AS policy_id, CASE WHEN err <> '' THEN 'refused' WHEN biomarkers IS NOT NULL THEN 'provisional' ELSE 'not-comparable' END AS status,
+               CASE WHEN err <> '' THEN err WHEN biomarkers IS NOT NULL THEN '' ELSE 'insufficient-prior-observations' END AS reason_codes, CASE WHEN err <> '' THEN '' ELSE included END AS included,
+               CASE WHEN err <> '' THEN 0 ELSE excluded END AS excluded, CASE WHEN err <> '' THEN '' ELSE coalesce(biomarkers, '') END AS biomarkers
+        FROM e LEFT JOIN i ON i.participant_id = pid LEFT JOIN k ON k.participant_id = pid""",
     "h05_history_events": "WITH " + _DECISIONS + ", " + _BASELINES.split(_BASE + ",")[1] + """,
         n AS (SELECT participant_id, count(*) AS n FROM d GROUP BY ALL), k AS (SELECT participant_id, count(*) AS n FROM b GROUP BY ALL)
         SELECT participant_id, 1 AS sequence, 'trajectory.compatibility.assessed' AS type, 'Assessed ' || n || ' prior encounters for compatibility.' AS summary FROM n

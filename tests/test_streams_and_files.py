@@ -134,3 +134,37 @@ def test_readers_order(spark):
 
     d = spark.createDataFrame([(x,) for x in ("b", "B", "a", "A", "á", "Z", "ab", None, "")], "t string")
     assert [r.t for r in d.orderBy(by_locale("t")).collect()] == [None, "", "a", "A", "á", "ab", "b", "B", "Z"]
+
+
+AGGREGATE = (
+    "visit_id long, code string, context_kind string, value double, spread double, confidence double, windows int, snr_db double, width_fraction double, height_fraction double, frame_rate double, illumination double, position int, unit string, "
+    "algorithm_version string, processor_ref string, kind string, rate_class string, processing string"
+)
+
+
+def test_comparisons_are_whole_or_refused(spark):
+    """A subject with enough earlier records, one with too few, and one for each thing that is wrong with a current record."""
+    visits, aggregates, current = [], [], []
+    usual = {"context": "turn", "value": 100.0, "spread": 1.0, "confidence": 0.9, "windows": 3, "snr": 20.0, "w": None, "h": None, "f": None, "i": None, "p": 0, "unit": "Hz", "a": "1", "r": "p", "kind": "speech", "rate": "48k", "proc": "off"}
+    aggregate = lambda v, code="b.voice.x", **k: (v, code, *(usual | k).values())
+    wrong = {3: [aggregate(33, confidence=2.0)], 4: [aggregate(43), aggregate(43)], 5: [], 6: [aggregate(63)]}
+    for who in range(1, 7):
+        for n in range(4):
+            visit = who * 10 + n
+            visits.append((who, visit, f"2026-0{n + 1}-01", who == 6 and n == 3, "accepted", "x"))
+            aggregates += wrong[who] if n == 3 and who in wrong else [aggregate(visit, value=100.0 + n), aggregate(visit, "A.voice.y", value=50.0)] if who != 2 or n > 1 else []
+        current.append((who, who * 10 + 3, "2026-04-01", "x"))
+    v = spark.createDataFrame(visits, "participant_id long, visit_id long, occurred_at string, contains_phi boolean, review_status string, protocol_id string").withColumn("occurred_at", F.to_timestamp("occurred_at"))
+    c = spark.createDataFrame(current, "participant_id long, current_visit long, current_time string, protocol_id string").withColumn("current_time", F.to_timestamp("current_time"))
+    a = spark.createDataFrame(aggregates, AGGREGATE)
+    got = {r.participant_id: r for r in history.compare(v, a, c).collect()}
+    assert {k: (r.status, r.reason_codes) for k, r in got.items()} == {
+        1: ("provisional", []), 2: ("not-comparable", ["insufficient-prior-observations"]), 3: ("refused", ["aggregate-confidence-out-of-range"]), 4: ("refused", ["duplicate-aggregate-identity"]), 5: ("refused", ["no-aggregates"]),
+        6: ("refused", ["current-not-explicitly-non-phi"])}
+    assert got[1].included == [10, 11, 12] and [x.visit_id for x in got[1].excluded] == [13]
+    assert [(b.code, b.priors, b.delta, b.direction) for b in got[1].biomarkers] == [("A.voice.y", 3, 0.0, "within-reference"), ("b.voice.x", 3, 2.0, "within-reference")]
+    assert got[2].included == [22] and got[3].included == got[3].excluded == got[3].biomarkers == []
+    assert history.compare(v.limit(0), a.limit(0), c.limit(0)).collect() == []
+    for bad in ({"id": " "}, {"minimum_prior": 0}, {"minimum_prior": 1.5}, {"snr_db": float("nan")}, {"framing": -0.1}):
+        with pytest.raises(ValueError):
+            history.Policy(**bad)
