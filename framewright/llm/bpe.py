@@ -20,7 +20,7 @@ from framewright.llm.parts import PartEncoder, steps
 from framewright.llm.tables import documents
 
 #: Words that a Python worker remembers the ids of beside whole parts.
-WORDS = 200_000
+WORDS = 50_000
 
 
 def merge(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -135,11 +135,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for row, stop in steps([len(t) for t in texts]):
-                ids, offsets = own.encode(texts[row:stop])
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for row, stop in steps(sizes):
+                part = batch.slice(row, stop - row)
+                ids, offsets = own.encode(part.column(1).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), lists], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "ids"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
