@@ -170,6 +170,19 @@ def flat(documents: DataFrame, array: str) -> DataFrame:
     return rows.select("session_id", "position", *(F.col(f"x.{c}").alias("own_session_id" if c == "session_id" else c) for c in rows.schema["x"].dataType.names))
 
 
+def measurement_events(documents: DataFrame) -> DataFrame:
+    """What a journal says of each outcome, in order: ``session_id, position, type, metric_code, measurement_id, reason_code``.
+
+    A measured outcome is recorded with the first measurement of its aggregate; one
+    without a measurement has no event.  A withheld one has its reason.
+    """
+    m = provenance.first(flat(documents, "measurements").select("session_id", "aggregate_id", "position", "measurement_id"), ["session_id", "aggregate_id"]).drop("position")
+    o = flat(documents, "outcomes").select("session_id", "position", "metric_code", "aggregate_id", "status", "reason_code")
+    recorded = o.filter("status = 'measured'").join(m, ["session_id", "aggregate_id"]).withColumn("type", F.lit("measurement.recorded"))
+    withheld = o.filter("status = 'withheld'").withColumn("type", F.lit("measurement.withheld")).withColumn("measurement_id", F.lit(None).cast("string"))
+    return recorded.unionByName(withheld).select("session_id", "position", "type", "metric_code", "measurement_id", "reason_code")
+
+
 def requirement_errors(outcomes: DataFrame, definitions: DataFrame) -> DataFrame:
     """Measured outcomes without positive evidence, and requirements of the registry that their facts do not meet; absent facts are skipped."""
     e, fact = F.col("evidence"), lambda name: F.element_at(F.col("evidence.facts"), name)

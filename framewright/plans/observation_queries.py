@@ -168,8 +168,15 @@ def r18_issued(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("outcomes", lambda o: F.concat_ws("=", o.metric_code, F.coalesce(o.reason_code, o.status))), ";").alias("outcomes"))
 
 
+def j16_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journal events of the outcomes; every eighth document has lost its last measurement, which then has none."""
+    d, _ = _documents(spark, sf_dir)
+    lost = F.slice("measurements", 1, F.greatest(F.size("measurements") - 1, F.lit(0)))
+    return observation.measurement_events(d.withColumn("measurements", F.when(F.col("session_id") % 8 == 3, lost).otherwise(F.col("measurements"))))
+
+
 QUERIES = {
-    "a32_evidence_refs": a32_evidence, "r11_outcomes": r11_outcomes, "r11_windows": r11_windows, "r12_quality_summary": r12_quality, "r13_document_errors": r13_errors, "r17_document_verdicts": r17_documents, "r18_issued_reports": r18_issued,
+    "j16_measurement_events": j16_events, "a32_evidence_refs": a32_evidence, "r11_outcomes": r11_outcomes, "r11_windows": r11_windows, "r12_quality_summary": r12_quality, "r13_document_errors": r13_errors, "r17_document_verdicts": r17_documents, "r18_issued_reports": r18_issued,
 }
 
 _BOTH = {"calibration FROM voice)": "calibration FROM (SELECT session_id FROM voice UNION SELECT l_orderkey // 375 FROM lineitem))", "calibration FROM face)": "calibration FROM (SELECT session_id FROM face UNION SELECT event_id // 1000 FROM events))"}
@@ -204,9 +211,14 @@ _E = "WITH v AS (" + _of_both(sql.VOICE_METRICS) + "), g AS (" + _of_both(sql.FA
   t AS (SELECT session_id, count(*) FILTER (m) AS n_m, count(*) FILTER (NOT m) AS n_h, count(*) FILTER (m AND modality = 'voice') AS n_v, sum(n_w) AS n_w, coalesce(sum(n_w) FILTER (m), 0) AS n_e, arg_min(code, r) FILTER (m) AS first, bool_or(m AND r = 0) AS m0,
                bool_or(m AND r = 15) AS mb, count(*) FILTER (m AND modality = 'face' AND r < 15 AND ms < 30000) AS n_short FROM y GROUP BY ALL)"""
 _ID = "'4:pack|5:1.0.0|' || " + " || '|' || ".join(f"strlen({c}) || ':' || {c}" for c in ("session_id::VARCHAR", "code", "(CASE modality WHEN 'voice' THEN 'ambient' ELSE 'ambient-frontal' END)", "unit", "'1.0.0'", "proc", "track"))
-_FNV = f"lpad(lower(to_hex(list_reduce([14695981039346656037::UHUGEINT] || list_transform(string_split({_ID}, ''), lambda c: ascii(c)::UHUGEINT), lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT)), 16, '0')"
+_fnv = lambda text: f"lpad(lower(to_hex(list_reduce([14695981039346656037::UHUGEINT] || list_transform(string_split({text}, ''), lambda c: ascii(c)::UHUGEINT), lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT)), 16, '0')"
+_FNV = _fnv(_ID)
+_FIRST = "('window:' || code || ':0:' || CASE WHEN len(refs) > 0 THEN refs[1] ELSE modality || '-unavailable' END)"
 
 ORACLES = {
+    "j16_measurement_events": _E + f"""
+        SELECT session_id, r::INT AS position, CASE WHEN m THEN 'measurement.recorded' ELSE 'measurement.withheld' END AS type, code AS metric_code, CASE WHEN m THEN 'msr_' || {_fnv(f"({_ID} || '|' || strlen({_FIRST}) || ':' || {_FIRST} || '|0')")} END AS measurement_id,
+               code_reason AS reason_code FROM y WHERE NOT (m AND session_id % 8 = 3 AND r = (SELECT max(r) FROM y z WHERE z.m AND z.session_id = y.session_id))""",
     "a32_evidence_refs": _E + """
         SELECT session_id, modality, o0 AS observed_start_ms, o1 AS observed_end_ms, samples::BIGINT AS sample_count, segments::BIGINT AS segment_count, array_to_string(procs, ',') AS processor_refs, array_to_string(tracks, ',') AS track_segment_ids,
                array_to_string(refs, ',') AS source_window_refs FROM e""",

@@ -101,3 +101,24 @@ def test_hash_of_many_texts_at_once(spark):
     assert [(r.a, r.b) for r in got] == [(plain(t), plain(t, True)) for t in texts] + [(None, None)]
     each = spark.createDataFrame([(texts,), (None,), ([],), (["a", None],)], "t array<string>").select(kernels.fnv1a_each(F.col("t")).alias("h")).collect()
     assert [r.h for r in each] == [[plain(t) for t in texts], None, [], [plain("a"), None]]
+
+
+def test_lookups_and_grades_of_small_tables(spark):
+    from framewright.operators import signals
+
+    known, wanted = spark.createDataFrame([("a", 1), ("b", 2)], "ref string, n int"), spark.createDataFrame([("b",), ("c",), ("c",), (None,)], "ref string")
+    assert sorted(map(tuple, report.complete_refs(known, wanted, "ref").collect()), key=str) == [("a", 1, False), ("b", 2, False), ("c", None, True)]
+    assert report.complete_refs(known, wanted.limit(0), "ref").count() == 2
+    rows = spark.createDataFrame([("x", 2, "later"), ("x", 1, "first"), ("y", 5, "only")], "k string, n int, v string")
+    assert sorted(map(tuple, report.latest_first(rows, ["k"], "n").collect())) == [("x", 1, "first"), ("y", 5, "only")]
+    d = spark.createDataFrame([(8, 0), (7, 1), (7, 0), (0, 9)], "r int, e int").select("r", "e", signals.audio_calibration(F.col("r"), F.col("e")).alias("g"))
+    assert {(r.r, r.e): r.g for r in d.collect()} == {(8, 0): "strong", (7, 1): "limited", (7, 0): "unavailable", (0, 9): "limited"}
+
+
+def test_measurement_events_follow_outcomes(documents):
+    d, _ = documents
+    events = observation.measurement_events(d).orderBy("session_id", "position").collect()
+    assert [(e.session_id, e.type) for e in events] == [(1, "measurement.recorded")] * 16 + [(2, "measurement.withheld")] * 16
+    one = d.filter("session_id = 1").first()
+    assert [e.measurement_id for e in events[:16]] == [m.measurement_id for m in one.measurements] and {e.reason_code for e in events[16:]} == {"modality-unavailable"}
+    assert observation.measurement_events(d.limit(0)).collect() == []
