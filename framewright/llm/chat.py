@@ -124,6 +124,7 @@ def format_turns(
     null conversation ids are one conversation.  Turns are encoded where they are
     read; only numbering follows a conversation from first to last, in batches, so
     it is never held as a whole.  An empty table gives an empty result.
+    Texts are read whole, however long; other columns are ignored.
     """
     rows = turns.select(
         turns[conv_col].alias("conv_id"), turns[turn_col].alias("turn"),

@@ -80,6 +80,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     null only where all are.  Rows that repeat an id are rows of their own: each
     counts in ``group_size``, and all of them with the smallest id are ``kept``.
     An empty table gives an empty result.
+    Texts are read whole, however long; other columns are ignored.
     """
     spark = docs.sparkSession
     table = Scratch(spark).keep(digests(documents(docs, id_col, text_col)))

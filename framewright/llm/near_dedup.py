@@ -169,6 +169,7 @@ def near_duplicates(
     ``component_id`` is null.  Rows that repeat an id are documents of their own,
     each linked by its own text; rows that repeat id and text get equal results.
     An empty table gives an empty result.
+    Texts are read whole, however long; other columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)

@@ -594,6 +594,7 @@ def score_texts(
     size, and tasks with them.  Null and empty texts are one end token.  A
     null ``learn`` learns; repeated rows count each.  Without training rows all
     scores are 0.  An empty table gives an empty result.
+    Texts are read whole, however long; other columns are ignored.
     """
     seats = seats or Seats()
     scratch = Scratch(docs.sparkSession)

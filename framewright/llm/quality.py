@@ -90,6 +90,7 @@ def quality(docs: DataFrame, model: Ordinal, good: int = GOOD, cut: float = 0.5,
     ``selected`` is ``p_good >= cut``.  Null and empty texts have no words and are
     judged by that alone.  Rows without an id and repeated rows are scored like
     any other; an empty table gives an empty result.
+    Texts are read whole, however long; other columns are ignored.
     """
 
     def outputs(s: np.ndarray) -> dict[str, np.ndarray]:

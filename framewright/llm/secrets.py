@@ -166,6 +166,7 @@ def secrets(docs: DataFrame, model: MarkovRatio, least: float = 20.0, id_col: st
 
     Null and empty texts have no spans.  Rows without an id and repeated rows are
     scanned like any other; an empty table gives an empty result.
+    Texts are read whole, however long; other columns are ignored.
     """
     text = F.col("text")
     found = documents(docs, id_col, text_col).select(

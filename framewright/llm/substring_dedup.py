@@ -183,6 +183,7 @@ def remove_repeats(
     documents of their own, each judged by its own text, and take nothing from
     each other; rows that repeat id and text get equal results.  An empty table
     gives an empty result.
+    Texts are read whole, however long; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     docs = documents(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("row"), "text")

@@ -58,6 +58,7 @@ def toxicity(docs: DataFrame, model: Ordinal, cut: float = 0.35, id_col: str = "
     ``toxic`` is ``p_toxic >= cut``.  Null and empty texts have no words and get
     the model's prior.  Rows without an id and repeated rows are scored like any
     other; an empty table gives an empty result.
+    Texts are read whole, however long; other columns are ignored.
     """
 
     def outputs(s: np.ndarray) -> dict[str, np.ndarray]:
