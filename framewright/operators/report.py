@@ -54,14 +54,14 @@ def finalize(voice_outcomes: DataFrame, face_outcomes: DataFrame) -> DataFrame:
 
 
 def incomplete(outcomes: DataFrame, spark: SparkSession) -> DataFrame:
-    """Registry violations: metrics missing, unregistered or repeated in a session, and measured values that are not finite."""
+    """Registry violations: metrics missing, unregistered or repeated in a session, and measured outcomes whose value or dispersion is not finite or whose score is not within 0 and 1."""
     r = F.broadcast(registry(spark).select("code"))
     want = outcomes.select("session_id").distinct().crossJoin(r)  # sixteen rows a session
     counted = outcomes.groupBy("session_id", "code").agg(F.count("*").alias("n"))
     missing = want.join(counted, ["session_id", "code"], "left_anti").withColumn("violation", F.lit("missing"))
     unknown = counted.join(r, "code", "left_anti").select("session_id", "code", F.lit("unregistered").alias("violation"))
     repeated = counted.filter("n > 1").select("session_id", "code", F.lit("repeated").alias("violation"))
-    wrong = outcomes.filter((F.col("status") == "measured") & ~(finite("value") & F.col("quality_score").between(0, 1))).select("session_id", "code", F.lit("invalid-value").alias("violation"))
+    wrong = outcomes.filter((F.col("status") == "measured") & ~(finite("value") & F.coalesce(F.col("quality_score").between(0, 1), F.lit(False)) & (F.col("dispersion").isNull() | finite("dispersion")))).select("session_id", "code", F.lit("invalid-value").alias("violation"))
     return missing.unionByName(unknown).unionByName(repeated).unionByName(wrong)
 
 
