@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framewright.functions.stats import finite
+from framewright.functions.stats import LARGEST, finite, within
 
 #: Visual reasons in the order in which they are reported; others are dropped.
 VISUAL_ORDER = (
@@ -28,24 +30,34 @@ def _reasons(given: Column, *derived: tuple[Column, str]) -> Column:
     return F.array_union(F.coalesce(given, F.array().cast("array<string>")), found)
 
 
-def visual_reasons(baseline_sharpness: Column | None = None) -> Column:
-    """Reasons against a face frame, in reporting order; values that are not finite fail their limit."""
+def _visual_flaws(baseline_sharpness: Column | None = None) -> dict[str, Column]:
+    """Which reasons a face frame's values give; false rather than null."""
     f, p = F.col, VISUAL_POLICY
     floor = F.greatest(F.lit(p["sharpness"]), F.coalesce(baseline_sharpness * p["sharpness_share"], F.lit(0.0))) if baseline_sharpness is not None else F.lit(p["sharpness"])
     present = f("face_visible") & f("box_width_px").isNotNull() & f("yaw_deg").isNotNull() & f("eye_left").isNotNull() & f("mouth_left_x").isNotNull()
-    below = lambda c, limit: ~finite(c) | (f(c) < limit)
-    above = lambda c, limit: ~finite(c) | (f(c) > limit)
-    off = lambda c, limit: ~finite(c) | (F.abs(c) > limit)
-    found = _reasons(
-        f("quality_reasons"), (~F.coalesce(present, F.lit(False)), "face-not-visible"),
-        (present & (below("box_width_px", p["width_px"]) | below("box_height_px", p["height_px"])), "face-too-small"),
-        (present & (above("box_width", p["width"]) | above("box_height", p["height"])), "face-too-large"),
-        (present & below("edge_margin", p["edge"]), "face-edge-margin"),
-        (present & (off("yaw_deg", p["yaw"]) | off("pitch_deg", p["pitch"]) | off("roll_deg", p["roll"])), "pose-out-of-range"),
-        (below("illumination_mean", p["light_low"]) | above("illumination_mean", p["light_high"]) | above("dark_clipping", p["dark"]) | above("bright_clipping", p["bright"]), "illumination-out-of-range"),
-        (~finite("sharpness") | (f("sharpness") < floor), "blur"), (below("frame_rate", p["frame_rate"]), "frame-rate-below-minimum"),
-        (f("inter_result_gap_ms").isNotNull() & above("inter_result_gap_ms", p["gap_ms"]), "visual-frame-gap"), (above("skipped_fraction", p["skipped"]), "too-many-skipped-frames"))
-    return F.filter(F.array(*(F.lit(r) for r in VISUAL_ORDER)), lambda r: F.array_contains(found, r))
+    below = lambda c, limit: ~within(c, limit, LARGEST)
+    above = lambda c, limit: ~within(c, -LARGEST, limit)
+    off = lambda c, limit: ~within(c, -limit, limit)
+    derived = {
+        "face-not-visible": ~F.coalesce(present, F.lit(False)), "face-too-small": present & (below("box_width_px", p["width_px"]) | below("box_height_px", p["height_px"])),
+        "face-too-large": present & (above("box_width", p["width"]) | above("box_height", p["height"])), "face-edge-margin": present & below("edge_margin", p["edge"]),
+        "pose-out-of-range": present & (off("yaw_deg", p["yaw"]) | off("pitch_deg", p["pitch"]) | off("roll_deg", p["roll"])),
+        "illumination-out-of-range": below("illumination_mean", p["light_low"]) | above("illumination_mean", p["light_high"]) | above("dark_clipping", p["dark"]) | above("bright_clipping", p["bright"]),
+        "blur": ~finite("sharpness") | (f("sharpness") < floor), "frame-rate-below-minimum": below("frame_rate", p["frame_rate"]),
+        "visual-frame-gap": f("inter_result_gap_ms").isNotNull() & above("inter_result_gap_ms", p["gap_ms"]), "too-many-skipped-frames": above("skipped_fraction", p["skipped"])}
+    return {r: F.coalesce(c, F.lit(False)) for r, c in derived.items()}
+
+
+def visual_reasons(baseline_sharpness: Column | None = None) -> Column:
+    """Reasons against a face frame, in reporting order; values that are not finite fail their limit."""
+    flaws, given = _visual_flaws(baseline_sharpness), lambda r: F.coalesce(F.array_contains("quality_reasons", r), F.lit(False))
+    return F.array_compact(F.array(*(F.when(flaws.get(r, F.lit(False)) | given(r), F.lit(r)) for r in VISUAL_ORDER)))
+
+
+def visually_sound() -> Column:
+    """Whether ``visual_reasons`` is empty, without its list."""
+    given = F.coalesce(F.arrays_overlap("quality_reasons", F.array(*map(F.lit, VISUAL_ORDER))), F.lit(False))
+    return ~reduce(lambda a, b: a | b, _visual_flaws().values(), given)
 
 
 def voice_reasons(processing: Column) -> Column:

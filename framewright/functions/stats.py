@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+LARGEST = sys.float_info.max
+
 
 def finite(x: Column | str) -> Column:
-    """Not null, not NaN, not infinite; false rather than null."""
-    x = F.col(x) if isinstance(x, str) else x
-    return F.coalesce(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
+    """Not null, not NaN (greater than any number in Spark's order), not infinite; false rather than null.
+
+    One comparison: conditions over many columns stay within what the JVM compiles.
+    """
+    return F.coalesce(F.abs(x) <= LARGEST, F.lit(False))
+
+
+def within(x: Column | str, low: float = -LARGEST, high: float = LARGEST) -> Column:
+    """Finite and between two finite limits, both included; false rather than null."""
+    return F.coalesce((F.col(x) if isinstance(x, str) else x).between(low, high), F.lit(False))
 
 
 def clamp01(x: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewright.functions.gates import visual_reasons
-from framewright.functions.stats import all_of, clamp01, finite, js_round, lasting, mad, weighted_percentile
+from framewright.functions.gates import visually_sound
+from framewright.functions.stats import all_of, clamp01, finite, js_round, lasting, mad, weighted_percentile, within
 from framewright.functions.tables import settle
 from framewright.operators import voice
 
@@ -47,18 +47,18 @@ def size() -> Column:
 def size_usable() -> Column:
     """Box within a fifth of the calibrated one on both sides."""
     w, h = F.try_divide("box_width_px", "baseline_width_px"), F.try_divide("box_height_px", "baseline_height_px")
-    return all_of(finite(w) & w.between(0.8, 1.2), finite(h) & h.between(0.8, 1.2))
+    return within(w, 0.8, 1.2) & within(h, 0.8, 1.2)
 
 
 def complete_geometry() -> Column:
-    positive = lambda c: finite(c) & (F.col(c) >= 0)
+    positive = lambda c: within(c, 0.0)
     return all_of(positive("eye_left"), positive("eye_right"), finite("mouth_left_x"), finite("mouth_left_y"), finite("mouth_right_x"), finite("mouth_right_y"), positive("mouth_aperture"))
 
 
 def usable() -> Column:
-    near = lambda c, limit: finite(c) & (F.abs(c) <= limit)
+    near = lambda c, limit: within(c, -limit, limit)
     return all_of(
-        F.col("face_count") == 1, F.length("track_segment_id") > 0, F.size(visual_reasons()) == 0, near("yaw_deg", 7), near("pitch_deg", 10), near("roll_deg", 5),
+        F.col("face_count") == 1, F.length("track_segment_id") > 0, visually_sound(), near("yaw_deg", 7), near("pitch_deg", 10), near("roll_deg", 5),
         size_usable(), complete_geometry())
 
 
