@@ -20,7 +20,18 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Writes a table that several branches of a plan read, so that it is computed once and its lineage ends there."""
+    """Writes a table that several branches of a plan read, so that it is computed once and its lineage ends there.
+
+    Such a table grows with the data, and its files say little about its size:
+    rows that repeat themselves take a hundred times as much in memory.  So joins
+    with it, and with what is grouped or filtered from it, are merged and never
+    broadcast through the driver.
+    """
     path = shared_folder(df.sparkSession, "settled")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return merged(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """Asks that joins with the table sort and merge both sides, whatever its files' size; a hint ends at a join or a union."""
+    return df.hint("merge")

@@ -141,10 +141,16 @@ def blinks(frames: DataFrame, kept: DataFrame) -> DataFrame:
     return kept.select("session_id", "bin").join(found, ["session_id", "bin"], "left").withColumn("blinks", F.coalesce("blinks", F.lit(0).cast("long")))
 
 
-def evidence(frames: DataFrame, sessions: DataFrame) -> DataFrame:
-    """What the face outcomes of each session rest on; each qualifying bin is one window."""
+def prepared(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Screened frames and their qualifying bins, computed once for outcomes and evidence."""
     framed = settle(screened(frames, sessions))
-    kept = bins(framed).withColumn("bin_end_ms", F.col("start_ms") + BIN_MS).withColumn("ref", voice.window_ref("start_ms", "bin_end_ms", "face"))
+    return framed, settle(bins(framed))
+
+
+def evidence(frames: DataFrame, sessions: DataFrame, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """What the face outcomes of each session rest on; each qualifying bin is one window.  ``ready`` is what ``prepared`` made of the frames, if it is at hand."""
+    framed, kept = ready or prepared(frames, sessions)
+    kept = kept.withColumn("bin_end_ms", F.col("start_ms") + BIN_MS).withColumn("ref", voice.window_ref("start_ms", "bin_end_ms", "face"))
     return voice.gathered(sessions, framed, kept, ["t_ms", "seq"]).withColumnRenamed("_tracks", "segment_count").drop("_pieces")
 
 
@@ -158,10 +164,9 @@ def quality_score(frames: DataFrame, kept: DataFrame) -> DataFrame:
     return s.join(poses, "session_id").select("session_id", clamp01(score).alias("quality_score"))
 
 
-def face_outcomes(frames: DataFrame, sessions: DataFrame) -> DataFrame:
+def face_outcomes(frames: DataFrame, sessions: DataFrame, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Exactly one row per session and face metric, like ``voice_outcomes``; counts: ``bins, exposure_ms, frames, blinks``."""
-    framed = settle(screened(frames, sessions))
-    kept = settle(bins(framed))
+    framed, kept = ready or prepared(frames, sessions)
     blink = blinks(framed, kept)
     rate = blink.select("session_id", F.lit(8).alias("ordinal"), (F.col("blinks") / (BIN_MS / 60_000)).alias("value"))
     values = bin_values(framed, kept).select("session_id", "ordinal", "value").unionByName(rate)

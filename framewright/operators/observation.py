@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.functions.stats import all_of
-from framewright.functions.tables import settle
+from framewright.functions.tables import merged, settle
 from framewright.operators import kernels, provenance, records
 from framewright.operators.report import SECTIONS
 
@@ -228,7 +228,7 @@ def validate(documents: DataFrame, definitions: DataFrame, pack: dict[str, str],
     bound = sound.select("session_id", F.explode(F.array_compact(F.array(F.when(pack_differs, "protocol-reference"), F.when(consent_differs, "consent-document")))).alias("error"))
     outcomes = flat(sound, "outcomes").withColumnRenamed("report_section", "section").withColumn("code", f("metric_code")).withColumn("reason", f("reason_code"))
     outcomes = settle(outcomes)
-    known = outcomes.join(F.broadcast(definitions.select(f("code").alias("metric_code"))), "metric_code", "left_semi")  # others are unregistered, and no more is said of them
+    known = merged(outcomes.join(F.broadcast(definitions.select(f("code").alias("metric_code"))), "metric_code", "left_semi"))  # others are unregistered, and no more is said of them
     defined = records.definition_errors(known, definitions, ["session_id"]).select("session_id", F.concat(F.lit("definition:"), "error").alias("error"))
     refs = known.select("session_id", "metric_code", F.explode("evidence.refs").alias("ref"))
     windows, measurements = flat(sound, "windows"), flat(sound, "measurements")

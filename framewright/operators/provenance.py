@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.stats import all_of
+from framewright.functions.tables import merged
 from framewright.operators.records import safe_id, same_protocol
 from framewright.operators.report import parse_window
 
@@ -72,7 +73,7 @@ def reference_errors(refs: DataFrame, outcomes: DataFrame, observations: DataFra
     seen = observations.select("session_id", F.struct(*observations.columns).alias("seen"))
     r = refs.select("session_id", "metric_code", "ref").join(o, ["session_id", "metric_code"]).join(seen, "session_id")
     scope = F.when(F.col("ref.kind") == "event", "").otherwise(F.col("session_id").cast("string"))
-    r = r.select("*", F.col("ref.kind").alias("kind"), scope.alias("scope"), F.col("ref.target_id").alias("target_id")).join(_targets(targets, events), ["kind", "scope", "target_id"], "left")
+    r = r.select("*", F.col("ref.kind").alias("kind"), scope.alias("scope"), F.col("ref.target_id").alias("target_id")).join(merged(_targets(targets, events)), ["kind", "scope", "target_id"], "left")
     fits = F.lit(True)
     for kind, (to_ref, to_outcome) in SHARED.items():
         fits = F.when(F.col("kind") == kind, _all_same(to_ref, "found", "ref") & _all_same(to_outcome, "found", "outcome")).otherwise(fits)

@@ -118,9 +118,15 @@ def gathered(sessions: DataFrame, observed: DataFrame, pieces: DataFrame, place:
         F.coalesce("processor_refs", "_p", none).alias("processor_refs"), F.coalesce("track_segment_ids", "_t", none).alias("track_segment_ids"), F.coalesce("source_window_refs", none).alias("source_window_refs"))
 
 
-def evidence(frames: DataFrame, sessions: DataFrame) -> DataFrame:
-    """What the voice outcomes of each session rest on; each segment is one window."""
-    kept = segments(segment_frames(frames, sessions)).withColumn("ref", window_ref())
+def prepared(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Usable frames and their eligible segments, computed once for outcomes and evidence."""
+    framed = settle(segment_frames(frames, sessions))
+    return framed, settle(segments(framed))
+
+
+def evidence(frames: DataFrame, sessions: DataFrame, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """What the voice outcomes of each session rest on; each segment is one window.  ``ready`` is what ``prepared`` made of the frames, if it is at hand."""
+    kept = (ready[1] if ready else segments(segment_frames(frames, sessions))).withColumn("ref", window_ref())
     return gathered(sessions, in_range(frames, sessions), kept, ["seq"]).withColumnRenamed("_pieces", "segment_count").drop("_tracks")
 
 
@@ -161,7 +167,7 @@ def quality_score(frames: DataFrame, kept: DataFrame) -> DataFrame:
     return s.select("session_id", clamp01(score).alias("quality_score"))
 
 
-def voice_outcomes(frames: DataFrame, sessions: DataFrame) -> DataFrame:
+def voice_outcomes(frames: DataFrame, sessions: DataFrame, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Exactly one row per session and voice metric.
 
     Columns: ``session_id, ordinal, code, unit, status`` (measured or withheld),
@@ -171,8 +177,7 @@ def voice_outcomes(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     without frames in range are withheld too.  All windows and groups share the
     session as their shuffle key.
     """
-    framed = settle(segment_frames(frames, sessions))
-    kept = settle(segments(framed))
+    framed, kept = ready or prepared(frames, sessions)
     run = runs(framed, kept)
     per_run = run.groupBy("session_id", "segment").agg(
         F.count_if("pause").alias("pauses"), F.count_if("active").alias("speech_runs"),

@@ -39,16 +39,17 @@ def _sessions(voices: DataFrame, faces: DataFrame) -> DataFrame:
         F.when(k % 5 == 4, F.array(listed("face", "proc-v"))).otherwise(F.array(listed("voice", "proc-a"), listed("face", "proc-v"))).alias("processors"), ((F.col("v") == 1) & (k % 17 != 3)).alias("voice_available"), (F.col("f") == 1).alias("face_available"))
 
 
-def _evidence(voices: DataFrame, faces: DataFrame, s: DataFrame) -> DataFrame:
-    return voice.evidence(voices, s).withColumn("modality", F.lit("voice")).unionByName(face.evidence(faces, s).withColumn("modality", F.lit("face")))
+def _evidence(voices: DataFrame, faces: DataFrame, s: DataFrame, spoken: tuple[DataFrame, DataFrame] | None = None, seen: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return voice.evidence(voices, s, spoken).withColumn("modality", F.lit("voice")).unionByName(face.evidence(faces, s, seen).withColumn("modality", F.lit("face")))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     voices, faces = voice_frames(spark, sf_dir), face_frames(spark, sf_dir)
     s, known = settle(_sessions(voices, faces)), report.definitions(spark, REASONS)
     options = s.select("session_id", "session_started_at_ms", "noise_calibration_duration_ms", "calibration_duration_ms", "baseline_width_px", "baseline_height_px")
-    outcomes = report.finalize(voice.voice_outcomes(voices, options), face.face_outcomes(faces, options))
-    return settle(observation.assemble(outcomes, _evidence(voices, faces, options), s, known)), known
+    spoken, seen = voice.prepared(voices, options), face.prepared(faces, options)
+    outcomes = report.finalize(voice.voice_outcomes(voices, options, spoken), face.face_outcomes(faces, options, seen))
+    return settle(observation.assemble(outcomes, _evidence(voices, faces, options, spoken, seen), s, known)), known
 
 
 def a32_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

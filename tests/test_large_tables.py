@@ -2,10 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from framewright.functions import gates
+from framewright.functions.tables import settle
 from framewright.operators import face
-from framewright.plans import history_queries
+from framewright.plans import history_queries, provenance_queries
 from framewright.sources.surrogates import face_frames, face_sessions
 
 SF = "/root/testdata/sf0.01"
@@ -66,3 +68,16 @@ def test_sound_frames_are_those_without_reasons(spark):
         FROM {odd} CROSS JOIN {given} CROSS JOIN range(13) AS r(c)""".replace("c = 0 AS face_visible", "CASE WHEN c > 0 THEN true WHEN x > 0 THEN false WHEN x = 0 THEN true END AS face_visible"))
     rows = f.select(gates.visual_reasons().alias("r"), gates.visually_sound().alias("sound")).collect()
     assert all(r.sound == (not r.r) for r in rows) and {r.sound for r in rows} == {True, False}
+
+
+def test_settled_tables_are_not_broadcast(spark):
+    """Rows that repeat themselves make small files of large tables."""
+    t = settle(spark.range(100_000).selectExpr("id div 10 AS k", "repeat('x', 200) AS text"))
+    joins = [t.join(spark.range(100_000).withColumnRenamed("id", "k"), "k", "left"), spark.range(100_000).withColumnRenamed("id", "k").join(t.groupBy("k").agg(F.max("text")), "k")]
+    assert all("BroadcastHashJoin" not in j._jdf.queryExecution().executedPlan().toString() and j.count() == 100_000 - 90_000 * n for n, j in enumerate(joins))
+
+
+def test_targets_of_references_are_not_broadcast(spark):
+    t = provenance_queries._tables(spark, SF)
+    plan = provenance_queries._reference_errors(t)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
