@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.stats import all_of
-from framewright.functions.tables import merged
+from framewright.functions.tables import looked_up, merged
 from framewright.operators.records import safe_id, same_protocol
 from framewright.operators.report import parse_window
 
@@ -35,21 +35,17 @@ def first(df: DataFrame, keys: list[str], position: str = "position") -> DataFra
 
 
 #: What a reference's target may say; a kind's table has some of it.
-FOUND = ("session_id", "subject_ref", "protocol", "type", "metric_code", "modality", "context", "unit", "track_segment_id", "aggregate_id")
+FOUND = ("position", "session_id", "metric_code", "modality", "context", "unit", "track_segment_id", "aggregate_id")
 
 
-def _targets(tables: dict[str, DataFrame], events: DataFrame) -> DataFrame:
-    """First targets of every kind by ``kind, scope, target_id``; the scope of an event is every session."""
-    kinds = {f.name: f.dataType for t in (*tables.values(), events) for f in t.schema.fields}
-    rows = []
-    for kind, table in {**tables, "event": events}.items():
-        say = (F.col(c) if c in table.columns else F.lit(None).cast(kinds[c]) for c in FOUND if c in kinds)
-        order = F.struct("position") if "position" in table.columns else F.struct(*table.columns)
-        found = F.struct(*(c.alias(n) for c, n in zip(say, [c for c in FOUND if c in kinds], strict=True)))
-        scope = F.lit("") if kind == "event" else F.col("session_id").cast("string")
-        one = table.select(F.lit(kind).alias("kind"), scope.alias("scope"), F.col(f"{kind}_id").alias("target_id"), found.alias("found"), order.alias("order"))
-        rows.append(one.groupBy("kind", "scope", "target_id").agg(F.min_by("found", "order").alias("found")))
-    return reduce(DataFrame.unionByName, rows)
+def _targets(tables: dict[str, DataFrame]) -> DataFrame:
+    """Targets of a session of every kind by ``session_id, kind, target_id``; of a kind without positions the first ones."""
+    tables = {kind: table if "position" in table.columns else first(table, ["session_id", f"{kind}_id"]) for kind, table in tables.items()}
+    kinds = {f.name: f.dataType for t in tables.values() for f in t.schema.fields}
+    say = lambda table, c: F.col(c) if c in table.columns else F.lit(None).cast(kinds[c])
+    return reduce(DataFrame.unionByName, (
+        table.select("session_id", F.lit(kind).alias("kind"), F.col(f"{kind}_id").alias("target_id"), *(say(table, c).cast(kinds[c]).alias(c) for c in FOUND if c in kinds and c != "session_id"))
+        for kind, table in tables.items()))
 
 
 def foreign() -> Column:
@@ -66,44 +62,53 @@ def reference_errors(refs: DataFrame, outcomes: DataFrame, observations: DataFra
     ``mismatch``, or ``other-metric`` of a measurement's event.  ``targets`` are
     windows, measurements and aggregates by kind, with their ids.  Of rows with
     one id the first counts (by a column ``position``, where there is one).  All
-    kinds are looked up in one join by kind, session and id.
+    kinds of a session are looked up at once where the session lies; events may
+    be of any session and are joined by their id.
     """
-    o = first(outcomes, ["session_id", "metric_code"])
-    o = o.select("session_id", "metric_code", F.struct(*o.columns).alias("outcome"))
-    seen = observations.select("session_id", F.struct(*observations.columns).alias("seen"))
-    r = refs.select("session_id", "metric_code", "ref").join(o, ["session_id", "metric_code"]).join(seen, "session_id")
-    scope = F.when(F.col("ref.kind") == "event", "").otherwise(F.col("session_id").cast("string"))
-    r = r.select("*", F.col("ref.kind").alias("kind"), scope.alias("scope"), F.col("ref.target_id").alias("target_id")).join(merged(_targets(targets, events)), ["kind", "scope", "target_id"], "left")
+    seen = merged(observations.select("session_id", F.struct(*observations.columns).alias("seen")))
+
+    def held(some: DataFrame) -> DataFrame:
+        r = looked_up(some.select("session_id", "metric_code", "ref"), ["session_id", "metric_code"], outcomes, "outcome").filter("outcome is not null")
+        r = r.withColumn("outcome", F.struct("metric_code", *(F.col(f"outcome.{c}").alias(c) for c in ("aggregate_id", "modality", "context", "unit", "track_segment_id"))))
+        return r.join(seen, "session_id").withColumns({"kind": F.col("ref.kind"), "target_id": F.col("ref.target_id"), "foreign": foreign()})
+
+    told, event = ("session_id", "metric_code", "kind", "target_id"), F.col("ref.kind").eqNullSafe("event")
+    r = looked_up(held(refs.filter(~event)).drop("seen"), ["session_id", "kind", "target_id"], _targets(targets), "found")
     fits = F.lit(True)
     for kind, (to_ref, to_outcome) in SHARED.items():
         fits = F.when(F.col("kind") == kind, _all_same(to_ref, "found", "ref") & _all_same(to_outcome, "found", "outcome")).otherwise(fits)
+    own = r.select(*told, F.when(F.col("foreign"), "foreign-context").when(F.col("found").isNull(), "unresolved").when(~fits, "mismatch").alias("error")).filter("error is not null")
+
+    e = first(events, ["event_id"])
+    e = e.select(F.col("event_id").alias("target_id"), F.struct(*(c for c in ("session_id", "subject_ref", "protocol", "type", "metric_code") if c in e.columns)).alias("found"))
+    r = held(refs.filter(event)).select(*told, "foreign", "seen").join(merged(e), "target_id", "left")
     bound = F.col("found.session_id").eqNullSafe(F.col("seen.session_id")) & F.col("found.subject_ref").eqNullSafe(F.col("seen.subject_ref")) & same_protocol("found.protocol", "seen.protocol")
-    event = F.col("kind") == "event"
-    other = event & F.col("found.type").isin("measurement.recorded", "measurement.withheld") & ~F.col("found.metric_code").eqNullSafe(F.col("outcome.metric_code"))
+    other = F.col("found.type").isin("measurement.recorded", "measurement.withheld") & ~F.col("found.metric_code").eqNullSafe(F.col("metric_code"))
     errors = (
-        F.when(foreign(), F.array(F.lit("foreign-context"))).when(F.col("found").isNull(), F.array(F.lit("unresolved")))
-        .otherwise(F.array_compact(F.array(F.when(~F.when(event, bound).otherwise(fits), "mismatch"), F.when(other, "other-metric")))))
-    return r.select("session_id", "metric_code", "kind", "target_id", F.explode(errors).alias("error"))
+        F.when(F.col("foreign"), F.array(F.lit("foreign-context"))).when(F.col("found").isNull(), F.array(F.lit("unresolved")))
+        .otherwise(F.array(F.when(~bound, "mismatch"), F.when(other, "other-metric"))))
+    return own.unionByName(r.select(*told, F.explode(errors).alias("error")).filter("error is not null"))
 
 
 def outcome_errors(outcomes: DataFrame, processors: DataFrame, refs: DataFrame) -> DataFrame:
     """Outcomes whose processor is not listed, and measured ones that refer to no measurement."""
-    lost = outcomes.join(processors.select("session_id", "processor_ref"), ["session_id", "processor_ref"], "left_anti").select("session_id", "metric_code", F.lit("processor-unresolved").alias("error"))
-    backed = refs.filter("ref.kind = 'measurement'").select("session_id", "metric_code").distinct()
-    bare = outcomes.filter("status = 'measured'").join(backed, ["session_id", "metric_code"], "left_anti").select("session_id", "metric_code", F.lit("no-measurement-reference").alias("error"))
+    there = F.lit(1).alias("there")
+    absent = lambda rows, keys, table, error: looked_up(rows, keys, table.select(*keys, there), "found").filter("found is null").select("session_id", "metric_code", F.lit(error).alias("error"))
+    lost = absent(outcomes.select("session_id", "processor_ref", "metric_code"), ["session_id", "processor_ref"], processors, "processor-unresolved")
+    bare = absent(outcomes.filter("status = 'measured'").select("session_id", "metric_code", "status"), ["session_id", "metric_code"], refs.filter("ref.kind = 'measurement'"), "no-measurement-reference")
     return lost.unionByName(bare)
 
 
 def measurement_errors(measurements: DataFrame, outcomes: DataFrame, windows: DataFrame) -> DataFrame:
     """Measurements without their exact measured outcome, and source windows that are missing or of another kind."""
-    m = measurements.select("session_id", "measurement_id", "aggregate_id", F.struct(*measurements.columns).alias("own"))
-    o = first(outcomes, ["session_id", "aggregate_id"])
-    o = o.select("session_id", "aggregate_id", F.struct(*o.columns).alias("outcome"))
-    windows = first(windows, ["session_id", "window_id"])
-    windows = windows.select("session_id", F.col("window_id").alias("target_id"), F.struct(*windows.columns).alias("found"))
+    own = F.struct(*(c for c in dict.fromkeys((*TERMINAL, *SOURCE, "own_session_id")) if c in measurements.columns)).alias("own")
     held = all_of(F.col("outcome.status") == "measured", _all_same(TERMINAL, "own", "outcome"), F.col("own.own_session_id").eqNullSafe(F.col("session_id")) if "own_session_id" in measurements.columns else F.lit(True))
-    ends = m.join(o, ["session_id", "aggregate_id"], "left").filter(~held).select("session_id", "measurement_id", F.lit("no-terminal-aggregate").alias("error"))
-    w = m.select("session_id", "measurement_id", "own", F.explode("own.source_window_refs").alias("target_id")).join(windows, ["session_id", "target_id"], "left")
+    m = measurements.select("session_id", "aggregate_id", "measurement_id", own)
+    ends = looked_up(m, ["session_id", "aggregate_id"], outcomes, "outcome").filter(~held).select("session_id", "measurement_id", F.lit("no-terminal-aggregate").alias("error"))
+    w = windows.withColumnRenamed("window_id", "target_id")
+    w = w.select("session_id", "target_id", "position", *SOURCE) if "position" in w.columns else w
+    sources = measurements.select("session_id", F.explode("source_window_refs").alias("target_id"), "measurement_id", F.struct(*SOURCE).alias("own"))
+    w = looked_up(sources, ["session_id", "target_id"], w, "found")
     fits = F.coalesce(F.col("found").isNotNull() & _all_same(SOURCE, "own", "found"), F.lit(False))
     return ends.unionByName(w.filter(~fits).select("session_id", "measurement_id", F.lit("incompatible-source-window").alias("error")))
 

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.functions.tables import settle
+from framewright.functions.tables import dealt, settle
 from framewright.operators import provenance
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    """The lines, dealt by session: the tables made of them stay where they are."""
+    line = dealt(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
     n = F.col("l_linenumber")
     one = lambda x: F.lit(x)
     modality = F.when(n % 2 == 0, "voice").otherwise("face")
-    return settle(line.select(
+    return line.select(
         F.col("l_orderkey").alias("session_id"), n.alias("n"), "p", F.concat(one("m"), n.cast("string")).alias("metric_code"), modality.alias("modality"), one("ambient").alias("context"), one("Hz").alias("unit"), one("L").alias("label"),
         one("1").alias("algorithm_version"), F.concat(modality, one("-p")).alias("processor_ref"), one("t1").alias("track_segment_id"), F.concat_ws(":", one("a"), "l_orderkey", "l_linenumber").alias("aggregate_id"),
-        F.when(F.col("p") % 5 != 0, "measured").otherwise("withheld").alias("status")))
+        F.when(F.col("p") % 5 != 0, "measured").otherwise("withheld").alias("status"))
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -26,20 +27,20 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     protocol = F.struct(F.lit("pack").alias("pack_id"), F.lit("1").alias("version"), F.lit("abc").alias("content_sha256"))
     seen = x.select("session_id").distinct().select("session_id", F.concat(F.lit("o:"), F.col("session_id").cast("string")).alias("observation_id"), F.lit("s").alias("subject_ref"), protocol.alias("protocol"))
     modalities = x.select("session_id").distinct().select("session_id", F.explode(F.array(F.lit("voice-p"), F.lit("face-p"))).alias("processor_ref")).filter("not (session_id % 19 = 0 and processor_ref = 'face-p')")
-    windows = x.filter("p % 13 <> 0").select("session_id", key("w").alias("window_id"), "modality", "context", "processor_ref", F.when(F.col("p") % 11 == 0, "t2").otherwise("t1").alias("track_segment_id"))
-    measurements = x.filter("p % 5 <> 0 or p % 50 = 0").withColumn("unit", F.when(F.col("p") % 17 == 0, "st").otherwise(F.col("unit"))).withColumn("measurement_id", key("q")).withColumn("source_window_refs", F.array(key("w"))).drop("status", "n", "p")
-    events = x.filter("n % 4 = 0 and p % 29 <> 0").select(
-        key("e").alias("event_id"), (F.col("session_id") + F.when(F.col("p") % 31 == 0, 1).otherwise(0)).alias("session_id"), F.lit("s").alias("subject_ref"), protocol.alias("protocol"), F.lit("measurement.recorded").alias("type"),
-        F.when(F.col("p") % 41 == 0, "mX").otherwise(F.col("metric_code")).alias("metric_code"))
     # lookups take the first of equal ids: some windows and events come again, otherwise
-    once = lambda t: t.withColumn("position", F.lit(1))
-    windows = once(windows).unionByName(windows.filter("session_id % 3 = 1").withColumns({"position": F.lit(2), "track_segment_id": F.lit("t9"), "processor_ref": F.lit("other")}))
-    events = once(events).unionByName(events.filter("session_id % 2 = 0").withColumns({"position": F.lit(2), "subject_ref": F.lit("later"), "metric_code": F.lit("m0")}))
+    again = lambda there, twice: x.withColumn("position", F.explode(F.when(there & twice, F.array(F.lit(1), F.lit(2))).when(there, F.array(F.lit(1))).otherwise(F.slice(F.array(F.lit(1)), 1, 0))))
+    later = lambda yes, no: F.when(F.col("position") == 2, yes).otherwise(no)
+    windows = again(F.col("p") % 13 != 0, F.col("session_id") % 3 == 1).select(
+        "session_id", key("w").alias("window_id"), "modality", "context", later(F.lit("other"), F.col("processor_ref")).alias("processor_ref"), later(F.lit("t9"), F.when(F.col("p") % 11 == 0, "t2").otherwise("t1")).alias("track_segment_id"), "position")
+    measurements = x.filter("p % 5 <> 0 or p % 50 = 0").withColumn("unit", F.when(F.col("p") % 17 == 0, "st").otherwise(F.col("unit"))).withColumn("measurement_id", key("q")).withColumn("source_window_refs", F.array(key("w"))).drop("status", "n", "p")
+    events = again((F.col("n") % 4 == 0) & (F.col("p") % 29 != 0), (F.col("session_id") + F.when(F.col("p") % 31 == 0, 1).otherwise(0)) % 2 == 0).select(
+        key("e").alias("event_id"), (F.col("session_id") + F.when(F.col("p") % 31 == 0, 1).otherwise(0)).alias("session_id"), later(F.lit("later"), F.lit("s")).alias("subject_ref"), protocol.alias("protocol"), F.lit("measurement.recorded").alias("type"),
+        later(F.lit("m0"), F.when(F.col("p") % 41 == 0, "mX").otherwise(F.col("metric_code"))).alias("metric_code"), "position")
     said = lambda kind, target: F.struct(
         F.lit(kind).alias("kind"), target.alias("target_id"), "session_id", F.concat(F.lit("o:"), F.when(F.col("p") % 37 == 0, "other").otherwise(F.col("session_id").cast("string"))).alias("observation_id"), protocol.alias("protocol"), "modality", "context", "unit",
         "track_segment_id", F.when((F.lit(kind) == "aggregate") & (F.col("p") % 23 == 0), "mX").otherwise(F.col("metric_code")).alias("metric_code"))
     every = F.array(said("window", key("w")), F.when(F.col("p") % 7 != 0, said("measurement", key("q"))), F.when(F.col("n") % 3 == 0, said("aggregate", F.col("aggregate_id"))), F.when(F.col("n") % 4 == 0, said("event", key("e"))))
-    refs = x.select("session_id", "metric_code", F.explode(F.array_compact(every)).alias("ref"))
+    refs = x.select("session_id", "metric_code", F.explode(every).alias("ref")).filter("ref is not null")
     return {"outcomes": x.drop("n", "p"), "observations": seen, "processors": modalities, "windows": windows, "measurements": measurements, "events": events, "refs": refs}
 
 
@@ -70,7 +71,7 @@ def r17_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p")
     refs = F.array(F.concat_ws(":", "modality", F.lit("1"), F.lit("mic"), (p % 50).cast("string"), (p % 40 + 30).cast("string")), F.concat_ws(":", "modality", F.lit("2"), F.lit("m b"), F.lit("5"), F.lit("100.5")))
-    o = _lines(spark, sf_dir).select(
+    o = settle(_lines(spark, sf_dir)).select(
         "session_id", "metric_code", "modality", "status", F.when(p % 3 == 0, F.array().cast("array<string>")).otherwise(refs).alias("source_window_refs"), F.when(p % 2 == 0, (p % 120).cast("double")).alias("observed_start_ms"),
         F.when(p % 4 == 0, (p % 90).cast("double")).alias("observed_end_ms"), (p % 10 / 10).alias("quality_score"), F.when(p % 10 == 0, "no-usable-signal").alias("reason"))
     return provenance.windows_for(o, 110.0)
@@ -78,7 +79,7 @@ def r10_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r19_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports in which some metrics are misplaced or repeated and some sections have facts or lack them."""
-    x = _lines(spark, sf_dir)
+    x = settle(_lines(spark, sf_dir))
     section = F.when(F.col("p") % 9 == 0, "capture-quality").otherwise(F.col("modality"))
     entries = x.select("session_id", section.alias("section"), F.when(F.col("p") % 15 == 0, "m1").otherwise(F.col("metric_code")).alias("metric_code"), F.col("modality").alias("report_section"))
     names = F.array(F.lit("capture-quality"), F.lit("voice"), F.lit("face"), F.when(F.col("session_id") % 12 == 0, "voice"))

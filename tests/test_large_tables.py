@@ -1,12 +1,14 @@
 """What went wrong on tables many times sf0.1, at a small size."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from framewright.functions import gates
-from framewright.functions.tables import settle
-from framewright.operators import face
+from framewright.functions.tables import looked_up, settle
+from framewright.operators import face, provenance
 from framewright.plans import history_queries, provenance_queries
 from framewright.sources.surrogates import face_frames, face_sessions
 
@@ -81,3 +83,27 @@ def test_targets_of_references_are_not_broadcast(spark):
     t = provenance_queries._tables(spark, SF)
     plan = provenance_queries._reference_errors(t)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_lookups_of_dealt_tables_shuffle_nothing(spark, conf):
+    """References, measurements and processors meet their targets where their session lies; only events are joined by their own id."""
+    conf("spark.sql.adaptive.enabled", "false")
+    t = provenance_queries._tables(spark, SF)
+    dealt = _shuffles(t["outcomes"])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    keys = lambda df: set(re.findall(r"Exchange hashpartitioning\((\w+)", plan(df)))
+    assert dealt == 1 and keys(provenance.outcome_errors(t["outcomes"], t["processors"], t["refs"])) == keys(provenance.measurement_errors(t["measurements"], t["outcomes"], t["windows"])) == {"l_orderkey"}
+    assert keys(provenance_queries._reference_errors(t)) == {"l_orderkey", "target_id", "event_id"}
+
+
+def test_lookups_take_the_first_row_and_null_finds_nothing(spark):
+    rows = spark.createDataFrame([(1, "a", 7), (1, "b", 8), (None, "a", 9), (1, None, 10), (2, "a", 11)], "s int, k string, x int")
+    table = spark.createDataFrame([(1, "a", 2, "later"), (1, "a", 1, "first"), (None, "a", 1, "none"), (1, None, 1, "none"), (3, "a", 1, "other")], "s int, k string, position int, y string")
+    got = {r.x: r.found and r.found.y for r in looked_up(rows, ["s", "k"], table, "found").collect()}
+    assert got == {7: "first", 8: None, 9: None, 10: None, 11: None}
+    got = {r.x: r.found and r.found.y for r in looked_up(rows, ["s", "k"], table.drop("position"), "found").collect()}
+    assert got == {7: "first", 8: None, 9: None, 10: None, 11: None}
