@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewright.functions.gates import visually_sound
-from framewright.functions.stats import all_of, clamp01, finite, js_round, lasting, mad, weighted_percentile, within
+from framewright.functions.stats import all_of, clamp01, finite, js_round, mad, within
 from framewright.functions.tables import settle
 from framewright.operators import voice
 
@@ -74,40 +77,106 @@ def screened(frames: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def bins(frames: DataFrame) -> DataFrame:
     """Qualifying bins: at least 80 frames, all usable, of one processor, track and epoch, no gap beyond 200 ms, 4.8 s long, steady in size."""
+    one = ("processor_ref", "track_segment_id", "capture_epoch")  # the least is the greatest: counting distinct ones would make four rows of each
     b = frames.groupBy("session_id", "bin").agg(
-        F.count("*").alias("frames"), F.bool_and("usable").alias("all_usable"), F.count_distinct("processor_ref").alias("processors"),
-        F.count_distinct("track_segment_id").alias("tracks"), F.count_distinct("capture_epoch").alias("epochs"), F.min("gap").alias("least_gap"), F.max("gap").alias("most_gap"),
+        F.count("*").alias("frames"), F.bool_and("usable").alias("all_usable"), *(F.max(c).alias(f"last_{c}") for c in one), F.min("gap").alias("least_gap"), F.max("gap").alias("most_gap"),
         F.sum("gap").alias("gaps"), (F.max("t_ms") - F.min("t_ms")).alias("span_ms"), F.median(F.when((F.col("gap") > 0) & (F.col("gap") <= MAX_GAP_MS), F.col("gap"))).alias("step"),
         F.percentile("size", 0.1).alias("size_p10"), F.percentile("size", 0.9).alias("size_p90"),
-        F.min("processor_ref").alias("processor_ref"), F.min("track_segment_id").alias("track_segment_id"), F.min("capture_epoch").alias("capture_epoch"), F.min("session_started_at_ms").alias("started"))
+        *(F.min(c).alias(c) for c in one), F.min("session_started_at_ms").alias("started"))
     b = b.withColumn("step", F.coalesce("step", F.lit(1000 / 30)))
     b = b.withColumn("duration_ms", F.least(F.lit(BIN_MS), js_round(F.coalesce("gaps", F.lit(0.0)) + F.col("step"), 3)))
     ratio = F.col("size_p90") / F.col("size_p10")
-    b = b.filter((F.col("frames") >= 80) & F.col("all_usable") & (F.col("processors") == 1) & (F.col("tracks") == 1) & (F.col("epochs") == 1))
+    b = b.filter((F.col("frames") >= 80) & F.col("all_usable")).filter(all_of(*(F.col(c) == F.col(f"last_{c}") for c in one))).drop(*(f"last_{c}" for c in one))
     b = b.filter((F.col("least_gap") > 0) & (F.col("most_gap") <= MAX_GAP_MS) & (F.col("span_ms") >= 4800) & (F.col("duration_ms") >= 4000) & (F.col("size_p10") > 0)).filter(ratio <= 1.15)
     return b.withColumn("start_ms", F.col("started") + F.col("bin") * BIN_MS).withColumn("cadence_hz", F.col("frames") / (F.col("duration_ms") / 1000)).withColumn("size_ratio", ratio)
 
 
+def _step_percentile(values: np.ndarray, times: np.ndarray, step: float, p: float) -> float:
+    """The first value, in ascending order, at which the samples' durations add up to ``p`` of all; the last sample lasts ``step``."""
+    weights = np.append(np.maximum(np.diff(times), 0.0), step)
+    order = np.argsort(values, kind="stable")
+    total = np.cumsum(weights[order])
+    return values[order[min(np.searchsorted(total, total[-1] * p), len(values) - 1)]]
+
+
+def _percentile(values: np.ndarray, p: float) -> float:
+    """Between the two nearest ranks, weighed as Spark's ``percentile`` does."""
+    v, place = np.sort(values), (len(values) - 1) * p
+    low, high = int(np.floor(place)), int(np.ceil(place))
+    return v[low] if v[low] == v[high] else (high - place) * v[low] + (place - low) * v[high]
+
+
+def _kept_frames(frames: pa.Table, kept: pa.Table, order: list[str]) -> dict[str, np.ndarray]:
+    """Frames of a session that lie in qualifying bins, sorted; null numbers are NaN.  A side without rows has no columns."""
+    if not frames.num_rows or not kept.num_rows:
+        return {"bin": np.empty(0, "int64")}
+    f = frames.filter(pa.compute.is_in(frames["bin"], kept["kept_bin"].combine_chunks())).sort_by([(c, "ascending") for c in order])
+    return {c: f[c].to_numpy() for c in f.column_names}
+
+
+def _renamed(kept: DataFrame) -> DataFrame:
+    """Bins under names of their own: of two tables with a common origin a cogroup would lose the second one's columns."""
+    return kept.select(F.col("session_id").alias("kept_session"), F.col("bin").alias("kept_bin"), F.col("step").alias("kept_step"))
+
+
 def bin_values(frames: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row per qualifying bin and metric: its time-weighted percentile, all eight from one pass.
+    """One row per qualifying bin and metric: its time-weighted percentile.
 
-    How long a sample lasts, up to the next frame that has the series, is found
-    once a frame; the rows of the series then stay where the frames are.
+    A sample lasts up to the next frame of the bin that has the series.  Frames
+    and bins of a session meet in one task, which holds the session (at most 300 s).
     """
-    f = frames.join(kept.select("session_id", "bin", "step"), ["session_id", "bin"])
     gap, speed = F.col("inter_result_gap_ms"), F.col("movement_speed")
     moving = F.when((F.col("place") > 1) & (gap > 0) & (gap <= MAX_GAP_MS) & finite(speed) & (speed >= 0), speed)
-    series = [F.col("eye_left"), F.col("eye_right"), eye_asymmetry(), mouth_width(), F.col("mouth_aperture"), F.col("mouth_aperture"), corner_asymmetry(), moving]
-    f = f.select("session_id", "bin", "t_ms", "step", *(F.when(finite(x), x).alias(f"v{i}") for i, x in enumerate(series)))
-    following = "lead(CASE WHEN v{} IS NOT NULL THEN t_ms END) IGNORE NULLS OVER (PARTITION BY session_id, bin ORDER BY t_ms) - t_ms"
-    f = f.withColumns({f"w{i}": lasting(F.expr(following.format(i)), F.col("step")) for i in range(len(series))})
-    rows = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(p).alias("p"), F.col(f"v{i}").alias("v"), F.col(f"w{i}").alias("w")) for i, p in enumerate(PERCENTILES)))
-    long_ = f.select("session_id", "bin", F.explode(rows).alias("x")).select("session_id", "bin", "x.*").filter("v is not null")
-    return weighted_percentile(long_, ["session_id", "bin", "ordinal", "p"], "v", "w", F.col("p"), "value").drop("p")
+    series = {"left": F.col("eye_left"), "right": F.col("eye_right"), "eyes": eye_asymmetry(), "width": mouth_width(), "aperture": F.col("mouth_aperture"), "corners": corner_asymmetry(), "moving": moving}
+    f = frames.select("session_id", "bin", "t_ms", *(F.when(finite(x), x).cast("double").alias(c) for c, x in series.items()))
+    metrics = tuple(zip(("left", "right", "eyes", "width", "aperture", "aperture", "corners", "moving"), PERCENTILES, strict=True))
+
+    def values(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        x, rows = _kept_frames(left, right, ["bin", "t_ms"]), []
+        steps = dict(zip(right["kept_bin"].to_pylist(), right["kept_step"].to_pylist(), strict=True)) if right.num_rows else {}
+        bounds = np.flatnonzero(np.diff(x["bin"])) + 1
+        for a, b in zip((0, *bounds), (*bounds, len(x["bin"])), strict=True):
+            for i, (c, p) in enumerate(metrics if b > a else ()):
+                there = ~np.isnan(x[c][a:b])
+                if there.any():
+                    rows.append((x["bin"][a], i, _step_percentile(x[c][a:b][there], x["t_ms"][a:b][there], steps[x["bin"][a]], p)))
+        bins_, ordinals, found = zip(*rows, strict=True) if rows else ((), (), ())
+        ids = pa.array([key[0].as_py()] * len(rows), key[0].type)
+        return pa.table({"session_id": ids, "bin": pa.array(bins_, "int64"), "ordinal": pa.array(ordinals, "int32"), "value": pa.array(found, "float64")})
+
+    kind = frames.schema["session_id"].dataType.simpleString()
+    return f.groupBy("session_id").cogroup(_renamed(kept).groupBy("kept_session")).applyInArrow(values, f"session_id {kind}, bin bigint, ordinal int, value double")
+
+
+def _blink_bins(x: dict[str, np.ndarray]) -> list[int]:
+    """The bin of each blink of a session's frames in order; frames at which nothing can begin are passed over."""
+    t, bins_, left, right = x["t_ms"], x["bin"], x["eye_left"], x["eye_right"]
+    l, r = _percentile(left, 0.9), _percentile(right, 0.9)
+    closed, back = (left <= l * 0.6) & (right <= r * 0.6), (left >= l * 0.8) & (right >= r * 0.8)
+    step = np.diff(bins_)
+    broken = np.append(False, ((step != 0) & (step != 1)) | (np.diff(t) > 75))
+    starts, hits, accepted, at = np.flatnonzero(closed), [], float("-inf"), 0
+    while True:
+        more = starts[np.searchsorted(starts, at):]
+        more = more[t[more] - accepted >= 150]
+        if not len(more):
+            return hits
+        opened, wait, at = t[more[0]], False, int(more[0]) + 1
+        while at < len(t) and not broken[at]:
+            elapsed, at = t[at] - opened, at + 1
+            if wait or elapsed > 800:
+                if wait and back[at - 1]:
+                    break
+                wait = True
+            elif back[at - 1]:
+                if elapsed >= 50:
+                    accepted = t[at - 1]
+                    hits.append(int(bins_[at - 1]))
+                break
 
 
 def blinks(frames: DataFrame, kept: DataFrame) -> DataFrame:
-    """Blinks of each qualifying bin, from a fold over a session's frames in order (at most 300 s of frames).
+    """Blinks of each qualifying bin, from a pass over a session's frames in order (at most 300 s of frames).
 
     References are the plain 90th percentiles of both apertures over all
     qualifying frames.  A closure begins when both eyes are at 60 % or below, at
@@ -115,30 +184,15 @@ def blinks(frames: DataFrame, kept: DataFrame) -> DataFrame:
     after 50 to 800 ms; a longer one counts for nothing until the eyes are back.
     A missing bin or a gap over 75 ms starts over.
     """
-    f = frames.join(kept.select("session_id", "bin"), ["session_id", "bin"], "left_semi")
-    row = F.struct("t_ms", "seq", "bin", "eye_left", "eye_right")
-    s = f.groupBy("session_id").agg(F.array_sort(F.collect_list(row)).alias("frames"), (F.percentile("eye_left", 0.9)).alias("l"), (F.percentile("eye_right", 0.9)).alias("r"))
-    state = "struct<open:double,wait:boolean,accepted:double,t:double,bin:bigint,hits:array<bigint>>"
-    first = F.struct(F.lit(None).cast("double").alias("open"), F.lit(False).alias("wait"), F.lit(float("-inf")).alias("accepted"), F.lit(None).cast("double").alias("t"), F.lit(None).cast("bigint").alias("bin"), F.array().cast("array<bigint>").alias("hits")).cast(state)
-
-    def step(acc: Column, x: Column) -> Column:
-        broken = F.coalesce((x.bin != acc.bin) & (x.bin != acc.bin + 1), F.lit(False)) | F.coalesce(x.t_ms - acc.t > 75, F.lit(False))
-        open_, wait = F.when(~broken, acc.open), acc.wait & ~broken
-        closed = (x.eye_left <= F.col("l") * 0.6) & (x.eye_right <= F.col("r") * 0.6)
-        back = (x.eye_left >= F.col("l") * 0.8) & (x.eye_right >= F.col("r") * 0.8)
-        elapsed = x.t_ms - open_
-        late = ~wait & open_.isNotNull() & (elapsed > 800)
-        done = ~wait & open_.isNotNull() & (elapsed <= 800) & back
-        hit = done & (elapsed >= 50)
-        begins = ~wait & open_.isNull() & closed & (x.t_ms - acc.accepted >= 150)
-        return F.struct(
-            F.when(begins, x.t_ms).when(wait | late | done, F.lit(None).cast("double")).otherwise(open_).alias("open"), (late | (wait & ~back)).alias("wait"),
-            F.when(hit, x.t_ms).otherwise(acc.accepted).alias("accepted"), x.t_ms.alias("t"), x.bin.alias("bin"),
-            F.when(hit, F.concat(acc.hits, F.array(x.bin))).otherwise(acc.hits).alias("hits")).cast(state)
-
-    s = s.select("session_id", F.aggregate("frames", first, step, lambda acc: acc.hits).alias("hits"))
-    found = s.select("session_id", F.explode("hits").alias("bin")).groupBy("session_id", "bin").agg(F.count("*").alias("blinks"))
-    return kept.select("session_id", "bin").join(found, ["session_id", "bin"], "left").withColumn("blinks", F.coalesce("blinks", F.lit(0).cast("long")))
+    f = frames.select("session_id", "bin", "t_ms", F.col("seq"), F.col("eye_left").cast("double").alias("eye_left"), F.col("eye_right").cast("double").alias("eye_right"))
+
+    def counted(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        x, own = _kept_frames(left, right, ["t_ms", "seq"]), right["kept_bin"].to_pylist() if right.num_rows else []
+        hits = _blink_bins(x) if len(x["bin"]) else []
+        return pa.table({"session_id": pa.array([key[0].as_py()] * len(own), key[0].type), "bin": pa.array(own, "int64"), "blinks": pa.array([hits.count(b) for b in own], "int64")})
+
+    kind = frames.schema["session_id"].dataType.simpleString()
+    return f.groupBy("session_id").cogroup(_renamed(kept).groupBy("kept_session")).applyInArrow(counted, f"session_id {kind}, bin bigint, blinks bigint")
 
 
 def prepared(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,10 +3,11 @@
 import re
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framewright.functions import gates
+from framewright.functions import gates, stats
 from framewright.functions.tables import looked_up, settle
 from framewright.operators import face, provenance
 from framewright.plans import history_queries, provenance_queries
@@ -107,3 +108,54 @@ def test_lookups_take_the_first_row_and_null_finds_nothing(spark):
     assert got == {7: "first", 8: None, 9: None, 10: None, 11: None}
     got = {r.x: r.found and r.found.y for r in looked_up(rows, ["s", "k"], table.drop("position"), "found").collect()}
     assert got == {7: "first", 8: None, 9: None, 10: None, 11: None}
+
+
+def test_bins_make_no_copies_of_frames(spark):
+    frames = face_frames(spark, SF)
+    assert "Expand" not in face.bins(face.screened(frames, face_sessions(frames)))._jdf.queryExecution().executedPlan().toString()
+
+
+def _fold(x):
+    """Blinks one frame after the other."""
+    l, r = face._percentile(x["eye_left"], 0.9), face._percentile(x["eye_right"], 0.9)
+    opened, wait, accepted, before, bin_, hits = None, False, float("-inf"), None, None, []
+    for t, b, left, right in zip(x["t_ms"], x["bin"], x["eye_left"], x["eye_right"], strict=True):
+        if before is not None and (b not in (bin_, bin_ + 1) or t - before > 75):
+            opened, wait = None, False
+        closed, back = left <= l * 0.6 and right <= r * 0.6, left >= l * 0.8 and right >= r * 0.8
+        if wait:
+            wait = not back
+        elif opened is not None:
+            if t - opened > 800:
+                opened, wait = None, True
+            elif back:
+                if t - opened >= 50:
+                    accepted = t
+                    hits.append(b)
+                opened = None
+        elif closed and t - accepted >= 150:
+            opened = t
+        before, bin_ = t, b
+    return hits
+
+
+def test_blinks_are_those_of_a_fold_over_all_frames():
+    dice, found = np.random.default_rng(3), 0
+    for _ in range(200):
+        t = np.cumsum(dice.choice([20.0, 40.0, 75.0, 76.0], 800, p=[0.3, 0.6, 0.09, 0.01]))
+        eyes = np.repeat(dice.choice([0.1, 0.2, 0.3], 400, p=[0.2, 0.1, 0.7]), dice.choice([1, 2, 3, 30], 400, p=[0.4, 0.4, 0.19, 0.01]))[:800]
+        n = len(eyes)
+        kept = dice.random(n) > 0.001
+        x = {"t_ms": t[:n][kept], "bin": (t[:n] // 5000).astype(int)[kept], "eye_left": eyes[kept], "eye_right": (eyes * dice.choice([1, 1.5], n, p=[0.97, 0.03]))[kept]}
+        found += len(_fold(x))
+        assert face._blink_bins(x) == _fold(x)
+    assert found > 500
+
+
+def test_values_of_bins_are_step_percentiles(spark):
+    framed = settle(face.screened(face_frames(spark, SF), face_sessions(face_frames(spark, SF))))
+    kept = settle(face.bins(framed))
+    f = framed.join(kept.select("session_id", "bin", "step"), ["session_id", "bin"]).select("session_id", "bin", "t_ms", F.col("mouth_aperture").alias("v"), "step")
+    want = {(r.session_id, r.bin): r.x for r in stats.timed_percentile(f, ["session_id", "bin"], "t_ms", "v", F.lit(0.9), F.col("step"), "x").collect()}
+    got = {(r.session_id, r.bin): r.value for r in face.bin_values(framed, kept).filter("ordinal = 5").collect()}
+    assert got == want and len(want) > 100
