@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,12 +90,22 @@ def bins(frames: DataFrame) -> DataFrame:
     return b.withColumn("start_ms", F.col("started") + F.col("bin") * BIN_MS).withColumn("cadence_hz", F.col("frames") / (F.col("duration_ms") / 1000)).withColumn("size_ratio", ratio)
 
 
-def _step_percentile(values: np.ndarray, times: np.ndarray, step: float, p: float) -> float:
-    """The first value, in ascending order, at which the samples' durations add up to ``p`` of all; the last sample lasts ``step``."""
-    weights = np.append(np.maximum(np.diff(times), 0.0), step)
-    order = np.argsort(values, kind="stable")
-    total = np.cumsum(weights[order])
-    return values[order[min(np.searchsorted(total, total[-1] * p), len(values) - 1)]]
+def _step_percentiles(bins_: np.ndarray, values: np.ndarray, times: np.ndarray, steps: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bins, and of each the first value, in ascending order, at which its samples' durations add up to ``p`` of all.
+
+    Samples are sorted by bin and time; the last one of a bin lasts its ``step``.
+    Each bin is a row of its own, so sums are those of the bin alone.
+    """
+    last = np.append(bins_[1:] != bins_[:-1], True)
+    weights = np.where(last, steps, np.maximum(np.append(times[1:], 0.0) - times, 0.0))
+    ends = np.flatnonzero(last) + 1
+    begins = np.append(0, ends[:-1])
+    order, sizes = np.lexsort((values, bins_)), ends - begins
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    total = np.zeros((len(sizes), sizes.max()))
+    total[rows, np.arange(len(values)) - begins[rows]] = weights[order]
+    total = np.cumsum(total, axis=1)
+    return bins_[begins], values[order][begins + (total >= total[:, -1:] * p).argmax(axis=1)]
 
 
 def _percentile(values: np.ndarray, p: float) -> float:
@@ -110,8 +119,10 @@ def _kept_frames(frames: pa.Table, kept: pa.Table, order: list[str]) -> dict[str
     """Frames of a session that lie in qualifying bins, sorted; null numbers are NaN.  A side without rows has no columns."""
     if not frames.num_rows or not kept.num_rows:
         return {"bin": np.empty(0, "int64")}
-    f = frames.filter(pa.compute.is_in(frames["bin"], kept["kept_bin"].combine_chunks())).sort_by([(c, "ascending") for c in order])
-    return {c: f[c].to_numpy() for c in f.column_names}
+    f = {c: frames[c].to_numpy() for c in frames.column_names}
+    there = np.flatnonzero(np.isin(f["bin"], kept["kept_bin"].to_numpy()))
+    there = there[np.lexsort([f[c][there] for c in reversed(order)])]
+    return {c: x[there] for c, x in f.items()}
 
 
 def _renamed(kept: DataFrame) -> DataFrame:
@@ -132,17 +143,17 @@ def bin_values(frames: DataFrame, kept: DataFrame) -> DataFrame:
     metrics = tuple(zip(("left", "right", "eyes", "width", "aperture", "aperture", "corners", "moving"), PERCENTILES, strict=True))
 
     def values(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        x, rows = _kept_frames(left, right, ["bin", "t_ms"]), []
-        steps = dict(zip(right["kept_bin"].to_pylist(), right["kept_step"].to_pylist(), strict=True)) if right.num_rows else {}
-        bounds = np.flatnonzero(np.diff(x["bin"])) + 1
-        for a, b in zip((0, *bounds), (*bounds, len(x["bin"])), strict=True):
-            for i, (c, p) in enumerate(metrics if b > a else ()):
-                there = ~np.isnan(x[c][a:b])
+        x, found = _kept_frames(left, right, ["bin", "t_ms"]), [(np.empty(0, "int64"), np.empty(0, "int32"), np.empty(0))]
+        if len(x["bin"]):
+            own = np.argsort(right["kept_bin"].to_numpy())
+            steps = right["kept_step"].to_numpy()[own][np.searchsorted(right["kept_bin"].to_numpy()[own], x["bin"])]
+            for i, (c, p) in enumerate(metrics):
+                there = ~np.isnan(x[c])
                 if there.any():
-                    rows.append((x["bin"][a], i, _step_percentile(x[c][a:b][there], x["t_ms"][a:b][there], steps[x["bin"][a]], p)))
-        bins_, ordinals, found = zip(*rows, strict=True) if rows else ((), (), ())
-        ids = pa.array([key[0].as_py()] * len(rows), key[0].type)
-        return pa.table({"session_id": ids, "bin": pa.array(bins_, "int64"), "ordinal": pa.array(ordinals, "int32"), "value": pa.array(found, "float64")})
+                    of, value = _step_percentiles(x["bin"][there], x[c][there], x["t_ms"][there], steps[there], p)
+                    found.append((of, np.full(len(of), i, "int32"), value))
+        bins_, ordinals, values_ = map(np.concatenate, zip(*found, strict=True))
+        return pa.table({"session_id": pa.array([key[0].as_py()] * len(bins_), key[0].type), "bin": bins_, "ordinal": ordinals, "value": values_})
 
     kind = frames.schema["session_id"].dataType.simpleString()
     return f.groupBy("session_id").cogroup(_renamed(kept).groupBy("kept_session")).applyInArrow(values, f"session_id {kind}, bin bigint, ordinal int, value double")
