@@ -54,6 +54,18 @@ def visual_reasons(baseline_sharpness: Column | None = None) -> Column:
     return F.array_compact(F.array(*(F.when(flaws.get(r, F.lit(False)) | given(r), F.lit(r)) for r in VISUAL_ORDER)))
 
 
+def visual_mask(baseline_sharpness: Column | None = None) -> Column:
+    """What a frame's values alone give for ``visual_reasons``, a bit for each in reporting order: plain comparisons, so frames are counted before lists are made."""
+    flaws = _visual_flaws(baseline_sharpness)
+    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(flaws[r], F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(VISUAL_ORDER) if r in flaws))
+
+
+def reasons_of(mask: Column) -> Column:
+    """``visual_reasons`` of frames with this ``visual_mask`` and these ``quality_reasons``."""
+    given = lambda r: F.coalesce(F.array_contains("quality_reasons", r), F.lit(False))
+    return F.array_compact(F.array(*(F.when((mask.bitwiseAND(F.lit(1 << i)) != 0) | given(r), F.lit(r)) for i, r in enumerate(VISUAL_ORDER))))
+
+
 def visually_sound() -> Column:
     """Whether ``visual_reasons`` is empty, without its list."""
     given = F.coalesce(F.arrays_overlap("quality_reasons", F.array(*map(F.lit, VISUAL_ORDER))), F.lit(False))

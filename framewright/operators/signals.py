@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framewright.functions.gates import visual_reasons
+from framewright.functions.gates import visually_sound
 from framewright.functions.stats import finite, median_or_zero, nearest_rank
 
 
@@ -93,7 +93,7 @@ def face_calibration(frames: DataFrame) -> DataFrame:
     """Duration, usable share, rate and baseline medians of the latest epoch of each session, and its grade."""
     f = frames.filter(finite("t_ms") & (F.col("t_ms") >= 0))
     f = f.withColumn("_epoch", F.max("capture_epoch").over(Window.partitionBy("session_id"))).filter("capture_epoch = _epoch")
-    f = f.withColumn("_usable", F.size(visual_reasons()) == 0).withColumn("_visible", F.col("face_visible") & F.col("box_width_px").isNotNull() & F.col("yaw_deg").isNotNull() & F.col("eye_left").isNotNull() & F.col("mouth_left_x").isNotNull())
+    f = f.withColumn("_usable", visually_sound()).withColumn("_visible", F.col("face_visible") & F.col("box_width_px").isNotNull() & F.col("yaw_deg").isNotNull() & F.col("eye_left").isNotNull() & F.col("mouth_left_x").isNotNull())
     f = f.withColumn("_base", F.when(F.max("_usable").over(Window.partitionBy("session_id")), F.col("_usable")).otherwise(F.col("_visible")))
     base = lambda c: median_or_zero(F.when(F.col("_base"), F.col(c)))
     duration = F.when(F.count("*") < 2, 0.0).otherwise(F.max("t_ms") - F.min("t_ms"))
@@ -117,7 +117,7 @@ def calibration_runs(frames: DataFrame) -> DataFrame:
     order = Window.partitionBy("session_id").orderBy("seq")
     single = F.coalesce(F.col("face_count") == 1, F.lit(False))
     breaks = ~single | F.coalesce(F.col("t_ms") - F.lag("t_ms").over(order) > 200, F.lit(False)) | F.coalesce(F.col("capture_epoch") != F.lag("capture_epoch").over(order), F.lit(False))
-    f = frames.select("session_id", "seq", "t_ms", single.alias("single"), breaks.alias("breaks"), (F.size(visual_reasons()) == 0).alias("usable"))
+    f = frames.select("session_id", "seq", "t_ms", single.alias("single"), breaks.alias("breaks"), visually_sound().alias("usable"))
     f = f.withColumn("run", F.count_if("breaks").over(order)).filter("single")
     so_far = Window.partitionBy("session_id", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     f = f.select("session_id", "t_ms", (F.col("t_ms") - F.min("t_ms").over(so_far)).alias("duration_ms"), F.count("*").over(so_far).alias("frames"), F.count_if("usable").over(so_far).alias("usable"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.functions.gates import visual_reasons
+from framewright.functions.gates import reasons_of, visual_mask
 from framewright.functions.tables import settle
 from framewright.operators import face
 from framewright.plans import oracle_sql as sql
@@ -45,8 +45,8 @@ def a27_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def f06_visual_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many frames of a session have each reason."""
-    f = face_frames(spark, sf_dir).select("session_id", F.explode(visual_reasons()).alias("reason"))
-    return f.groupBy("session_id", "reason").agg(F.count("*").alias("frames"))
+    f = face_frames(spark, sf_dir).groupBy("session_id", "quality_reasons", visual_mask().alias("mask")).agg(F.count("*").alias("n"))
+    return f.select("session_id", "n", F.explode(reasons_of(F.col("mask"))).alias("reason")).groupBy("session_id", "reason").agg(F.sum("n").alias("frames"))
 
 
 def p01_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,8 +69,7 @@ def p20_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _each(column: str, by: Column, changes: dict[int, object]) -> Column:
     """The column, with other values where ``by`` has a number."""
-    kind = "double"
-    return F.coalesce(*(F.when(by == n, F.lit(v).cast(kind)) for n, v in changes.items() if v is not None), F.when(~by.isin(*(n for n, v in changes.items() if v is None), -1), F.col(column)))
+    return reduce(lambda rest, n: F.when(by == n, F.lit(changes[n]).cast("double")).otherwise(rest), changes, F.col(column))
 
 
 def f06_reason_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,8 @@ def f06_reason_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = face_frames(spark, sf_dir)
     given = F.coalesce(*(F.when(m == n, F.array(F.lit(r))) for n, r in ((1, "document-hidden"), (2, "worker-unavailable"), (24, "of-no-policy"))), F.col("quality_reasons"))
     f = f.withColumns({c: _each(c, m, v) for c, v in changes.items()} | {"face_visible": m != 3, "quality_reasons": given})
-    return f.groupBy("session_id", F.array_join(gates.visual_reasons(), ",").alias("reasons")).agg(F.count("*").alias("frames"))
+    counted = f.groupBy("session_id", "quality_reasons", gates.visual_mask().alias("mask")).agg(F.count("*").alias("n"))
+    return counted.groupBy("session_id", F.array_join(gates.reasons_of(F.col("mask")), ",").alias("reasons")).agg(F.sum("n").alias("frames"))
 
 
 def f04_reason_lists(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framewright.functions import gates, stats
 from framewright.functions.tables import looked_up, settle
 from framewright.operators import face, provenance
-from framewright.plans import history_queries, provenance_queries
+from framewright.plans import face_queries, history_queries, loop_queries, provenance_queries
 from framewright.sources.surrogates import face_frames, face_sessions
 
 SF = "/root/testdata/sf0.01"
@@ -60,6 +60,20 @@ def test_screening_is_small_enough_to_be_compiled(spark, conf):
     assert code.length() and max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.length())) <= 8000
 
 
+def test_frames_are_counted_before_their_reasons_are_listed(spark, conf):
+    """Lists are made of a few rows a session; what runs for each frame is compiled."""
+    conf("spark.sql.adaptive.enabled", "false")
+    conf("spark.sql.debug.maxToStringFields", "1000")
+    for query in (loop_queries.f06_reason_lists, face_queries.f06_visual_reasons):
+        run = query(spark, SF)._jdf.queryExecution()
+        steps = run.executedPlan().toString().splitlines()  # the last step comes first
+        frames = max(i for i, s in enumerate(steps) if "Window [" in s)
+        counted = max(i for i, s in enumerate(steps[:frames]) if "HashAggregate(" in s)
+        assert all(s.lstrip(" :+-").startswith("*(") for s in steps[counted:frames])
+        code = run.debug().codegenToSeq()
+        assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.length())) <= 8000
+
+
 def test_sound_frames_are_those_without_reasons(spark):
     odd = "(values (null), (double('nan')), (double('infinity')), (double('-infinity')), (-1.0d), (0.0d), (0.5d), (200.0d)) as t(x)"
     given = "(values (null), (array()), (array('other', null)), (array('blur'))) as g(quality_reasons)"
@@ -71,6 +85,8 @@ def test_sound_frames_are_those_without_reasons(spark):
         FROM {odd} CROSS JOIN {given} CROSS JOIN range(13) AS r(c)""".replace("c = 0 AS face_visible", "CASE WHEN c > 0 THEN true WHEN x > 0 THEN false WHEN x = 0 THEN true END AS face_visible"))
     rows = f.select(gates.visual_reasons().alias("r"), gates.visually_sound().alias("sound")).collect()
     assert all(r.sound == (not r.r) for r in rows) and {r.sound for r in rows} == {True, False}
+    by_mask = f.withColumn("mask", gates.visual_mask()).select(gates.visual_reasons().alias("r"), gates.reasons_of(F.col("mask")).alias("same")).collect()
+    assert all(r.r == r.same for r in by_mask)
 
 
 def test_settled_tables_are_not_broadcast(spark):
