@@ -56,25 +56,41 @@ def aggregate_reasons() -> Column:
         (blank("code") | blank("unit") | blank("algorithm_version") | blank("processor_ref") | (F.coalesce("windows", F.lit(0)) < 1), "invalid-aggregate-metadata"))
 
 
+#: What a comparison looks at in either aggregate.
+COMPARED = ("value", "unit", "algorithm_version", "processor_ref", "kind", *CONFOUNDS, "rate_class", "processing")
+
+
+def summarised(aggregates: DataFrame) -> DataFrame:
+    """One row per encounter: what is ``wrong`` with its aggregates, whether one is ``repeated``, and all of them as ``entries``, the first of a code and context with ``nth`` 1."""
+    nth = F.row_number().over(Window.partitionBy("visit_id", "code", "context_kind").orderBy("position"))
+    own = aggregates.select("visit_id", aggregate_reasons().alias("wrong"), nth.alias("nth"), "code", "context_kind", *COMPARED)
+    return own.groupBy("visit_id").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("wrong")))).alias("wrong"), (F.max("nth") > 1).alias("repeated"), F.collect_list(F.struct("nth", "code", "context_kind", F.struct(*COMPARED).alias("of"))).alias("entries"))
+
+
 def screened(visits: DataFrame, aggregates: DataFrame, current: DataFrame) -> DataFrame:
-    """Earlier records of each current encounter's participant, with record-level reasons.
+    """Earlier records of each current encounter's participant, with record-level reasons, and the current encounters themselves (``is_current``).
 
     ``current (participant_id, current_visit, current_time, protocol_id)`` names
     one encounter per participant.  Every record of the participant appears,
-    the current one too (it is excluded by name).
+    the current one too (it is excluded by name).  All meet their aggregates
+    once: ``entries`` of current encounters and of records without a reason.
     """
     copies = visits.groupBy("visit_id").agg(F.count("*").alias("copies"))
-    own = aggregates.withColumn("wrong", aggregate_reasons())
-    own = own.withColumn("same", F.count("*").over(Window.partitionBy("visit_id", "code", "context_kind")))
-    own = own.groupBy("visit_id").agg(F.array_distinct(F.flatten(F.collect_list("wrong"))).alias("wrong"), (F.max("same") > 1).alias("repeated"))
-    r = visits.join(current.withColumnRenamed("protocol_id", "current_protocol"), "participant_id").join(copies, "visit_id", "left").join(own, "visit_id", "left")
+    named = current.withColumnRenamed("protocol_id", "current_protocol")
+    records = visits.join(named, "participant_id").withColumn("is_current", F.lit(False))
+    both = records.unionByName(named.select("*", F.col("current_visit").alias("visit_id"), F.lit(True).alias("is_current")), allowMissingColumns=True)
+    r = both.join(copies, "visit_id", "left").join(summarised(aggregates), "visit_id", "left")
     f = F.col
     reasons = _names(
         (F.coalesce("contains_phi", F.lit(True)), "history-not-explicitly-non-phi"), (~f("review_status").eqNullSafe("accepted"), "history-not-accepted"),
         (~f("protocol_id").eqNullSafe(f("current_protocol")), "protocol-id-mismatch"), (f("visit_id") == f("current_visit"), "same-as-current-encounter"),
         (f("occurred_at").isNull(), "invalid-occurred-at"), (f("occurred_at") >= f("current_time"), "not-prior-to-current"),
         (f("copies") > 1, "duplicate-encounter-id"), (f("repeated"), "duplicate-aggregate-identity"))
-    return r.withColumn("record_reasons", F.array_union(reasons, F.coalesce("wrong", F.array().cast("array<string>")))).drop("wrong", "repeated", "copies")
+    r = r.withColumn("record_reasons", F.array_union(reasons, F.coalesce("wrong", F.array().cast("array<string>"))))
+    return r.select(
+        "participant_id", "visit_id", "current_visit", "current_time", "is_current", "contains_phi", "record_reasons", F.when(f("is_current"), f("wrong")).alias("wrong"), "repeated",
+        F.when(f("is_current") | (F.size("record_reasons") == 0), f("entries")).alias("entries"))
 
 
 def confound_reasons(policy: Policy) -> Column:
@@ -92,15 +108,20 @@ def confound_reasons(policy: Policy) -> Column:
     return F.when(voice, F.when(is_kind("speech"), speech).otherwise(kind)).when(face, F.when(is_kind("visual"), visual).otherwise(kind)).otherwise(F.array().cast("array<string>"))
 
 
-def matches(records: DataFrame, aggregates: DataFrame, policy: Policy) -> DataFrame:
-    """Each current aggregate with the first aggregate of the same code and context of each admissible record (``screened``), and what stands against it."""
-    ok = records.filter(F.size("record_reasons") == 0).select("participant_id", "visit_id", "current_visit", "occurred_at")
-    first = F.row_number().over(Window.partitionBy("visit_id", "code", "context_kind").orderBy("position"))
-    side = lambda p, visit: aggregates.select(
-        F.col("visit_id").alias(visit), "code", "context_kind", *(F.col(x).alias(f"{p}_{x}") for x in aggregates.columns if x not in ("visit_id", "code", "context_kind")))
-    one = aggregates.withColumn("_n", first).filter("_n = 1").drop("_n")
-    earlier = one.select("visit_id", "code", "context_kind", *(F.col(x).alias(f"h_{x}") for x in one.columns if x not in ("visit_id", "code", "context_kind")))
-    m = ok.join(side("c", "current_visit"), "current_visit").join(earlier, ["visit_id", "code", "context_kind"], "left")
+def matches(known: DataFrame, policy: Policy) -> DataFrame:
+    """Each current aggregate with the first aggregate of the same code and context of each admissible record (``screened``), and what stands against it.
+
+    Records and current encounters meet by participant, with their aggregates
+    inside: what the participants' groups that follow are made of stays there.
+    """
+    first = F.filter("entries", lambda e: (e.nth == 1) & e.code.isNotNull() & e.context_kind.isNotNull())
+    earlier = F.map_from_entries(F.transform(first, lambda e: F.struct(F.struct(e.code.alias("code"), e.context_kind.alias("context_kind")), e.of)))
+    ok = known.filter(~F.col("is_current") & (F.size("record_reasons") == 0)).select("participant_id", "visit_id", "current_visit", earlier.alias("earlier"))
+    c = known.filter("is_current").select("participant_id", F.col("current_visit").alias("of_visit"), F.explode("entries").alias("e"))
+    c = c.select("participant_id", "of_visit", "e.code", "e.context_kind", *(F.col(f"e.of.{x}").alias(f"c_{x}") for x in COMPARED))
+    m = ok.join(c, "participant_id").filter(F.coalesce(F.col("of_visit") == F.col("current_visit"), F.lit(False))).drop("of_visit")
+    m = m.withColumn("h", F.when(F.col("code").isNotNull() & F.col("context_kind").isNotNull(), F.try_element_at("earlier", F.struct("code", "context_kind")))).drop("earlier")
+    m = m.select("*", *(F.col(f"h.{x}").alias(f"h_{x}") for x in COMPARED)).drop("h")
     differs = lambda n: ~F.col(f"c_{n}").eqNullSafe(F.col(f"h_{n}"))
     none = F.array().cast("array<string>")
     reasons = (
@@ -113,7 +134,7 @@ def matches(records: DataFrame, aggregates: DataFrame, policy: Policy) -> DataFr
 def decided(records: DataFrame, matched: DataFrame) -> DataFrame:
     """Each record ``included`` with one compatible aggregate, else ``excluded`` with sorted reasons."""
     m = matched.groupBy("participant_id", "visit_id").agg(F.bool_or("compatible").alias("included"), F.array_distinct(F.flatten(F.collect_list("reasons"))).alias("reasons"))
-    r = records.select("participant_id", "visit_id", "record_reasons").join(m, ["participant_id", "visit_id"], "left")
+    r = records.filter(~F.col("is_current")).select("participant_id", "visit_id", "record_reasons").join(m, ["participant_id", "visit_id"], "left")
     against = F.array_union("record_reasons", F.coalesce("reasons", F.array().cast("array<string>")))
     against = F.when(F.size(against) == 0, F.array(F.lit("no-compatible-biomarkers"))).otherwise(against)
     included = F.coalesce("included", F.lit(False))
@@ -124,7 +145,7 @@ def decided(records: DataFrame, matched: DataFrame) -> DataFrame:
 def decisions(visits: DataFrame, aggregates: DataFrame, current: DataFrame, policy: Policy | None = None) -> DataFrame:
     """``participant_id, visit_id, status, reason_codes`` of every earlier record."""
     records = settle(screened(visits, aggregates, current))
-    return decided(records, matches(records, aggregates, policy or Policy()))
+    return decided(records, matches(records, policy or Policy()))
 
 
 def placed(matched: DataFrame, policy: Policy) -> DataFrame:
@@ -142,15 +163,14 @@ def placed(matched: DataFrame, policy: Policy) -> DataFrame:
 def baselines(visits: DataFrame, aggregates: DataFrame, current: DataFrame, policy: Policy | None = None) -> DataFrame:
     """Prior median, range and deviation of each current aggregate with enough compatible records, and where it lies."""
     policy = policy or Policy()
-    return placed(matches(screened(visits, aggregates, current), aggregates, policy), policy)
+    return placed(matches(settle(screened(visits, aggregates, current)), policy), policy)
 
 
-def current_errors(visits: DataFrame, aggregates: DataFrame, current: DataFrame) -> DataFrame:
-    """``participant_id, errors``: why a current encounter cannot be compared at all; only those with an error."""
-    own = aggregates.withColumn("wrong", aggregate_reasons()).withColumn("same", F.count("*").over(Window.partitionBy("visit_id", "code", "context_kind")))
-    own = own.groupBy("visit_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("wrong")))).alias("wrong"), (F.max("same") > 1).alias("repeated")).withColumnRenamed("visit_id", "current_visit")
-    seen = visits.groupBy(F.col("visit_id").alias("current_visit"), "participant_id").agg(F.max(F.coalesce("contains_phi", F.lit(True))).alias("phi"))
-    c = current.join(seen, ["participant_id", "current_visit"], "left").join(own, "current_visit", "left")
+def current_errors(known: DataFrame) -> DataFrame:
+    """``participant_id, errors``: why a current encounter (``screened``) cannot be compared at all; only those with an error."""
+    f, own = F.col, F.col("is_current")
+    c = known.filter(own | (f("visit_id") == f("current_visit"))).groupBy("participant_id", "current_visit").agg(
+        F.max(F.when(~own, F.coalesce("contains_phi", F.lit(True)))).alias("phi"), F.max(F.when(own, f("current_time"))).alias("current_time"), F.max(F.when(own, f("wrong"))).alias("wrong"), F.max(F.when(own, f("repeated"))).alias("repeated"))
     none = F.array().cast("array<string>")
     errors = F.concat(_names(
         (F.coalesce("phi", F.lit(True)), "current-not-explicitly-non-phi"), (F.col("current_time").isNull(), "invalid-occurred-at"), (F.col("wrong").isNull(), "no-aggregates"), (F.col("repeated"), "duplicate-aggregate-identity")), F.coalesce("wrong", none))
@@ -165,17 +185,17 @@ def compare(visits: DataFrame, aggregates: DataFrame, current: DataFrame, policy
     ``biomarkers`` in readers' order of code and context.  The status is
     ``provisional`` with one biomarker, else ``not-comparable``; a current
     encounter that is wrong in itself is ``refused`` with its errors, and nothing
-    else is said of it.  Earlier records are screened once.
+    else is said of it.  Records are screened, and meet their aggregates, once.
     """
     policy = policy or Policy()
     records = settle(screened(visits, aggregates, current))
-    matched = settle(matches(records, aggregates, policy))
+    matched = settle(matches(records, policy).select("participant_id", "visit_id", "current_visit", "code", "context_kind", "c_value", "h_value", "reasons", "compatible"))
     of = lambda status, x: F.array_sort(F.collect_list(F.when(F.col("status") == status, x)))
     d = decided(records, matched).groupBy("participant_id").agg(of("included", F.col("visit_id")).alias("included"), of("excluded", F.struct("visit_id", "reason_codes")).alias("excluded"))
     told = ("code", "context_kind", "priors", "current_value", "prior_median", "prior_min", "prior_max", "prior_mad", "delta", "direction")
     entry = F.struct(by_locale("code").alias("_c"), by_locale("context_kind").alias("_k"), F.struct(*told).alias("b"))
     b = placed(matched, policy).groupBy("participant_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e.b).alias("biomarkers"))
-    c = current.select("participant_id", "current_visit").join(d, "participant_id", "left").join(b, "participant_id", "left").join(current_errors(visits, aggregates, current), "participant_id", "left")
+    c = current.select("participant_id", "current_visit").join(d, "participant_id", "left").join(b, "participant_id", "left").join(current_errors(records), "participant_id", "left")
     refused, some = F.col("errors").isNotNull(), F.col("biomarkers").isNotNull()
     empty = lambda name: F.when(refused | F.col(name).isNull(), F.slice(F.coalesce(name, F.array().cast(c.schema[name].dataType)), 1, 0)).otherwise(F.col(name)).alias(name)
     return c.select(

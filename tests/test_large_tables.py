@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions import gates, stats
 from framewright.functions.tables import looked_up, settle
-from framewright.operators import face, provenance
+from framewright.operators import face, history, provenance
 from framewright.plans import face_queries, history_queries, loop_queries, provenance_queries
 from framewright.sources.surrogates import face_frames, face_sessions
 
@@ -175,3 +175,11 @@ def test_values_of_bins_are_step_percentiles(spark):
     want = {(r.session_id, r.bin): r.x for r in stats.timed_percentile(f, ["session_id", "bin"], "t_ms", "v", F.lit(0.9), F.col("step"), "x").collect()}
     got = {(r.session_id, r.bin): r.value for r in face.bin_values(framed, kept).filter("ordinal = 5").collect()}
     assert got == want and len(want) > 100
+
+
+def test_comparisons_meet_their_aggregates_once(spark):
+    """Lines were dealt four times: for what is wrong with them, for both sides of the comparison and for current errors."""
+    tables = history_queries.encounters(spark, SF)
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert plan(history.screened(*tables)).count("lineitem.parquet") == 1
+    assert "lineitem.parquet" not in plan(history.compare(*tables))
