@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framewright.functions.gates import visually_sound
-from framewright.functions.stats import all_of, clamp01, finite, js_round, mad, within
+from framewright.functions.stats import all_of, clamp01, finite, within
 from framewright.functions.tables import settle
 from framewright.operators import voice
 
@@ -74,20 +74,10 @@ def screened(frames: DataFrame, sessions: DataFrame) -> DataFrame:
     return f.withColumn("gap", F.col("t_ms") - F.lag("t_ms").over(order)).withColumn("place", F.row_number().over(order)).withColumn("size", size())
 
 
-def bins(frames: DataFrame) -> DataFrame:
-    """Qualifying bins: at least 80 frames, all usable, of one processor, track and epoch, no gap beyond 200 ms, 4.8 s long, steady in size."""
-    one = ("processor_ref", "track_segment_id", "capture_epoch")  # the least is the greatest: counting distinct ones would make four rows of each
-    b = frames.groupBy("session_id", "bin").agg(
-        F.count("*").alias("frames"), F.bool_and("usable").alias("all_usable"), *(F.max(c).alias(f"last_{c}") for c in one), F.min("gap").alias("least_gap"), F.max("gap").alias("most_gap"),
-        F.sum("gap").alias("gaps"), (F.max("t_ms") - F.min("t_ms")).alias("span_ms"), F.median(F.when((F.col("gap") > 0) & (F.col("gap") <= MAX_GAP_MS), F.col("gap"))).alias("step"),
-        F.percentile("size", 0.1).alias("size_p10"), F.percentile("size", 0.9).alias("size_p90"),
-        *(F.min(c).alias(c) for c in one), F.min("session_started_at_ms").alias("started"))
-    b = b.withColumn("step", F.coalesce("step", F.lit(1000 / 30)))
-    b = b.withColumn("duration_ms", F.least(F.lit(BIN_MS), js_round(F.coalesce("gaps", F.lit(0.0)) + F.col("step"), 3)))
-    ratio = F.col("size_p90") / F.col("size_p10")
-    b = b.filter((F.col("frames") >= 80) & F.col("all_usable")).filter(all_of(*(F.col(c) == F.col(f"last_{c}") for c in one))).drop(*(f"last_{c}" for c in one))
-    b = b.filter((F.col("least_gap") > 0) & (F.col("most_gap") <= MAX_GAP_MS) & (F.col("span_ms") >= 4800) & (F.col("duration_ms") >= 4000) & (F.col("size_p10") > 0)).filter(ratio <= 1.15)
-    return b.withColumn("start_ms", F.col("started") + F.col("bin") * BIN_MS).withColumn("cadence_hz", F.col("frames") / (F.col("duration_ms") / 1000)).withColumn("size_ratio", ratio)
+def _stretches(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First place and length of each stretch of equal values."""
+    begins = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.empty(0, int)
+    return begins, np.diff(np.append(begins, len(groups)))
 
 
 def _step_percentiles(bins_: np.ndarray, values: np.ndarray, times: np.ndarray, steps: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
@@ -96,16 +86,17 @@ def _step_percentiles(bins_: np.ndarray, values: np.ndarray, times: np.ndarray,
     Samples are sorted by bin and time; the last one of a bin lasts its ``step``.
     Each bin is a row of its own, so sums are those of the bin alone.
     """
-    last = np.append(bins_[1:] != bins_[:-1], True)
-    weights = np.where(last, steps, np.maximum(np.append(times[1:], 0.0) - times, 0.0))
-    ends = np.flatnonzero(last) + 1
-    begins = np.append(0, ends[:-1])
-    order, sizes = np.lexsort((values, bins_)), ends - begins
-    rows = np.repeat(np.arange(len(sizes)), sizes)
-    total = np.zeros((len(sizes), sizes.max()))
-    total[rows, np.arange(len(values)) - begins[rows]] = weights[order]
-    total = np.cumsum(total, axis=1)
-    return bins_[begins], values[order][begins + (total >= total[:, -1:] * p).argmax(axis=1)]
+    begins, sizes = _stretches(bins_)
+    weights = np.maximum(np.append(times[1:], 0.0) - times, 0.0)
+    weights[begins + sizes - 1] = steps[begins + sizes - 1]
+    there = np.arange(sizes.max()) < sizes[:, None]
+    by_value, lasts = np.full(there.shape, np.inf), np.zeros(there.shape)
+    by_value[there], lasts[there] = values, weights
+    order = np.argsort(by_value, axis=1, kind="stable")
+    total = np.cumsum(np.take_along_axis(lasts, order, axis=1), axis=1)
+    hit = (total >= total[:, -1:] * p).argmax(axis=1)
+    rows = np.arange(len(sizes))
+    return bins_[begins], by_value[rows, order[rows, hit]]
 
 
 def _percentile(values: np.ndarray, p: float) -> float:
@@ -115,48 +106,30 @@ def _percentile(values: np.ndarray, p: float) -> float:
     return v[low] if v[low] == v[high] else (high - place) * v[low] + (place - low) * v[high]
 
 
-def _kept_frames(frames: pa.Table, kept: pa.Table, order: list[str]) -> dict[str, np.ndarray]:
-    """Frames of a session that lie in qualifying bins, sorted; null numbers are NaN.  A side without rows has no columns."""
-    if not frames.num_rows or not kept.num_rows:
-        return {"bin": np.empty(0, "int64")}
-    f = {c: frames[c].to_numpy() for c in frames.column_names}
-    there = np.flatnonzero(np.isin(f["bin"], kept["kept_bin"].to_numpy()))
-    there = there[np.lexsort([f[c][there] for c in reversed(order)])]
-    return {c: x[there] for c, x in f.items()}
+def _quantiles(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray, p: float) -> np.ndarray:
+    """``_percentile`` of each stretch of values, which is sorted."""
+    place = (sizes - 1) * p
+    low, high = np.floor(place).astype(int), np.ceil(place).astype(int)
+    a, b = values[begins + low], values[begins + high]
+    return np.where(a == b, a, (high - place) * a + (place - low) * b)
 
 
-def _renamed(kept: DataFrame) -> DataFrame:
-    """Bins under names of their own: of two tables with a common origin a cogroup would lose the second one's columns."""
-    return kept.select(F.col("session_id").alias("kept_session"), F.col("bin").alias("kept_bin"), F.col("step").alias("kept_step"))
+def _spread(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Median, median absolute deviation (of two values at least) and number of each column; NaN is no value."""
+    there = np.count_nonzero(~np.isnan(values), axis=0)
 
+    def middle(v: np.ndarray) -> np.ndarray:
+        v = np.vstack((np.sort(v, axis=0), np.full(v.shape[1], np.nan)))  # NaN comes last; the row added is for columns without values
+        return _quantiles(v.T.ravel(), np.arange(v.shape[1]) * len(v), np.maximum(there, 1), 0.5)
 
-def bin_values(frames: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row per qualifying bin and metric: its time-weighted percentile.
+    mid = middle(values)
+    return mid, np.where(there >= 2, middle(np.abs(values - mid)), np.nan), there
 
-    A sample lasts up to the next frame of the bin that has the series.  Frames
-    and bins of a session meet in one task, which holds the session (at most 300 s).
-    """
-    gap, speed = F.col("inter_result_gap_ms"), F.col("movement_speed")
-    moving = F.when((F.col("place") > 1) & (gap > 0) & (gap <= MAX_GAP_MS) & finite(speed) & (speed >= 0), speed)
-    series = {"left": F.col("eye_left"), "right": F.col("eye_right"), "eyes": eye_asymmetry(), "width": mouth_width(), "aperture": F.col("mouth_aperture"), "corners": corner_asymmetry(), "moving": moving}
-    f = frames.select("session_id", "bin", "t_ms", *(F.when(finite(x), x).cast("double").alias(c) for c, x in series.items()))
-    metrics = tuple(zip(("left", "right", "eyes", "width", "aperture", "aperture", "corners", "moving"), PERCENTILES, strict=True))
-
-    def values(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        x, found = _kept_frames(left, right, ["bin", "t_ms"]), [(np.empty(0, "int64"), np.empty(0, "int32"), np.empty(0))]
-        if len(x["bin"]):
-            own = np.argsort(right["kept_bin"].to_numpy())
-            steps = right["kept_step"].to_numpy()[own][np.searchsorted(right["kept_bin"].to_numpy()[own], x["bin"])]
-            for i, (c, p) in enumerate(metrics):
-                there = ~np.isnan(x[c])
-                if there.any():
-                    of, value = _step_percentiles(x["bin"][there], x[c][there], x["t_ms"][there], steps[there], p)
-                    found.append((of, np.full(len(of), i, "int32"), value))
-        bins_, ordinals, values_ = map(np.concatenate, zip(*found, strict=True))
-        return pa.table({"session_id": pa.array([key[0].as_py()] * len(bins_), key[0].type), "bin": bins_, "ordinal": ordinals, "value": values_})
-
-    kind = frames.schema["session_id"].dataType.simpleString()
-    return f.groupBy("session_id").cogroup(_renamed(kept).groupBy("kept_session")).applyInArrow(values, f"session_id {kind}, bin bigint, ordinal int, value double")
+
+def _numbered(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of a column's distinct values (-1 for null), and these values."""
+    d = column.combine_chunks().dictionary_encode()
+    return d.indices.fill_null(-1).to_numpy(zero_copy_only=False), d.dictionary
 
 
 def _blink_bins(x: dict[str, np.ndarray]) -> list[int]:
@@ -186,8 +159,134 @@ def _blink_bins(x: dict[str, np.ndarray]) -> list[int]:
                 break
 
 
-def blinks(frames: DataFrame, kept: DataFrame) -> DataFrame:
-    """Blinks of each qualifying bin, from a pass over a session's frames in order (at most 300 s of frames).
+#: What a bin must have one of.
+ONE = ("processor_ref", "track_segment_id", "capture_epoch")
+#: Columns of a qualifying bin and of a session's row.
+BIN = ("bin long, frames long, duration_ms double, span_ms double, step double, size_ratio double, cadence_hz double, start_ms double, blinks long, "
+       "processor_ref string, track_segment_id string, capture_epoch {epoch}, values array<double>")
+SUMMARY = (
+    "session_id {session}, observed_start_ms double, observed_end_ms double, unattributed long, seen_processors array<string>, seen_tracks array<string>, bins long, exposure_ms double, frames long, blinks long, "
+    "processors long, tracks long, span_ms double, gap_p95 double, cadence double, coverage double, steady double, pose double, mid array<double>, mid_mad array<double>, mid_n array<long>, kept array<struct<" + BIN.replace(" ", ": ").replace(",:", ",") + ">>")
+
+
+BIN_COLUMNS, SUMMARY_COLUMNS = ([c.split()[0] for c in text.split("struct")[0].split(", ")] for text in (BIN, SUMMARY))
+
+
+def _series() -> dict[str, Column]:
+    """What bins have percentiles of; a speed counts if its frame follows another one of the bin, which the pass over the session knows."""
+    gap, speed = F.col("inter_result_gap_ms"), F.col("movement_speed")
+    moving = F.when((gap > 0) & (gap <= MAX_GAP_MS) & finite(speed) & (speed >= 0), speed)
+    series = {"left": F.col("eye_left"), "right": F.col("eye_right"), "eyes": eye_asymmetry(), "width": mouth_width(), "aperture": F.col("mouth_aperture"), "corners": corner_asymmetry(), "moving": moving}
+    return {c: F.when(finite(x), x).cast("double").alias(c) for c, x in series.items()}
+
+
+def _qualifying(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Qualifying bins of a session's frames in order, and the frames of these bins, with their gap within the bin."""
+    x = x | {"gap": np.diff(x["t_ms"], prepend=np.nan)}
+    begins, sizes = _stretches(x["bin"])
+    x["gap"][begins] = np.nan
+    ok = (sizes >= 80) & np.logical_and.reduceat(x["usable"], begins)
+    for c in ONE:  # null beside one value is no second one
+        ok &= np.minimum.reduceat(np.where(x[c] < 0, np.iinfo(x[c].dtype).max, x[c]), begins) == np.maximum.reduceat(x[c], begins)
+    span = x["t_ms"][begins + sizes - 1] - x["t_ms"][begins]
+    ok &= (np.fmin.reduceat(x["gap"], begins) > 0) & (np.fmax.reduceat(x["gap"], begins) <= MAX_GAP_MS) & (span >= 4800)
+    own = {c: np.maximum.reduceat(x[c], begins)[ok] for c in ONE} | {"bin": x["bin"][begins][ok], "frames": sizes[ok], "span_ms": span[ok]}
+    x = {c: v[np.repeat(ok, sizes)] for c, v in x.items()}
+    begins, sizes = _stretches(x["bin"])
+    if len(begins):
+        gaps, of_size = (v[np.lexsort((v, x["bin"]))] for v in (x["gap"], x["size"]))
+        own["step"] = _quantiles(gaps, begins, sizes - 1, 0.5)
+        own["duration_ms"] = np.minimum(BIN_MS, np.floor((np.add.reduceat(np.nan_to_num(x["gap"]), begins) + own["step"]) * 1000 + 0.5) / 1000)
+        low, high = _quantiles(of_size, begins, sizes, 0.1), _quantiles(of_size, begins, sizes, 0.9)
+        own["size_ratio"] = np.divide(high, low, out=np.full(len(low), np.inf), where=low > 0)
+        ok = (own["duration_ms"] >= 4000) & (own["size_ratio"] <= 1.15)
+        own, x = {c: v[ok] for c, v in own.items()}, {c: v[np.repeat(ok, sizes)] for c, v in x.items()}
+    return own, x
+
+
+def _values(own: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> np.ndarray:
+    """The time-weighted percentile of each qualifying bin and metric, NaN where no frame of the bin has the series."""
+    _, sizes = _stretches(x["bin"])
+    of, steps = np.repeat(np.arange(len(sizes)), sizes), np.repeat(own["step"], sizes)
+    x = x | {"moving": np.where(np.isnan(x["gap"]), np.nan, x["moving"])}
+    found = np.full((len(sizes), len(PERCENTILES)), np.nan)
+    for i, (c, p) in enumerate(zip(("left", "right", "eyes", "width", "aperture", "aperture", "corners", "moving"), PERCENTILES, strict=True)):
+        there = ~np.isnan(x[c])
+        if there.any():
+            bins_, value = _step_percentiles(of[there], x[c][there], x["t_ms"][there], steps[there], p)
+            found[bins_, i] = value
+    return found
+
+
+def _summary(key: tuple, frames: pa.Table) -> pa.Table:
+    """All that outcomes and evidence of a session take from its frames."""
+    x = {c: frames[c].to_numpy() for c in frames.column_names if c not in ("session_id", *ONE)}
+    names = {}
+    for c in ONE:
+        x[c], names[c] = _numbered(frames[c])
+    order = np.argsort(x["t_ms"], kind="stable")  # frames of equal times end their bin, in whatever order
+    own, y = _qualifying({c: v[order] for c, v in x.items()})
+    n = len(own["bin"])
+    row = {
+        "session_id": key[0], "observed_start_ms": x["t_ms"].min(), "observed_end_ms": x["t_ms"].max(), "unattributed": np.count_nonzero(~x["attributed"]),
+        "seen_processors": sorted(v for v in names["processor_ref"].to_pylist() if v is not None), "seen_tracks": sorted(v for v in names["track_segment_id"].to_pylist() if v), "bins": n}
+    many = {"mid": np.empty(0), "mid_mad": np.empty(0), "mid_n": np.empty(0, "int64")}
+    if n:
+        hits = np.asarray(_blink_bins({"t_ms": y["t_ms"], "bin": y["bin"], "eye_left": y["left"], "eye_right": y["right"]}), "int64")
+        own |= {"cadence_hz": own["frames"] / (own["duration_ms"] / 1000), "start_ms": x["started"][0] + own["bin"] * BIN_MS, "blinks": np.bincount(np.searchsorted(own["bin"], hits), minlength=n)}
+        values = _values(own, y)
+        many = dict(zip(many, _spread(np.column_stack((values, own["blinks"] / (BIN_MS / 60_000)))), strict=True))
+        row |= {
+            "exposure_ms": own["duration_ms"].sum(), "frames": own["frames"].sum(), "blinks": len(hits), "processors": len(set(own["processor_ref"])), "tracks": len(set(zip(own["capture_epoch"], own["track_segment_id"], strict=True))),
+            "span_ms": own["start_ms"][-1] + BIN_MS - own["start_ms"][0], "gap_p95": _percentile(y["gap"][~np.isnan(y["gap"])], 0.95), "cadence": _percentile(own["cadence_hz"], 0.5),
+            "coverage": _percentile(own["duration_ms"] / BIN_MS, 0.5), "steady": _percentile(np.clip(1 - (own["size_ratio"] - 1) / (1.15 - 1), 0, 1), 0.5), "pose": _percentile(y["pose"], 0.5)}
+    else:
+        own |= dict.fromkeys(("step", "duration_ms", "size_ratio", "cadence_hz", "start_ms"), np.empty(0)) | {"blinks": np.empty(0, "int64")}
+        values = np.empty((0, len(PERCENTILES)))
+        row |= dict.fromkeys(("exposure_ms", "frames", "blinks", "processors", "tracks", "span_ms", "gap_p95", "cadence", "coverage", "steady", "pose"))
+    lists = lambda v: pa.array(np.ravel(v), from_pandas=True)
+    fields = {c: names[c].take(pa.array(own[c])) if c in ONE else pa.array(own[c]) for c in BIN_COLUMNS[:-1]}
+    fields["values"] = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * values.shape[1], "int32"), lists(values))
+    whole = {c: pa.ListArray.from_arrays(pa.array([0, len(v)], "int32"), lists(v)) for c, v in many.items()}
+    whole["kept"] = pa.ListArray.from_arrays(pa.array([0, n], "int32"), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+    kinds = {"unattributed": "int64", "bins": "int64", "frames": "int64", "blinks": "int64", "processors": "int64", "tracks": "int64", "seen_processors": pa.list_(pa.string()), "seen_tracks": pa.list_(pa.string())}
+    return pa.table({c: pa.array([v.as_py()], v.type) if c == "session_id" else pa.array([v], kinds.get(c, "float64")) for c, v in row.items()} | whole).select(SUMMARY_COLUMNS)
+
+
+def summaries(frames: DataFrame) -> DataFrame:
+    """One row per session of screened frames: its qualifying bins (``kept``), and all that outcomes and evidence take from its frames.
+
+    A bin qualifies with at least 80 frames, all usable, of one processor, track
+    and epoch, no gap beyond 200 ms, 4.8 s long, steady in size.  Its ``values``
+    are time-weighted percentiles; a sample lasts up to the next frame of the
+    bin that has the series.  A session (at most 300 s of frames) is read once,
+    by one task; only this row of it is shuffled and written afterwards.
+    """
+    pose = clamp01(1 - F.greatest(F.abs("yaw_deg") / 7, F.abs("pitch_deg") / 10, F.abs("roll_deg") / 5))
+    f = frames.select(
+        "session_id", "bin", F.col("t_ms").cast("double").alias("t_ms"), "usable", "attributed", *ONE, F.col("session_started_at_ms").cast("double").alias("started"), size().cast("double").alias("size"),
+        pose.cast("double").alias("pose"), *_series().values())
+    kinds = {"session": frames.schema["session_id"].dataType.simpleString(), "epoch": frames.schema["capture_epoch"].dataType.simpleString()}
+    return f.groupBy("session_id").applyInArrow(_summary, SUMMARY.format(**kinds))
+
+
+def _bins_of(ready: DataFrame) -> DataFrame:
+    return ready.select("session_id", F.inline("kept"))
+
+
+def bins(frames: DataFrame) -> DataFrame:
+    """Qualifying bins of screened frames, with their values and blinks."""
+    return _bins_of(summaries(frames))
+
+
+def bin_values(frames: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """One row per qualifying bin and metric: its time-weighted percentile.  ``kept`` are the frames' ``bins``, if they are at hand."""
+    values = (bins(frames) if kept is None else kept).select("session_id", "bin", F.posexplode("values").alias("ordinal", "value"))
+    return values.filter("value is not null")
+
+
+def blinks(frames: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """Blinks of each qualifying bin, from a pass over a session's frames in order.
 
     References are the plain 90th percentiles of both apertures over all
     qualifying frames.  A closure begins when both eyes are at 60 % or below, at
@@ -195,60 +294,33 @@ def blinks(frames: DataFrame, kept: DataFrame) -> DataFrame:
     after 50 to 800 ms; a longer one counts for nothing until the eyes are back.
     A missing bin or a gap over 75 ms starts over.
     """
-    f = frames.select("session_id", "bin", "t_ms", F.col("seq"), F.col("eye_left").cast("double").alias("eye_left"), F.col("eye_right").cast("double").alias("eye_right"))
+    return (bins(frames) if kept is None else kept).select("session_id", "bin", "blinks")
 
-    def counted(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        x, own = _kept_frames(left, right, ["t_ms", "seq"]), right["kept_bin"].to_pylist() if right.num_rows else []
-        hits = _blink_bins(x) if len(x["bin"]) else []
-        return pa.table({"session_id": pa.array([key[0].as_py()] * len(own), key[0].type), "bin": pa.array(own, "int64"), "blinks": pa.array([hits.count(b) for b in own], "int64")})
 
-    kind = frames.schema["session_id"].dataType.simpleString()
-    return f.groupBy("session_id").cogroup(_renamed(kept).groupBy("kept_session")).applyInArrow(counted, f"session_id {kind}, bin bigint, blinks bigint")
+def prepared(frames: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``summaries`` of frames, computed once for outcomes and evidence."""
+    return settle(summaries(screened(frames, sessions)))
 
 
-def prepared(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Screened frames and their qualifying bins, computed once for outcomes and evidence."""
-    framed = settle(screened(frames, sessions))
-    return framed, settle(bins(framed))
-
-
-def evidence(frames: DataFrame, sessions: DataFrame, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def evidence(frames: DataFrame, sessions: DataFrame, ready: DataFrame | None = None) -> DataFrame:
     """What the face outcomes of each session rest on; each qualifying bin is one window.  ``ready`` is what ``prepared`` made of the frames, if it is at hand."""
-    framed, kept = ready or prepared(frames, sessions)
-    kept = kept.withColumn("bin_end_ms", F.col("start_ms") + BIN_MS).withColumn("ref", voice.window_ref("start_ms", "bin_end_ms", "face"))
-    return voice.gathered(sessions, framed, kept, ["t_ms", "seq"]).withColumnRenamed("_tracks", "segment_count").drop("_pieces")
+    ready = prepared(frames, sessions) if ready is None else ready
+    kept = _bins_of(ready).withColumn("bin_end_ms", F.col("start_ms") + BIN_MS).withColumn("ref", voice.window_ref("start_ms", "bin_end_ms", "face"))
+    return voice.gathered(sessions, ready, kept).withColumnRenamed("_tracks", "segment_count").drop("_pieces")
 
 
-def quality_score(frames: DataFrame, kept: DataFrame) -> DataFrame:
-    f = frames.join(kept.select("session_id", "bin"), ["session_id", "bin"], "left_semi")
-    pose = clamp01(1 - F.greatest(F.abs("yaw_deg") / 7, F.abs("pitch_deg") / 10, F.abs("roll_deg") / 5))
-    poses = f.groupBy("session_id").agg(F.median(pose).alias("pose"))
-    s = kept.groupBy("session_id").agg(
-        F.median("cadence_hz").alias("cadence"), F.median(F.col("duration_ms") / BIN_MS).alias("coverage"), F.median(clamp01(1 - (F.col("size_ratio") - 1) / (1.15 - 1))).alias("steady"))
+def quality_score() -> Column:
     score = 0.3 * clamp01(F.col("cadence") / 30) + 0.3 * clamp01(F.col("coverage")) + 0.2 * F.col("steady") + 0.2 * F.col("pose")
-    return s.join(poses, "session_id").select("session_id", clamp01(score).alias("quality_score"))
+    return clamp01(score)
 
 
-def face_outcomes(frames: DataFrame, sessions: DataFrame, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def face_outcomes(frames: DataFrame, sessions: DataFrame, ready: DataFrame | None = None) -> DataFrame:
     """Exactly one row per session and face metric, like ``voice_outcomes``; counts: ``bins, exposure_ms, frames, blinks``."""
-    framed, kept = ready or prepared(frames, sessions)
-    blink = blinks(framed, kept)
-    rate = blink.select("session_id", F.lit(8).alias("ordinal"), (F.col("blinks") / (BIN_MS / 60_000)).alias("value"))
-    values = bin_values(framed, kept).select("session_id", "ordinal", "value").unionByName(rate)
-    spread = mad(values, ["session_id", "ordinal"], "value", "mid")
-    lost = framed.groupBy("session_id").agg(F.count_if(~F.col("attributed")).alias("unattributed"))
-    gaps = framed.join(kept.select("session_id", "bin"), ["session_id", "bin"], "left_semi").groupBy("session_id").agg(F.percentile("gap", 0.95).alias("gap_p95"))
-    total = kept.groupBy("session_id").agg(
-        F.count("*").alias("bins"), F.sum("duration_ms").alias("exposure_ms"), F.sum("frames").alias("frames"), F.count_distinct("processor_ref").alias("processors"),
-        F.count_distinct("capture_epoch", "track_segment_id").alias("tracks"), (F.max("start_ms") + BIN_MS - F.min("start_ms")).alias("span_ms"))
-    count = blink.groupBy("session_id").agg(F.sum("blinks").alias("blinks"))
-    s = sessions
-    for more in (total, count, lost, gaps, quality_score(framed, kept)):
-        s = s.join(more, "session_id", "left")
+    s = sessions.join((prepared(frames, sessions) if ready is None else ready).drop("kept"), "session_id", "left")
     zero = ("bins", "exposure_ms", "frames", "blinks", "unattributed")
-    s = s.select(*(F.coalesce(F.col(c), F.lit(0)).alias(c) if c in zero else F.col(c) for c in s.columns))
+    s = s.select(*(F.coalesce(F.col(c), F.lit(0)).alias(c) if c in zero else F.col(c) for c in s.columns)).withColumn("quality_score", F.when(F.col("bins") > 0, quality_score()))
     registry = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(code).alias("code"), F.lit(unit).alias("unit")) for i, (code, unit) in enumerate(METRICS)))
-    s = s.withColumn("m", F.explode(registry)).select("*", "m.*").drop("m").join(spread, ["session_id", "ordinal"], "left")
+    s = s.withColumn("m", F.explode(registry)).select("*", "m.*").drop("m").withColumns({c: F.get(c, F.col("ordinal")) for c in ("mid", "mid_mad", "mid_n")})
     f, blinking = F.col, F.col("ordinal") == 8
     positive = lambda c: finite(c) & (f(c) > 0)
     calibrated = all_of(f("calibration_duration_ms") >= 1500, positive("baseline_width_px"), positive("baseline_height_px"))

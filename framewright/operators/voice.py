@@ -97,22 +97,28 @@ def window_ref(start: str = "start_ms", end: str = "end_ms", modality: str = "vo
     return F.concat_ws(":", F.lit(modality), F.col("capture_epoch").cast("string"), "track_segment_id", plain_number(F.col(start)), plain_number(F.col(end)))
 
 
-def gathered(sessions: DataFrame, observed: DataFrame, pieces: DataFrame, place: list[str]) -> DataFrame:
+def seen(observed: DataFrame, place: list[str]) -> DataFrame:
+    """First and last time of each session's frames in range, in the order of ``place``, and their processors and tracks."""
+    track = F.when(F.length("track_segment_id") > 0, F.col("track_segment_id"))
+    unique = lambda c, name: F.array_sort(F.collect_set(c)).alias(name)
+    return observed.groupBy("session_id").agg(
+        F.min_by("t_ms", F.struct(*place)).alias("observed_start_ms"), F.max_by("t_ms", F.struct(*place)).alias("observed_end_ms"), unique("processor_ref", "seen_processors"), unique(track, "seen_tracks"))
+
+
+def gathered(sessions: DataFrame, observed: DataFrame, pieces: DataFrame) -> DataFrame:
     """Evidence of each session's outcomes: ``observed_start_ms, observed_end_ms, sample_count, segment_count, processor_refs, track_segment_ids, source_window_refs``.
 
-    ``observed`` are the frames in range, ordered by ``place``; ``pieces`` the
-    segments or bins kept, with their ``frames, start_ms`` and ``ref``.  Processors
-    and tracks are those of the pieces, or of all frames where none was kept;
-    references are in order of time.
+    ``observed`` has what is ``seen`` of each session's frames in range; ``pieces``
+    are the segments or bins kept, with their ``frames, start_ms`` and ``ref``.
+    Processors and tracks are those of the pieces, or of all frames where none
+    was kept; references are in order of time.
     """
     unique = lambda c: F.array_sort(F.collect_set(c))
-    track = F.when(F.length("track_segment_id") > 0, F.col("track_segment_id"))
-    seen = observed.groupBy("session_id").agg(
-        F.min_by("t_ms", F.struct(*place)).alias("observed_start_ms"), F.max_by("t_ms", F.struct(*place)).alias("observed_end_ms"), unique("processor_ref").alias("_p"), unique(track).alias("_t"))
+    observed = observed.select("session_id", "observed_start_ms", "observed_end_ms", F.col("seen_processors").alias("_p"), F.col("seen_tracks").alias("_t"))
     kept = pieces.groupBy("session_id").agg(
         F.sum("frames").alias("sample_count"), F.count_distinct("capture_epoch", "track_segment_id").alias("_tracks"), F.count(F.lit(1)).alias("_pieces"), unique("processor_ref").alias("processor_refs"),
         unique("track_segment_id").alias("track_segment_ids"), F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "ref"))), lambda x: x.ref).alias("source_window_refs"))
-    e, none = sessions.select("session_id").join(seen, "session_id", "left").join(kept, "session_id", "left"), F.array().cast("array<string>")
+    e, none = sessions.select("session_id").join(observed, "session_id", "left").join(kept, "session_id", "left"), F.array().cast("array<string>")
     return e.select(
         "session_id", "observed_start_ms", "observed_end_ms", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sample_count", "_tracks", "_pieces")),
         F.coalesce("processor_refs", "_p", none).alias("processor_refs"), F.coalesce("track_segment_ids", "_t", none).alias("track_segment_ids"), F.coalesce("source_window_refs", none).alias("source_window_refs"))
@@ -127,7 +133,7 @@ def prepared(frames: DataFrame, sessions: DataFrame) -> tuple[DataFrame, DataFra
 def evidence(frames: DataFrame, sessions: DataFrame, ready: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """What the voice outcomes of each session rest on; each segment is one window.  ``ready`` is what ``prepared`` made of the frames, if it is at hand."""
     kept = (ready[1] if ready else segments(segment_frames(frames, sessions))).withColumn("ref", window_ref())
-    return gathered(sessions, in_range(frames, sessions), kept, ["seq"]).withColumnRenamed("_pieces", "segment_count").drop("_tracks")
+    return gathered(sessions, seen(in_range(frames, sessions), ["seq"]), kept).withColumnRenamed("_pieces", "segment_count").drop("_tracks")
 
 
 def runs(frames: DataFrame, kept: DataFrame) -> DataFrame:

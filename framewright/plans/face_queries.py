@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.functions.gates import reasons_of, visual_mask
-from framewright.functions.tables import settle
 from framewright.operators import face
 from framewright.plans import oracle_sql as sql
 from framewright.plans.voice_queries import rounded
@@ -15,7 +14,7 @@ from framewright.sources.surrogates import face_frames, face_sessions
 
 def _screened(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = face_frames(spark, sf_dir)
-    return settle(face.screened(frames, face_sessions(frames)))
+    return face.screened(frames, face_sessions(frames))
 
 
 def r07_face_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,13 +29,11 @@ def t01_blink_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t01_blinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    framed = _screened(spark, sf_dir)
-    return face.blinks(framed, face.bins(framed))
+    return face.blinks(_screened(spark, sf_dir))
 
 
 def a26_bin_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    framed = _screened(spark, sf_dir)
-    return rounded(face.bin_values(framed, face.bins(framed)))
+    return rounded(face.bin_values(_screened(spark, sf_dir)))
 
 
 def a27_bins(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def _sessions(voices: DataFrame, faces: DataFrame) -> DataFrame:
         F.when(k % 5 == 4, F.array(listed("face", "proc-v"))).otherwise(F.array(listed("voice", "proc-a"), listed("face", "proc-v"))).alias("processors"), ((F.col("v") == 1) & (k % 17 != 3)).alias("voice_available"), (F.col("f") == 1).alias("face_available"))
 
 
-def _evidence(voices: DataFrame, faces: DataFrame, s: DataFrame, spoken: tuple[DataFrame, DataFrame] | None = None, seen: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def _evidence(voices: DataFrame, faces: DataFrame, s: DataFrame, spoken: tuple[DataFrame, DataFrame] | None = None, seen: DataFrame | None = None) -> DataFrame:
     return voice.evidence(voices, s, spoken).withColumn("modality", F.lit("voice")).unionByName(face.evidence(faces, s, seen).withColumn("modality", F.lit("face")))
 
 

@@ -183,3 +183,15 @@ def test_comparisons_meet_their_aggregates_once(spark):
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
     assert plan(history.screened(*tables)).count("lineitem.parquet") == 1
     assert "lineitem.parquet" not in plan(history.compare(*tables))
+
+
+def test_a_session_is_dealt_once_and_leaves_one_row(spark, conf):
+    """Frames were written whole and dealt again for bins, values, blinks, gaps and poses."""
+    conf("spark.sql.adaptive.enabled", "false")
+    frames = face_frames(spark, SF)
+    sessions = face_sessions(frames)
+    ready = face.prepared(frames, sessions)
+    assert ready.count() == sessions.count() == 40
+    assert _shuffles(face.summaries(face.screened(frames, sessions))) == 2  # lines by session, and the list of sessions
+    plan = face.face_outcomes(frames, sessions, ready)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and "Window" not in plan

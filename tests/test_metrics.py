@@ -88,6 +88,18 @@ def test_face_is_withheld_for_the_first_reason(spark, hz, change, want):
         assert r[7].value == 0.02 and (r[8].blinks, r[8].value) == (0, 0.0)
 
 
+@pytest.mark.parametrize("change, want", [
+    (lambda t, i: {"processor_ref": "p" if i % 3 else None}, [None] * 9),
+    (lambda t, i: {"processor_ref": None}, ["no-usable-signal"] * 9),
+    (lambda t, i: {"processor_ref": "q" if t % 5000 < 100 else "p"}, ["no-usable-signal"] * 9),
+    (lambda t, i: {"processor_ref": "q" if t < 5000 else "p"}, ["quality-threshold-failed"] * 9),
+    (lambda t, i: {"movement_speed": float("inf") if i % 2 else None}, [None] * 7 + ["insufficient-bins", None]),
+])
+def test_bins_have_one_processor_and_values_are_finite(spark, change, want):
+    r = face_result(spark, face(spark, change=change).orderBy("mouth_aperture", "eye_left"))
+    assert [r[i].reason for i in range(9)] == want
+
+
 def test_long_closures_and_gaps_are_no_blinks(spark):
     shut = lambda t, i: {"eye_left": 0.1, "eye_right": 0.1} if 10_000 <= t < 12_000 else {"eye_left": 0.3, "eye_right": 0.3}
     assert face_result(spark, face(spark, change=shut))[8].blinks == 0
