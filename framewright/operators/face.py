@@ -169,6 +169,8 @@ SUMMARY = (
     "processors long, tracks long, span_ms double, gap_p95 double, cadence double, coverage double, steady double, pose double, mid array<double>, mid_mad array<double>, mid_n array<long>, kept array<struct<" + BIN.replace(" ", ": ").replace(",:", ",") + ">>")
 
 
+#: Numbers of a frame, NaN for none; they go to Python as one array, since Spark measures a batch after each row, column by column.
+NUMBERS = ("bin", "t_ms", "usable", "attributed", "started", "size", "pose", "left", "right", "width", "aperture", "corners", "moving")
 BIN_COLUMNS, SUMMARY_COLUMNS = ([c.split()[0] for c in text.split("struct")[0].split(", ")] for text in (BIN, SUMMARY))
 
 
@@ -176,8 +178,8 @@ def _series() -> dict[str, Column]:
     """What bins have percentiles of; a speed counts if its frame follows another one of the bin, which the pass over the session knows."""
     gap, speed = F.col("inter_result_gap_ms"), F.col("movement_speed")
     moving = F.when((gap > 0) & (gap <= MAX_GAP_MS) & finite(speed) & (speed >= 0), speed)
-    series = {"left": F.col("eye_left"), "right": F.col("eye_right"), "eyes": eye_asymmetry(), "width": mouth_width(), "aperture": F.col("mouth_aperture"), "corners": corner_asymmetry(), "moving": moving}
-    return {c: F.when(finite(x), x).cast("double").alias(c) for c, x in series.items()}
+    series = {"left": F.col("eye_left"), "right": F.col("eye_right"), "width": mouth_width(), "aperture": F.col("mouth_aperture"), "corners": corner_asymmetry(), "moving": moving}
+    return {c: F.when(finite(x), x) for c, x in series.items()}
 
 
 def _qualifying(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
@@ -208,7 +210,7 @@ def _values(own: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> np.ndarray:
     """The time-weighted percentile of each qualifying bin and metric, NaN where no frame of the bin has the series."""
     _, sizes = _stretches(x["bin"])
     of, steps = np.repeat(np.arange(len(sizes)), sizes), np.repeat(own["step"], sizes)
-    x = x | {"moving": np.where(np.isnan(x["gap"]), np.nan, x["moving"])}
+    x = x | {"eyes": np.abs(x["left"] - x["right"]), "moving": np.where(np.isnan(x["gap"]), np.nan, x["moving"])}
     found = np.full((len(sizes), len(PERCENTILES)), np.nan)
     for i, (c, p) in enumerate(zip(("left", "right", "eyes", "width", "aperture", "aperture", "corners", "moving"), PERCENTILES, strict=True)):
         there = ~np.isnan(x[c])
@@ -220,7 +222,8 @@ def _values(own: dict[str, np.ndarray], x: dict[str, np.ndarray]) -> np.ndarray:
 
 def _summary(key: tuple, frames: pa.Table) -> pa.Table:
     """All that outcomes and evidence of a session take from its frames."""
-    x = {c: frames[c].to_numpy() for c in frames.column_names if c not in ("session_id", *ONE)}
+    x = dict(zip(NUMBERS, np.ascontiguousarray(frames["numbers"].combine_chunks().flatten().to_numpy().reshape(frames.num_rows, -1).T), strict=True))
+    x |= {"bin": x["bin"].astype("int64"), "usable": x["usable"] > 0, "attributed": x["attributed"] > 0}
     names = {}
     for c in ONE:
         x[c], names[c] = _numbered(frames[c])
@@ -263,9 +266,8 @@ def summaries(frames: DataFrame) -> DataFrame:
     by one task; only this row of it is shuffled and written afterwards.
     """
     pose = clamp01(1 - F.greatest(F.abs("yaw_deg") / 7, F.abs("pitch_deg") / 10, F.abs("roll_deg") / 5))
-    f = frames.select(
-        "session_id", "bin", F.col("t_ms").cast("double").alias("t_ms"), "usable", "attributed", *ONE, F.col("session_started_at_ms").cast("double").alias("started"), size().cast("double").alias("size"),
-        pose.cast("double").alias("pose"), *_series().values())
+    columns = {c: F.col(c) for c in ("bin", "t_ms", "usable", "attributed")} | {"started": F.col("session_started_at_ms"), "size": size(), "pose": pose} | _series()
+    f = frames.select("session_id", *ONE, F.array(*(F.coalesce(columns[c].cast("double"), F.lit(float("nan"))) for c in NUMBERS)).alias("numbers"))
     kinds = {"session": frames.schema["session_id"].dataType.simpleString(), "epoch": frames.schema["capture_epoch"].dataType.simpleString()}
     return f.groupBy("session_id").applyInArrow(_summary, SUMMARY.format(**kinds))
 
