@@ -195,3 +195,7 @@ def test_a_session_is_dealt_once_and_leaves_one_row(spark, conf):
     assert _shuffles(face.summaries(face.screened(frames, sessions))) == 2  # lines by session, and the list of sessions
     plan = face.face_outcomes(frames, sessions, ready)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1 and "Window" not in plan
+    read = face.summaries(face.screened(frames, sessions))._jdf.queryExecution()
+    assert "numbers#" in read.executedPlan().toString()  # one column for all numbers of a frame
+    code = read.debug().codegenToSeq()
+    assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.length())) <= 8000
